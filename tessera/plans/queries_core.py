@@ -27,3 +27,181 @@ SELECT CAST(rn AS BIGINT) AS rank, name, round(value, 2) AS value,
 FROM r, k, s""", "sales"))
 def q_pareto(spark, sf):
     return rounded(bi.pareto(sales_view(spark, sf), "rep", "rev"), {"value": 2})
+
+
+# ======================================================================
+# A-*: aggregations
+# ======================================================================
+from ..operators import aggregate as agg  # noqa: E402
+from ..operators import select as sel  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+from .views import ecommerce_view, finance_view, hr_view  # noqa: E402
+
+
+@register("A1_aggregate_sum_revenue_by_region", with_views(
+    "SELECT region, round(sum(rev), 2) AS rev FROM sales WHERE region IS NOT NULL GROUP BY region",
+    "sales"))
+def q_a1_sum(spark, sf):
+    return rounded(agg.aggregate(sales_view(spark, sf), "region", "rev", "sum"), default=2)
+
+
+@register("A1_aggregate_mean_rating_by_category", with_views(
+    "SELECT category, round(avg(rating), 6) AS rating FROM ecommerce "
+    "WHERE category IS NOT NULL GROUP BY category", "ecommerce"))
+def q_a1_mean(spark, sf):
+    return rounded(agg.aggregate(ecommerce_view(spark, sf), "category", "rating", "mean"))
+
+
+@register("A1_aggregate_count_by_salary_band", with_views(
+    "SELECT salary, count(emp_id) AS emp_id FROM hr WHERE salary IS NOT NULL GROUP BY salary", "hr"))
+def q_a1_count(spark, sf):
+    return agg.aggregate(hr_view(spark, sf), "salary", "emp_id", "count")
+
+
+@register("A1_aggregate_max_min_price_by_brand", """
+SELECT p_brand, round(max(p_retailprice), 2) AS max_price, round(min(p_retailprice), 2) AS min_price
+FROM part WHERE p_brand IS NOT NULL GROUP BY p_brand""")
+def q_a1_maxmin(spark, sf):
+    p = read_table(spark, sf, "part")
+    mx = agg.aggregate(p, "p_brand", "p_retailprice", "max").withColumnRenamed("p_retailprice", "max_price")
+    mn = agg.aggregate(p, "p_brand", "p_retailprice", "min").withColumnRenamed("p_retailprice", "min_price")
+    return rounded(mx.join(mn, "p_brand"), default=2)
+
+
+@register("A2_count_values_quantity_top20", """
+SELECT l_quantity, count(*) AS count FROM lineitem WHERE l_quantity IS NOT NULL
+GROUP BY l_quantity ORDER BY count DESC, l_quantity LIMIT 20""")
+def q_a2(spark, sf):
+    return agg.count_values(read_table(spark, sf, "lineitem"), "l_quantity", 20)
+
+
+@register("A4_metric_by_group_rating_mean", with_views("""
+SELECT category, round(avg(rating), 6) AS rating, 'mean' AS agg_func FROM ecommerce
+WHERE category IS NOT NULL GROUP BY category ORDER BY rating DESC, category LIMIT 15""", "ecommerce"))
+def q_a4_mean(spark, sf):
+    return rounded(agg.metric_by_group(ecommerce_view(spark, sf), "category", "rating"))
+
+
+@register("A4_metric_by_group_revenue_sum_top15", with_views("""
+SELECT rep, round(sum(rev), 2) AS rev, 'sum' AS agg_func FROM sales
+WHERE rep IS NOT NULL GROUP BY rep ORDER BY sum(rev) DESC, rep LIMIT 15""", "sales"))
+def q_a4_sum(spark, sf):
+    return rounded(agg.metric_by_group(sales_view(spark, sf), "rep", "rev"), default=2)
+
+
+@register("A5_metric_by_group_ascending_bottom10", with_views("""
+SELECT cat, round(sum(profit), 2) AS profit, 'sum' AS agg_func FROM finance
+WHERE cat IS NOT NULL GROUP BY cat ORDER BY sum(profit) ASC, cat LIMIT 10""", "finance"))
+def q_a5(spark, sf):
+    return rounded(agg.metric_by_group(finance_view(spark, sf), "cat", "profit", top=10,
+                                       ascending=True), default=2)
+
+
+@register("A6_share_of_total_revenue_by_brand_top8", with_views("""
+, t AS (SELECT cat, sum(rev) AS value FROM finance WHERE cat IS NOT NULL GROUP BY cat
+        ORDER BY value DESC, cat LIMIT 8)
+SELECT cat, round(value, 2) AS value, round(value * 100.0 / sum(value) OVER (), 6) AS share_pct FROM t""",
+    "finance"))
+def q_a6(spark, sf):
+    return rounded(agg.share_of_total(finance_view(spark, sf), "cat", "rev", 8), {"value": 2})
+
+
+@register("A7_above_below_group_average_satisfaction", with_views("""
+, g AS (SELECT dept, avg(satisfaction) AS value FROM hr WHERE dept IS NOT NULL GROUP BY dept)
+SELECT dept, round(value, 6) AS value, round((SELECT avg(value) FROM g), 6) AS group_avg,
+       CASE WHEN value >= (SELECT avg(value) FROM g) THEN 'above' ELSE 'below' END AS marker
+FROM g""", "hr"))
+def q_a7(spark, sf):
+    return rounded(agg.above_below_average(hr_view(spark, sf), "dept", "satisfaction"))
+
+
+@register("A8_distribution_order_status", """
+SELECT o_orderstatus, count(*) AS count,
+       round(count(*) / CAST((SELECT count(o_orderstatus) FROM orders) AS DOUBLE), 6) AS share
+FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY o_orderstatus""")
+def q_a8(spark, sf):
+    return rounded(agg.distribution(read_table(spark, sf, "orders"), "o_orderstatus"))
+
+
+@register("A11_entropy_customer_columns", """
+, long AS (SELECT 'c_mktsegment' AS "column", CAST(c_mktsegment AS VARCHAR) AS value FROM customer
+           UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM customer)
+, c AS (SELECT "column", value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL)
+, p AS (SELECT "column", cnt / CAST(sum(cnt) OVER (PARTITION BY "column") AS DOUBLE) AS p FROM c)
+SELECT "column", round(-sum(p * log2(p + 1e-10)), 6) AS entropy FROM p GROUP BY "column"
+""".replace(
+    ", long AS", "WITH long AS", 1))
+def q_a11(spark, sf):
+    return rounded(agg.entropy(read_table(spark, sf, "customer"), ["c_mktsegment", "c_nationkey"]))
+
+
+@register("A12_histogram_extendedprice_20bins", """
+WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, avg(l_extendedprice) AS mean,
+                  quantile_cont(l_extendedprice, 0.5) AS med FROM lineitem)
+, b AS (SELECT least(greatest(CAST(floor((l_extendedprice - lo) / ((hi - lo) / 20)) AS BIGINT), 0), 19) AS bin
+        FROM lineitem, s WHERE l_extendedprice IS NOT NULL)
+, c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin)
+SELECT r.bin, round(lo + r.bin * ((hi - lo) / 20), 6) AS bin_lo,
+       round(lo + (r.bin + 1) * ((hi - lo) / 20), 6) AS bin_hi,
+       CAST(coalesce(cnt, 0) AS BIGINT) AS count, round(mean, 6) AS mean, round(med, 6) AS median
+FROM (SELECT CAST(range AS BIGINT) AS bin FROM range(20)) r LEFT JOIN c ON r.bin = c.bin, s""")
+def q_a12(spark, sf):
+    return rounded(agg.histogram(read_table(spark, sf, "lineitem"), "l_extendedprice", 20))
+
+
+@register("A13_box_summary_price_by_returnflag", """
+WITH base AS (SELECT CAST(l_returnflag AS VARCHAR) AS grp, l_extendedprice AS value FROM lineitem
+              WHERE l_returnflag IS NOT NULL AND l_extendedprice IS NOT NULL)
+, q AS (SELECT grp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+               quantile_cont(value, 0.75) AS q3 FROM base GROUP BY grp)
+, f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo_f, q3 + 1.5 * (q3 - q1) AS hi_f FROM q)
+SELECT f.grp, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(iqr, 6) AS iqr,
+       count(*) AS n,
+       round(min(value) FILTER (WHERE value >= lo_f AND value <= hi_f), 6) AS whisker_lo,
+       round(max(value) FILTER (WHERE value >= lo_f AND value <= hi_f), 6) AS whisker_hi,
+       count(*) FILTER (WHERE NOT (value >= lo_f AND value <= hi_f)) AS n_outliers
+FROM base JOIN f ON base.grp = f.grp GROUP BY f.grp, q1, median, q3, iqr""")
+def q_a13(spark, sf):
+    return rounded(agg.box_summary(read_table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag"))
+
+
+@register("A15_dominant_value_lineitem", """
+WITH long AS (SELECT 'l_discount' AS "column", CAST(l_discount AS DOUBLE) AS value FROM lineitem
+              UNION ALL SELECT 'l_tax', CAST(l_tax AS DOUBLE) FROM lineitem
+              UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem)
+, c AS (SELECT "column", value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL)
+, r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value ASC) AS rn,
+               sum(cnt) OVER (PARTITION BY "column") AS n, count(*) OVER (PARTITION BY "column") AS n_unique FROM c)
+SELECT "column", n, n_unique, round(value, 6) AS top_value, round(cnt / CAST(n AS DOUBLE), 6) AS top_share,
+       (cnt / CAST(n AS DOUBLE) > 0.6) AND n_unique > 3 AS is_dominant
+FROM r WHERE rn = 1""")
+def q_a15(spark, sf):
+    return rounded(agg.dominant_value(read_table(spark, sf, "lineitem"),
+                                      ["l_discount", "l_tax", "l_quantity"]))
+
+
+# ======================================================================
+# P-*: selection
+# ======================================================================
+@register("P1_filter_price_gt", """
+SELECT * FROM part WHERE CAST(p_retailprice AS DOUBLE) > 1500.0""")
+def q_p1_gt(spark, sf):
+    return sel.filter_rows(read_table(spark, sf, "part"), "p_retailprice", ">", 1500)
+
+
+@register("P1_filter_contains_case_insensitive", """
+SELECT * FROM part WHERE coalesce(contains(lower(CAST(p_name AS VARCHAR)), 'ring'), false)""")
+def q_p1_contains(spark, sf):
+    return sel.filter_rows(read_table(spark, sf, "part"), "p_name", "contains", "RING")
+
+
+@register("P1_filter_not_equal_string_form", """
+SELECT * FROM orders WHERE CAST(o_orderstatus AS VARCHAR) IS DISTINCT FROM 'F'""")
+def q_p1_ne(spark, sf):
+    return sel.filter_rows(read_table(spark, sf, "orders"), "o_orderstatus", "!=", "F")
+
+
+@register("P3_top_n_orders_by_price", """
+SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10""")
+def q_p3(spark, sf):
+    return sel.top_n(read_table(spark, sf, "orders"), "o_totalprice", 10, tiebreak=["o_orderkey"])
