@@ -24,6 +24,13 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str,
     d = (df.where(F.col(value_col).isNotNull())
            .groupBy(*key_cols, F.col(value_col).cast("double").alias("_v"))
            .agg(F.count(F.lit(1)).alias("_c")))
+    return exact_quantiles_from_counts(d, key_cols, probs, n_buckets)
+
+
+def exact_quantiles_from_counts(d: DataFrame, key_cols: list[str], probs: list[float],
+                                n_buckets: int | None = None) -> DataFrame:
+    """Quantiles from a distinct-value table ``key_cols + [_v, _c]``."""
+    key_cols = list(key_cols)
     r = ordered_running(d, "_v", part_cols=key_cols, weight_col="_c", n_buckets=n_buckets)
     # _pos = inclusive cumulative count: the value covers 0-based ranks [_pos-_c, _pos-1]
     n_tab = d.groupBy(*key_cols).agg(F.sum("_c").alias("n"))

@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 from tessera.sources.tables import TABLES
 
@@ -21,7 +22,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
