@@ -175,3 +175,34 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix an oracle query with the CTEs of the named views."""
     ctes = ",\n".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)
     return f"WITH {ctes}\n{sql}"
+
+
+# ---------------------------------------------------------------- messy (cleaning / validation input)
+def messy_view(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem projected with injected data-quality problems: nulls, a >55 %
+    sparse column, a constant column, padded boolean-like text, duplicates."""
+    li = read_table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_returnflag"),
+        F.when(F.col("l_linenumber") == 3, None).otherwise(F.col("l_linenumber")).alias("linenumber"),
+        F.col("l_quantity"),
+        F.col("l_tax"),
+        F.when(F.col("l_orderkey") % 10 < 6, None).otherwise(F.col("l_discount")).alias("sparse_discount"),
+        F.lit("lineitem").alias("source"),
+        F.when(F.col("l_returnflag") == "A", " yes").when(F.col("l_returnflag") == "N", "no ")
+         .otherwise("Yes").alias("returned_flag"),
+        F.when(F.col("l_linestatus") == "F", None).otherwise(F.col("l_linestatus")).alias("status_or_null"),
+    )
+
+
+MESSY_SQL = """
+SELECT l_returnflag,
+       CASE WHEN l_linenumber = 3 THEN NULL ELSE l_linenumber END AS linenumber,
+       l_quantity, l_tax,
+       CASE WHEN l_orderkey % 10 < 6 THEN NULL ELSE l_discount END AS sparse_discount,
+       'lineitem' AS source,
+       CASE WHEN l_returnflag = 'A' THEN ' yes' WHEN l_returnflag = 'N' THEN 'no ' ELSE 'Yes' END AS returned_flag,
+       CASE WHEN l_linestatus = 'F' THEN NULL ELSE l_linestatus END AS status_or_null
+FROM lineitem"""
+VIEW_SQL["messy"] = MESSY_SQL
+VIEWS["messy"] = messy_view
