@@ -24,6 +24,18 @@ def _n_buckets(df: DataFrame, n: int | None) -> int:
         return 8
 
 
+def _numeric_key(df: DataFrame, order_col: str) -> Column:
+    """Order-preserving numeric image of the order column (for cut points)."""
+    from pyspark.sql import types as T
+    dt = df.schema[order_col].dataType
+    c = F.col(order_col)
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.DateType):
+        return F.unix_date(c).cast("double")
+    return c.cast("double")
+
+
 def _bucket_col(order_col: str, bounds: Column, ascending: bool) -> Column:
     v = F.col(order_col)
     if ascending:
@@ -35,18 +47,18 @@ def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
                   ascending: bool, n_buckets: int | None) -> DataFrame:
     n = _n_buckets(df, n_buckets)
     fracs = [i / n for i in range(1, n)]
+    df = df.withColumn("_okey", _numeric_key(df, order_col))
     if not part_cols:
-        row = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fracs, 1000)
-                     .alias("b")).first()
+        row = df.agg(F.percentile_approx(F.col("_okey"), fracs, 1000).alias("b")).first()
         bounds = [x for x in (row["b"] or []) if x is not None]
-        return df.withColumn("_bucket", _bucket_col(order_col, F.array(*[F.lit(float(x)) for x in bounds])
+        return df.withColumn("_bucket", _bucket_col("_okey", F.array(*[F.lit(float(x)) for x in bounds])
                                                     if bounds else F.array().cast("array<double>"),
-                                                    ascending))
+                                                    ascending)).drop("_okey")
     bt = df.groupBy(*part_cols).agg(
-        F.percentile_approx(F.col(order_col).cast("double"), fracs, 1000).alias("_bounds"))
+        F.percentile_approx(F.col("_okey"), fracs, 1000).alias("_bounds"))
     return (df.join(bt, part_cols)
-              .withColumn("_bucket", _bucket_col(order_col, F.col("_bounds"), ascending))
-              .drop("_bounds"))
+              .withColumn("_bucket", _bucket_col("_okey", F.col("_bounds"), ascending))
+              .drop("_bounds", "_okey"))
 
 
 def ordered_running(df: DataFrame, order_col: str, *, part_cols: list[str] | None = None,

@@ -90,20 +90,20 @@ def q_a4_sum(spark, sf):
 
 
 @register("A5_metric_by_group_ascending_bottom10", with_views("""
-SELECT cat, round(sum(profit), 2) AS profit, 'sum' AS agg_func FROM finance
+SELECT cat, round(sum(profit), 4) AS profit, 'sum' AS agg_func FROM finance
 WHERE cat IS NOT NULL GROUP BY cat ORDER BY sum(profit) ASC, cat LIMIT 10""", "finance"))
 def q_a5(spark, sf):
     return rounded(agg.metric_by_group(finance_view(spark, sf), "cat", "profit", top=10,
-                                       ascending=True), default=2)
+                                       ascending=True), default=4)
 
 
 @register("A6_share_of_total_revenue_by_brand_top8", with_views("""
 , t AS (SELECT cat, sum(rev) AS value FROM finance WHERE cat IS NOT NULL GROUP BY cat
         ORDER BY value DESC, cat LIMIT 8)
-SELECT cat, round(value, 2) AS value, round(value * 100.0 / sum(value) OVER (), 6) AS share_pct FROM t""",
+SELECT cat, round(value, 4) AS value, round(value * 100.0 / sum(value) OVER (), 6) AS share_pct FROM t""",
     "finance"))
 def q_a6(spark, sf):
-    return rounded(agg.share_of_total(finance_view(spark, sf), "cat", "rev", 8), {"value": 2})
+    return rounded(agg.share_of_total(finance_view(spark, sf), "cat", "rev", 8), {"value": 4})
 
 
 @register("A7_above_below_group_average_satisfaction", with_views("""
