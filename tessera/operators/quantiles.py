@@ -41,7 +41,18 @@ def exact_quantiles_from_counts(d: DataFrame, key_cols: list[str], probs: list[f
                                 F.floor(h).cast("bigint").alias("lo"),
                                 F.ceil(h).cast("bigint").alias("hi")))
     n_tab = n_tab.select(*key_cols, "n", F.array(*targets).alias("_t"))
-    j = r.join(n_tab, key_cols) if key_cols else r.crossJoin(n_tab)
+    if key_cols:
+        j = r.join(n_tab, key_cols)
+    else:  # one global row: attach it as literals
+        row = n_tab.first()
+        if row is None:
+            j = r.withColumn("n", F.lit(None).cast("bigint")).withColumn("_t", F.lit(None))
+        else:
+            j = r.select("*", F.lit(row["n"]).alias("n"),
+                         F.array(*[F.struct(F.lit(t["i"]).alias("i"), F.lit(t["h"]).alias("h"),
+                                            F.lit(t["lo"]).cast("bigint").alias("lo"),
+                                            F.lit(t["hi"]).cast("bigint").alias("hi"))
+                                   for t in row["_t"]]).alias("_t"))
     start, end = F.col("_pos") - F.col("_c"), F.col("_pos") - 1
     hits = j.select(*key_cols, "n", "_v",
                     F.filter("_t", lambda t: ((t["lo"] >= start) & (t["lo"] <= end)) |

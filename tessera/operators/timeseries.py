@@ -109,7 +109,7 @@ def linear_trend(series: DataFrame, period_col: str, value_col: str,
         F.regr_intercept(F.col(value_col), F.col("x")).alias("intercept"),
         F.corr(F.col("x"), F.col(value_col)).alias("r"))
     g = g.where(F.col("n") >= min_points)
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
     g = g.withColumn("t_stat", F.when(F.abs(F.col("r")) < 1, t))
     if with_p:
         g = g.withColumn("p_value", F.when(F.abs(F.col("r")) >= 1, F.lit(0.0))
@@ -260,11 +260,11 @@ def consecutive_diff_ratio(df: DataFrame, column: str) -> DataFrame:
            .groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
     r = row_positions(d, "v", tiebreak=[]).select("v", F.col("_rn").alias("p"))
     prev = r.select(F.col("v").alias("pv"), (F.col("p") + 1).alias("p"))
+    n = d.agg(F.sum("c")).first()[0] or 0
     ones = r.join(prev, "p").agg(F.count_if((F.col("v") - F.col("pv")) == 1).alias("ones"))
-    tot = d.agg(F.sum("c").alias("n"))
-    return tot.join(ones).select(
-        (F.col("n") - 1).cast("bigint").alias("n_diffs"),
-        F.try_divide(F.col("ones").cast("double"), (F.col("n") - 1).cast("double")).alias("ratio_diff_one"))
+    return ones.select(
+        F.lit(n - 1).cast("bigint").alias("n_diffs"),
+        F.try_divide(F.col("ones").cast("double"), F.lit(float(n - 1))).alias("ratio_diff_one"))
 
 
 def sorted_group_mean(df: DataFrame, x_col: str, y_col: str) -> DataFrame:
