@@ -155,3 +155,61 @@ def two_group_tests(df: DataFrame, value: str, group: str, a: str, b: str,
         row["t_p"] = t_two_sided(t, dfree) if not math.isnan(t) else None
         row["mwu_p"] = min(1.0, 2 * norm_sf(z)) if not math.isnan(z) else None
     return df.sparkSession.createDataFrame([row])
+
+
+def mwu_long(long: DataFrame, key: str = "column", flag: str = "flag", value: str = "value",
+             with_p: bool = True) -> DataFrame:
+    """H-12 for many columns at once: ``long`` has ``(key, flag boolean, value)``;
+    per key, Mann-Whitney U of the ``flag = true`` sample vs the rest
+    (asymptotic, tie and continuity corrected).  Ranks are per key over the
+    distinct values; ``U`` is reported for the flagged sample."""
+    d = long.where(F.col(value).isNotNull() & F.col(flag).isNotNull())
+    cnt = d.groupBy(key, flag, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    vals = cnt.groupBy(key, "v").agg(F.sum("c").alias("t"))
+    from .ranks import ordered_running
+    r = ordered_running(vals, "v", part_cols=[key], weight_col="t")
+    ranks = r.select(key, "v", "t", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
+    rs = cnt.join(ranks.select(key, "v", "rk"), [key, "v"]).groupBy(key).agg(
+        F.sum(F.when(F.col(flag), F.col("c"))).alias("n1"), F.sum(F.when(~F.col(flag), F.col("c"))).alias("n2"),
+        F.sum(F.when(F.col(flag), F.col("c") * F.col("rk"))).alias("r1"))
+    ties = vals.groupBy(key).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("T"))
+    j = rs.join(ties, key)
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    n = n1 + n2
+    u1 = F.col("r1") - n1 * (n1 + 1) / 2.0
+    big = F.greatest(u1, n1 * n2 - u1)
+    sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("T"), n * (n - 1))))
+    z = F.try_divide(big - n1 * n2 / 2.0 - 0.5, sd)
+    out = j.select(key, F.col("n1").cast("bigint").alias("n_flag"), F.col("n2").cast("bigint").alias("n_rest"),
+                   u1.alias("u_stat"), z.alias("z"))
+    if with_p:
+        from ..functions.special import norm_two_sided_col
+        out = out.withColumn("p_value", F.least(F.lit(1.0), norm_two_sided_col(F.col("z"))))
+    return out
+
+
+def chi2_flag_long(long: DataFrame, key: str = "column", flag: str = "flag", cat: str = "value",
+                   with_p: bool = True) -> DataFrame:
+    """C-10 for many categorical columns against one boolean flag: per key,
+    chi-square of the (category x flag) table, Yates-corrected when dof = 1.
+    The zero cells of the full grid are generated per category (two flag
+    values), so no cross join is needed."""
+    d = long.where(F.col(cat).isNotNull() & F.col(flag).isNotNull())
+    obs = d.groupBy(key, F.col(cat).cast("string").alias("a"), F.col(flag).alias("b")).agg(
+        F.count(F.lit(1)).alias("o"))
+    cats = obs.groupBy(key, "a").agg(F.sum("o").alias("na"))
+    flags = obs.groupBy(key, "b").agg(F.sum("o").alias("nb"))
+    tot = obs.groupBy(key).agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"),
+                               F.countDistinct("b").alias("kb"))
+    grid = cats.select(key, "a", "na", F.explode(F.array(F.lit(True), F.lit(False))).alias("b"))
+    cells = (grid.join(flags, [key, "b"]).join(obs, [key, "a", "b"], "left").join(tot, key)
+                 .withColumn("o", F.coalesce(F.col("o"), F.lit(0))))
+    e = F.col("na") * F.col("nb") / F.col("n").cast("double")
+    dof = (F.col("ka") - 1) * (F.col("kb") - 1)
+    diff = e - F.col("o")
+    adj = F.when(dof == 1, F.least(F.lit(0.5), F.abs(diff)) * F.signum(diff)).otherwise(0.0)
+    out = cells.groupBy(key, "n", "ka", "kb").agg(F.sum(F.pow(F.col("o") + adj - e, 2) / e).alias("chi2"))
+    out = out.select(key, F.col("n").cast("bigint").alias("n"), dof.cast("bigint").alias("dof"), "chi2")
+    if with_p:
+        out = out.withColumn("p_value", chi2_sf_col(F.col("chi2"), F.col("dof")))
+    return out

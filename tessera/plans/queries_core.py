@@ -205,3 +205,97 @@ def q_p1_ne(spark, sf):
 SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 10""")
 def q_p3(spark, sf):
     return sel.top_n(read_table(spark, sf, "orders"), "o_totalprice", 10, tiebreak=["o_orderkey"])
+
+
+# ======================================================================
+# B-*: business intelligence
+# ======================================================================
+from ..operators import normality as norm  # noqa: E402
+
+
+@register("B1_benchmark_lineitem", """
+WITH long AS (SELECT 'l_quantity' AS "column", CAST(l_quantity AS DOUBLE) AS value FROM lineitem
+              UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE) FROM lineitem)
+, v AS (SELECT * FROM long WHERE value IS NOT NULL)
+, m AS (SELECT "column", avg(value) AS mean, stddev_samp(value) AS std, quantile_cont(value, 0.1) AS p10,
+               quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS median,
+               quantile_cont(value, 0.75) AS p75, quantile_cont(value, 0.9) AS p90 FROM v GROUP BY "column")
+, a AS (SELECT v."column", avg(CASE WHEN value > mean THEN 1.0 ELSE 0.0 END) * 100.0 AS above FROM v JOIN m USING ("column") GROUP BY v."column")
+, c AS (SELECT m.*, above, CASE WHEN mean <> 0 THEN std / abs(mean) ELSE 0.0 END AS cv,
+               CASE WHEN median <> 0 THEN abs(mean - median) / abs(median) * 100.0 ELSE 0.0 END AS diff FROM m JOIN a USING ("column"))
+SELECT "column", round(mean, 6) AS mean, round(median, 6) AS median, round(p25, 6) AS p25, round(p75, 6) AS p75,
+       round(p90, 6) AS p90, round(p90, 6) AS top_10_pct, round(p10, 6) AS bottom_10_pct,
+       round(above, 6) AS above_avg_pct, round(cv, 6) AS cv,
+       CASE WHEN cv < 0.1 THEN 'Very Consistent — low variation across records'
+            WHEN cv < 0.3 THEN 'Consistent — moderate variation'
+            WHEN cv < 0.6 THEN 'Variable — significant spread'
+            ELSE 'Highly Variable — large spread, investigate outliers' END AS benchmark_label,
+       diff > 20 AS skewed_central_tendency FROM c""")
+def q_b1(spark, sf):
+    return rounded(bi.benchmark(read_table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
+
+
+@register("B2_root_cause_low_satisfaction_hr")
+def q_b2(spark, sf):
+    return rounded(bi.root_cause(hr_view(spark, sf), "satisfaction", ["tenure", "hours", "evaluation", "projects"],
+                                 ["dept", "salary", "left"]))
+
+
+@register("B2_root_cause_low_revenue_ecommerce")
+def q_b2b(spark, sf):
+    return rounded(bi.root_cause(ecommerce_view(spark, sf), "revenue", ["price", "discount", "rating", "reviews"],
+                                 ["category"]))
+
+
+@register("B3_cohort_stats_revenue_by_region", with_views("""
+, d AS (SELECT CAST(region AS VARCHAR) AS name, CAST(rev AS DOUBLE) AS v FROM sales WHERE region IS NOT NULL)
+, valid AS (SELECT name FROM d GROUP BY name HAVING count(*) >= 5)
+, f AS (SELECT d.* FROM d JOIN valid USING (name))
+, g AS (SELECT name, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS std, quantile_cont(v, 0.5) AS median FROM f GROUP BY name)
+, o AS (SELECT avg(v) AS overall FROM f)
+, r AS (SELECT g.*, row_number() OVER (ORDER BY mean DESC, name) AS rk,
+               CASE WHEN overall <> 0 THEN (mean - overall) / abs(overall) * 100.0 ELSE 0.0 END AS vs FROM g, o)
+SELECT 'region' AS cohort_col, 'rev' AS metric_col, name, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean,
+       round(median, 6) AS median, round(std, 6) AS std, CAST(rk AS BIGINT) AS rank, round(vs, 6) AS vs_avg_pct,
+       CASE WHEN vs > 5 THEN 'above' WHEN vs < -5 THEN 'below' ELSE 'avg' END AS status FROM r""", "sales"))
+def q_b3(spark, sf):
+    return rounded(bi.cohort(sales_view(spark, sf), "region", "rev", with_p=False))
+
+
+@register("B3_cohort_with_test_satisfaction_by_dept")
+def q_b3p(spark, sf):
+    return rounded(bi.cohort(hr_view(spark, sf), "dept", "satisfaction"))
+
+
+@register("B5_segment_health_by_category", with_views("""
+, long AS (SELECT CAST(category AS VARCHAR) AS segment, 'price' AS metric, CAST(price AS DOUBLE) AS value FROM ecommerce WHERE category IS NOT NULL
+           UNION ALL SELECT CAST(category AS VARCHAR), 'rating', CAST(rating AS DOUBLE) FROM ecommerce WHERE category IS NOT NULL
+           UNION ALL SELECT CAST(category AS VARCHAR), 'discount', CAST(discount AS DOUBLE) FROM ecommerce WHERE category IS NOT NULL)
+, ov AS (SELECT metric, avg(value) AS overall FROM long GROUP BY metric)
+, seg AS (SELECT segment, metric, avg(value) AS mean FROM long GROUP BY segment, metric)
+, rows_ AS (SELECT CAST(category AS VARCHAR) AS segment, count(*) AS n FROM ecommerce WHERE category IS NOT NULL GROUP BY 1)
+, s AS (SELECT seg.*, overall, CASE WHEN overall <> 0 THEN (mean - overall) / abs(overall) * 100.0 ELSE 0.0 END AS vs
+        FROM seg JOIN ov USING (metric))
+, j AS (SELECT s.*, n FROM s JOIN rows_ USING (segment) WHERE n >= 5)
+, a AS (SELECT segment, n, avg(least(100.0, greatest(0.0, 50.0 + vs * 0.5))) AS health_score,
+               count(*) FILTER (WHERE vs < -5) AS nweak, count(*) FILTER (WHERE vs > 5) AS nstrong,
+               arg_min(metric, vs) AS wm, arg_min(mean, vs) AS wmean, arg_min(overall, vs) AS wov, min(vs) AS wvs,
+               arg_max(metric, vs) AS bm FROM j GROUP BY segment, n)
+SELECT 'category' AS segment_col, segment AS segment_name, CAST(n AS BIGINT) AS n, round(health_score, 6) AS health_score,
+       CASE WHEN nweak > 0 THEN printf('Improve ''%s'' from %.2f to dataset average %.2f — %.1f%% improvement opportunity.', wm, wmean, wov, abs(wvs))
+            WHEN nstrong > 0 THEN printf('Already leading in ''%s'' — leverage this advantage in other segments.', bm)
+            ELSE 'Performance close to average across all metrics.' END AS opportunity FROM a""", "ecommerce"))
+def q_b5(spark, sf):
+    out = bi.segment_health(ecommerce_view(spark, sf), "category", ["price", "rating", "discount"])
+    return rounded(out.select("segment_col", "segment_name", "n", "health_score", "opportunity"))
+
+
+@register("B5_segment_health_full_by_region")
+def q_b5full(spark, sf):
+    return rounded(bi.segment_health(sales_view(spark, sf), "region", ["rev", "margin", "target"]))
+
+
+@register("H1_shapiro_wilk_lineitem")
+def q_h1(spark, sf):
+    return rounded(norm.shapiro_by_column(read_table(spark, sf, "lineitem"),
+                                          ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
