@@ -43,4 +43,4 @@ def rounded(df: DataFrame, digits: dict[str, int] | None = None, default: int =
 
 def load_all() -> None:
     """Import the modules whose import registers queries."""
-    from . import queries_core, queries_corr, queries_quality, queries_stats, queries_time  # noqa: F401
+    from . import queries_core, queries_corr, queries_domains, queries_quality, queries_stats, queries_time  # noqa: F401

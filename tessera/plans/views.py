@@ -148,6 +148,7 @@ def hr_view(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(100.0) + F.col("o_totalprice") / F.lit(2500.0)).alias("hours"),
         (F.floor(F.col("o_totalprice") / F.lit(100000.0)) + 1).cast("bigint").alias("projects"),
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("promotion"),
+        (F.col("o_totalprice") / F.lit(10.0)).alias("income"),
     )
 
 
@@ -161,7 +162,8 @@ SELECT o_orderkey AS emp_id,
        o_totalprice / CAST(500000.0 AS DOUBLE) AS evaluation,
        CAST(100.0 AS DOUBLE) + o_totalprice / CAST(2500.0 AS DOUBLE) AS hours,
        CAST(floor(o_totalprice / CAST(100000.0 AS DOUBLE)) + 1 AS BIGINT) AS projects,
-       CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS promotion
+       CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS promotion,
+       o_totalprice / CAST(10.0 AS DOUBLE) AS income
 FROM orders JOIN customer ON o_custkey = c_custkey"""
 
 
