@@ -29,7 +29,9 @@ def _rank_col(df: DataFrame, col: str, out: str) -> DataFrame:
     """Attach the average rank of ``col`` as column ``out`` (rows with null dropped)."""
     d = df.where(F.col(col).isNotNull()).withColumn("_v", F.col(col).cast("double"))
     rk = average_rank(d, "_v").select("_v", F.col("avg_rank").alias(out))
-    return dim_join(d, rk, "_v").drop("_v")
+    # the rank table's size is only known at run time: AQE measures it and
+    # switches to a broadcast join when it is small, else keeps the shuffle join
+    return d.join(rk, "_v").drop("_v")
 
 
 def _pair_rows(spark, rows):

@@ -58,7 +58,7 @@ def kruskal_table(d: DataFrame) -> DataFrame:
     cnt = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     vals = cnt.groupBy("v").agg(F.sum("c").alias("t"))
     ranks = _ranks_from_counts(vals)
-    rs = dim_join(cnt, ranks.select("v", "avg_rank"), "v").groupBy("g").agg(
+    rs = cnt.join(ranks.select("v", "avg_rank"), "v").groupBy("g").agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("avg_rank")).alias("R"))
     ties = vals.agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("T"), F.sum("t").alias("N")).first()
     Nv = float(ties["N"] or 0)
@@ -129,7 +129,7 @@ def two_group_tests(df: DataFrame, value: str, group: str, a: str, b: str,
     cnt = d.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
     vals = cnt.groupBy("v").agg(F.sum("c").alias("t"))
     ranks = _ranks_from_counts(vals)
-    r1 = dim_join(cnt.where(F.col("g") == a), ranks.select("v", "avg_rank"), "v") \
+    r1 = cnt.where(F.col("g") == a).join(ranks.select("v", "avg_rank"), "v") \
         .agg(F.sum(F.col("c") * F.col("avg_rank"))).first()[0]
     T = vals.agg(F.sum(F.pow(F.col("t"), 3) - F.col("t"))).first()[0] or 0.0
     ma, mb = m[a], m[b]
