@@ -43,5 +43,6 @@ def rounded(df: DataFrame, digits: dict[str, int] | None = None, default: int =
 
 def load_all() -> None:
     """Import the modules whose import registers queries."""
-    from . import (queries_core, queries_corr, queries_domains, queries_ml, queries_quality,  # noqa: F401
+    from . import (queries_core, queries_corr, queries_domains, queries_misc, queries_ml,  # noqa: F401
+                   queries_quality,
                    queries_stats, queries_time)
