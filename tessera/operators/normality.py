@@ -93,15 +93,22 @@ SW_SCHEMA = "column string, n_sample long, shapiro_stat double, shapiro_p double
 
 def shapiro_by_column(df: DataFrame, columns: list[str], seed: int = 42,
                       max_n: int = MAX_SW_N) -> DataFrame:
-    """H-1 per column over a deterministic sample of at most ``max_n`` values."""
-    long = to_long(df, columns).where(F.col("value").isNotNull())
-    return shapiro_long(long, "column", "value", seed, max_n)
+    """H-1 per column over a deterministic sample of at most ``max_n`` values.
+    The sample key hashes the whole source row, so rows sharing a value are
+    sampled independently (identical rows are interchangeable)."""
+    rows = df.select(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).alias("_rh"), *columns)
+    long = rows.select("_rh", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+        .alias("kv")).select("_rh", "kv.column", "kv.value").where(F.col("value").isNotNull())
+    return shapiro_long(long, "column", "value", seed, max_n, row_hash="_rh")
 
 
 def shapiro_long(long: DataFrame, key: str, value: str, seed: int = 42,
-                 max_n: int = MAX_SW_N) -> DataFrame:
+                 max_n: int = MAX_SW_N, row_hash: str | None = None) -> DataFrame:
+    """Shapiro-Wilk per ``key``; ``row_hash`` (a per-row hash of the source row)
+    spreads rows that share a value across the sample."""
     n = long.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(value))
+    h = F.xxhash64(F.lit(seed), F.col(key), F.col(row_hash) if row_hash else F.col(value))
     # uniform in [0, 1): keep about 1.2 * max_n rows per key before the exact cut
     u = (F.abs(h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
     pre = (long.join(F.broadcast(n), key)

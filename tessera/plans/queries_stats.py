@@ -202,3 +202,28 @@ def q_q3_customer(spark, sf):
 @register("Q3_column_profile_orders", profile_sql("orders", ORDERS_COLS))
 def q_q3_orders(spark, sf):
     return rounded(prof.column_profiles(read_table(spark, sf, "orders")).select(*_PROFILE_SCALARS))
+
+
+# ------------------------------------------------------------------ H-3 / H-4 / H-5 / E-1
+from ..operators import distribution as dist  # noqa: E402
+
+
+@register("H3_anderson_darling_lineitem")
+def q_h3(spark, sf):
+    return rounded(dist.anderson_darling(read_table(spark, sf, "lineitem"), LINEITEM_NUM))
+
+
+@register("H5_distribution_fits_ks")
+def q_h5(spark, sf):
+    return rounded(dist.fit_distributions(read_table(spark, sf, "orders"), ["o_totalprice"]).unionByName(
+        dist.fit_distributions(read_table(spark, sf, "lineitem"), ["l_extendedprice", "l_quantity"])))
+
+
+@register("H4_normality_consensus_lineitem")
+def q_h4(spark, sf):
+    return rounded(dist.normality_consensus(read_table(spark, sf, "lineitem"), LINEITEM_NUM))
+
+
+@register("E1_univariate_orders_customer")
+def q_e1(spark, sf):
+    return rounded(dist.univariate(read_table(spark, sf, "orders"), ["o_totalprice", "o_custkey"]))

@@ -126,3 +126,24 @@ def test_no_single_partition_exchange_on_rows(spark):
     for i, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             assert "HashAggregate(keys=[_bucket" in lines[i + 1], lines[i + 1]
+
+
+def test_anderson_and_ks_match_brute_force(spark):
+    from statistics import NormalDist
+
+    from tessera.operators import distribution as dist
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(10, 2, 400), 1)  # rounded: many ties
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    got = dist.anderson_darling(df, ["x"]).first()
+    xs = np.sort(x)
+    n = len(xs)
+    z = (xs - xs.mean()) / xs.std(ddof=1)
+    cdf = np.array([NormalDist().cdf(v) for v in z])
+    i = np.arange(1, n + 1)
+    a2 = -n - np.sum((2 * i - 1) * (np.log(cdf) + np.log(1 - cdf[::-1]))) / n
+    assert got["anderson_stat"] == pytest.approx(a2, rel=1e-9)
+    fits = {r["dist"]: r for r in dist.fit_distributions(df, ["x"]).collect()}
+    cdfn = np.array([NormalDist(xs.mean(), xs.std()).cdf(v) for v in xs])
+    d = max(np.max(i / n - cdfn), np.max(cdfn - (i - 1) / n))
+    assert fits["norm"]["ks_stat"] == pytest.approx(d, rel=1e-9)
