@@ -5,7 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as agg
 from ..operators import bi, corr, distribution as dist, hypothesis as hyp, insights as ins
+from ..operators.timeseries import monthly_mean
 from ..operators import profile as prof
 from ..operators.domains import hr
 from ..sources.tables import read_table
@@ -90,3 +92,79 @@ def q_d8(spark, sf):
     top = ins.hr_top_insights(h, "left", dept="dept", satisfaction="satisfaction", numeric=["satisfaction", "hours"])
     return rounded(ins.story(h, ["satisfaction", "hours"], "hr", top, hr.attrition(h, "left"),
                              corr.spearman_pairs(h, ["satisfaction", "hours", "tenure"], with_p=False)))
+
+
+# ------------------------------------------------------------------ P-12
+from ..operators import text as txt  # noqa: E402
+from ..operators.text import DOMAIN_BLOCKS, FAKE_PHRASES, INVALID_OUTPUTS  # noqa: E402
+
+
+def _first_sql(phrases) -> str:
+    arms = " ".join("WHEN contains(lower(text), '{0}') THEN '{0}'".format(p.replace("'", "''")) for p in phrases)
+    return f"CASE {arms} END"
+
+
+@register("P12_text_quality_gate_documents", f"""
+WITH g AS (SELECT doc_id, length(text) AS n_chars,
+       CASE WHEN text IS NULL OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 40 THEN 'too short'
+            WHEN {_first_sql(INVALID_OUTPUTS)} IS NOT NULL THEN 'blocked phrase: ' || {_first_sql(INVALID_OUTPUTS)}
+            WHEN {_first_sql(FAKE_PHRASES)} IS NOT NULL THEN 'invented metric: ' || {_first_sql(FAKE_PHRASES)}
+            WHEN {_first_sql(DOMAIN_BLOCKS['ecommerce'])} IS NOT NULL
+                 THEN 'domain contamination: ' || {_first_sql(DOMAIN_BLOCKS['ecommerce'])}
+       END AS reason FROM documents)
+SELECT doc_id, CAST(n_chars AS INTEGER) AS n_chars, reason IS NULL AS passed, reason FROM g""")
+def q_p12(spark, sf):
+    return txt.text_quality_gate(read_table(spark, sf, "documents"), "text", "ecommerce", id_col="doc_id")
+
+
+@register("P12_text_gate_summary_documents")
+def q_p12s(spark, sf):
+    return txt.gate_summary(txt.text_quality_gate(read_table(spark, sf, "documents"), "text", "sales"))
+
+
+# ------------------------------------------------------------------ D-6 / D-11 / D-12
+from ..operators import charts  # noqa: E402
+
+
+@register("D6_recommend_charts_sales")
+def q_d6(spark, sf):
+    return charts.recommend_charts(sales_view(spark, sf), "sales")
+
+
+@register("D6_chart_data_all_recommended_sales")
+def q_d6b(spark, sf):
+    s = sales_view(spark, sf)
+    cols = charts.analysis_columns(s)
+    specs = charts.recommend_charts(s, "sales", cols).collect()
+    parts = [charts.chart_data(s, sp, cols).select(F.lit(sp["chart_id"]).alias("chart_id"),
+                                                   F.to_json(F.struct("*")).alias("row")) for sp in specs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("D11_bar_chart_facts_revenue_by_region", """
+WITH s AS (SELECT o_orderkey, o_totalprice AS rev, r_name AS region FROM orders JOIN customer ON o_custkey = c_custkey
+           JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+, g AS (SELECT region, sum(rev) AS rev FROM s WHERE region IS NOT NULL GROUP BY region ORDER BY rev DESC, region LIMIT 15)
+, a AS (SELECT arg_max(region, rev) AS top, max(rev) AS tv, arg_min(region, rev) AS worst, min(rev) AS wv,
+               avg(rev) AS av, count(*) AS k FROM g)
+SELECT top, round(tv, 2) AS top_value, worst, round(wv, 2) AS worst_value, round(av, 2) AS avg_value,
+       CAST(k AS BIGINT) AS n_groups, round((tv - wv) * 100.0 / abs(wv), 6) AS gap_pct,
+       CAST((SELECT count(*) FROM g WHERE rev > av) AS BIGINT) AS n_above_avg FROM a""")
+def q_d11(spark, sf):
+    data = agg.metric_by_group(sales_view(spark, sf), "region", "rev", top=15)
+    return rounded(charts.bar_facts(data, "region", "rev"), {"top_value": 2, "worst_value": 2, "avg_value": 2})
+
+
+@register("D11_trend_facts_monthly_order_price")
+def q_d11t(spark, sf):
+    m = monthly_mean(read_table(spark, sf, "orders"), "o_orderdate", "o_totalprice")
+    return rounded(charts.trend_facts(m, "month_end", "o_totalprice"))
+
+
+@register("D12_bar_narrative_revenue_by_region")
+def q_d12(spark, sf):
+    data = agg.metric_by_group(sales_view(spark, sf), "region", "rev", top=15)
+    return charts.bar_narrative(charts.bar_facts(data, "region", "rev"), "region", "rev")
