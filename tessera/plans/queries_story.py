@@ -168,3 +168,52 @@ def q_d11t(spark, sf):
 def q_d12(spark, sf):
     data = agg.metric_by_group(sales_view(spark, sf), "region", "rev", top=15)
     return charts.bar_narrative(charts.bar_facts(data, "region", "rev"), "region", "rev")
+
+
+# ------------------------------------------------------------------ orchestrators
+from ..operators import eda  # noqa: E402
+
+
+@register("E3_run_eda_hr_group_comparisons")
+def q_e3(spark, sf):
+    h = hr_view(spark, sf).select("dept", "salary", "satisfaction", "hours", "tenure")
+    return rounded(eda.run_eda(h, "hr")["group_comparisons"].drop("group_stats"))
+
+
+@register("E3_run_eda_hr_findings")
+def q_e3f(spark, sf):
+    h = hr_view(spark, sf).select("dept", "salary", "satisfaction", "hours", "tenure")
+    return eda.run_eda(h, "hr")["findings"]
+
+
+@register("E6_numeric_stats_lineitem")
+def q_e6(spark, sf):
+    return rounded(eda.numeric_stats(read_table(spark, sf, "lineitem"), LI))
+
+
+@register("E7_categorical_stats_orders", """
+WITH long AS (SELECT 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS value FROM orders
+              UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR) FROM orders)
+, c AS (SELECT "column", value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL)
+, a AS (SELECT "column", count(*) AS u, arg_max(value, (cnt, value)) AS top_value, max(cnt) AS top FROM c GROUP BY "column")
+SELECT "column", CAST(u AS BIGINT) AS n_unique, top_value, round(top * 100.0 / (SELECT count(*) FROM orders), 6) AS top_pct,
+       CASE WHEN u <= 2 THEN 'binary' WHEN u <= 10 THEN 'low' WHEN u <= 50 THEN 'medium' ELSE 'high' END AS cardinality FROM a""")
+def q_e7(spark, sf):
+    return rounded(eda.categorical_stats(read_table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]))
+
+
+@register("E8_recommended_analyses_orders")
+def q_e8(spark, sf):
+    return eda.stats_analyze(read_table(spark, sf, "orders"))["recommended_analyses"]
+
+
+@register("B6_run_bi_sales_pareto")
+def q_b6(spark, sf):
+    s = sales_view(spark, sf).select("region", "rev", "margin")
+    return rounded(eda.run_bi(s, "sales")["pareto"])
+
+
+@register("B6_run_bi_sales_root_cause")
+def q_b6r(spark, sf):
+    s = sales_view(spark, sf).select("region", "product", "rev", "margin", "target")
+    return rounded(eda.run_bi(s, "sales")["root_cause"])
