@@ -112,3 +112,16 @@ def q_l13(spark, sf):
 @register("F1_fingerprint_lineitem")
 def q_f1(spark, sf):
     return sinks.fingerprint(read_table(spark, sf, "lineitem"))
+
+
+@register("S1_stream_batch_profiles_orders")
+def q_s1(spark, sf):
+    """Streaming form of upload -> profile: the orders file arrives as a stream;
+    every micro-batch is profiled and stored per epoch in the shared folder."""
+    from ..streaming import ingest
+    base = _shared_dir(spark, "stream_orders")
+    schema = read_table(spark, sf, "orders").schema
+    q = ingest.start_profiling(spark, f"{sf.rstrip('/')}/orders.parq*", schema, f"{base}/profiles",
+                               f"{base}/checkpoint", base_path=sf)
+    q.awaitTermination()
+    return rounded(ingest.read_profiles(spark, f"{base}/profiles"))
