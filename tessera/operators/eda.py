@@ -43,8 +43,8 @@ def run_eda(df: DataFrame, domain: str = "general", max_levels: int = 15) -> dic
     normal = {}
     if out["univariate"] is not None:
         normal = {r["column"]: bool(r["is_normal"]) for r in out["univariate"].select("column", "is_normal").collect()}
-    groups = [hyp.group_comparison(df, n, c, is_normal=normal.get(n, False)) for c in cats for n in nums]
-    out["group_comparisons"] = reduce(lambda a, b: a.unionByName(b), groups) if groups else None
+    out["group_comparisons"] = (hyp.group_comparisons_long(df, nums, cats, normal=normal)
+                                if cats and nums else None)
     if cols["date_cols"] and nums:
         from .timeseries import adf_by_key, monthly_mean
         d0 = cols["date_cols"][0]

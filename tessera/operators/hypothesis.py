@@ -213,3 +213,71 @@ def chi2_flag_long(long: DataFrame, key: str = "column", flag: str = "flag", cat
     if with_p:
         out = out.withColumn("p_value", chi2_sf_col(F.col("chi2"), F.col("dof")))
     return out
+
+
+def group_comparisons_long(df: DataFrame, numeric: list[str], categorical: list[str], min_n: int = 3,
+                           normal: dict | None = None, with_p: bool = True) -> DataFrame:
+    """E-2 for every (numeric, categorical) pair at once.
+
+    The table is exploded once into ``(numeric_col, group_col, g, v)``; group
+    moments, pooled average ranks (keyed by pair), tie terms and group
+    medians are keyed aggregates over that long table, so the number of
+    passes does not grow with the number of pairs.  ``normal`` maps a numeric
+    column to True to report ANOVA instead of Kruskal-Wallis."""
+    from .ranks import ordered_running
+    pairs = [(n, c) for c in categorical for n in numeric]
+    spark = df.sparkSession
+    if not pairs:
+        return spark.createDataFrame([], "numeric_col string, group_col string")
+    pk = ["numeric_col", "group_col"]
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("numeric_col"), F.lit(c).alias("group_col"), F.col(c).cast("string").alias("g"),
+                 F.col(n).cast("double").alias("v")) for n, c in pairs])).alias("x")).select("x.*") \
+        .where(F.col("g").isNotNull() & F.col("v").isNotNull())
+    sizes = long.groupBy(*pk, "g").agg(F.count(F.lit(1)).alias("_n"))
+    f = long.join(sizes.where(F.col("_n") >= min_n).drop("_n"), pk + ["g"])
+    gm = f.groupBy(*pk, "g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
+                                 F.var_samp("v").alias("var"), F.stddev_pop("v").alias("std_pop"))
+    tot = f.groupBy(*pk).agg(F.count(F.lit(1)).alias("ntot"), F.avg("v").alias("gmean"), F.var_pop("v").alias("vp"))
+    an = gm.join(tot, pk).groupBy(*pk).agg(
+        F.count(F.lit(1)).alias("k"), F.first("ntot").alias("ntot"), F.first("vp").alias("vp"),
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("gmean"), 2)).alias("ssb"),
+        F.sum(F.coalesce((F.col("n") - 1) * F.col("var"), F.lit(0.0))).alias("ssw"))
+    k, N = F.col("k"), F.col("ntot").cast("double")
+    an = an.select(*pk, "k", "ntot", F.try_divide(F.col("ssb") / (k - 1), F.col("ssw") / (N - k)).alias("f_stat"),
+                   F.when(F.col("vp") * N > 0, F.col("ssb") / (F.col("vp") * N)).otherwise(0.0).alias("eta_sq"))
+    cnt = f.groupBy(*pk, "g", "v").agg(F.count(F.lit(1)).alias("c"))
+    vals = cnt.groupBy(*pk, "v").agg(F.sum("c").alias("t"))
+    r = ordered_running(vals, "v", part_cols=pk, weight_col="t")
+    ranks = r.select(*pk, "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
+    rs = cnt.join(ranks, pk + ["v"]).groupBy(*pk, "g").agg(F.sum("c").alias("n"),
+                                                           F.sum(F.col("c") * F.col("rk")).alias("R"))
+    q = rs.groupBy(*pk).agg(F.sum(F.pow(F.col("R"), 2) / F.col("n")).alias("q"))
+    ties = vals.groupBy(*pk).agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("tie_sum"))
+    kw = q.join(ties, pk).join(tot.select(*pk, F.col("ntot").alias("nk")), pk)
+    Nn = F.col("nk").cast("double")
+    h = 12.0 / (Nn * (Nn + 1)) * F.col("q") - 3 * (Nn + 1)
+    corr_ = F.lit(1.0) - F.try_divide(F.col("tie_sum"), Nn * Nn * Nn - Nn)
+    kw = kw.select(*pk, F.when(corr_ > 0, h / corr_).alias("h_stat"))
+    med = exact_quantiles(f, pk + ["g"], "v", [0.5]).select(*pk, "g", F.col("q0").alias("median"))
+    gs = gm.join(med, pk + ["g"]).groupBy(*pk).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("g").alias("group"), F.col("n").cast("bigint").alias("n"), "mean", "median",
+        F.col("std_pop").alias("std")))).alias("group_stats"))
+    normal = normal or {}
+    is_norm = F.lit(False)
+    for col_name, flag in normal.items():
+        if flag:
+            is_norm = F.when(F.col("numeric_col") == col_name, F.lit(True)).otherwise(is_norm)
+    j = an.join(kw, pk).join(gs, pk).where(F.col("k") >= 2)
+    out = j.select(*pk, F.col("k").cast("bigint").alias("n_groups"),
+                   F.when(is_norm, "One-Way ANOVA").otherwise("Kruskal-Wallis").alias("test_used"),
+                   F.when(is_norm, F.col("f_stat")).otherwise(F.col("h_stat")).alias("statistic"),
+                   "f_stat", "h_stat", "eta_sq",
+                   F.when(F.col("eta_sq") < 0.01, "Negligible").when(F.col("eta_sq") < 0.06, "Small")
+                    .when(F.col("eta_sq") < 0.14, "Medium").otherwise("Large").alias("effect_label"),
+                   "group_stats", F.col("ntot").cast("bigint").alias("n_total"), is_norm.alias("_norm"))
+    if with_p:
+        p = F.when(F.col("_norm"), f_sf_col(F.col("f_stat"), F.col("n_groups") - 1, F.col("n_total") - F.col("n_groups"))) \
+            .otherwise(chi2_sf_col(F.col("h_stat"), F.col("n_groups") - 1))
+        out = out.withColumn("p_value", p).withColumn("is_significant", F.col("p_value") < 0.05)
+    return out.drop("_norm")

@@ -147,3 +147,22 @@ def test_anderson_and_ks_match_brute_force(spark):
     cdfn = np.array([NormalDist(xs.mean(), xs.std()).cdf(v) for v in xs])
     d = max(np.max(i / n - cdfn), np.max(cdfn - (i - 1) / n))
     assert fits["norm"]["ks_stat"] == pytest.approx(d, rel=1e-9)
+
+
+def test_keyed_group_comparisons_equal_single_pair_versions(spark):
+    from tessera.operators import hypothesis as hyp
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"g1": rng.choice(["a", "b", "c"], 300), "g2": rng.choice(["x", "y"], 300),
+                        "v1": rng.integers(0, 30, 300).astype(float), "v2": rng.normal(size=300)})
+    df = spark.createDataFrame(pdf)
+    many = {(r["numeric_col"], r["group_col"]): r for r in
+            hyp.group_comparisons_long(df, ["v1", "v2"], ["g1", "g2"]).collect()}
+    assert len(many) == 4
+    for n in ("v1", "v2"):
+        for c in ("g1", "g2"):
+            one = hyp.group_comparison(df, n, c).first()
+            got = many[(n, c)]
+            assert got["h_stat"] == pytest.approx(one["h_stat"], rel=1e-9)
+            assert got["f_stat"] == pytest.approx(one["f_stat"], rel=1e-9)
+            assert got["p_value"] == pytest.approx(one["p_value"], rel=1e-6, abs=1e-12)
+            assert [g["median"] for g in got["group_stats"]] == pytest.approx([g["median"] for g in one["group_stats"]])
