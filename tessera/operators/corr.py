@@ -34,6 +34,46 @@ def _rank_col(df: DataFrame, col: str, out: str) -> DataFrame:
     return d.join(rk, "_v").drop("_v")
 
 
+def _spearman_null_free(df: DataFrame, cols: list[str]) -> list[tuple]:
+    """All pairs of null-free columns in a fixed number of passes.
+
+    Ranks of every column come from ONE keyed ordering of the distinct
+    ``(column, value)`` table; they are attached to rows by ONE join on
+    ``(column, value)`` and regrouped by a 128-bit row-content key.  Identical
+    rows share the key and merge with multiplicity ``w`` (their ranks are
+    identical), so the weighted Pearson of ranks is exact."""
+    from .ranks import ordered_running
+    key = F.struct(F.xxhash64(F.lit(17), *[F.col(c) for c in cols]).alias("h1"),
+                   F.hash(F.lit(29), *[F.col(c) for c in cols]).alias("h2"))
+    long = df.select(key.alias("_rk"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")) \
+        .select("_rk", "x.column", "x.v")
+    vals = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("t"))
+    r = ordered_running(vals, "v", part_cols=["column"], weight_col="t")
+    ranks = r.select("column", "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
+    j = long.join(ranks, ["column", "v"])
+    k = len(cols)
+    wide = j.groupBy("_rk").agg((F.count(F.lit(1)) / F.lit(k)).alias("w"),
+                                *[F.max(F.when(F.col("column") == c, F.col("rk"))).alias(f"_r{i}")
+                                  for i, c in enumerate(cols)])
+    pairs = list(itertools.combinations(range(k), 2))
+    w = F.col("w")
+    aggs = [F.sum(w).alias("W")]
+    for i in range(k):
+        aggs += [F.sum(w * F.col(f"_r{i}")).alias(f"s{i}"), F.sum(w * F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"q{i}")]
+    aggs += [F.sum(w * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"p{i}_{j}") for i, j in pairs]
+    a = wide.agg(*aggs).first()
+    n = a["W"]
+    out = []
+    for i, jx in pairs:
+        cov = a[f"p{i}_{jx}"] - a[f"s{i}"] * a[f"s{jx}"] / n
+        vi = a[f"q{i}"] - a[f"s{i}"] ** 2 / n
+        vj = a[f"q{jx}"] - a[f"s{jx}"] ** 2 / n
+        rr = cov / (vi * vj) ** 0.5 if vi > 0 and vj > 0 else None
+        out.append((cols[i], cols[jx], int(round(n)), rr))
+    return out
+
+
 def _pair_rows(spark, rows):
     return spark.createDataFrame(rows, PAIR_SCHEMA)
 
@@ -54,14 +94,7 @@ def spearman_pairs(df: DataFrame, columns: list[str] | None = None, *, min_r: fl
     clean = [c for c in columns if nn[c] == 0]
     results = []
     if len(clean) >= 2:
-        ranked = df.select(*clean)
-        for i, c in enumerate(clean):
-            ranked = _rank_col(ranked, c, f"_r{i}")
-        pairs = list(itertools.combinations(range(len(clean)), 2))
-        row = ranked.agg(F.count(F.lit(1)).alias("n"),
-                         *[F.corr(f"_r{i}", f"_r{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-        for i, j in pairs:
-            results.append((clean[i], clean[j], int(row["n"]), row[f"c{i}_{j}"]))
+        results += _spearman_null_free(df, clean)
     for a, b in itertools.combinations(columns, 2):
         if a in clean and b in clean:
             continue
