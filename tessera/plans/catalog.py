@@ -45,4 +45,5 @@ def load_all() -> None:
     """Import the modules whose import registers queries."""
     from . import (queries_core, queries_corr, queries_domains, queries_misc, queries_ml,  # noqa: F401
                    queries_quality,
-                   queries_scalar, queries_stats, queries_story, queries_time, queries_extra)
+                   queries_scalar, queries_stats, queries_story, queries_time, queries_extra,
+                   queries_extra2)
