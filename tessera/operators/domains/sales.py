@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ...functions.scalars import truthy
 from ..quantiles import exact_quantiles
+from ..ranks import row_positions
 from ..stats import col_stats
 from . import kpi, kpi_table
 
@@ -69,9 +70,9 @@ def rep_ranking(df: DataFrame, rep: str, rev: str, target: str | None = None) ->
         F.sum(rev).alias("revenue"), F.count(F.lit(1)).cast("bigint").alias("deals"),
         F.avg(rev).alias("avg_deal"), *([F.sum(target).alias("target")] if target else []))
     total = df.agg(F.sum(rev)).first()[0]
-    w = Window.orderBy(F.col("revenue").desc(), F.col(rep))  # one row per rep
+    g = row_positions(g, "revenue", tiebreak=[rep], ascending=False).withColumnRenamed("_rn", "rank")
     g = g.withColumn("share_pct", F.col("revenue") / F.lit(total) * 100.0) \
-         .withColumn("rank", F.row_number().over(w).cast("bigint"))
+         .withColumn("rank", F.col("rank").cast("bigint"))
     if target:
         g = g.withColumn("achievement_pct", F.try_divide(F.col("revenue") * 100.0, F.col("target")))
     return g
