@@ -397,3 +397,47 @@ UNION ALL SELECT 'Avg Margin', round(m, 4) FROM a
 UNION ALL SELECT 'Win Rate', round(w * 100.0, 4) FROM a""", "sales"))
 def q_n68(spark, sf):
     return kv(sl.sales_kpis(sales_view(spark, sf), "rev", "target", "rep", "margin", "won"))
+
+
+def _mwu_sql(cols):
+    parts = []
+    for c in cols:
+        parts.append(f"""
+SELECT '{c}' AS "column", flag, CAST({c} AS DOUBLE) AS v FROM (SELECT {LEFT} = 1 AS flag, {c} FROM hr) WHERE {c} IS NOT NULL""")
+    long = " UNION ALL ".join(parts)
+    return f"""
+, long AS ({long})
+, r AS (SELECT *, rank() OVER (PARTITION BY "column" ORDER BY v) + (count(*) OVER (PARTITION BY "column", v) - 1) / 2.0 AS rk FROM long)
+, s AS (SELECT "column", count(*) FILTER (WHERE flag) AS n1, count(*) FILTER (WHERE NOT flag) AS n2,
+               sum(rk) FILTER (WHERE flag) AS r1, avg(v) FILTER (WHERE flag) AS lm, avg(v) FILTER (WHERE NOT flag) AS sm FROM r GROUP BY 1)
+, t AS (SELECT "column", sum(c * c * c - c) AS tt FROM (SELECT "column", v, count(*) AS c FROM long GROUP BY 1, 2) GROUP BY 1)
+, u AS (SELECT s.*, tt, r1 - n1 * (n1 + 1) / 2.0 AS u1 FROM s JOIN t USING ("column"))
+SELECT "column", round(lm, 6) AS left_mean, round(sm, 6) AS stay_mean, CAST(n1 AS BIGINT) AS n_flag, CAST(n2 AS BIGINT) AS n_rest,
+       round(u1, 6) AS u_stat,
+       round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z,
+       round((lm - sm) * 100.0 / abs(sm), 6) AS diff_pct FROM u"""
+
+
+@register("N3_numeric_drivers_stats_hr", with_views(_mwu_sql(["satisfaction", "tenure", "hours", "projects"]), "hr"))
+def q_n3s(spark, sf):
+    return rounded(hr.numeric_drivers(hr_view(spark, sf), "left", ["satisfaction", "tenure", "hours", "projects"],
+                                      with_p=False))
+
+
+@register("N4_categorical_drivers_stats_hr", with_views(f"""
+, long AS (SELECT 'dept' AS "column", {LEFT} = 1 AS flag, CAST(dept AS VARCHAR) AS v FROM hr
+           UNION ALL SELECT 'salary', {LEFT} = 1, CAST(salary AS VARCHAR) FROM hr)
+, rates AS (SELECT "column", v, avg(CASE WHEN flag THEN 1.0 ELSE 0.0 END) * 100.0 AS rate FROM long WHERE v IS NOT NULL GROUP BY 1, 2)
+, ext AS (SELECT "column", arg_max(v, (rate, v)) AS worst_category, max(rate) AS worst_rate,
+                 arg_min(v, (rate, v)) AS best_category, min(rate) AS best_rate FROM rates GROUP BY 1)
+, obs AS (SELECT "column", v, flag, count(*) AS o FROM long WHERE v IS NOT NULL GROUP BY 1, 2, 3)
+, ra AS (SELECT "column", v, sum(o) AS na FROM obs GROUP BY 1, 2), rb AS (SELECT "column", flag, sum(o) AS nb FROM obs GROUP BY 1, 2)
+, n AS (SELECT "column", sum(o) AS n, count(DISTINCT v) AS ka, count(DISTINCT flag) AS kb FROM obs GROUP BY 1)
+, cells AS (SELECT ra."column", coalesce(obs.o, 0) AS o, na * nb / CAST(n.n AS DOUBLE) AS e, n.n, ka, kb
+            FROM ra JOIN rb ON ra."column" = rb."column" JOIN n ON n."column" = ra."column"
+            LEFT JOIN obs ON obs."column" = ra."column" AND obs.v = ra.v AND obs.flag = rb.flag)
+, chi AS (SELECT "column", any_value(n) AS n, any_value((ka - 1) * (kb - 1)) AS dof, sum(pow(o - e, 2) / e) AS chi2 FROM cells GROUP BY 1)
+SELECT ext."column", worst_category, round(worst_rate, 6) AS worst_rate, best_category, round(best_rate, 6) AS best_rate,
+       CAST(n AS BIGINT) AS n, CAST(dof AS BIGINT) AS dof, round(chi2, 6) AS chi2 FROM ext JOIN chi USING ("column")""", "hr"))
+def q_n4s(spark, sf):
+    return rounded(hr.categorical_drivers(hr_view(spark, sf), "left", ["dept", "salary"], with_p=False))
