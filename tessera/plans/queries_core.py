@@ -299,3 +299,45 @@ def q_b5full(spark, sf):
 def q_h1(spark, sf):
     return rounded(norm.shapiro_by_column(read_table(spark, sf, "lineitem"),
                                           ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
+
+
+def _root_cause_sql(view: str, target: str, nums: list[str], cats: list[str]) -> str:
+    nl = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", low AS flag, CAST({c} AS DOUBLE) AS v FROM f WHERE {c} IS NOT NULL" for c in nums)
+    cl = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", low AS flag, CAST({c} AS VARCHAR) AS v FROM f WHERE {c} IS NOT NULL" for c in cats)
+    return f"""
+, thr AS (SELECT quantile_cont({target}, 0.25) AS t FROM {view} WHERE {target} IS NOT NULL)
+, f AS (SELECT *, {target} <= t AS low FROM {view}, thr WHERE {target} IS NOT NULL)
+, nl AS ({nl})
+, r AS (SELECT *, rank() OVER (PARTITION BY "column" ORDER BY v) + (count(*) OVER (PARTITION BY "column", v) - 1) / 2.0 AS rk FROM nl)
+, s AS (SELECT "column", count(*) FILTER (WHERE flag) AS n1, count(*) FILTER (WHERE NOT flag) AS n2, sum(rk) FILTER (WHERE flag) AS r1,
+               avg(v) FILTER (WHERE flag) AS lm, avg(v) FILTER (WHERE NOT flag) AS hm FROM r GROUP BY 1)
+, tt AS (SELECT "column", sum(c * c * c - c) AS tt FROM (SELECT "column", v, count(*) AS c FROM nl GROUP BY 1, 2) GROUP BY 1)
+, u AS (SELECT s.*, tt, r1 - n1 * (n1 + 1) / 2.0 AS u1,
+               CASE WHEN lm <> 0 THEN abs(hm - lm) / abs(lm) * 100.0 ELSE 0.0 END AS dp FROM s JOIN tt USING ("column"))
+, num AS (SELECT "column" AS factor, 'numeric' AS dtype, least(dp / 100.0, 1.0) AS impact,
+                 CASE WHEN hm - lm > 0 THEN 'negative' ELSE 'positive' END AS direction, lm AS low_mean, hm AS high_mean, dp AS diff_pct,
+                 CAST(NULL AS VARCHAR) AS key_category, CAST(NULL AS DOUBLE) AS low_pct_cat, CAST(NULL AS DOUBLE) AS high_pct_cat,
+                 (greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z
+          FROM u WHERE n1 >= 5 AND n2 >= 5)
+, cl AS ({cl})
+, sh AS (SELECT "column", flag, v, count(*) AS c FROM cl GROUP BY 1, 2, 3)
+, side AS (SELECT "column", flag, sum(c) AS n FROM sh GROUP BY 1, 2)
+, pct AS (SELECT sh.*, c * 100.0 / n AS p FROM sh JOIN side USING ("column", flag))
+, top AS (SELECT "column", arg_max(v, (c, v)) AS kc FROM pct WHERE flag GROUP BY 1)
+, cat AS (SELECT top."column" AS factor, 'categorical' AS dtype,
+                 least(abs(lo.p - coalesce(hi.p, 0.0)) / 100.0, 1.0) AS impact, 'categorical' AS direction,
+                 CAST(NULL AS DOUBLE) AS low_mean, CAST(NULL AS DOUBLE) AS high_mean, abs(lo.p - coalesce(hi.p, 0.0)) AS diff_pct,
+                 top.kc AS key_category, lo.p AS low_pct_cat, coalesce(hi.p, 0.0) AS high_pct_cat, CAST(NULL AS DOUBLE) AS z
+          FROM top JOIN pct lo ON lo."column" = top."column" AND lo.flag AND lo.v = top.kc
+               LEFT JOIN pct hi ON hi."column" = top."column" AND NOT hi.flag AND hi.v = top.kc)
+SELECT '{target}' AS target_col, round((SELECT t FROM thr), 6) AS threshold, factor, dtype, round(impact, 6) AS impact, direction,
+       round(low_mean, 6) AS low_mean, round(high_mean, 6) AS high_mean, round(diff_pct, 6) AS diff_pct, key_category,
+       round(low_pct_cat, 6) AS low_pct_cat, round(high_pct_cat, 6) AS high_pct_cat, round(z, 6) AS z
+FROM (SELECT * FROM num UNION ALL SELECT * FROM cat)"""
+
+
+@register("B2_root_cause_driver_stats_hr", with_views(_root_cause_sql("hr", "satisfaction", ["tenure", "hours", "evaluation"],
+                                                                      ["dept", "salary"]), "hr"))
+def q_b2s(spark, sf):
+    return rounded(bi.root_cause(hr_view(spark, sf), "satisfaction", ["tenure", "hours", "evaluation"],
+                                 ["dept", "salary"], with_p=False))
