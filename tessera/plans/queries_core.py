@@ -172,7 +172,7 @@ WITH long AS (SELECT 'l_discount' AS "column", CAST(l_discount AS DOUBLE) AS val
 , c AS (SELECT "column", value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL)
 , r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY cnt DESC, value ASC) AS rn,
                sum(cnt) OVER (PARTITION BY "column") AS n, count(*) OVER (PARTITION BY "column") AS n_unique FROM c)
-SELECT "column", n, n_unique, round(value, 6) AS top_value, round(cnt / CAST(n AS DOUBLE), 6) AS top_share,
+SELECT "column", CAST(n AS BIGINT) AS n, n_unique, round(value, 6) AS top_value, round(cnt / CAST(n AS DOUBLE), 6) AS top_share,
        (cnt / CAST(n AS DOUBLE) > 0.6) AND n_unique > 3 AS is_dominant
 FROM r WHERE rn = 1""")
 def q_a15(spark, sf):

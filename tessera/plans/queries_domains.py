@@ -81,7 +81,7 @@ def q_n7(spark, sf):
 @register("N8_satisfaction_bins_hr", with_views(f"""
 , b AS (SELECT CAST(ceil((satisfaction - 0.05) / 0.05) AS BIGINT) AS k, {LEFT} AS l FROM hr
         WHERE satisfaction > 0.05 AND satisfaction <= 1.0)
-SELECT round(0.05 + (k - 0.5) * 0.05, 6) AS mid, CAST(count(*) AS BIGINT) AS n, round(avg(l) * 100.0, 6) AS rate
+SELECT round(CAST(0.05 AS DOUBLE) + (k - 0.5) * CAST(0.05 AS DOUBLE), 6) AS mid, CAST(count(*) AS BIGINT) AS n, round(avg(l) * 100.0, 6) AS rate
 FROM b GROUP BY k""", "hr"))
 def q_n8(spark, sf):
     return rounded(hr.satisfaction_bins(hr_view(spark, sf), "left", "satisfaction"))

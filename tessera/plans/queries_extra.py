@@ -428,7 +428,7 @@ def q_p7(spark, sf):
 
 
 @register("P11_days_since_min_orderdate", """
-SELECT date_diff('day', CAST((SELECT min(o_orderdate) FROM orders) AS DATE), CAST(o_orderdate AS DATE)) AS days, CAST(count(*) AS BIGINT) AS n
+SELECT CAST(date_diff('day', CAST((SELECT min(o_orderdate) FROM orders) AS DATE), CAST(o_orderdate AS DATE)) AS INTEGER) AS days, CAST(count(*) AS BIGINT) AS n
 FROM orders GROUP BY 1""")
 def q_p11(spark, sf):
     o = read_table(spark, sf, "orders")

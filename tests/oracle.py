@@ -55,3 +55,12 @@ def compare(spark_pdf, duck_pdf):
     if bad:
         problems.append(f"{len(bad)} rows differ, e.g. {bad[0][0]} vs {bad[0][1]}")
     return problems
+
+
+_DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+               "TIMESTAMP": "timestamp", "DATE": "date", "FLOAT": "float", "SMALLINT": "smallint"}
+
+
+def canon_duck(t) -> str:
+    t = str(t).upper()
+    return "DECIMAL" if t.startswith("DECIMAL") else _DUCK_TYPES.get(t, t)

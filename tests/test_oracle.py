@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from tests.oracle import compare, duck
+from tests.oracle import canon_duck, compare, duck
 from tests.conftest import SF01
 
 ORACLES = E.oracle_sql()
@@ -18,9 +18,13 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF01)
     got = sdf.toPandas()
-    exp = con.execute(ORACLES[name]).fetchdf()
+    rel = con.sql(ORACLES[name])
+    exp = rel.df()
     problems = compare(got, exp)
     assert not problems, f"{name}: {problems}"
+    duck_types = {c: canon_duck(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {c: {"timestamp_ntz": "timestamp"}.get(t, t) for c, t in sdf.dtypes}
+    assert duck_types == spark_types, f"{name}: types differ"
 
 
 def test_entry_smoke(spark):
