@@ -235,7 +235,9 @@ def group_comparisons_long(df: DataFrame, numeric: list[str], categorical: list[
                  F.col(n).cast("double").alias("v")) for n, c in pairs])).alias("x")).select("x.*") \
         .where(F.col("g").isNotNull() & F.col("v").isNotNull())
     sizes = long.groupBy(*pk, "g").agg(F.count(F.lit(1)).alias("_n"))
-    f = long.join(sizes.where(F.col("_n") >= min_n).drop("_n"), pk + ["g"])
+    # one row per (pair, group): broadcast when its checked size allows, so a
+    # group holding a large share of the rows does not become a hot join key
+    f = dim_join(long, sizes.where(F.col("_n") >= min_n).drop("_n"), pk + ["g"])
     gm = f.groupBy(*pk, "g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"),
                                  F.var_samp("v").alias("var"), F.stddev_pop("v").alias("std_pop"))
     tot = f.groupBy(*pk).agg(F.count(F.lit(1)).alias("ntot"), F.avg("v").alias("gmean"), F.var_pop("v").alias("vp"))
