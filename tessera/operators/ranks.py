@@ -36,11 +36,23 @@ def _numeric_key(df: DataFrame, order_col: str) -> Column:
     return c.cast("double")
 
 
-def _bucket_col(order_col: str, bounds: Column, ascending: bool) -> Column:
+def _bucket_from_literals(order_col: str, bounds: list[float], ascending: bool) -> Column:
+    """Bucket index = number of cut points below (or above, descending) the value.
+    Written as plain comparisons (no lambda), so it is safe as a grouping key."""
     v = F.col(order_col)
-    if ascending:
-        return F.size(F.filter(bounds, lambda b: b < v))
-    return F.size(F.filter(bounds, lambda b: b > v))
+    if not bounds:
+        return F.lit(0)
+    terms = [(F.lit(b) < v) if ascending else (F.lit(b) > v) for b in bounds]
+    return sum((F.coalesce(t.cast("int"), F.lit(0)) for t in terms), F.lit(0))
+
+
+def _bucket_from_array(order_col: str, bounds_col: str, n: int, ascending: bool) -> Column:
+    v = F.col(order_col)
+    terms = []
+    for i in range(1, n):
+        b = F.element_at(F.col(bounds_col), i)
+        terms.append(F.coalesce(((b < v) if ascending else (b > v)).cast("int"), F.lit(0)))
+    return sum(terms, F.lit(0))
 
 
 def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
@@ -50,14 +62,12 @@ def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
     df = df.withColumn("_okey", _numeric_key(df, order_col))
     if not part_cols:
         row = df.agg(F.percentile_approx(F.col("_okey"), fracs, 1000).alias("b")).first()
-        bounds = [x for x in (row["b"] or []) if x is not None]
-        return df.withColumn("_bucket", _bucket_col("_okey", F.array(*[F.lit(float(x)) for x in bounds])
-                                                    if bounds else F.array().cast("array<double>"),
-                                                    ascending)).drop("_okey")
+        bounds = [float(x) for x in (row["b"] or []) if x is not None]
+        return df.withColumn("_bucket", _bucket_from_literals("_okey", bounds, ascending)).drop("_okey")
     bt = df.groupBy(*part_cols).agg(
         F.percentile_approx(F.col("_okey"), fracs, 1000).alias("_bounds"))
     return (df.join(bt, part_cols)
-              .withColumn("_bucket", _bucket_col("_okey", F.col("_bounds"), ascending))
+              .withColumn("_bucket", _bucket_from_array("_okey", "_bounds", n, ascending))
               .drop("_bounds", "_okey"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import t_two_sided, t_two_sided_col
-from .ranks import row_positions
+from .ranks import ordered_running, row_positions
 
 
 def monthly_mean(df: DataFrame, ts_col: str, value_col: str, key_cols: list[str] | None = None) -> DataFrame:
@@ -79,15 +79,35 @@ def first_last_growth(df: DataFrame, period_col: str, value_col: str,
 def row_half_trend(df: DataFrame, order_col: str, value_col: str, tiebreak: list[str],
                    flat_pct: float = 2.0) -> DataFrame:
     """W-6: mean of the first ⌊n/2⌋ rows vs the rest in an explicit order (T22),
-    with CV and an up/down/flat label (±2 %).  Row positions come from the
-    distributed ordering helper, not a single-partition window."""
+    with CV and an up/down/flat label (±2 %).
+
+    No full row order is materialised: the split value of ``order_col`` is
+    located on the distinct-value count table (a hot timestamp is one row
+    there), and only the rows sharing that split value are ranked by the
+    tiebreak — distributed again, since the tiebreak is unique."""
     d = df.where(F.col(value_col).isNotNull()).select(order_col, *tiebreak,
                                                       F.col(value_col).cast("double").alias("v"))
     n = d.count()
-    r = row_positions(d, order_col, tiebreak=tiebreak)
     half = n // 2
-    a = r.agg(F.avg(F.when(F.col("_rn") <= half, F.col("v"))).alias("first_half"),
-              F.avg(F.when(F.col("_rn") > half, F.col("v"))).alias("second_half"),
+    first = F.lit(False)
+    if half > 0:
+        cnt = d.groupBy(order_col).agg(F.count(F.lit(1)).alias("_c"))
+        pos = ordered_running(cnt, order_col, weight_col="_c")
+        split = pos.where((F.col("_pos") - F.col("_c") < half) & (F.col("_pos") >= half)) \
+            .select(order_col, (F.col("_pos") - F.col("_c")).alias("before")).first()
+        s_val, before = split[order_col], split["before"]
+        tied = d.where(F.col(order_col) == F.lit(s_val))
+        need = half - before
+        if tiebreak:
+            tied_pos = row_positions(tied, tiebreak[0], tiebreak=tiebreak[1:]).where(F.col("_rn") <= need) \
+                .select(*tiebreak).withColumn("_first_tied", F.lit(True))
+            d = d.join(tied_pos, tiebreak, "left")
+            first = (F.col(order_col) < F.lit(s_val)) | \
+                ((F.col(order_col) == F.lit(s_val)) & F.coalesce(F.col("_first_tied"), F.lit(False)))
+        else:
+            first = F.col(order_col) < F.lit(s_val)
+    a = d.agg(F.avg(F.when(first, F.col("v"))).alias("first_half"),
+              F.avg(F.when(~first, F.col("v"))).alias("second_half"),
               F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
     chg = F.try_divide((F.col("second_half") - F.col("first_half")) * 100.0, F.abs(F.col("first_half")))
     return a.select(F.lit(n).cast("bigint").alias("n"), "first_half", "second_half", chg.alias("change_pct"),

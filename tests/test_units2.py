@@ -130,3 +130,16 @@ def test_streaming_profiles_each_arriving_file(spark):
     out = ingest.read_profiles(spark, os.path.join(d, "out")).where(F.col("column") == "x").orderBy("epoch_id").collect()
     assert [r["rows"] for r in out] == [10, 10]
     assert sorted(r["mean"] for r in out) == pytest.approx([4.5, 104.5])
+
+
+def test_row_half_trend_with_hot_timestamp(spark):
+    """A third of the rows share one timestamp; halves must follow (ts, id) order exactly."""
+    from tessera.operators import timeseries as ts
+    rng = np.random.default_rng(9)
+    n = 301
+    tsv = np.where(np.arange(n) % 3 == 0, 50, rng.integers(0, 100, n))
+    pdf = pd.DataFrame({"ts": tsv.astype("int64"), "id": rng.permutation(n).astype("int64"), "v": rng.normal(size=n)})
+    got = ts.row_half_trend(spark.createDataFrame(pdf), "ts", "v", ["id"]).first()
+    srt = pdf.sort_values(["ts", "id"])
+    assert got["first_half"] == pytest.approx(srt["v"].iloc[: n // 2].mean())
+    assert got["second_half"] == pytest.approx(srt["v"].iloc[n // 2:].mean())
