@@ -48,6 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         cur = spark.sparkContext._jsc.sc().getCheckpointDir()
         cur = cur.get() if cur.isDefined() else None
     if not cur:
+        master = spark.sparkContext.master or ""
+        if fallback is None and not master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder shared by the cluster "
+                             "(e.g. on HDFS or an object store) before running tessera jobs")
+        # local mode (tests, bench): a folder of our own is acceptable
         cur = fallback or os.path.join("/tmp", "tessera-checkpoints")
         spark.conf.set("spark.checkpoint.dir", cur)
     spark.sparkContext.setCheckpointDir(cur)
