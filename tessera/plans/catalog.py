@@ -47,3 +47,11 @@ def load_all() -> None:
                    queries_quality,
                    queries_scalar, queries_stats, queries_story, queries_time, queries_extra,
                    queries_extra2)
+    from . import queries_oracles  # noqa: F401  (attaches SQL to the keys above)
+
+
+def attach_oracle(name: str, sql: str) -> None:
+    """Give an already registered query its oracle SQL."""
+    if name not in QUERIES:
+        raise KeyError(name)
+    ORACLE[name] = sql
