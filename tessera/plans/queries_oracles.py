@@ -104,3 +104,29 @@ UNION ALL SELECT 'dept', 'classification', printf('Categorical target (%d classe
 UNION ALL SELECT 'projects', 'classification', printf('Discrete integer target (%d unique values)', u_proj) FROM u
 UNION ALL SELECT 'satisfaction', 'regression', printf('Continuous numeric target (%d unique values, %.1f%% unique)', u_sat, u_sat * 100.0 / n_sat) FROM u
 UNION ALL SELECT 'hours', 'regression', printf('Continuous numeric target (%d unique values, %.1f%% unique)', u_hours, u_hours * 100.0 / n_hours) FROM u""", "hr"))
+
+# Q-9 / Q-16 from the profile of the messy view ---------------------------------------------
+_MESSY_KINDS = [("l_returnflag", "string", "object"), ("linenumber", "numeric", "int32"),
+                ("l_quantity", "numeric", "float64"), ("l_tax", "numeric", "float64"),
+                ("sparse_discount", "numeric", "float64"), ("source", "string", "object"),
+                ("returned_flag", "string", "object"), ("status_or_null", "string", "object")]
+_PROF = f", prof AS ({profile_sql('messy', _MESSY_KINDS)})"
+
+attach_oracle("Q9_column_status_messy", with_views(_PROF + """
+SELECT "column", missing_pct,
+       CASE WHEN missing_pct > 20 THEN 'HIGH MISSING' WHEN missing_pct > 5 THEN 'REVIEW'
+            WHEN unique_count = 1 THEN 'CONSTANT' WHEN unique_count = n_rows THEN 'ID COL' ELSE 'OK' END AS status
+FROM prof""", "messy"))
+
+attach_oracle("Q16_compute_health_messy", with_views(_PROF + f"""
+, tot AS (SELECT count(*) AS rows_, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS dups FROM messy)
+, agg AS (SELECT sum(missing_count) AS mc, avg(quality_score) AS ch, avg(outlier_pct) AS op,
+                 avg(CASE WHEN outlier_count > 0 THEN 1.0 ELSE 0.0 END) * 100.0 AS ocp FROM prof)
+, sc AS (SELECT round_even((1.0 - mc / CAST(rows_ * {len(_MESSY_KINDS)} AS DOUBLE)) * 100.0 * 0.6
+                           + (1.0 - dups / CAST(rows_ AS DOUBLE)) * 100.0 * 0.3 + ch * 0.1, 1) AS score,
+                round_even(mc / CAST(rows_ * {len(_MESSY_KINDS)} AS DOUBLE) * 100.0, 1) AS missing_pct,
+                round_even(dups / CAST(rows_ AS DOUBLE) * 100, 1) AS duplicate_pct, op, ocp FROM agg, tot)
+SELECT round(score, 6) AS score,
+       CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade,
+       round(missing_pct, 6) AS missing_pct, round(duplicate_pct, 6) AS duplicate_pct, round(op, 6) AS outlier_pct,
+       round(ocp, 6) AS outlier_col_pct FROM sc""", "messy"))
