@@ -143,3 +143,17 @@ def test_row_half_trend_with_hot_timestamp(spark):
     srt = pdf.sort_values(["ts", "id"])
     assert got["first_half"] == pytest.approx(srt["v"].iloc[: n // 2].mean())
     assert got["second_half"] == pytest.approx(srt["v"].iloc[n // 2:].mean())
+
+
+def test_what_if_unseen_category_maps_to_first_label(spark):
+    from tessera.operators import ml
+    rng = np.random.default_rng(1)
+    pdf = pd.DataFrame({"id": np.arange(200), "x": rng.normal(size=200), "cat": rng.choice(["b", "c"], 200)})
+    pdf["y"] = pdf["x"] * 2 + (pdf["cat"] == "c") * 3 + rng.normal(scale=0.1, size=200)
+    df = spark.createDataFrame(pdf)
+    res, fitted, _, _ = ml.train_models(df, "y", ["x", "cat"], ["id"], task="regression", folds=2,
+                                        model_names=["Ridge Regression"])
+    model = fitted["Ridge Regression"]
+    scen = spark.createDataFrame([(1, 0.5, "zzz"), (2, 0.5, "b")], "scenario_id int, x double, cat string")
+    out = {r["scenario_id"]: r["prediction"] for r in ml.predict_what_if(model, scen, "regression", rmse=1.0).collect()}
+    assert out[1] == pytest.approx(out[2])
