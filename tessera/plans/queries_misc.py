@@ -125,3 +125,27 @@ def q_s1(spark, sf):
                                f"{base}/checkpoint", base_path=sf)
     q.awaitTermination()
     return rounded(ingest.read_profiles(spark, f"{base}/profiles"))
+
+
+from .views import with_views  # noqa: E402
+
+
+@register("D16_tool_plot_bar_rating_by_category", with_views("""
+SELECT category, round(avg(rating), 6) AS rating, 'mean' AS agg_func FROM ecommerce WHERE category IS NOT NULL
+GROUP BY category ORDER BY rating DESC, category LIMIT 15""", "ecommerce"))
+def q_d16_bar(spark, sf):
+    return rounded(tools.dispatch(ecommerce_view(spark, sf), "plot_bar", {"x": "category", "y": "rating"}))
+
+
+@register("D16_tool_plot_pie_revenue_share_by_segment", with_views("""
+, t AS (SELECT product, sum(rev) AS value FROM sales WHERE product IS NOT NULL GROUP BY product ORDER BY value DESC, product LIMIT 8)
+SELECT product, round(value, 2) AS value, round(value * 100.0 / sum(value) OVER (), 6) AS share_pct FROM t""", "sales"))
+def q_d16_pie(spark, sf):
+    return rounded(tools.dispatch(sales_view(spark, sf), "plot_pie", {"column": "product", "value_col": "rev"}),
+                   {"value": 2})
+
+
+@register("D16_tool_plot_line_price_by_quantity", """
+SELECT l_quantity, round(avg(l_extendedprice), 6) AS l_extendedprice FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1""")
+def q_d16_line(spark, sf):
+    return rounded(tools.dispatch(read_table(spark, sf, "lineitem"), "plot_line", {"x": "l_quantity", "y": "l_extendedprice"}))
