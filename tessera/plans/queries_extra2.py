@@ -245,3 +245,26 @@ def q_n81(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return rounded(out, default=4)
+
+
+# ------------------------------------------------------------------ S-1 (string family)
+@register("S1_string_functions_part", """
+SELECT p_type, CAST(count(*) FILTER (WHERE contains(lower(p_name), 'ring')) AS BIGINT) AS n_ring,
+       CAST(sum(length(trim(p_name))) AS BIGINT) AS name_chars, min(substr(p_name, 1, 3)) AS min_prefix3,
+       max(replace(lower(p_brand), '#', ' ')) AS max_brand_text FROM part GROUP BY p_type""")
+def q_s1s(spark, sf):
+    p = read_table(spark, sf, "part")
+    return p.groupBy("p_type").agg(
+        F.count_if(F.lower("p_name").contains("ring")).cast("bigint").alias("n_ring"),
+        F.sum(F.length(F.trim("p_name"))).cast("bigint").alias("name_chars"),
+        F.min(F.substring("p_name", 1, 3)).alias("min_prefix3"),
+        F.max(F.replace(F.lower("p_brand"), F.lit("#"), F.lit(" "))).alias("max_brand_text"))
+
+
+@register("C2_correlation_analysis_stats", with_views(
+    __import__("tessera.plans.queries_corr", fromlist=["spearman_sql"]).spearman_sql(
+        "hr", ["satisfaction", "tenure", "hours", "projects", "evaluation"], False), "hr"))
+def q_c2s(spark, sf):
+    from ..operators import corr
+    return rounded(corr.spearman_pairs(hr_view(spark, sf), ["satisfaction", "tenure", "hours", "projects", "evaluation"],
+                                       with_p=False))

@@ -130,3 +130,57 @@ SELECT round(score, 6) AS score,
        CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' WHEN score >= 45 THEN 'D' ELSE 'F' END AS grade,
        round(missing_pct, 6) AS missing_pct, round(duplicate_pct, 6) AS duplicate_pct, round(op, 6) AS outlier_pct,
        round(ocp, 6) AS outlier_col_pct FROM sc""", "messy"))
+
+# A-3 describe_column ------------------------------------------------------------------------
+attach_oracle("A3_describe_column_dispatch", """
+SELECT 'l_extendedprice' AS "column", 'double' AS type, CAST(count(*) AS BIGINT) AS n, CAST(count(l_extendedprice) AS BIGINT) AS non_null,
+       CAST(count(DISTINCT l_extendedprice) AS BIGINT) AS "unique", round(avg(l_extendedprice), 6) AS mean,
+       round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(stddev_samp(l_extendedprice), 6) AS std,
+       round(min(l_extendedprice), 6) AS "min", round(max(l_extendedprice), 6) AS "max" FROM lineitem""")
+
+# P-4 head (file order of a single parquet file) -----------------------------------------------
+attach_oracle("P4_head_preview_lineitem", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
+       l_returnflag, l_linestatus FROM lineitem LIMIT 5""")
+
+# V-1 validation checks -------------------------------------------------------------------------
+_MESSY_MISSING = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _MESSY_COLS)
+attach_oracle("V1_validate_messy_lineitem", with_views(f"""
+, a AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST({_MESSY_MISSING} AS DOUBLE) AS miss,
+               CAST(count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM messy)) AS DOUBLE) AS dups,
+               CAST(count(*) FILTER (WHERE coalesce({", ".join(f"CAST({c} AS VARCHAR)" for c in _MESSY_COLS)}) IS NULL) AS DOUBLE) AS anr,
+               CAST(count(*) FILTER (WHERE abs(l_quantity) = 'inf'::DOUBLE) + count(*) FILTER (WHERE abs(l_tax) = 'inf'::DOUBLE)
+                    + count(*) FILTER (WHERE abs(sparse_discount) = 'inf'::DOUBLE) AS DOUBLE) AS infs FROM messy)
+, c AS (SELECT *, miss / (n * 8) * 100 AS mpct FROM a)
+SELECT 'empty' AS "check", 'error' AS severity, round(n, 6) AS value, n > 0 AS passed, '' AS message FROM c
+UNION ALL SELECT 'no_columns', 'error', 8.0, true, '' FROM c
+UNION ALL SELECT 'min_rows', 'error', round(n, 6), n >= 2, '' FROM c
+UNION ALL SELECT 'max_cols', 'error', 8.0, true, '' FROM c
+UNION ALL SELECT 'max_rows', 'error', round(n, 6), n <= 1000000, CASE WHEN n <= 1000000 THEN '' ELSE printf('%d rows exceeds 1000000', CAST(n AS BIGINT)) END FROM c
+UNION ALL SELECT 'all_columns_empty', 'error', 8.0, true, '' FROM c
+UNION ALL SELECT 'missing_cells_pct', 'warning', round(mpct, 6), mpct <= 20,
+                 CASE WHEN mpct > 50 THEN 'very high missing' WHEN mpct > 20 THEN 'high missing' ELSE '' END FROM c
+UNION ALL SELECT 'all_null_rows', 'warning', round(anr, 6), anr = 0,
+                 CASE WHEN anr > 0 THEN printf('%d completely empty rows', CAST(anr AS BIGINT)) ELSE '' END FROM c
+UNION ALL SELECT 'duplicate_rows', 'warning', round(dups, 6), dups = 0,
+                 CASE WHEN dups > 0 THEN printf('%d duplicate rows (%.1f%%)', CAST(dups AS BIGINT), dups / n * 100) ELSE '' END FROM c
+UNION ALL SELECT 'duplicate_rows_pct', 'warning', round(dups / n * 100, 6), dups = 0, '' FROM c
+UNION ALL SELECT 'bad_column_names', 'warning', 0.0, true, '' FROM c
+UNION ALL SELECT 'infinite_values', 'warning', round(infs, 6), infs = 0, '' FROM c""", "messy"))
+
+# M-2 suggest targets ---------------------------------------------------------------------------
+attach_oracle("M2_suggest_targets_hr", with_views("""
+, s AS (SELECT count(DISTINCT "left") AS u_left, count("left") AS n_left, count(DISTINCT dept) AS u_dept, count(dept) AS n_dept,
+               count(DISTINCT salary) AS u_sal, count(salary) AS n_sal, count(DISTINCT projects) AS u_proj, count(projects) AS n_proj,
+               count(DISTINCT satisfaction) AS u_sat, count(satisfaction) AS n_sat,
+               stddev_samp(satisfaction) / abs(avg(satisfaction)) AS cv_sat FROM hr)
+, top AS (SELECT (SELECT max(c) FROM (SELECT count(*) AS c FROM hr WHERE "left" IS NOT NULL GROUP BY "left")) AS t_left,
+                 (SELECT max(c) FROM (SELECT count(*) AS c FROM hr WHERE dept IS NOT NULL GROUP BY dept)) AS t_dept,
+                 (SELECT max(c) FROM (SELECT count(*) AS c FROM hr WHERE salary IS NOT NULL GROUP BY salary)) AS t_sal,
+                 (SELECT max(c) FROM (SELECT count(*) AS c FROM hr WHERE projects IS NOT NULL GROUP BY projects)) AS t_proj)
+SELECT 'left' AS "column", 'classification' AS task, 'Binary target (2 unique values)' AS reason, round(1 - t_left / n_left, 6) AS score FROM s, top
+UNION ALL SELECT 'dept', 'classification', printf('Categorical target (%d classes)', u_dept), round(1 - t_dept / n_dept, 6) FROM s, top
+UNION ALL SELECT 'salary', 'classification', printf('Categorical target (%d classes)', u_sal), round(1 - t_sal / n_sal, 6) FROM s, top
+UNION ALL SELECT 'projects', 'classification', printf('Discrete integer target (%d unique values)', u_proj), round(1 - t_proj / n_proj, 6) FROM s, top
+UNION ALL SELECT 'satisfaction', 'regression', printf('Continuous numeric target (%d unique values, %.1f%% unique)', u_sat, u_sat * 100.0 / n_sat),
+                 round(least(cv_sat, 1.0), 6) FROM s, top""", "hr"))
