@@ -184,3 +184,45 @@ UNION ALL SELECT 'salary', 'classification', printf('Categorical target (%d clas
 UNION ALL SELECT 'projects', 'classification', printf('Discrete integer target (%d unique values)', u_proj), round(1 - t_proj / n_proj, 6) FROM s, top
 UNION ALL SELECT 'satisfaction', 'regression', printf('Continuous numeric target (%d unique values, %.1f%% unique)', u_sat, u_sat * 100.0 / n_sat),
                  round(least(cv_sat, 1.0), 6) FROM s, top""", "hr"))
+
+
+# E-5 / E-6 numeric statistics --------------------------------------------------------------------
+def _numeric_stats_sql(table: str, cols: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM {table}" for c in cols)
+    g1 = "skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))"
+    return f"""
+WITH long AS ({long}), x AS (SELECT * FROM long WHERE v IS NOT NULL)
+, m AS (SELECT "column", CAST(count(*) AS DOUBLE) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median, stddev_samp(v) AS std,
+               min(v) AS mn, max(v) AS mx, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3,
+               {g1} AS g1, kurtosis_pop(v) AS g2 FROM x GROUP BY 1)
+, o AS (SELECT x."column", count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
+        FROM x JOIN m USING ("column") GROUP BY 1)
+, a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y,
+               3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
+               g2 + 3.0 AS b2, 3.0 * (n - 1) / (n + 1) AS e,
+               24.0 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)) AS varb2,
+               6.0 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt((6.0 * (n + 3) * (n + 5)) / (n * (n - 2) * (n - 3))) AS sb1
+        FROM m)
+, b AS (SELECT *, sqrt(2 * (beta2 - 1)) - 1 AS w2, (b2 - e) / sqrt(varb2) AS xx,
+               6.0 + 8.0 / sb1 * (2.0 / sb1 + sqrt(1 + 4.0 / (sb1 * sb1))) AS aa FROM a)
+, c AS (SELECT *, 1 / sqrt(0.5 * ln(w2)) AS delta, sqrt(2.0 / (w2 - 1)) AS alpha, 1 - 2 / (9.0 * aa) AS term1,
+               1 + xx * sqrt(2 / (aa - 4.0)) AS denom FROM b)
+, z AS (SELECT *, delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)) AS z1,
+               (term1 - sign(denom) * pow(abs((1 - 2.0 / aa) / denom), 1 / 3.0)) / sqrt(2 / (9.0 * aa)) AS z2 FROM c)
+, k AS (SELECT *, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) AS G2,
+               g1 * sqrt(n * (n - 1)) / (n - 2) AS G1 FROM z)
+SELECT k."column", CAST(n AS BIGINT) AS n, round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std,
+       round(mn, 4) AS "min", round(mx, 4) AS "max", round(q1, 4) AS q1, round(q3, 4) AS q3, round(G1, 4) AS skewness,
+       CASE WHEN abs(G1) < 0.5 THEN 'approximately symmetric'
+            WHEN abs(G1) < 1.0 THEN CASE WHEN G1 > 0 THEN 'moderately right-skewed' ELSE 'moderately left-skewed' END
+            ELSE CASE WHEN G1 > 0 THEN 'highly right-skewed' ELSE 'highly left-skewed' END END AS skew_label,
+       round(G2, 4) AS kurtosis,
+       CASE WHEN G2 > 1 THEN 'leptokurtic (heavy tails)' WHEN G2 < -1 THEN 'platykurtic (light tails)'
+            ELSE 'mesokurtic (normal-like tails)' END AS kurtosis_label,
+       exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS is_normal, CAST(outliers AS BIGINT) AS outliers,
+       round(outliers * 100.0 / n, 6) AS outlier_pct
+FROM k JOIN o USING ("column") WHERE n >= 3"""
+
+
+attach_oracle("E6_numeric_stats_lineitem", _numeric_stats_sql("lineitem", _LI))
+attach_oracle("E5_stats_analyze_numeric_orders", _numeric_stats_sql("orders", ["o_totalprice", "o_custkey"]))
