@@ -127,8 +127,7 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     spark = df.sparkSession
     if lo is None:
         return spark.createDataFrame([], "bin bigint, bin_lo double, bin_hi double, count bigint")
-    med = exact_quantiles(df.select(F.lit(column).alias("column"), v.alias("value")),
-                          ["column"], "value", [0.5]).first()["q0"]
+    med = exact_quantiles(df.select(v.alias("value")), [], "value", [0.5]).first()["q0"]
     width = (hi - lo) / bins if hi > lo else 0.0
     counts = (df.where(v.isNotNull()).select(hist_bin(v, lo, hi, bins).alias("bin"))
                 .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))

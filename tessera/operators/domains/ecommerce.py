@@ -59,7 +59,7 @@ def price_rating_link(df: DataFrame, price: str, rating: str, min_abs: float = 0
 def price_rating_matrix(df: DataFrame, price: str, rating: str) -> DataFrame:
     """N-44: price quintile x rating band counts (qcut x cut, crosstab)."""
     d = df.where(F.col(price).isNotNull() & F.col(rating).isNotNull())
-    q = exact_quantiles(d.select(F.lit(1).alias("k"), F.col(price).cast("double").alias("v")), ["k"], "v",
+    q = exact_quantiles(d.select(F.col(price).cast("double").alias("v")), [], "v",
                         [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).first()
     edges = [q[f"q{i}"] for i in range(6)]
     d = d.select(quantile_bins(F.col(price), edges, PRICE_BAND_LABELS).alias("price_band"),

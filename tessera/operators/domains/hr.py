@@ -87,8 +87,8 @@ def flight_risk(df: DataFrame, left: str, satisfaction: str, pct: float = 0.25,
     40th pct, tenure >= 3, not promoted) flight-risk counts."""
     d = with_flag(df, left)
     stay = d.where(F.col("_left") == 0)
-    thr = exact_quantiles(stay.select(F.lit(1).alias("k"), F.col(satisfaction).cast("double").alias("v")),
-                          ["k"], "v", [pct]).first()
+    thr = exact_quantiles(stay.select(F.col(satisfaction).cast("double").alias("v")),
+                          [], "v", [pct]).first()
     t = thr["q0"] if thr else None
     cond = F.col(satisfaction) < F.lit(t)
     if tenure and min_tenure is not None:
@@ -139,8 +139,8 @@ def hr_kpis(df: DataFrame, left: str, satisfaction: str, tenure: str, evaluation
     """N-10: records, attrition, satisfaction vs 0.70, median tenure, high
     performers (> 0.70), low-vs-high salary attrition gap."""
     d = with_flag(df, left)
-    med_t = exact_quantiles(d.select(F.lit(1).alias("k"), F.col(tenure).cast("double").alias("v")),
-                            ["k"], "v", [0.5]).first()
+    med_t = exact_quantiles(d.select(F.col(tenure).cast("double").alias("v")),
+                            [], "v", [0.5]).first()
     med_t = med_t["q0"] if med_t else None
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_left").alias("att"), F.sum("_left").alias("n_left"),
             F.avg(F.col(satisfaction).cast("double")).alias("sat"), F.avg(F.col(evaluation).cast("double")).alias("ev"),

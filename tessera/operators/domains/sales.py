@@ -86,7 +86,7 @@ def revenue_vs_target_by(df: DataFrame, dim: str, rev: str, target: str) -> Data
 
 def deal_size_distribution(df: DataFrame, rev: str) -> DataFrame:
     """N-67: deal-size median and 80th percentile."""
-    q = exact_quantiles(df.select(F.lit(1).alias("k"), F.col(rev).cast("double").alias("v")), ["k"], "v", [0.5, 0.8])
+    q = exact_quantiles(df.select(F.col(rev).cast("double").alias("v")), [], "v", [0.5, 0.8])
     return q.select(F.col("n").cast("bigint").alias("n"), F.col("q0").alias("median_deal"), F.col("q1").alias("p80_deal"))
 
 

@@ -107,11 +107,14 @@ def shapiro_long(long: DataFrame, key: str, value: str, seed: int = 42,
                  max_n: int = MAX_SW_N, row_hash: str | None = None) -> DataFrame:
     """Shapiro-Wilk per ``key``; ``row_hash`` (a per-row hash of the source row)
     spreads rows that share a value across the sample."""
-    n = long.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    # one count per key (columns or cohorts: bounded) as a literal map, not a join
+    counts = {r[0]: r[1] for r in long.groupBy(key).agg(F.count(F.lit(1))).collect()}
+    n_of_key = F.element_at(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(c))]),
+                            F.col(key)) if counts else F.lit(None)
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(row_hash) if row_hash else F.col(value))
     # uniform in [0, 1): keep about 1.2 * max_n rows per key before the exact cut
     u = (F.abs(h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
-    pre = (long.join(F.broadcast(n), key)
+    pre = (long.withColumn("_n", n_of_key)
                .withColumn("_u", u)
                .where(F.col("_u") < F.least(F.lit(1.0), F.lit(1.2 * max_n) / F.col("_n") + F.lit(0.01)))
                .select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("v"), "_u"))

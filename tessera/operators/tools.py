@@ -26,12 +26,14 @@ def describe_column(df: DataFrame, column: str) -> DataFrame:
     """A-3: type, non-null, unique, and numeric stats or the top-5 values."""
     dt = df.schema[column].dataType.simpleString()
     base = df.agg(F.count(F.lit(1)).alias("n"), F.count(column).alias("non_null"),
-                  F.countDistinct(column).alias("unique"))
+                  F.countDistinct(column).alias("unique")).first()
+    head = [F.lit(column).alias("column"), F.lit(dt).alias("type"), F.lit(base["n"]).cast("bigint").alias("n"),
+            F.lit(base["non_null"]).cast("bigint").alias("non_null"), F.lit(base["unique"]).cast("bigint").alias("unique")]
     if dt in ("double", "float", "int", "bigint", "smallint", "tinyint") or dt.startswith("decimal"):
-        s = col_stats(df, [column], min_n=1).select("mean", "median", "std", "min", "max")
-        return base.join(s).select(F.lit(column).alias("column"), F.lit(dt).alias("type"), "*")
+        s = col_stats(df, [column], min_n=1)
+        return s.select(*head, "mean", "median", "std", "min", "max")
     top = agg.count_values(df, column, 5).agg(F.collect_list(F.col(column).cast("string")).alias("top_values"))
-    return base.join(top).select(F.lit(column).alias("column"), F.lit(dt).alias("type"), "*")
+    return top.select(*head, "top_values")
 
 
 def dispatch(df: DataFrame, tool: str, params: dict | None = None) -> DataFrame:

@@ -63,9 +63,9 @@ SELECT CAST(count(*) FILTER (WHERE l_tax = 0) AS BIGINT) AS inf_values,
 def q_l8(spark, sf):
     li = read_table(spark, sf, "lineitem")
     d = li.select(F.when(F.col("l_tax") == 0, F.lit(float("inf"))).otherwise(F.col("l_tax")).alias("x"))
-    n = nullify_nonfinite(d)
-    return d.agg(F.count_if(F.col("x") == float("inf")).cast("bigint").alias("inf_values")).join(
-        n.agg(F.count("x").cast("bigint").alias("non_null_after")))
+    inf_values = d.agg(F.count_if(F.col("x") == float("inf"))).first()[0]
+    return nullify_nonfinite(d).agg(F.lit(inf_values).cast("bigint").alias("inf_values"),
+                                    F.count("x").cast("bigint").alias("non_null_after"))
 
 
 @register("L9_drop_all_null_rows_and_columns", with_views("""
@@ -412,7 +412,7 @@ SELECT CASE WHEN p_retailprice >= e[1] AND p_retailprice <= e[2] THEN 'Bottom 20
 FROM part, q WHERE p_retailprice IS NOT NULL GROUP BY 1""")
 def q_p6(spark, sf):
     p = read_table(spark, sf, "part").where(F.col("p_retailprice").isNotNull())
-    q = exact_quantiles(p.select(F.lit(1).alias("k"), F.col("p_retailprice").alias("v")), ["k"], "v",
+    q = exact_quantiles(p.select(F.col("p_retailprice").alias("v")), [], "v",
                         [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]).first()
     edges = [q[f"q{i}"] for i in range(6)]
     return p.groupBy(quantile_bins(F.col("p_retailprice"), edges, PRICE_BAND_LABELS).alias("band")) \

@@ -25,6 +25,8 @@ def test_query_matches_oracle(spark, con, name):
     duck_types = {c: canon_duck(t) for c, t in zip(rel.columns, rel.types)}
     spark_types = {c: {"timestamp_ntz": "timestamp"}.get(t, t) for c, t in sdf.dtypes}
     assert duck_types == spark_types, f"{name}: types differ"
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, f"{name}: cross join in plan"
 
 
 def test_entry_smoke(spark):
