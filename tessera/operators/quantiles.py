@@ -21,17 +21,17 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str,
                     probs: list[float], n_buckets: int | None = None) -> DataFrame:
     """Return ``key_cols + [n, q0 .. q{k-1}]`` for probabilities ``probs``."""
     key_cols = list(key_cols)
-    d = (df.where(F.col(value_col).isNotNull())
-           .groupBy(*key_cols, F.col(value_col).cast("double").alias("_v"))
-           .agg(F.count(F.lit(1)).alias("_c")))
-    return exact_quantiles_from_counts(d, key_cols, probs, n_buckets)
+    raw = df.where(F.col(value_col).isNotNull()).select(*key_cols, F.col(value_col).cast("double").alias("_v"))
+    d = raw.groupBy(*key_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    return exact_quantiles_from_counts(d, key_cols, probs, n_buckets, cut_source=raw)
 
 
 def exact_quantiles_from_counts(d: DataFrame, key_cols: list[str], probs: list[float],
-                                n_buckets: int | None = None) -> DataFrame:
-    """Quantiles from a distinct-value table ``key_cols + [_v, _c]``."""
+                                n_buckets: int | None = None, cut_source: DataFrame | None = None) -> DataFrame:
+    """Quantiles from a distinct-value table ``key_cols + [_v, _c]``; ``cut_source``
+    (raw ``key_cols + [_v]`` rows) supplies shuffle-free range cut points."""
     key_cols = list(key_cols)
-    r = ordered_running(d, "_v", part_cols=key_cols, weight_col="_c", n_buckets=n_buckets)
+    r = ordered_running(d, "_v", part_cols=key_cols, weight_col="_c", n_buckets=n_buckets, cut_source=cut_source)
     # _pos = inclusive cumulative count: the value covers 0-based ranks [_pos-_c, _pos-1]
     n_tab = d.groupBy(*key_cols).agg(F.sum("_c").alias("n"))
     targets = []

@@ -56,15 +56,21 @@ def _bucket_from_array(order_col: str, bounds_col: str, n: int, ascending: bool)
 
 
 def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
-                  ascending: bool, n_buckets: int | None) -> DataFrame:
+                  ascending: bool, n_buckets: int | None,
+                  cut_source: DataFrame | None = None) -> DataFrame:
+    """Attach ``_bucket``.  Cut points come from ``cut_source`` (same ``part_cols``
+    and ``order_col``) when given — e.g. the raw values behind a distinct-value
+    table, whose approximate quantiles are a scan without a shuffle — else from
+    ``df`` itself.  Cut points only balance the work; results do not depend on them."""
     n = _n_buckets(df, n_buckets)
     fracs = [i / n for i in range(1, n)]
     df = df.withColumn("_okey", _numeric_key(df, order_col))
+    src = df if cut_source is None else cut_source.withColumn("_okey", _numeric_key(cut_source, order_col))
     if not part_cols:
-        row = df.agg(F.percentile_approx(F.col("_okey"), fracs, 1000).alias("b")).first()
+        row = src.agg(F.percentile_approx(F.col("_okey"), fracs, 1000).alias("b")).first()
         bounds = [float(x) for x in (row["b"] or []) if x is not None]
         return df.withColumn("_bucket", _bucket_from_literals("_okey", bounds, ascending)).drop("_okey")
-    bt = df.groupBy(*part_cols).agg(
+    bt = src.groupBy(*part_cols).agg(
         F.percentile_approx(F.col("_okey"), fracs, 1000).alias("_bounds"))
     return (df.join(bt, part_cols)
               .withColumn("_bucket", _bucket_from_array("_okey", "_bounds", n, ascending))
@@ -74,7 +80,7 @@ def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
 def ordered_running(df: DataFrame, order_col: str, *, part_cols: list[str] | None = None,
                     tiebreak: list[str] | None = None, ascending: bool = True,
                     weight_col: str | None = None, sum_cols: list[str] | None = None,
-                    n_buckets: int | None = None) -> DataFrame:
+                    n_buckets: int | None = None, cut_source: DataFrame | None = None) -> DataFrame:
     """Add global running totals in ``(order_col, tiebreak)`` order per ``part_cols``.
 
     Adds ``_pos`` (running sum of ``weight_col`` or 1 through this row)
@@ -84,7 +90,7 @@ def ordered_running(df: DataFrame, order_col: str, *, part_cols: list[str] | Non
     tiebreak = list(tiebreak or [])
     sum_cols = list(sum_cols or [])
     w = F.col(weight_col) if weight_col else F.lit(1)
-    b = _with_buckets(df, part_cols, order_col, ascending, n_buckets).withColumn("_w", w)
+    b = _with_buckets(df, part_cols, order_col, ascending, n_buckets, cut_source).withColumn("_w", w)
 
     totals = b.groupBy(*part_cols, "_bucket").agg(
         F.sum("_w").alias("_bw"), *[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])

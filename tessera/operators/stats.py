@@ -72,7 +72,8 @@ def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3
         F.max("value").alias("max"), F.skewness("value").alias("skew"),
         F.kurtosis("value").alias("kurtosis"))
     counts = value_counts_long(long)
-    q = exact_quantiles_from_counts(counts, ["column"], [0.10, 0.25, 0.50, 0.75, 0.90]).select(
+    q = exact_quantiles_from_counts(counts, ["column"], [0.10, 0.25, 0.50, 0.75, 0.90],
+                                    cut_source=long.select("column", F.col("value").alias("_v"))).select(
         "column", F.col("q0").alias("p10"), F.col("q1").alias("q1"), F.col("q2").alias("median"),
         F.col("q3").alias("q3"), F.col("q4").alias("p90"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
