@@ -7,7 +7,6 @@ key costs one pre-aggregated row per task, not a hot reducer.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F

@@ -16,7 +16,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.joins import dim_join
 from ..functions.special import chi2_sf_col, t_two_sided_col
 from .quantiles import exact_quantiles
 from .ranks import average_rank

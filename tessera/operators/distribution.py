@@ -31,7 +31,6 @@ DISTRIBUTIONS = ("norm", "lognorm", "expon", "gamma", "uniform")
 
 
 def _cdf(dist: str, x: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    from statistics import NormalDist
     if dist == "norm":
         z = (x - p1) / p2
         return 0.5 * np.array([math.erfc(-v / math.sqrt(2.0)) for v in z])

@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..aggregate import share_of_total
 from ..timeseries import first_last_growth, halves_trend
 from . import kpi, kpi_table
 

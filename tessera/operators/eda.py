@@ -9,7 +9,6 @@ caps on the number of columns or rows.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

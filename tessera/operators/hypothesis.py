@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import dim_join
-from ..functions.special import (chi2_sf, f_sf, f_sf_col, chi2_sf_col, norm_sf, t_two_sided,
-                                 t_two_sided_col)
+from ..functions.special import chi2_sf_col, f_sf, f_sf_col, norm_sf, t_two_sided
 from .quantiles import exact_quantiles
 
 

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stats import to_long
 
 # ---- fixed values (Royston 1995 polynomial coefficients) --------------------
 SW_C1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)

@@ -201,7 +201,6 @@ def dataset_profile(df: DataFrame, profiles: DataFrame | None = None) -> DataFra
     ``0.6·completeness + 0.3·dedup + 0.1·mean(column score)`` with grade."""
     profiles = profiles if profiles is not None else column_profiles(df)
     pa = profiles.agg(
-        F.first("missing_count").alias("_x"),  # placeholder to keep agg non-empty
         F.sum("missing_count").alias("missing_cells"), F.avg("quality_score").alias("col_health"),
         F.count(F.lit(1)).alias("cols"),
         F.count_if(F.size("quality_issues") > 0).alias("n_issues"),
@@ -209,7 +208,7 @@ def dataset_profile(df: DataFrame, profiles: DataFrame | None = None) -> DataFra
         F.sort_array(F.collect_list(F.when(F.col("is_constant"), F.col("column")))).alias("constant_cols"),
         F.sort_array(F.collect_list(F.when(F.col("missing_pct") > 30, F.col("column")))).alias("high_missing_cols"),
         F.sort_array(F.collect_list(F.when(F.col("outlier_pct") > 10, F.col("column")))).alias("high_outlier_cols"),
-    ).drop("_x")
+    )
     rows = df.count()
     dups = duplicate_rows(df)
     total_cells = rows * len(df.columns)

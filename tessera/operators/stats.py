@@ -13,7 +13,6 @@ from them with the usual small-sample factors.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

@@ -10,6 +10,7 @@ from ..operators import charts, ml, narrative, roles, select as sel
 from ..operators.domains import dispatch
 from ..sources.tables import read_table
 from .catalog import register, rounded
+from .queries_corr import spearman_sql
 from .views import ecommerce_view, finance_view, hr_view, messy_view, sales_view, with_views
 
 
@@ -262,8 +263,7 @@ def q_s1s(spark, sf):
 
 
 @register("C2_correlation_analysis_stats", with_views(
-    __import__("tessera.plans.queries_corr", fromlist=["spearman_sql"]).spearman_sql(
-        "hr", ["satisfaction", "tenure", "hours", "projects", "evaluation"], False), "hr"))
+    spearman_sql("hr", ["satisfaction", "tenure", "hours", "projects", "evaluation"], False), "hr"))
 def q_c2s(spark, sf):
     from ..operators import corr
     return rounded(corr.spearman_pairs(hr_view(spark, sf), ["satisfaction", "tenure", "hours", "projects", "evaluation"],
