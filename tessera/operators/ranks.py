@@ -29,8 +29,12 @@ def _numeric_key(df: DataFrame, order_col: str) -> Column:
     from pyspark.sql import types as T
     dt = df.schema[order_col].dataType
     c = F.col(order_col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if isinstance(dt, T.TimestampNTZType):
+        # wall-clock arithmetic: monotonic whatever the session time zone (no DST folds)
+        secs = (F.hour(c) * 3600 + F.minute(c) * 60).cast("double") + F.date_part(F.lit("SECOND"), c).cast("double")
+        return F.unix_date(F.to_date(c)).cast("double") * 86400.0 + secs
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c).cast("double")
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("double")
     return c.cast("double")

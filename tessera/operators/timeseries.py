@@ -94,18 +94,21 @@ def row_half_trend(df: DataFrame, order_col: str, value_col: str, tiebreak: list
         cnt = d.groupBy(order_col).agg(F.count(F.lit(1)).alias("_c"))
         pos = ordered_running(cnt, order_col, weight_col="_c")
         split = pos.where((F.col("_pos") - F.col("_c") < half) & (F.col("_pos") >= half)) \
-            .select(order_col, (F.col("_pos") - F.col("_c")).alias("before")).first()
-        s_val, before = split[order_col], split["before"]
-        tied = d.where(F.col(order_col) == F.lit(s_val))
+            .select(F.col(order_col).cast("string").alias("s"), (F.col("_pos") - F.col("_c")).alias("before")).first()
+        # round-trip the split value through its string form and the column's own type:
+        # exact for numbers and time-zone independent for timestamp_ntz
+        s_val = F.lit(split["s"]).cast(d.schema[order_col].dataType)
+        before = split["before"]
+        tied = d.where(F.col(order_col) == s_val)
         need = half - before
         if tiebreak:
             tied_pos = row_positions(tied, tiebreak[0], tiebreak=tiebreak[1:]).where(F.col("_rn") <= need) \
                 .select(*tiebreak).withColumn("_first_tied", F.lit(True))
             d = d.join(tied_pos, tiebreak, "left")
-            first = (F.col(order_col) < F.lit(s_val)) | \
-                ((F.col(order_col) == F.lit(s_val)) & F.coalesce(F.col("_first_tied"), F.lit(False)))
+            first = (F.col(order_col) < s_val) | \
+                ((F.col(order_col) == s_val) & F.coalesce(F.col("_first_tied"), F.lit(False)))
         else:
-            first = F.col(order_col) < F.lit(s_val)
+            first = F.col(order_col) < s_val
     a = d.agg(F.avg(F.when(first, F.col("v"))).alias("first_half"),
               F.avg(F.when(~first, F.col("v"))).alias("second_half"),
               F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))

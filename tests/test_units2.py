@@ -157,3 +157,22 @@ def test_what_if_unseen_category_maps_to_first_label(spark):
     scen = spark.createDataFrame([(1, 0.5, "zzz"), (2, 0.5, "b")], "scenario_id int, x double, cat string")
     out = {r["scenario_id"]: r["prediction"] for r in ml.predict_what_if(model, scen, "regression", rmse=1.0).collect()}
     assert out[1] == pytest.approx(out[2])
+
+
+def test_ordering_keys_are_time_zone_independent(spark):
+    """Half split on timestamp_ntz around a DST fall-back is the same in any session zone."""
+    from tessera.operators import timeseries as ts
+    rows = [(f"2024-11-03 01:{m:02d}:00", i, float(i)) for i, m in enumerate(range(0, 60, 5))] + \
+           [(f"2024-11-03 00:{m:02d}:00", 100 + i, float(100 + i)) for i, m in enumerate(range(0, 60, 5))]
+    df = spark.createDataFrame(rows, "t string, id long, v double").select(
+        F.to_timestamp_ntz("t").alias("t"), "id", "v")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ny = ts.row_half_trend(df, "t", "v", ["id"]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    utc = ts.row_half_trend(df, "t", "v", ["id"]).first()
+    assert ny["first_half"] == pytest.approx(utc["first_half"])
+    pdf = df.toPandas().sort_values(["t", "id"])
+    assert utc["first_half"] == pytest.approx(pdf["v"].iloc[:12].mean())
