@@ -27,7 +27,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 9)
+        return v  # exact: both sides round explicitly in the query / SQL
     if hasattr(v, "item"):
         return _norm(v.item())
     return v
