@@ -226,3 +226,29 @@ FROM k JOIN o USING ("column") WHERE n >= 3"""
 
 attach_oracle("E6_numeric_stats_lineitem", _numeric_stats_sql("lineitem", _LI))
 attach_oracle("E5_stats_analyze_numeric_orders", _numeric_stats_sql("orders", ["o_totalprice", "o_custkey"]))
+
+
+# D-7 anomalies -------------------------------------------------------------------------------------
+def _anomaly_sql(table: str, cols: list[str]) -> str:
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM {table}" for c in cols)
+    return f"""
+SELECT * FROM (
+  WITH long AS ({long}), x AS (SELECT * FROM long WHERE v IS NOT NULL)
+  , s AS (SELECT "column", count(*) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median,
+                 quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3,
+                 skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)) AS skew FROM x GROUP BY 1)
+  , o AS (SELECT x."column", count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 100.0 / any_value(n) AS op
+          FROM x JOIN s USING ("column") GROUP BY 1)
+  , m AS (SELECT "column", avg(CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END) * 100.0 AS mp FROM long GROUP BY 1)
+  , j AS (SELECT * FROM s JOIN o USING ("column") JOIN m USING ("column") WHERE n >= 3)
+  SELECT "column", 'outliers' AS kind, printf('''%s'' has %.1f%% outliers — normal range %.2f–%.2f. Validate before modelling.',
+         "column", op, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)) AS text FROM j WHERE op > 10
+  UNION ALL SELECT "column", 'skew', printf('''%s'' heavily skewed (skew=%.2f). Median %.2f more reliable than mean %.2f.',
+         "column", skew, median, mean) FROM j WHERE abs(skew) > 2
+  UNION ALL SELECT "column", 'missing', printf('''%s'' is %.1f%% missing — imputed values may affect results.', "column", mp)
+         FROM j WHERE mp > 20)"""
+
+
+attach_oracle("D7_anomalies_messy_and_orders", with_views(
+    "\n" + _anomaly_sql("messy", ["linenumber", "l_quantity", "sparse_discount"]) + "\nUNION ALL\n" +
+    _anomaly_sql("customer", ["c_acctbal"]), "messy"))
