@@ -151,8 +151,9 @@ def two_group_tests(df: DataFrame, value: str, group: str, a: str, b: str,
                mean_b=float(mb["mean"]), t_stat=float(t), t_df=int(dfree), u_stat=float(u1),
                mwu_z=float(z), cohens_d=float(dval), d_label=dlabel)
     if with_p:
+        from ..functions.special import mwu_p
         row["t_p"] = t_two_sided(t, dfree) if not math.isnan(t) else None
-        row["mwu_p"] = min(1.0, 2 * norm_sf(z)) if not math.isnan(z) else None
+        row["mwu_p"] = mwu_p(u1, int(n1), int(n2), float(T))
     return df.sparkSession.createDataFrame([row])
 
 
@@ -180,10 +181,11 @@ def mwu_long(long: DataFrame, key: str = "column", flag: str = "flag", value: st
     sd = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.col("T"), n * (n - 1))))
     z = F.try_divide(big - n1 * n2 / 2.0 - 0.5, sd)
     out = j.select(key, F.col("n1").cast("bigint").alias("n_flag"), F.col("n2").cast("bigint").alias("n_rest"),
-                   u1.alias("u_stat"), z.alias("z"))
+                   u1.alias("u_stat"), z.alias("z"), F.col("T").alias("_tie_sum"))
     if with_p:
-        from ..functions.special import norm_two_sided_col
-        out = out.withColumn("p_value", F.least(F.lit(1.0), norm_two_sided_col(F.col("z"))))
+        from ..functions.special import mwu_p_col
+        out = out.withColumn("p_value", mwu_p_col(F.col("u_stat"), F.col("n_flag"), F.col("n_rest"), F.col("_tie_sum")))
+    out = out.drop("_tie_sum")
     return out
 
 

@@ -166,3 +166,19 @@ def test_keyed_group_comparisons_equal_single_pair_versions(spark):
             assert got["f_stat"] == pytest.approx(one["f_stat"], rel=1e-9)
             assert got["p_value"] == pytest.approx(one["p_value"], rel=1e-6, abs=1e-12)
             assert [g["median"] for g in got["group_stats"]] == pytest.approx([g["median"] for g in one["group_stats"]])
+
+
+def test_mann_whitney_exact_small_sample():
+    import itertools
+    from tessera.functions.special import mwu_exact_sf, mwu_p
+    # brute force over all splits of ranks 1..7 into 3 + 4
+    n1, n2 = 3, 4
+    us = []
+    for pick in itertools.combinations(range(1, n1 + n2 + 1), n1):
+        us.append(sum(pick) - n1 * (n1 + 1) / 2)
+    for u in range(0, n1 * n2 + 1):
+        assert mwu_exact_sf(u, n1, n2) == pytest.approx(sum(1 for x in us if x >= u) / len(us))
+    # two-sided exact p for U1 = 0 (complete separation): 2 * P(U >= 12) = 2/35
+    assert mwu_p(0.0, 3, 4, 0.0) == pytest.approx(2 / 35)
+    # with ties the asymptotic form is used
+    assert 0 < mwu_p(2.0, 3, 4, 6.0) <= 1
