@@ -182,3 +182,31 @@ def test_mann_whitney_exact_small_sample():
     assert mwu_p(0.0, 3, 4, 0.0) == pytest.approx(2 / 35)
     # with ties the asymptotic form is used
     assert 0 < mwu_p(2.0, 3, 4, 6.0) <= 1
+
+
+def _single_partition_only_above_aggregates(plan: str) -> list:
+    lines = plan.splitlines()
+    bad = []
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            nxt = lines[i + 1] if i + 1 < len(lines) else ""
+            if "HashAggregate" not in nxt and "ObjectHashAggregate" not in nxt:
+                bad.append(nxt.strip())
+    return bad
+
+
+@pytest.mark.parametrize("which", ["col_stats", "exact_quantiles"])
+def test_plans_move_only_aggregates_to_one_partition(spark, which):
+    from tessera.operators import stats
+    df = spark.range(0, 20000).select((F.col("id") % 997).cast("double").alias("a"),
+                                      (F.col("id") % 13).cast("double").alias("b"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        if which == "col_stats":
+            out = stats.col_stats(df, ["a", "b"])
+        else:
+            out = quantiles.exact_quantiles(stats.to_long(df, ["a", "b"]), ["column"], "value", [0.5])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert not _single_partition_only_above_aggregates(plan)
