@@ -33,8 +33,8 @@ def _rank_col(df: DataFrame, col: str, out: str) -> DataFrame:
     return d.join(rk, "_v").drop("_v")
 
 
-def _spearman_null_free(df: DataFrame, cols: list[str]) -> list[tuple]:
-    """All pairs of null-free columns in a fixed number of passes.
+def spearman_rank_moments(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All pairs of null-free columns in a fixed number of passes (one-row result).
 
     Ranks of every column come from ONE keyed ordering of the distinct
     ``(column, value)`` table; they are attached to rows by ONE join on
@@ -61,7 +61,14 @@ def _spearman_null_free(df: DataFrame, cols: list[str]) -> list[tuple]:
     for i in range(k):
         aggs += [F.sum(w * F.col(f"_r{i}")).alias(f"s{i}"), F.sum(w * F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"q{i}")]
     aggs += [F.sum(w * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"p{i}_{j}") for i, j in pairs]
-    a = wide.agg(*aggs).first()
+    return wide.agg(*aggs)
+
+
+def _spearman_null_free(df: DataFrame, cols: list[str]) -> list[tuple]:
+    """Finish the weighted rank moments of ``spearman_rank_moments`` into r per pair."""
+    k = len(cols)
+    pairs = list(itertools.combinations(range(k), 2))
+    a = spearman_rank_moments(df, cols).first()
     n = a["W"]
     out = []
     for i, jx in pairs:

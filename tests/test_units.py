@@ -195,7 +195,7 @@ def _single_partition_only_above_aggregates(plan: str) -> list:
     return bad
 
 
-@pytest.mark.parametrize("which", ["col_stats", "exact_quantiles"])
+@pytest.mark.parametrize("which", ["col_stats", "exact_quantiles", "spearman"])
 def test_plans_move_only_aggregates_to_one_partition(spark, which):
     from tessera.operators import stats
     df = spark.range(0, 20000).select((F.col("id") % 997).cast("double").alias("a"),
@@ -204,6 +204,8 @@ def test_plans_move_only_aggregates_to_one_partition(spark, which):
     try:
         if which == "col_stats":
             out = stats.col_stats(df, ["a", "b"])
+        elif which == "spearman":
+            out = corr.spearman_rank_moments(df, ["a", "b"])
         else:
             out = quantiles.exact_quantiles(stats.to_long(df, ["a", "b"]), ["column"], "value", [0.5])
         plan = out._jdf.queryExecution().executedPlan().toString()
