@@ -252,3 +252,29 @@ SELECT * FROM (
 attach_oracle("D7_anomalies_messy_and_orders", with_views(
     "\n" + _anomaly_sql("messy", ["linenumber", "l_quantity", "sparse_discount"]) + "\nUNION ALL\n" +
     _anomaly_sql("customer", ["c_acctbal"]), "messy"))
+
+
+# D-4 column roles of orders (name rules are schema-only; uniqueness and the
+# consecutive-difference test are computed) --------------------------------------------------------
+def _consecutive_ratio_sql(col: str) -> str:
+    return f"""(SELECT avg(CASE WHEN d = 1 THEN 1.0 ELSE 0.0 END) FROM (
+              SELECT v - lag(v) OVER (ORDER BY v) AS d FROM (SELECT CAST({col} AS DOUBLE) AS v FROM orders WHERE {col} IS NOT NULL))
+            WHERE d IS NOT NULL)"""
+
+
+attach_oracle("D4_column_roles_orders", f"""
+WITH u AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS uk, count(DISTINCT o_custkey) AS uc,
+                  count(DISTINCT o_orderstatus) AS us, count(DISTINCT o_totalprice) AS up,
+                  count(DISTINCT o_orderdate) AS ud, count(DISTINCT o_orderpriority) AS uo FROM orders)
+SELECT 'o_orderkey' AS "column",
+       CASE WHEN uk / n > 0.95 AND n > 100 THEN 'identifier'
+            WHEN n > 10 AND {_consecutive_ratio_sql('o_orderkey')} > 0.95 THEN 'identifier' ELSE 'metric' END AS role,
+       CAST(uk AS BIGINT) AS n_unique FROM u
+UNION ALL SELECT 'o_custkey',
+       CASE WHEN uc / n > 0.95 AND n > 100 THEN 'identifier'
+            WHEN n > 10 AND {_consecutive_ratio_sql('o_custkey')} > 0.95 THEN 'identifier' ELSE 'metric' END,
+       CAST(uc AS BIGINT) FROM u
+UNION ALL SELECT 'o_orderstatus', CASE WHEN us BETWEEN 2 AND 30 THEN 'dimension' ELSE 'other' END, CAST(us AS BIGINT) FROM u
+UNION ALL SELECT 'o_totalprice', 'metric', CAST(up AS BIGINT) FROM u
+UNION ALL SELECT 'o_orderdate', 'date', CAST(ud AS BIGINT) FROM u
+UNION ALL SELECT 'o_orderpriority', CASE WHEN uo BETWEEN 2 AND 30 THEN 'dimension' ELSE 'other' END, CAST(uo AS BIGINT) FROM u""")
