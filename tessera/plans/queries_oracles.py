@@ -278,3 +278,32 @@ UNION ALL SELECT 'o_orderstatus', CASE WHEN us BETWEEN 2 AND 30 THEN 'dimension'
 UNION ALL SELECT 'o_totalprice', 'metric', CAST(up AS BIGINT) FROM u
 UNION ALL SELECT 'o_orderdate', 'date', CAST(ud AS BIGINT) FROM u
 UNION ALL SELECT 'o_orderpriority', CASE WHEN uo BETWEEN 2 AND 30 THEN 'dimension' ELSE 'other' END, CAST(uo AS BIGINT) FROM u""")
+
+
+# K-12 cleaning summary of the messy view: every rule's firing is recomputed ----------------------
+_K12_SQL = """
+, raw AS (SELECT count(*) AS n FROM messy)
+, nulls AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS np, "
+    f"count(DISTINCT {c}) AS u FROM messy" for c in _MESSY_COLS) + """)
+, sparse AS (SELECT col FROM nulls WHERE np > 55)
+, const AS (SELECT col FROM nulls WHERE np <= 55 AND u <= 1)
+, dd AS (SELECT DISTINCT l_returnflag, linenumber, l_quantity, l_tax, returned_flag FROM messy)
+, nd AS (SELECT count(*) AS n_after FROM dd)
+, acts AS (
+    SELECT 'missing' AS issue_group, 0 AS rows_affected FROM sparse
+    UNION ALL SELECT 'dropped_col', (SELECT n FROM raw) FROM const
+    UNION ALL SELECT 'duplicates', (SELECT n FROM raw) - n_after FROM nd WHERE (SELECT n FROM raw) - n_after > 0
+    UNION ALL SELECT 'whitespace', count(*) FILTER (WHERE returned_flag <> trim(returned_flag)) FROM dd
+              HAVING count(*) FILTER (WHERE returned_flag <> trim(returned_flag)) > 0
+    UNION ALL SELECT 'whitespace', count(*) FILTER (WHERE l_returnflag <> trim(l_returnflag)) FROM dd
+              HAVING count(*) FILTER (WHERE l_returnflag <> trim(l_returnflag)) > 0
+    UNION ALL SELECT 'missing', count(*) FILTER (WHERE linenumber IS NULL) FROM dd HAVING count(*) FILTER (WHERE linenumber IS NULL) > 0
+    UNION ALL SELECT 'missing', count(*) FILTER (WHERE l_quantity IS NULL) FROM dd HAVING count(*) FILTER (WHERE l_quantity IS NULL) > 0
+    UNION ALL SELECT 'missing', count(*) FILTER (WHERE l_tax IS NULL) FROM dd HAVING count(*) FILTER (WHERE l_tax IS NULL) > 0
+    UNION ALL SELECT 'type_fix', (SELECT n_after FROM nd) FROM dd
+              HAVING count(*) FILTER (WHERE lower(trim(returned_flag)) NOT IN ('yes', 'no', 'true', 'false', '1', '0', 'y', 'n')) = 0
+                 AND count(DISTINCT lower(trim(returned_flag))) <= 4)
+SELECT issue_group, CAST(count(*) AS BIGINT) AS n_actions, CAST(sum(rows_affected) AS BIGINT) AS rows_affected
+FROM acts GROUP BY issue_group"""
+attach_oracle("K12_cleaning_summary", with_views(_K12_SQL, "messy"))
