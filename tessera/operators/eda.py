@@ -75,11 +75,14 @@ def categorical_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     n = df.count()
     long = to_long(df, columns, "string")
     c = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    a = c.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"),
-                                F.max(F.struct(F.col("cnt"), F.col("value"))).alias("top"))
+    a = c.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"), F.max("cnt").alias("top_cnt"))
+    # ties at the top count: smallest value (trap T17), via partial aggregates only
+    tv = c.join(a.select("column", "top_cnt"), "column").where(F.col("cnt") == F.col("top_cnt")) \
+        .groupBy("column").agg(F.min("value").alias("top_value"))
+    a = a.join(tv, "column")
     u = F.col("n_unique")
-    return a.select("column", u.cast("bigint").alias("n_unique"), F.col("top.value").alias("top_value"),
-                    (F.col("top.cnt") / F.lit(float(max(n, 1))) * 100.0).alias("top_pct"),
+    return a.select("column", u.cast("bigint").alias("n_unique"), "top_value",
+                    (F.col("top_cnt") / F.lit(float(max(n, 1))) * 100.0).alias("top_pct"),
                     F.when(u <= 2, "binary").when(u <= 10, "low").when(u <= 50, "medium").otherwise("high")
                     .alias("cardinality"))
 

@@ -323,7 +323,8 @@ def _root_cause_sql(view: str, target: str, nums: list[str], cats: list[str]) ->
 , sh AS (SELECT "column", flag, v, count(*) AS c FROM cl GROUP BY 1, 2, 3)
 , side AS (SELECT "column", flag, sum(c) AS n FROM sh GROUP BY 1, 2)
 , pct AS (SELECT sh.*, c * 100.0 / n AS p FROM sh JOIN side USING ("column", flag))
-, top AS (SELECT "column", arg_max(v, (c, v)) AS kc FROM pct WHERE flag GROUP BY 1)
+, mx AS (SELECT "column", max(c) AS mc FROM pct WHERE flag GROUP BY 1)
+, top AS (SELECT pct."column", min(v) AS kc FROM pct JOIN mx ON pct."column" = mx."column" AND pct.c = mx.mc WHERE flag GROUP BY 1)
 , cat AS (SELECT top."column" AS factor, 'categorical' AS dtype,
                  least(abs(lo.p - coalesce(hi.p, 0.0)) / 100.0, 1.0) AS impact, 'categorical' AS direction,
                  CAST(NULL AS DOUBLE) AS low_mean, CAST(NULL AS DOUBLE) AS high_mean, abs(lo.p - coalesce(hi.p, 0.0)) AS diff_pct,

@@ -195,7 +195,8 @@ def q_e6(spark, sf):
 WITH long AS (SELECT 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS value FROM orders
               UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR) FROM orders)
 , c AS (SELECT "column", value, count(*) AS cnt FROM long WHERE value IS NOT NULL GROUP BY ALL)
-, a AS (SELECT "column", count(*) AS u, arg_max(value, (cnt, value)) AS top_value, max(cnt) AS top FROM c GROUP BY "column")
+, m AS (SELECT "column", count(*) AS u, max(cnt) AS top FROM c GROUP BY "column")
+, a AS (SELECT m."column", u, top, min(value) FILTER (WHERE cnt = top) AS top_value FROM m JOIN c ON c."column" = m."column" GROUP BY ALL)
 SELECT "column", CAST(u AS BIGINT) AS n_unique, top_value, round(top * 100.0 / (SELECT count(*) FROM orders), 6) AS top_pct,
        CASE WHEN u <= 2 THEN 'binary' WHEN u <= 10 THEN 'low' WHEN u <= 50 THEN 'medium' ELSE 'high' END AS cardinality FROM a""")
 def q_e7(spark, sf):
