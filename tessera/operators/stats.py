@@ -54,7 +54,8 @@ def kurt_G2(g2: Column, n: Column) -> Column:
 
 
 def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3,
-              iqr_guard: bool = False, whisker: float = 1.5) -> DataFrame:
+              iqr_guard: bool = False, whisker: float = 1.5, quantiles: str = "exact",
+              accuracy: int = 10000) -> DataFrame:
     """Q-1 canonical per-column statistics.
 
     ``n, mean, median, std, cv, q1, q3, iqr, min, max, skew, kurtosis,
@@ -71,8 +72,15 @@ def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3
         F.max("value").alias("max"), F.skewness("value").alias("skew"),
         F.kurtosis("value").alias("kurtosis"))
     counts = value_counts_long(long)
-    q = exact_quantiles_from_counts(counts, ["column"], [0.10, 0.25, 0.50, 0.75, 0.90],
-                                    cut_source=long.select("column", F.col("value").alias("_v"))).select(
+    probs = [0.10, 0.25, 0.50, 0.75, 0.90]
+    if quantiles == "approx":
+        # opt-in fast path: one partial-aggregate pass, rank error <= 1/accuracy
+        pa = long.groupBy("column").agg(F.percentile_approx("value", probs, accuracy).alias("_p"))
+        q = pa.select("column", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(probs))])
+    else:
+        q = exact_quantiles_from_counts(counts, ["column"], probs,
+                                        cut_source=long.select("column", F.col("value").alias("_v")))
+    q = q.select(
         "column", F.col("q0").alias("p10"), F.col("q1").alias("q1"), F.col("q2").alias("median"),
         F.col("q3").alias("q3"), F.col("q4").alias("p90"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))

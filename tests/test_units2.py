@@ -176,3 +176,14 @@ def test_ordering_keys_are_time_zone_independent(spark):
     assert ny["first_half"] == pytest.approx(utc["first_half"])
     pdf = df.toPandas().sort_values(["t", "id"])
     assert utc["first_half"] == pytest.approx(pdf["v"].iloc[:12].mean())
+
+
+def test_col_stats_approx_quantiles_close_to_exact(spark):
+    from tessera.operators import stats
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pd.DataFrame({"x": rng.normal(size=5000)}))
+    ex = stats.col_stats(df, ["x"]).first()
+    ap = stats.col_stats(df, ["x"], quantiles="approx").first()
+    for k in ("p10", "q1", "median", "q3", "p90"):
+        assert abs(ex[k] - ap[k]) < 0.01
+    assert ex["mean"] == pytest.approx(ap["mean"])
