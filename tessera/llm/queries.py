@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_substring, op2_langid, op4_simhash, op6_sharding, op8_secrets, op9_bpe, op10_decontaminate
+from . import op1_substring, op2_langid, op4_simhash, op5_licenses, op6_sharding, op7_embeddings, op8_secrets, op9_bpe, op10_decontaminate
 from .common import ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -26,11 +26,21 @@ def op4_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_simhash.simhash_near_dups(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return op5_licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op6_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return op6_sharding.interleave(table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return op7_embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return op8_secrets.secret_report(table(spark, sf_dir, "documents"))
@@ -46,6 +56,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_simhash_near_dups, op6_interleaved_shards,
-                                   op8_secret_scan, op9_byte_bpe, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op4_simhash_near_dups, op5_license_scan,
+                                   op6_interleaved_shards, op7_embedding_near_dups, op8_secret_scan, op9_byte_bpe, op10_decontamination)}
 ORACLE: dict[str, str] = {}
