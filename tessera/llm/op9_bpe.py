@@ -37,12 +37,12 @@ from pyspark.sql import types as T
 
 from .common import binary_from, complete_groups, partitions, pick, slices
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 40 << 20
 
 # Characters that ``re`` and the Unicode classes of the pattern see differently: numbers that are no
-# decimal digits, and the controls 28 to 31. Texts that hold one are cut by ``regex`` instead.
-_ODD = re.compile("[" + "\x1c-\x1f" + "".join(
-    chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) in ("Nl", "No")) + "]")
+# decimal digits, and the controls 28 to 31. Parts that hold one are cut by ``regex`` instead.
+_ODD = frozenset("\x1c\x1d\x1e\x1f").union(
+    c for c in map(chr, range(0x80, 0x110000)) if c.isnumeric() and not c.isdecimal() or unicodedata.category(c) in ("Nl", "No"))
 _LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 _EXACT = regex.compile(public_tokenizers.PATTERN)
 _FAST = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
@@ -54,62 +54,79 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-class Cutter:
-    """Cuts texts into pre-tokens and numbers the distinct ones.
+class Block:
+    """Documents whose position streams share one word list.
 
     A space before a non-space always starts a pre-token, so a text can be cut at
-    such spaces first; the parts recur and each distinct part is matched once.
+    such spaces first; the parts recur, and each distinct part is matched once.
     """
 
     def __init__(self) -> None:
         self.words: dict[str, int] = {}
+        self.heads: dict[str, int] = {}
         self.parts: dict[str, int] = {}
         self.part_words: list[list[int]] = []
+        self.docs: list[np.ndarray] = []
+        self.rows: list = []
+        self.bytes = 0
 
-    def _match(self, part: str) -> list[int]:
+    def _new(self, part: str) -> int:
         w = self.words
-        found = (_EXACT if _ODD.search(part) else _FAST).findall(part)
-        return [w.setdefault(x, len(w)) for x in found]
+        found = (_FAST if _ODD.isdisjoint(part) else _EXACT).findall(part)
+        self.part_words.append([w.setdefault(x, len(w)) for x in found])
+        return len(self.part_words) - 1
 
-    def ids(self, text: str) -> np.ndarray:
-        """Word numbers of a text, by position."""
+    def _ids(self, text: str) -> list[int]:
+        """Numbers of a text's parts."""
         if not text:
-            return np.zeros(0, np.int64)
+            return []
         if _LOOSE_SPACE.search(text):
-            return np.array(self._match(text), dtype=np.int64)
-        cut = text.split(" ")
-        cut = cut[:1] + [" " + x for x in cut[1:]] if cut[0] else [" " + x for x in cut[1:]]
-        parts, known = self.parts, self.part_words
-        seq = []
-        for x in cut:
-            k = parts.get(x)
+            return [self._new(text)]
+        head, *rest = text.split(" ")
+        parts = self.parts
+        seq = [parts.get(x) for x in rest]
+        if None in seq:
+            for i, k in enumerate(seq):
+                if k is None:
+                    x = rest[i]
+                    k = parts.get(x)
+                    seq[i] = parts[x] = self._new(" " + x) if k is None else k
+        if head:
+            k = self.heads.get(head)
             if k is None:
-                k = parts[x] = len(known)
-                known.append(self._match(x))
-            seq.append(k)
-        return np.array([i for k in seq for i in known[k]], dtype=np.int64)
-
-
-class Block:
-    """Documents whose position streams share one word list."""
-
-    def __init__(self) -> None:
-        self.cutter, self.docs, self.rows, self.bytes = Cutter(), [], [], 0
+                k = self.heads[head] = self._new(head)
+            seq.insert(0, k)
+        return seq
 
     def add(self, row, text: str | None) -> None:
-        self.docs.append(self.cutter.ids(text or ""))
+        self.docs.append(np.array(self._ids(text or ""), dtype=np.int32))
         self.rows.append(row)
         self.bytes += len(text or "")
 
-    def ranked(self) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Words by falling frequency, the stream of their places, and where documents end in it."""
-        words = list(self.cutter.words)
-        flat = np.concatenate(self.docs) if self.docs else np.zeros(0, np.int64)
-        n = np.bincount(flat, minlength=len(words))
-        by = np.argsort(-n, kind="stable")
+    def listed(self) -> tuple[list[str], np.ndarray]:
+        """Words in alphabetical order, and the place of each by number."""
+        words = list(self.words)
+        by = sorted(range(len(words)), key=words.__getitem__)
         place = np.empty(len(words), np.int64)
         place[by] = np.arange(len(words))
-        return [words[i] for i in by], place[flat], np.cumsum([len(x) for x in self.docs], dtype=np.int64)
+        return [words[i] for i in by], place
+
+    def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words by falling frequency, the text as indices into that, and where documents end in it."""
+        _, place = self.listed()
+        sizes = np.array([len(x) for x in self.part_words], np.int64)
+        words = np.fromiter((i for x in self.part_words for i in x), np.int32, int(sizes.sum()))
+        at = np.cumsum(sizes) - sizes
+        flat, ends = [], []
+        for seq in self.docs:  # document by document: no more than one text's indices at a time
+            x = words[_ragged(at[seq], sizes[seq])]
+            flat.append(x)
+            ends.append(len(x))
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        by = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
+        rank = np.empty(len(place), np.int32)
+        rank[by] = np.arange(len(place), dtype=np.int32)
+        return place[by], rank[flat], np.cumsum(ends, dtype=np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[int, Block]]:
@@ -127,10 +144,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
 
 
 def block_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(word, block, place)``: the distinct pre-tokens of each block and their index in its list."""
+    """``(word, block, place)``: the distinct pre-tokens of each block and their place in its sorted list."""
     def run(batches):
         for block, x in _blocks(batches, block_bytes):
-            words, _, _ = x.ranked()
+            words, _ = x.listed()
             for lo in range(0, len(words), 1 << 17):
                 part = words[lo:lo + (1 << 17)]
                 n = len(part)
@@ -143,7 +160,7 @@ def block_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def _varint(v: np.ndarray) -> np.ndarray:
     """LEB128 bytes of small non-negative integers."""
-    size = 1 + (v >= 1 << 7) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
+    size = 1 + (v >= 1 << 7).astype(np.int8) + (v >= 1 << 14) + (v >= 1 << 21) + (v >= 1 << 28)
     at = np.concatenate(([0], np.cumsum(size)))
     out = np.zeros(int(at[-1]), np.uint8)
     for k in range(5):
@@ -162,21 +179,28 @@ def _unvarint(b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pack(v: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=6).compress(_varint(v).tobytes())
+
+
+def _unpack(b: bytes) -> np.ndarray:
+    return _unvarint(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8))
+
+
 def block_streams(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(block, ids, ends, stream)``: one row a block; the ids of its documents, where each
-    ends, and the packed word places by position."""
+    """``(block, ids, ends, places, stream)``: one row a block; the ids of its documents and where each ends
+    in the stream, which holds, by position, packed indices into ``places``."""
     schema = T.StructType([T.StructField("block", T.LongType()),
                            T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)),
                            T.StructField("ends", T.ArrayType(T.LongType())),
-                           T.StructField("stream", T.BinaryType())])
+                           T.StructField("places", T.BinaryType()), T.StructField("stream", T.BinaryType())])
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3).compress
         for block, x in _blocks(batches, block_bytes):
-            _, flat, ends = x.ranked()
+            places, flat, ends = x.streams()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block], pa.int64()), pa.array([x.rows]), pa.array([ends.tolist()], pa.list_(pa.int64())),
-                 pa.array([pack(_varint(flat).tobytes())], pa.binary())], names=["block", "ids", "ends", "stream"])
+                 pa.array([_pack(places)], pa.binary()), pa.array([_pack(flat)], pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -222,7 +246,9 @@ def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ids = part.column("ids").combine_chunks()
             dec = [b"".join(x) for x in part.column("bytes").to_pylist()]
             n_ids = ids.value_lengths().to_numpy()
-            head = np.concatenate([[hi - lo], part.column("place").to_numpy(), n_ids, [len(x) for x in dec]])
+            place = part.column("place").to_numpy().astype(np.int64)
+            # neighbours in the sorted list have much in common: differences of places, and texts alike, pack well
+            head = np.concatenate([[hi - lo], np.diff(place, prepend=0), n_ids, [len(x) for x in dec]])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block[lo])], pa.int64()),
                  pa.array([pack(_varint(head.astype(np.int64)).tobytes())], pa.binary()),
@@ -238,12 +264,12 @@ def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 def _reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """Put the ids and bytes of one block in order, document by document."""
-    unpack = lambda x: zstandard.ZstdDecompressor().decompress(x, max_output_size=0)
+    unpack = zstandard.ZstdDecompressor().decompress
     n_words, places, n_ids, n_bytes, ids, raw = 0, [], [], [], [], []
     for h, i, d in zip(*(right.column(c).to_pylist() for c in ("head", "ids", "bytes"))):
         h = _unvarint(np.frombuffer(unpack(h), np.uint8))
         n = int(h[0])
-        places.append(h[1:1 + n])
+        places.append(np.cumsum(h[1:1 + n]))
         n_ids.append(h[1 + n:1 + 2 * n])
         n_bytes.append(h[1 + 2 * n:])
         ids.append(np.frombuffer(unpack(i), "<u4"))
@@ -258,9 +284,8 @@ def _reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
     id_at, byte_at = (np.cumsum(n_ids) - n_ids)[by], (np.cumsum(n_bytes) - n_bytes)[by]
     n_ids, n_bytes = n_ids[by], n_bytes[by]
     out = []
-    for doc_ids, ends, stream in zip(*(left.column(c).to_pylist() for c in ("ids", "ends", "stream"))):
-        flat = _unvarint(np.frombuffer(unpack(stream), np.uint8))
-        lo = 0
+    for doc_ids, ends, order, stream in zip(*(left.column(c).to_pylist() for c in ("ids", "ends", "places", "stream"))):
+        flat, lo = _unpack(order)[_unpack(stream)], 0
         for doc, hi in zip(doc_ids, ends):
             w = flat[lo:hi]
             seq = ids[_ragged(id_at[w], n_ids[w])]
@@ -284,11 +309,11 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     d = pick(docs, doc_id=id_col, text=text_col)
     spark = docs.sparkSession
     n = partitions(spark)
-    words = block_words(d, block_bytes).repartition(n, "word")
-    # the maxima only keep the columns of ``words``, so that both uses share one shuffle
+    # the filter, which the join would add, and the maxima, which keep all columns, make both uses share one shuffle
+    words = block_words(d, block_bytes).where("word is not null").repartition(n, "word")
     distinct = words.groupBy("word").agg(F.max("block").alias("block"), F.max("place").alias("place"))
     coded = decode_words(encode_words(distinct, ranks_path).repartition(n, "word"), token_bytes(spark, ranks_path))
-    answers = (words.join(coded, "word").select("block", "place", "ids", "bytes").sortWithinPartitions("block")
+    answers = (words.join(coded, "word").select("block", "place", "ids", "bytes").sortWithinPartitions("block", "place")
                .mapInArrow(_pack_answers, "block long, head binary, ids binary, bytes binary"))
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
