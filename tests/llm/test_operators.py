@@ -1,0 +1,308 @@
+"""Every training-data operator against brute force, on awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tessera.llm import (op1_substring, op2_langid, op3_html, op4_simhash, op5_licenses, op6_sharding, op7_embeddings,
+                         op8_secrets, op9_bpe, op10_decontaminate)
+from tessera.llm.common import ship
+from tests.llm import data
+
+ROWS = data.documents()
+PAIRS = [(r[0], r[1]) for r in ROWS]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship(spark)
+    return spark.createDataFrame(ROWS, data.SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], data.SCHEMA)
+
+
+def rows(df, *cols):
+    return sorted((tuple(r) for r in df.select(*cols).collect()), key=repr)
+
+
+@pytest.mark.parametrize("hot", [2000, 1])
+def test_op1_windows(docs, none, hot):
+    got = rows(op1_substring.remove_repeats(docs, hot=hot), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(data.windows_removed(PAIRS), key=repr)
+    assert sum(r[2] for r in got) > 300
+    assert op1_substring.remove_repeats(none).count() == 0
+
+
+def test_op2_language(spark, docs, none):
+    rng = random.Random(1)
+    sounds = {"aa": "ka lo mi ne".split(), "bb": "trü bäm schö grom".split()}
+    table = [(i, data.prose(rng, 60, sounds[k]), k) for i, k in enumerate(["aa", "bb"] * 60)]
+    table += [(900, None, "aa"), (901, "12 !!", "bb"), (902, "", None), (None, table[0][1], None), table[1]]
+    got = op2_langid.identify_language(spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(table)
+    for i, text, lang in table[:120]:
+        assert by[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert by[i]["lang_pred"] == lang and 0.5 < by[i]["score"] <= 1
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902))
+    assert by[None]["lang_pred"] == "aa" and by[None]["held_out"] is False
+    assert op2_langid.identify_language(none).count() == 0
+    awkward = op2_langid.identify_language(docs).collect()
+    assert len(awkward) == len(ROWS)
+    unlabelled = op2_langid.identify_language(docs.withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
+
+
+def test_op2_gradients_match_differences():
+    net = op2_langid.BiGRU(3, width=3, hidden=4)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    seq, label = np.array([[97, 98, 99, 97], [100, 98, 97, 101]]), np.array([0, 2])
+    _, g = net.gradients(seq, label)
+    for k, at in (("Wf", (1, 5)), ("Ub", (2, 9)), ("cf", (3,)), ("O", (5, 1)), ("E", (97, 2)), ("Uf", (0, 1)), ("Wb", (0, 0))):
+        old = net.p[k][at]
+        net.p[k][at] = old + 1e-3
+        up = net.gradients(seq, label)[0]
+        net.p[k][at] = old - 1e-3
+        down = net.gradients(seq, label)[0]
+        net.p[k][at] = old
+        assert abs((up - down) / 2e-3 - g[k][at]) < 1e-3, k
+
+
+PAGE = ('<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body class="home">'
+        '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav><div class="cookie-notice">We use cookies</div>'
+        '%s<div id="comments"><p>Nice post</p></div><footer>&copy; Site</footer></body></html>')
+
+
+def test_op3_articles(spark, docs):
+    ship(spark)
+    article = PAGE % '<article><header><h1>Head &amp; tail</h1></header><p>First <b>bold</b>\n text.<br>More<p>Second</article>'
+    plain = [PAGE % f'<div class="post"><h2>Title {i}</h2><p>Long text number {i} goes on {"and on " * i}</p></div>'
+             '<div class="aside-box"><p><a href="/x">Link text</a></p></div>' for i in range(5)]
+    cut = article[:article.index("Second") + 3] + "&am"
+    table = [(1, "http://a.example/1", article), (2, "http://a.example/2", cut), (3, None, None), (4, "http://a.example/3", ""),
+             (1, "http://a.example/1", article), (None, "x", "no tags < at all"), (9, "http://a.example/9", "<p" + "<div>" * 300)]
+    table += [(20 + i, f"https://b.example/{i}", p) for i, p in enumerate(plain)]
+    got = op3_html.extract_articles(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+    assert len(got) == len(table) and all(r["n_chars"] == len(r["text"]) for r in got)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert text[1] == "Head & tail\nFirst bold text. More\nSecond"
+    assert text[2] == "Head & tail\nFirst bold text. More\nSec&am"  # cut short, so no reference
+    assert text[3] == text[4] == text[9] == "" and text[None] == "no tags < at all"
+    for i in range(5):
+        assert text[20 + i] == " ".join(f"Title {i}".split()) + "\n" + f"Long text number {i} goes on {'and on ' * i}".strip()
+    assert op3_html.extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_op3_wrappers_do_not_depend_on_the_group_size(spark):
+    ship(spark)
+    pages = [(i, "http://h/" + str(i), PAGE % ("<article><h1>A</h1>" + "<p>x</p>" * (i % 7) + "<ul><li>y</li></ul>" * (i % 3)
+                                                + "<blockquote>z</blockquote>" * (i % 2) + "</article>")) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    small, large = (op3_html.host_wrappers(df, group=g).collect() for g in (3, 64))
+    import json
+    paths = [op3_html.article_slots(json.loads(w[0]["wrapper"])) for w in (small, large)]
+    assert len(small) == len(large) == 1 and paths[0] == paths[1] and len(paths[0]) == 4
+    kept, rep, of = op3_html.fold("< a # > < a # > < a # > b b".split())
+    assert kept[:4] == ["<", "a", "#", ">"] and all(rep[:4]) and of[:8] == [0, 1, 2, 3] * 2
+
+
+def test_op4_fingerprints_and_components(docs, none):
+    got = rows(op4_simhash.simhash_near_dups(docs), "doc_id", "fingerprint", "component_id")
+    fps = [data.simhash(t) for _, t in PAIRS]
+    root = data.hamming_groups(fps)
+    low = {}
+    for (i, _), g in zip(PAIRS, root):
+        if i is not None:
+            low[g] = min(low.get(g, i), i)
+    want = sorted(((i, f"{f:016x}", low.get(g)) for (i, _), f, g in zip(PAIRS, fps, root)), key=repr)
+    assert got == want
+    assert op4_simhash.simhash_near_dups(none).count() == 0
+
+
+@pytest.mark.parametrize("max_job", [1024, 3])
+def test_op4_links_lose_no_pair(spark, max_job):
+    ship(spark)
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(150)} | {0, (1 << 64) - 1}
+    for f in list(fps):  # at 1 to 6 bits, and one dense group
+        g = f
+        for b in rng.sample(range(64), rng.randint(1, 6)):
+            g ^= 1 << b
+        fps.add(g)
+    fps |= {0xF0F0 ^ (1 << a) ^ (1 << b) for a in range(0, 64, 7) for b in range(1, 64, 9)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    links = op4_simhash.hamming_links(spark.createDataFrame([(f,) for f in signed], "fp long"), max_job).collect()
+    at = {f: i for i, f in enumerate(signed)}
+    mine = {}
+    for r in links:
+        mine.setdefault(at[r["a"]], []).append(at[r["b"]])
+    assert data.groups(len(fps), lambda i: mine.get(i, [])) == data.hamming_groups(fps)
+
+
+def test_op5_licenses(docs, none):
+    got = {}
+    for r in op5_licenses.license_report(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, text in PAIRS:
+        w = data.PLAIN.findall((text or "").translate(data.LOWER))
+        at = [(k, label) for p, label in op5_licenses.BASE.items() for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
+        r = got[i][0]
+        s = [k for k, _ in at]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (
+            len(w), len(at), min(s, default=None), max(s, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and 0 <= r["score"] <= 1
+    assert got[23][0]["labels"] == "cc-by,cc-by-nc,gpl,reserved" and got[24][0]["labels"] == "apache-2.0"
+    assert got[26][0]["n_base"] == 2 and sum(map(len, got.values())) == len(ROWS)
+    assert op5_licenses.license_report(none).count() == 0
+
+
+def test_op5_spans_bridge_changed_words():
+    t = op5_licenses.TEMPLATES["mit"].encode().split()
+    words = b"some text".split() + t[:9] + [b"extra"] + t[9:20] + t[21:] + b"end".split()
+    votes = {}
+    at = op5_licenses.seeds(op5_licenses.TEMPLATES["mit"].split(), False)
+    k = [x[0] for x in op5_licenses._templates()].index("mit")
+    for o in at:
+        for p in range(len(words) - 1):
+            if words[p:p + 2] == t[o:o + 2]:
+                votes.setdefault(p - o, []).append(p)
+    rows = [(k, d, len(set(p)), min(p), max(p)) for d, p in votes.items()]
+    spans, _ = op5_licenses.verify(words, rows, 0.85)
+    assert [s[0] for s in spans] == ["mit"] and spans[0][3] > 0.9
+
+
+def test_op6_shards(spark, docs, none):
+    got = op6_sharding.interleave(docs, shards=5).collect()
+    assert len(got) == len(ROWS) and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    sizes = [len(by[s]) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+    want = sorted(((i, len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode())) for i, t in PAIRS), key=repr)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in got), key=repr) == want
+    again = op6_sharding.interleave(docs.repartition(7), shards=5).collect()
+    key = lambda r: (r["doc_id"], r["size"], r["shard"], r["slot"])
+    assert sorted(map(key, got), key=repr) == sorted(map(key, again), key=repr)
+    assert op6_sharding.interleave(none).count() == 0
+    many = [(i, "t", "hot" if i % 3 else f"s{i % 30}") for i in range(960)]
+    mixed = op6_sharding.interleave(spark.createDataFrame(many, "doc_id long, text string, source string")).collect()
+    hot = [sum(r["source"] == "hot" and r["shard"] == s for r in mixed) for s in range(16)]
+    assert max(hot) - min(hot) <= 12 and {sum(r["shard"] == s for r in mixed) for s in range(16)} == {60}
+
+
+def test_op7_vectors(spark):
+    ship(spark)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((30, 16))
+    x = [v.tolist() for v in base]
+    x += [(v + 0.02 * rng.standard_normal(16)).tolist() for v in base for _ in range(4)]
+    x += [x[0], x[0], (3 * base[1]).tolist(), [0.0] * 16, None, [], [float("nan")] * 16, [None] * 16, [float("inf")] * 16,
+          [1e200] * 16, [2e200] * 16, [1.0] * 3, [1.0] * 3]
+    rows = [(i, v, None if i % 17 == 16 else i % 2) for i, v in enumerate(x)]
+    rows.append((None, x[0], 0))
+    got = op7_embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"),
+                                      block=8).collect()
+    assert len(got) == len(rows)
+    r = {g["vec_id"]: g for g in got}
+
+    def unit(v):
+        v = np.array(v, float)
+        v = v / np.abs(v).max()
+        return v / np.linalg.norm(v)
+    good = [(i, unit(v), k) for i, v, k in rows if i is not None and k is not None and v and None not in v
+            and np.isfinite(v).all() and any(v)]
+    link = {i: [j for j, w, m in good if j != i and m == k and len(w) == len(u) and u @ w >= 0.98] for i, u, k in good}
+    assert sum(map(len, link.values())) > 200
+    root = data.groups(len(rows), lambda i: link.get(i, []))
+    for i, _, _ in rows[:-1]:
+        assert (r[i]["n_links"], r[i]["component_id"], r[i]["kept"]) == (len(link.get(i, [])), root[i], root[i] == i), i
+    assert (r[None]["n_links"], r[None]["kept"]) == (0, False)
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    assert op7_embeddings.near_vectors(empty).count() == 0
+
+
+def test_op7_estimates_are_unbiased_and_bounded():
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = a + 0.02 * rng.standard_normal(a.shape)
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    exact = {(i, j) for i, j in zip(*np.nonzero(a @ b.T >= 0.98))}
+    i, j = op7_embeddings.compare_blocks(a, b, 0.98)
+    assert set(zip(i.tolist(), j.tolist())) == exact and len(exact) > 300
+    bits, n = 12, op7_embeddings.bands_needed(12, 0.98)
+    meet = (op7_embeddings.code_bands(a, bits, n) == op7_embeddings.code_bands(b, bits, n)).any(axis=1)
+    assert meet[(a * b).sum(axis=1) >= 0.98].mean() >= 0.99
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def test_op8_secrets(docs, none):
+    got = {}
+    for r in op8_secrets.secret_report(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(ROWS)
+    for i, text in PAIRS:
+        t = text or ""
+        s = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 12]
+        s += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+        s += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{e}" for a, _, k, e in sorted(s)).encode()).hexdigest()
+        assert got[i][0]["base_sha256"] == digest
+        assert [got[i][0][f"n_{k}"] for k in op8_secrets.KINDS[:3]] == [sum(x[2] == k for x in s) for k in op8_secrets.KINDS[:3]]
+    assert got[20][0]["spans"].count(":") == 6 and got[21][0]["n_novel"] == 1
+    assert sum(r["n_novel"] for v in got.values() for r in v) == 1
+    masked = {r["doc_id"]: r["text"] for r in op8_secrets.mask_secrets(docs).collect()}
+    assert masked[21] == "auth header Bearer <SECRET> end" and masked[0] == "" and masked[1] is None
+    assert op8_secrets.secret_report(none).count() == 0
+
+
+def test_op9_round_trip(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op9_bpe.load_ranks(path), special_tokens={})
+    want = []
+    for i, t in PAIRS:
+        ids = enc.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(),
+                     hashlib.sha256((t or "").encode()).hexdigest()))
+    for size in (op9_bpe.BLOCK_BYTES, 500):
+        got = rows(op9_bpe.bpe_round_trip(docs, path, block_bytes=size), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+        assert got == sorted(want, key=repr)
+    assert op9_bpe.bpe_round_trip(none, path).count() == 0
+
+
+def test_op10_leaks(spark, docs, none):
+    base, shared = ROWS[7][1], ROWS[10][1]
+    w = shared.split()
+    items = [(0, shared), (1, " ".join(w[:40])), (2, " ".join(w[:30] + ["other"] * 30)), (3, "two words"), (4, None), (5, ""),
+             (6, "words"), (1, " ".join(w[:40])), (7, " ".join(w[:34]) + " x y z u v q"), (None, base[:300])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    sh = lambda t: set(op10_decontaminate.shingles(
+        [x.encode() for x in data.PLAIN.findall((t or "").translate(data.LOWER))], 5))
+    want = {(i, k) for i, t in PAIRS for k, q in items if sh(q) and len(sh(q) & sh(t)) >= 0.8 * len(sh(q))}
+    got = op10_decontaminate.benchmark_leaks(docs, table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and len(want) > 12
+    assert op10_decontaminate.benchmark_leaks(none, table).count() == 0
+    assert op10_decontaminate.benchmark_leaks(docs, table.where("item_id < 0")).count() == 0
+
+
+def test_op10_band_widths_keep_their_recall():
+    for q in (3, 14, 40, 200):
+        for u in (15, 63, 1023, 1 << 16):
+            w = op10_decontaminate.band_width(q, u, 0.8)
+            if w:
+                s = 0.8 * q / (u + q - 0.8 * q)
+                assert 1 - (1 - s ** w) ** (op10_decontaminate.HASHES // w) >= op10_decontaminate.RECALL
