@@ -19,6 +19,7 @@ and for the positions): it must be a repeatable scan, such as a Parquet table.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 import unicodedata
@@ -68,6 +69,7 @@ class Block:
         self.part_words: list[list[int]] = []
         self.docs: list[np.ndarray] = []
         self.rows: list = []
+        self.kind: pa.DataType | None = None  # of the ids
         self.bytes = 0
 
     def _new(self, part: str) -> int:
@@ -84,7 +86,7 @@ class Block:
             return [self._new(text)]
         head, *rest = text.split(" ")
         parts = self.parts
-        seq = [parts.get(x) for x in rest]
+        seq = list(map(parts.get, rest))
         if None in seq:
             for i, k in enumerate(seq):
                 if k is None:
@@ -105,11 +107,10 @@ class Block:
 
     def listed(self) -> tuple[list[str], np.ndarray]:
         """Words in alphabetical order, and the place of each by number."""
-        words = list(self.words)
-        by = sorted(range(len(words)), key=words.__getitem__)
+        words = sorted(self.words)
         place = np.empty(len(words), np.int64)
-        place[by] = np.arange(len(words))
-        return [words[i] for i in by], place
+        place[np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+        return words, place
 
     def streams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the words by falling frequency, the text as indices into that, and where documents end in it."""
@@ -134,10 +135,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
     base = (ctx.partitionId() if ctx else 0) << 24
     block, k = Block(), 0
     for b in slices(batches, "text", block_bytes):
+        block.kind = kind = b.schema.field("doc_id").type
         for row, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
             if block.rows and block.bytes + len(text or "") > block_bytes:
                 yield base + k, block
                 block, k = Block(), k + 1
+                block.kind = kind
             block.add(row, text)
     if block.rows:
         yield base + k, block
@@ -199,19 +202,24 @@ def block_streams(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         for block, x in _blocks(batches, block_bytes):
             places, flat, ends = x.streams()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([x.rows]), pa.array([ends.tolist()], pa.list_(pa.int64())),
+                [pa.array([block], pa.int64()), pa.array([x.rows], pa.list_(x.kind)), pa.array([ends.tolist()], pa.list_(pa.int64())),
                  pa.array([_pack(places)], pa.binary()), pa.array([_pack(flat)], pa.binary())], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+@functools.lru_cache(2)
+def _encoder(ranks_path: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path),
+                             special_tokens={})
+
+
 def encode_words(words: DataFrame, ranks_path: str) -> DataFrame:
     """``(word, ids)`` of distinct pre-tokens, by the merges of a rank file; ids as uint32 bytes."""
     def run(batches):
-        enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path),
-                                special_tokens={})
+        encode = _encoder(ranks_path)._encode_single_piece
         for b in batches:
-            ids = [enc._encode_single_piece(w) for w in b.column("word").to_pylist()]
+            ids = [encode(w) for w in b.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return words.mapInArrow(run, "word string, ids array<int>")
@@ -232,7 +240,8 @@ def decode_words(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
     each = encoded.select("word", "ids", F.posexplode("ids").alias("k", "id")).join(F.broadcast(tokens), "id")
     out = each.groupBy("word").agg(F.first("ids").alias("ids"),
                                    F.array_sort(F.collect_list(F.struct("k", "bytes"))).alias("t"))
-    return out.select("word", "ids", F.transform("t", lambda x: x["bytes"]).alias("bytes"))
+    joined = F.array_join(F.transform("t", lambda x: F.hex(x["bytes"])), "")
+    return out.select("word", "ids", F.unhex(joined).alias("bytes"))
 
 
 def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,16 +253,19 @@ def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lo, hi in zip(cuts, [*cuts[1:], len(block)]):
             part = t.slice(lo, hi - lo)
             ids = part.column("ids").combine_chunks()
-            dec = [b"".join(x) for x in part.column("bytes").to_pylist()]
+            raw = part.column("bytes").combine_chunks()
+            raw = raw.cast(pa.binary()) if pa.types.is_large_binary(raw.type) else raw
+            at = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+            data = memoryview(raw.buffers()[2])[at[0]:at[-1]] if at[-1] else b""
             n_ids = ids.value_lengths().to_numpy()
             place = part.column("place").to_numpy().astype(np.int64)
             # neighbours in the sorted list have much in common: differences of places, and texts alike, pack well
-            head = np.concatenate([[hi - lo], np.diff(place, prepend=0), n_ids, [len(x) for x in dec]])
+            head = np.concatenate([[hi - lo], np.diff(place, prepend=0), n_ids, np.diff(at)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(block[lo])], pa.int64()),
                  pa.array([pack(_varint(head.astype(np.int64)).tobytes())], pa.binary()),
                  pa.array([pack(ids.flatten().to_numpy().astype("<u4").tobytes())], pa.binary()),
-                 pa.array([pack(b"".join(dec))], pa.binary())], names=["block", "head", "ids", "bytes"])
+                 pa.array([pack(data)], pa.binary())], names=["block", "head", "ids", "bytes"])
 
 
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
