@@ -20,6 +20,7 @@ Equal vectors of a label are one vector with a count.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ RECALL = 0.9999
 SEED = 5
 
 
+@functools.lru_cache(64)
 def rotation(dim: int, number: int) -> np.ndarray:
     """Random rotation of ``dim`` dimensions, the same wherever it is made."""
     q, r = np.linalg.qr(np.random.default_rng([SEED, number, dim]).standard_normal((dim, dim)))
