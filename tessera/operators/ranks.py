@@ -40,23 +40,28 @@ def _numeric_key(df: DataFrame, order_col: str) -> Column:
     return c.cast("double")
 
 
-def _bucket_from_literals(order_col: str, bounds: list[float], ascending: bool) -> Column:
-    """Bucket index = number of cut points below (or above, descending) the value.
-    Written as plain comparisons (no lambda), so it is safe as a grouping key."""
-    v = F.col(order_col)
-    if not bounds:
-        return F.lit(0)
-    terms = [(F.lit(b) < v) if ascending else (F.lit(b) > v) for b in bounds]
-    return sum((F.coalesce(t.cast("int"), F.lit(0)) for t in terms), F.lit(0))
+def _bounds_literal(bounds: list[float]) -> Column:
+    """Cut points as one array constant (folded by the optimizer, whatever their number)."""
+    return F.split(F.lit(",".join(map(repr, bounds))), ",").cast("array<double>")
 
 
-def _bucket_from_array(order_col: str, bounds_col: str, n: int, ascending: bool) -> Column:
-    v = F.col(order_col)
-    terms = []
-    for i in range(1, n):
-        b = F.element_at(F.col(bounds_col), i)
-        terms.append(F.coalesce(((b < v) if ascending else (b > v)).cast("int"), F.lit(0)))
-    return sum(terms, F.lit(0))
+def _bucket_of(v: Column, bounds: Column, n: int, ascending: bool) -> Column:
+    """Number of cut points below (descending: above) ``v``, by binary search.
+
+    ``bounds`` is an ascending array of at most ``n`` cut points.  The expression has the
+    same size for any ``n``; a row takes log2(n) steps.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, n.bit_length())))])
+    size = F.size(bounds)
+
+    def step(lo: Column, width: Column) -> Column:
+        at = lo + width
+        b = F.get(bounds, at - 1)
+        return F.when((at <= size) & ((b < v) if ascending else (b <= v)), at).otherwise(lo)
+
+    below = F.aggregate(steps, F.lit(0), step)
+    found = below if ascending else size - below
+    return F.when(v.isNull(), F.lit(0)).otherwise(found)
 
 
 def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
@@ -68,16 +73,19 @@ def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
     ``df`` itself.  Cut points only balance the work; results do not depend on them."""
     n = _n_buckets(df, n_buckets)
     fracs = [i / n for i in range(1, n)]
+    accuracy = max(1000, 4 * n)  # fine enough for n even buckets
     df = df.withColumn("_okey", _numeric_key(df, order_col))
     src = df if cut_source is None else cut_source.withColumn("_okey", _numeric_key(cut_source, order_col))
     if not part_cols:
-        row = src.agg(F.percentile_approx(F.col("_okey"), fracs, 1000).alias("b")).first()
+        row = src.agg(F.percentile_approx(F.col("_okey"), fracs, accuracy).alias("b")).first()
         bounds = [float(x) for x in (row["b"] or []) if x is not None]
-        return df.withColumn("_bucket", _bucket_from_literals("_okey", bounds, ascending)).drop("_okey")
+        if not bounds:
+            return df.withColumn("_bucket", F.lit(0)).drop("_okey")
+        return df.withColumn("_bucket", _bucket_of(F.col("_okey"), _bounds_literal(bounds), n, ascending)).drop("_okey")
     bt = src.groupBy(*part_cols).agg(
-        F.percentile_approx(F.col("_okey"), fracs, 1000).alias("_bounds"))
+        F.percentile_approx(F.col("_okey"), fracs, accuracy).alias("_bounds"))
     return (df.join(bt, part_cols)
-              .withColumn("_bucket", _bucket_from_array("_okey", "_bounds", n, ascending))
+              .withColumn("_bucket", _bucket_of(F.col("_okey"), F.col("_bounds"), n, ascending))
               .drop("_bounds", "_okey"))
 
 

@@ -187,3 +187,24 @@ def test_col_stats_approx_quantiles_close_to_exact(spark):
     for k in ("p10", "q1", "median", "q3", "p90"):
         assert abs(ex[k] - ap[k]) < 0.01
     assert ex["mean"] == pytest.approx(ap["mean"])
+
+
+def test_rank_buckets_of_any_number(spark):
+    """The bucket expression has the same size for 40,000 cut points as for 7, in both directions."""
+    from bisect import bisect_left, bisect_right
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators.ranks import _bounds_literal, _bucket_of, row_positions
+
+    bounds = [float(i) for i in range(40_000)]
+    values = [-1.0, 0.0, 0.5, 1.0, 7.25, 39_998.0, 39_999.0, 50_000.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    up = _bucket_of(F.col("v"), _bounds_literal(bounds), 40_000, True)
+    down = _bucket_of(F.col("v"), _bounds_literal(bounds), 40_000, False)
+    got = {r["v"]: (r["u"], r["d"]) for r in df.select("v", up.alias("u"), down.alias("d")).collect()}
+    assert got == {**{v: (bisect_left(bounds, v), 40_000 - bisect_right(bounds, v)) for v in values}, None: (0, 0)}
+    rows = spark.range(500).select((F.col("id") * 37 % 500).cast("double").alias("x"), "id")
+    for n in (1, 3, 3000):
+        out = row_positions(rows, "x", tiebreak=["id"], n_buckets=n).collect()
+        assert all(r["_rn"] == r["x"] + 1 for r in out)
