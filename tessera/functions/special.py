@@ -176,20 +176,17 @@ def _norm_udf(z: pd.Series) -> pd.Series:
 
 
 def mwu_exact_sf(u: int, n1: int, n2: int) -> float:
-    """P(U >= u) under H0 for the Mann-Whitney U statistic (no ties), by the
-    standard counting recursion over (n1, n2); used when a sample is small."""
-    from functools import lru_cache
-
-    @lru_cache(maxsize=None)
-    def count(k: int, a: int, b: int) -> int:
-        if k < 0:
-            return 0
-        if a == 0 or b == 0:
-            return 1 if k == 0 else 0
-        return count(k - b, a - 1, b) + count(k, a, b - 1)
-
+    """P(U >= u) under H0 for the Mann-Whitney U statistic (no ties): the coefficients of
+    the Gaussian binomial, product of (1 - q^(n2+i)) / (1 - q^i), i = 1 .. n1."""
+    n1, n2 = min(n1, n2), max(n1, n2)
+    ways = [1] + [0] * (n1 * n2)
+    for i in range(1, n1 + 1):
+        for k in range(n1 * n2, n2 + i - 1, -1):
+            ways[k] -= ways[k - n2 - i]
+        for k in range(i, n1 * n2 + 1):
+            ways[k] += ways[k - i]
     total = math.comb(n1 + n2, n1)
-    return sum(count(k, n1, n2) for k in range(int(u), n1 * n2 + 1)) / total
+    return sum(ways[max(0, int(u)):]) / total
 
 
 def mwu_p(u1: float, n1: int, n2: int, tie_sum: float, exact_below: int = 8) -> float | None:

@@ -115,7 +115,7 @@ def shapiro_long(long: DataFrame, key: str, value: str, seed: int = 42,
     u = (F.abs(h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
     pre = (long.withColumn("_n", n_of_key)
                .withColumn("_u", u)
-               .where(F.col("_u") < F.least(F.lit(1.0), F.lit(1.2 * max_n) / F.col("_n") + F.lit(0.01)))
+               .where(F.col("_u") < F.least(F.lit(1.0), F.lit(1.2 * max_n) / F.col("_n")))
                .select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("v"), "_u"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -101,8 +101,8 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def load_file(spark: SparkSession, path: str, *, sheet_name=0, infer: bool = True,
-              max_mb: float | None = MAX_FILE_MB) -> DataFrame:
-    """L-1: dispatch by extension; reject unsupported, oversize and empty input."""
+              max_mb: float | None = None) -> DataFrame:
+    """L-1: dispatch by extension; reject unsupported and empty input, and input over ``max_mb`` if one is given."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext not in SUPPORTED:
         raise LoadError(f"Unsupported file type: {ext or 'none'}")
@@ -170,8 +170,5 @@ def load_excel(spark: SparkSession, path: str, sheet_name=0) -> DataFrame:
 
 def file_size_mb(spark: SparkSession, path: str) -> float:
     """V-10: total size of the input files from the binaryFile source metadata."""
-    try:
-        r = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
-        return (r or 0) / 1e6
-    except Exception:
-        return 0.0
+    r = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0]
+    return (r or 0) / 1e6

@@ -208,3 +208,18 @@ def test_rank_buckets_of_any_number(spark):
     for n in (1, 3, 3000):
         out = row_positions(rows, "x", tiebreak=["id"], n_buckets=n).collect()
         assert all(r["_rn"] == r["x"] + 1 for r in out)
+
+
+def test_mann_whitney_exact_of_unequal_samples():
+    from tessera.functions.special import mwu_exact_sf
+
+    assert mwu_exact_sf(0, 5, 2000) == 1.0
+    assert 0.49 < mwu_exact_sf(5000, 5, 2000) < 0.51
+
+
+def test_mixed_types_beyond_twenty_columns(spark):
+    from tessera.operators.validate import validate
+
+    df = spark.createDataFrame([tuple(["1"] * 25), tuple(["x"] * 25)] * 10, [f"c{i}" for i in range(25)])
+    checks = [r[0] for r in validate(df).collect()]
+    assert any("24" in c for c in checks) and any("c20" in c for c in checks)
