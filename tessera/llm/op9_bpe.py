@@ -183,7 +183,8 @@ def _unvarint(b: np.ndarray) -> np.ndarray:
 
 
 def _pack(v: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(_varint(v).tobytes())
+    return zstandard.ZstdCompressor(level=6).compress(
+        b"".join(_varint(v[i:i + (1 << 18)]).tobytes() for i in range(0, len(v), 1 << 18)))
 
 
 def _unpack(b: bytes) -> np.ndarray:
