@@ -223,3 +223,13 @@ def test_mixed_types_beyond_twenty_columns(spark):
     df = spark.createDataFrame([tuple(["1"] * 25), tuple(["x"] * 25)] * 10, [f"c{i}" for i in range(25)])
     checks = [r[0] for r in validate(df).collect()]
     assert any("24" in c for c in checks) and any("c20" in c for c in checks)
+
+
+def test_f1_of_the_positive_class(spark):
+    from tessera.operators.ml import _metrics
+
+    pred = spark.createDataFrame([(0.0, 0.0)] * 90 + [(0.0, 1.0)] * 10, "prediction double, label double")
+    got = _metrics(pred, "classification", 2)
+    assert got["f1"] == 0.0 and got["accuracy"] == 0.9
+    pred = spark.createDataFrame([(1.0, 1.0)] * 3 + [(1.0, 0.0)] * 2 + [(0.0, 1.0)], "prediction double, label double")
+    assert abs(_metrics(pred, "classification", 2)["f1"] - 2 * 3 / 9) < 1e-12
