@@ -33,6 +33,10 @@ SUPPORTED = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".json": "json", ".par
              ".xlsx": "excel", ".xls": "excel"}
 
 
+#: Doubles beyond this may not fit a bigint.
+BIGINT_LIMIT = 9.2e18
+
+
 class LoadError(ValueError):
     pass
 
@@ -71,7 +75,8 @@ def clean_column_names(names: list[str], style: str = "loader") -> list[str]:
 def infer_types(df: DataFrame) -> DataFrame:
     """L-10 / L-11: string columns become numbers when > 80 % of ALL rows parse
     (names with id/name/code/... skipped) — integral -> bigint, else double —
-    and timestamps when the name hints a date and > 70 % parse."""
+    and timestamps when the name hints a date and > 70 % parse.  Text that spells NaN or an infinity
+    is null, and whole numbers are read as bigint, not by way of a double, which would round them."""
     strs = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not strs:
         return df
@@ -81,10 +86,18 @@ def infer_types(df: DataFrame) -> DataFrame:
     def ts(c):
         return F.coalesce(*[F.try_to_timestamp(F.col(c), F.lit(f)) for f in DATE_FORMATS])
 
+    def quoted(c):
+        return "`" + c.replace("`", "``") + "`"
+
+    def number(c):
+        d = F.expr(f"try_cast({quoted(c)} AS DOUBLE)")
+        return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
     aggs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(num_cands):
-        d = F.expr(f"try_cast(`{c}` AS DOUBLE)")
-        aggs += [F.count(d).alias(f"num{i}"), F.count_if(d.isNotNull() & (d != F.floor(d))).alias(f"frac{i}")]
+        d = number(c)
+        aggs += [F.count(d).alias(f"num{i}"), F.count_if(d.isNotNull() & (d != F.floor(d))).alias(f"frac{i}"),
+                 F.count_if(F.abs(d) > BIGINT_LIMIT).alias(f"big{i}")]
     for i, c in enumerate(date_cands):
         aggs.append(F.count(ts(c)).alias(f"dt{i}"))
     a = df.agg(*aggs).first().asDict()
@@ -95,8 +108,9 @@ def infer_types(df: DataFrame) -> DataFrame:
             casts[c] = ts(c)
     for i, c in enumerate(num_cands):
         if c not in casts and a[f"num{i}"] / n > NUMERIC_MIN_RATE:
-            d = F.expr(f"try_cast(`{c}` AS DOUBLE)")
-            casts[c] = d.cast("bigint") if a[f"frac{i}"] == 0 else d
+            d = number(c)
+            casts[c] = (F.coalesce(F.expr(f"try_cast({quoted(c)} AS BIGINT)"), d.try_cast("bigint"))
+                        if a[f"frac{i}"] == 0 and a[f"big{i}"] == 0 else d)
     return df.select(*[casts[c].alias(c) if c in casts else F.col(c) for c in df.columns])
 
 

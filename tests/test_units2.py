@@ -233,3 +233,58 @@ def test_f1_of_the_positive_class(spark):
     assert got["f1"] == 0.0 and got["accuracy"] == 0.9
     pred = spark.createDataFrame([(1.0, 1.0)] * 3 + [(1.0, 0.0)] * 2 + [(0.0, 1.0)], "prediction double, label double")
     assert abs(_metrics(pred, "classification", 2)["f1"] - 2 * 3 / 9) < 1e-12
+
+
+def test_loader_keeps_whole_numbers_and_nulls_nan_text(spark):
+    p = os.path.join(_tmp(), "t.csv")
+    with open(p, "w") as f:
+        f.write("amount,rate,size\n9007199254740993,1.5,1e3\n-9007199254740993,NaN,2\n" + "1,inf,3\n" + "5,2.5,4\n" * 20)
+    df = files.load_file(spark, p)
+    assert [t for _, t in df.dtypes] == ["bigint", "double", "bigint"]
+    rows = [tuple(r) for r in df.collect()]
+    assert rows[:3] == [(9007199254740993, 1.5, 1000), (-9007199254740993, None, 2), (1, None, 3)]
+
+
+def test_more_than_50_classes_are_fitted_as_a_regression(spark):
+    df = spark.createDataFrame([(i, i % 60, float(i % 60) + (i % 7) / 10, i % 5) for i in range(1500)],
+                               "id long, y int, x double, z int")
+    out = ml.train_models(df, "y", ["x", "z"], ["id"], task="classification", folds=2, model_names=["Ridge Regression"])
+    row = out[0].first()
+    assert row["task"] == "regression" and row["train_error"] is None and row["test_score"] > 0.9
+
+
+def test_ml_insight_tiers(spark):
+    def row(name, cv, test, best, error=None):
+        return (name, "t", cv, 0.0, test, test, 0.0, "None", "m", None, None, None, None, best, error)
+
+    def tier(task, score):
+        res = spark.createDataFrame([row("a", 0.9, score, True), row("b", 0.7, 0.1, False), row("c", -999.0, 0.0, False, "e")],
+                                    ml.RESULT_SCHEMA)
+        return ml.ml_insights(res, task).first()
+    assert [tier("regression", s)["performance"] for s in (0.85, 0.7, 0.5, 0.49)] == ["excellent", "good", "moderate", "weak"]
+    assert [tier("classification", s)["performance"] for s in (0.9, 0.75, 0.74)] == ["excellent", "good", "weak"]
+    r = tier("regression", 0.9)
+    assert abs(r["model_cv_gap"] - 0.2) < 1e-9 and r["model_choice_matters"] and not r["dominant_class_warning"]
+
+
+def test_sales_rules_leave_small_groups_out(spark):
+    from tessera.operators.domains import sales
+    df = spark.createDataFrame([("a", 10.0)] * 5 + [("b", 20.0)] * 3 + [("c", 5.0)] * 4 + [("d", 999.0)] * 2 + [(None, 7.0)],
+                               "k string, v double")
+    gap = {r["k"]: r for r in sales.regional_gap(df, "k", "v").collect()}
+    assert set(gap) == {"a", "b", "c"} and gap["a"]["best_worst_gap_pct"] == 300.0  # b by sum over c by sum
+    top = sales.product_concentration(df, "k", "v").first()
+    assert top["top_product"] == "b" and abs(top["top_share_pct"] - 60 / 130 * 100) < 1e-9
+    assert sales.product_concentration(df.where("k = 'a'"), "k", "v").count() == 0
+
+
+def test_name_helpers(spark):
+    from tessera.functions import scalars
+    from tessera.operators import tools, validate
+    assert set(validate.bad_column_names([" c_custkey", "Unnamed: 1", "c_nationkey", ""])) >= {"Unnamed: 1", ""}
+    assert files.clean_column_names(["a", "a", ""], "sanitizer") == ["a", "a_1", "column_2"]
+    df = spark.createDataFrame([("satisfaction_level",)], "column string")
+    assert df.select(scalars.translate_name_col("column")).first()[0] == "Employee Satisfaction Score"
+    assert tools.dispatch(df, "explode_everything", {}).count() == 1
+    d, scores = roles.detect_domain(["employee_id", "salary", "left"]), roles.domain_scores(df)
+    assert d[0] == "hr" and scores.count() > 0
