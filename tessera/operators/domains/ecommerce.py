@@ -42,10 +42,10 @@ def category_gap(df: DataFrame, category: str, rating: str, min_n: int = 5,
 
 
 def price_discount_signals(df: DataFrame, price: str, discount: str) -> DataFrame:
-    """N-42: price skew (mean vs median) and discount erosion (avg discount > 40 / 55 %)."""
+    """N-42: price skew above 1.5 (mean vs median) and discount erosion (avg discount > 40 / 55 %)."""
     s = col_stats(df, [price, discount]).select("column", "mean", "median", "skew")
     return s.select("column", "mean", "median", "skew",
-                    F.when((F.col("column") == price) & (F.col("skew") > 1), "right-skewed prices")
+                    F.when((F.col("column") == price) & (F.col("skew") > 1.5), "right-skewed prices")
                      .when((F.col("column") == discount) & (F.col("mean") > 55), "critical discount erosion")
                      .when((F.col("column") == discount) & (F.col("mean") > 40), "discount erosion")
                      .otherwise("ok").alias("signal"))

@@ -47,11 +47,11 @@ def budget_vs_actual_by(df: DataFrame, dim: str, budget: str, actual: str, top:
 
 
 def cost_concentration(df: DataFrame, cat: str, cost: str, rev: str, opex: str | None = None) -> DataFrame:
-    """N-24: top / top-2 category share of cost (> 60 % concentrated) and OpEx ratio (> 80 %)."""
+    """N-24: top / top-2 category share of the cost that has a category (> 60 % concentrated) and OpEx ratio (> 80 %)."""
     g = df.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.sum(cost).alias("c"))
     w = Window.orderBy(F.col("c").desc(), F.col(cat))
     top2 = g.orderBy(F.col("c").desc(), F.col(cat)).limit(2).withColumn("rk", F.row_number().over(w))
-    tot = df.agg(F.sum(cost).alias("total_cost"), F.sum(rev).alias("total_rev"),
+    tot = df.agg(F.sum(F.when(F.col(cat).isNotNull(), F.col(cost))).alias("total_cost"), F.sum(rev).alias("total_rev"),
                  *([F.sum(opex).alias("total_opex")] if opex else [])).first()
     t = top2.agg(F.max_by(cat, F.struct(F.col("c"), F.lit(0))).alias("top_category"),
                  F.max("c").alias("top_cost"), F.sum("c").alias("top2_cost"))
@@ -67,10 +67,10 @@ def cost_concentration(df: DataFrame, cat: str, cost: str, rev: str, opex: str |
 
 
 def revenue_concentration(df: DataFrame, cat: str, rev: str, cost: str, period: str) -> DataFrame:
-    """N-25: top category revenue share (> 50 %) and first -> last period cost growth (> 15 %)."""
+    """N-25: top category share of the revenue that has a category (> 50 %) and first -> last period cost growth (> 15 %)."""
     g = df.where(F.col(cat).isNotNull()).groupBy(cat).agg(F.sum(rev).alias("r"))
     top = g.orderBy(F.col("r").desc(), F.col(cat)).first()
-    total = df.agg(F.sum(rev)).first()[0]
+    total = g.agg(F.sum("r")).first()[0]
     growth = first_last_growth(df, period, cost).first()
     spark = df.sparkSession
     share = top["r"] / total * 100.0 if total else None

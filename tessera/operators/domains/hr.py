@@ -47,8 +47,8 @@ def attrition_by(df: DataFrame, left: str, dim: str, extra_means: list[str] | No
         *[F.avg(F.col(c).cast("double")).alias(f"avg_{c}") for c in (extra_means or [])])
 
 
-def numeric_drivers(df: DataFrame, left: str, columns: list[str], with_p: bool = True) -> DataFrame:
-    """N-3: leavers vs stayers per numeric column: means, diff %, Mann-Whitney."""
+def numeric_drivers(df: DataFrame, left: str, columns: list[str], with_p: bool = True, min_side: int = 5) -> DataFrame:
+    """N-3: leavers vs stayers per numeric column with ``min_side`` values on either side: means, diff %, Mann-Whitney."""
     d = with_flag(df, left)
     long = d.select((F.col("_left") == 1).alias("flag"), F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
@@ -56,7 +56,8 @@ def numeric_drivers(df: DataFrame, left: str, columns: list[str], with_p: bool =
     means = long.where(F.col("value").isNotNull()).groupBy("column").agg(
         F.avg(F.when(F.col("flag"), F.col("value"))).alias("left_mean"),
         F.avg(F.when(~F.col("flag"), F.col("value"))).alias("stay_mean"))
-    out = means.join(mwu_long(long, with_p=with_p), "column")
+    out = means.join(mwu_long(long, with_p=with_p), "column").where(
+        (F.col("n_flag") >= min_side) & (F.col("n_rest") >= min_side))
     out = out.withColumn("diff_pct", F.try_divide((F.col("left_mean") - F.col("stay_mean")) * 100.0,
                                                   F.abs(F.col("stay_mean"))))
     if with_p:

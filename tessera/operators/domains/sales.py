@@ -34,27 +34,33 @@ def target_achievement(df: DataFrame, rev: str, target: str) -> DataFrame:
 
 
 def regional_gap(df: DataFrame, region: str, rev: str, min_n: int = 3) -> DataFrame:
-    """N-62: per region revenue (n >= 3), share, best / worst gap."""
+    """N-62: per region revenue (regions with ``min_n`` values), share, and the gap between the mean
+    of the region with the largest revenue and that of the one with the smallest, in per cent of
+    the latter (of 1, where that mean is below 1); null for a single region."""
     g = (df.where(F.col(region).isNotNull()).groupBy(region)
-           .agg(F.sum(rev).alias("revenue"), F.avg(rev).alias("avg_revenue"), F.count(F.lit(1)).cast("bigint").alias("n"))
+           .agg(F.sum(rev).alias("revenue"), F.avg(rev).alias("avg_revenue"), F.count(rev).cast("bigint").alias("n"))
            .where(F.col("n") >= min_n))
-    tot = g.agg(F.sum("revenue").alias("t"), F.max("avg_revenue").alias("best"),
-                F.min("avg_revenue").alias("worst")).first()
-    gap = F.try_divide((F.lit(tot["best"]) - F.lit(tot["worst"])) * 100.0, F.lit(tot["worst"]))
+    of = F.struct("revenue", region)
+    tot = g.agg(F.sum("revenue").alias("t"), F.max_by("avg_revenue", of).alias("best"),
+                F.min_by("avg_revenue", of).alias("worst"), F.count(F.lit(1)).alias("regions")).first()
+    gap = (tot["best"] - tot["worst"]) * 100.0 / max(tot["worst"], 1.0) if tot["regions"] > 1 else None
     return g.select(region, "revenue", "avg_revenue", "n", (F.col("revenue") / F.lit(tot["t"]) * 100.0).alias("share_pct"),
-                    gap.alias("best_worst_gap_pct"))
+                    F.lit(gap).cast("double").alias("best_worst_gap_pct"))
 
 
-def product_concentration(df: DataFrame, product: str, rev: str) -> DataFrame:
-    """N-63: top product share (> 40 % concentrated) and bottom-3 share."""
-    g = df.where(F.col(product).isNotNull()).groupBy(product).agg(F.sum(rev).alias("r"))
-    total = g.agg(F.sum("r")).first()[0]
+def product_concentration(df: DataFrame, product: str, rev: str, min_n: int = 3) -> DataFrame:
+    """N-63: top product share (> 40 % concentrated) and bottom-3 share, over the products with
+    ``min_n`` values; no row for fewer than two such products."""
+    g = (df.where(F.col(product).isNotNull()).groupBy(product).agg(F.sum(rev).alias("r"), F.count(rev).alias("n"))
+           .where(F.col("n") >= min_n))
+    total = g.agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("products")).first()
+    schema = "top_product string, top_share_pct double, concentrated boolean, bottom3_share_pct double"
+    if total["products"] < 2:
+        return df.sparkSession.createDataFrame([], schema)
     top = g.orderBy(F.col("r").desc(), F.col(product)).first()
     bottom3 = g.orderBy(F.col("r").asc(), F.col(product)).limit(3).agg(F.sum("r")).first()[0]
-    spark = df.sparkSession
-    ts = top["r"] / total * 100.0
-    return spark.createDataFrame([(top[product], ts, ts > 40, bottom3 / total * 100.0)],
-                                 "top_product string, top_share_pct double, concentrated boolean, bottom3_share_pct double")
+    ts = top["r"] / total["r"] * 100.0
+    return df.sparkSession.createDataFrame([(top[product], ts, ts > 40, bottom3 / total["r"] * 100.0)], schema)
 
 
 def loss_rows(df: DataFrame, margin: str, warn_pct: float = 10.0) -> DataFrame:

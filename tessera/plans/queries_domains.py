@@ -162,7 +162,7 @@ def q_n23(spark, sf):
 @register("N24_cost_concentration_and_opex_ratio", with_views("""
 , g AS (SELECT cat, sum(cost) AS c FROM finance WHERE cat IS NOT NULL GROUP BY cat)
 , r AS (SELECT *, row_number() OVER (ORDER BY c DESC, cat) AS rk FROM g)
-, t AS (SELECT sum(cost) AS tc, sum(rev) AS tr, sum(opex) AS topx FROM finance)
+, t AS (SELECT sum(cost) FILTER (WHERE cat IS NOT NULL) AS tc, sum(rev) AS tr, sum(opex) AS topx FROM finance)
 SELECT (SELECT cat FROM r WHERE rk = 1) AS top_category,
        round((SELECT c FROM r WHERE rk = 1) / tc * 100.0, 6) AS top_share_pct,
        round((SELECT sum(c) FROM r WHERE rk <= 2) / tc * 100.0, 6) AS top2_share_pct,
@@ -177,8 +177,8 @@ def q_n24(spark, sf):
 , top AS (SELECT cat, r FROM g ORDER BY r DESC, cat LIMIT 1)
 , p AS (SELECT period, sum(cost) AS c FROM finance WHERE period IS NOT NULL GROUP BY period)
 , gr AS (SELECT (arg_max(c, period) - arg_min(c, period)) * 100.0 / arg_min(c, period) AS growth FROM p)
-SELECT top.cat AS top_category, round(top.r / (SELECT sum(rev) FROM finance) * 100.0, 6) AS top_share_pct,
-       top.r / (SELECT sum(rev) FROM finance) * 100.0 > 50 AS revenue_concentrated,
+SELECT top.cat AS top_category, round(top.r / (SELECT sum(r) FROM g) * 100.0, 6) AS top_share_pct,
+       top.r / (SELECT sum(r) FROM g) * 100.0 > 50 AS revenue_concentrated,
        round(growth, 6) AS cost_growth_pct, growth > 15 AS cost_growth_high FROM top, gr""", "finance"))
 def q_n25(spark, sf):
     return rounded(fin.revenue_concentration(finance_view(spark, sf), "cat", "rev", "cost", "period"))
@@ -263,7 +263,7 @@ def q_n41(spark, sf):
 , s AS (SELECT "column", count(v) AS n, avg(v) AS mean, quantile_cont(v, 0.5) AS median,
                skewness(v) * (count(v) - 2) / sqrt(count(v) * (count(v) - 1.0)) AS skew FROM long WHERE v IS NOT NULL GROUP BY "column")
 SELECT "column", round(mean, 6) AS mean, round(median, 6) AS median, round(skew, 6) AS skew,
-       CASE WHEN "column" = 'price' AND skew > 1 THEN 'right-skewed prices'
+       CASE WHEN "column" = 'price' AND skew > 1.5 THEN 'right-skewed prices'
             WHEN "column" = 'discount' AND mean > 55 THEN 'critical discount erosion'
             WHEN "column" = 'discount' AND mean > 40 THEN 'discount erosion' ELSE 'ok' END AS signal FROM s WHERE n >= 3""",
     "ecommerce"))
@@ -333,17 +333,18 @@ def q_n61(spark, sf):
 
 
 @register("N62_regional_gap_sales", with_views("""
-, g AS (SELECT region, sum(rev) AS revenue, avg(rev) AS avg_revenue, count(*) AS n FROM sales WHERE region IS NOT NULL
-        GROUP BY region HAVING count(*) >= 3)
-, t AS (SELECT sum(revenue) AS tr, max(avg_revenue) AS b, min(avg_revenue) AS w FROM g)
+, g AS (SELECT region, sum(rev) AS revenue, avg(rev) AS avg_revenue, count(rev) AS n FROM sales WHERE region IS NOT NULL
+        GROUP BY region HAVING count(rev) >= 3)
+, t AS (SELECT sum(revenue) AS tr, (SELECT avg_revenue FROM g ORDER BY revenue DESC, region DESC LIMIT 1) AS b,
+               (SELECT avg_revenue FROM g ORDER BY revenue, region LIMIT 1) AS w FROM g)
 SELECT region, round(revenue, 2) AS revenue, round(avg_revenue, 6) AS avg_revenue, CAST(n AS BIGINT) AS n,
-       round(revenue / tr * 100.0, 6) AS share_pct, round((b - w) * 100.0 / w, 6) AS best_worst_gap_pct FROM g, t""", "sales"))
+       round(revenue / tr * 100.0, 6) AS share_pct, round((b - w) * 100.0 / greatest(w, 1), 6) AS best_worst_gap_pct FROM g, t""", "sales"))
 def q_n62(spark, sf):
     return rounded(sl.regional_gap(sales_view(spark, sf), "region", "rev"), {"revenue": 2})
 
 
 @register("N63_product_concentration_sales", with_views("""
-, g AS (SELECT product, sum(rev) AS r FROM sales WHERE product IS NOT NULL GROUP BY product)
+, g AS (SELECT product, sum(rev) AS r FROM sales WHERE product IS NOT NULL GROUP BY product HAVING count(rev) >= 3)
 , t AS (SELECT sum(r) AS tr FROM g)
 , top AS (SELECT product, r FROM g ORDER BY r DESC, product LIMIT 1)
 , b3 AS (SELECT sum(r) AS s FROM (SELECT r FROM g ORDER BY r ASC, product LIMIT 3))
@@ -415,7 +416,7 @@ SELECT '{c}' AS "column", flag, CAST({c} AS DOUBLE) AS v FROM (SELECT {LEFT} = 1
 SELECT "column", round(lm, 6) AS left_mean, round(sm, 6) AS stay_mean, CAST(n1 AS BIGINT) AS n_flag, CAST(n2 AS BIGINT) AS n_rest,
        round(u1, 6) AS u_stat,
        round((greatest(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tt / ((n1 + n2) * (n1 + n2 - 1.0)))), 6) AS z,
-       round((lm - sm) * 100.0 / abs(sm), 6) AS diff_pct FROM u"""
+       round((lm - sm) * 100.0 / abs(sm), 6) AS diff_pct FROM u WHERE n1 >= 5 AND n2 >= 5"""
 
 
 @register("N3_numeric_drivers_stats_hr", with_views(_mwu_sql(["satisfaction", "tenure", "hours", "projects"]), "hr"))
