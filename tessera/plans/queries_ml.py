@@ -10,15 +10,10 @@ from .catalog import register, rounded
 from .views import hr_view, with_views
 
 HR_FEATURES = ["satisfaction", "tenure", "hours", "projects", "promotion", "dept", "salary"]
-_FITS: dict = {}
 
 
 def _fit(spark, sf, target="left", task=None, features=HR_FEATURES):
-    key = (sf, target, task)
-    if key not in _FITS:
-        d = hr_view(spark, sf)
-        _FITS[key] = ml.train_models(d, target, features, key_cols=["emp_id"], task=task)
-    return _FITS[key]
+    return ml.train_models(hr_view(spark, sf), target, features, key_cols=["emp_id"], task=task)
 
 
 @register("M1_detect_task_hr_columns")
@@ -96,8 +91,10 @@ def q_m17(spark, sf):
 
 @register("M19_ml_insights_attrition")
 def q_m19(spark, sf):
-    res, _, _, _ = _fit(spark, sf)
-    return rounded(ml.ml_insights(res, "classification"))
+    res, fitted, prepared, names = _fit(spark, sf)
+    best = res.where(F.col("is_best")).first()["name"]
+    return rounded(ml.ml_insights(res, "classification", ml.feature_importance(fitted[best], names, prepared),
+                                  ml.imbalance_warning(hr_view(spark, sf), "left")))
 
 
 @register("M20_smart_feature_defaults_hr")
