@@ -45,18 +45,6 @@ def q_l5(spark, sf):
                                           F.round(F.sum("l_extendedprice"), 2).alias("price"))
 
 
-@register("L6_L7_clean_column_names_customer")
-def q_l6(spark, sf):
-    c = read_table(spark, sf, "customer")
-    messy = ["﻿ c_custkey ", "Unnamed: 1", "c_nationkey", "", "c_nationkey"]
-    loader = files.clean_column_names(messy, "loader")
-    sanit = files.clean_column_names(messy, "sanitizer")
-    renamed = c.toDF(*sanit)
-    return spark.createDataFrame([(o, a, b) for o, a, b in zip(messy, loader, sanit)],
-                                 "original string, loader_name string, sanitizer_name string") \
-        .withColumn("columns_after", F.lit(",".join(renamed.columns)))
-
-
 @register("L8_infinite_values_to_null", """
 SELECT CAST(count(*) FILTER (WHERE l_tax = 0) AS BIGINT) AS inf_values,
        CAST(count(*) FILTER (WHERE l_tax <> 0) AS BIGINT) AS non_null_after FROM lineitem""")
@@ -138,15 +126,6 @@ def q_v2(spark, sf):
                              .otherwise("ok").alias("tier")))
 
 
-@register("V5_bad_column_names")
-def q_v5(spark, sf):
-    c = read_table(spark, sf, "customer")
-    names = [" c_custkey", "Unnamed: 1", "c_nationkey", "", "c_mktsegment "]
-    bad = val.bad_column_names(names)
-    return spark.createDataFrame([(n, n in bad) for n in names], "column string, is_bad boolean") \
-        .withColumn("n_table_columns", F.lit(len(c.columns)))
-
-
 @register("V7_mixed_type_detection", """
 WITH d AS (SELECT CASE WHEN l_orderkey % 2 = 0 THEN CAST(l_quantity AS VARCHAR) ELSE l_returnflag END AS mixed,
                   l_returnflag AS text_only FROM lineitem)

@@ -11,7 +11,7 @@ from ..operators.domains import dispatch
 from ..sources.tables import read_table
 from .catalog import register, rounded
 from .queries_corr import spearman_sql
-from .views import ecommerce_view, finance_view, hr_view, messy_view, sales_view, with_views
+from .views import ecommerce_view, hr_view, messy_view, sales_view, with_views
 
 
 # ------------------------------------------------------------------ S-*
@@ -170,18 +170,6 @@ def q_m18(spark, sf):
 
 
 # ------------------------------------------------------------------ D-*
-@register("D2_find_col_role_bindings")
-def q_d2(spark, sf):
-    rows = []
-    for name, fn in [("hr", hr_view), ("sales", sales_view), ("finance", finance_view), ("ecommerce", ecommerce_view)]:
-        cols = fn(spark, sf).columns
-        for role, kws in [("revenue", ["rev", "revenue", "sales"]), ("cost", ["cost", "expense"]),
-                          ("attrition", ["left", "attrition"]), ("rating", ["rating"]), ("target", ["target", "quota"]),
-                          ("department", ["dept", "department"]), ("period", ["period", "date", "month"])]:
-            rows.append((name, role, roles.find_col(cols, kws)))
-    return spark.createDataFrame(rows, "view string, role string, column string")
-
-
 @register("D3_hr_column_bindings_and_satisfaction_scale")
 def q_d3(spark, sf):
     h = hr_view(spark, sf)

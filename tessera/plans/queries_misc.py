@@ -12,7 +12,7 @@ from ..session import ensure_checkpoint_dir
 from ..sources import files, sinks
 from ..sources.tables import read_table
 from .catalog import register, rounded
-from .views import ecommerce_view, finance_view, hr_view, sales_view
+from .views import ecommerce_view, hr_view, sales_view
 
 
 def _shared_dir(spark, name: str) -> str:
@@ -21,22 +21,6 @@ def _shared_dir(spark, name: str) -> str:
     return f"{base.rstrip('/')}/tessera-exports/{name}-{uuid.uuid4().hex[:8]}"
 
 
-@register("D1_detect_domain_of_views")
-def q_d1(spark, sf):
-    rows = []
-    for vname, fn in [("hr", hr_view), ("sales", sales_view), ("finance", finance_view),
-                      ("ecommerce", ecommerce_view)]:
-        df = fn(spark, sf)
-        d, conf = roles.detect_domain(df.columns)
-        rows.append((vname, d, float(conf)))
-    return spark.createDataFrame(rows, "view string, domain string, confidence double")
-
-
-@register("D1_domain_scores_hr")
-def q_d1b(spark, sf):
-    return rounded(roles.domain_scores(hr_view(spark, sf)))
-
-
 @register("D4_column_roles_orders")
 def q_d4(spark, sf):
     return roles.column_roles(read_table(spark, sf, "orders"))
@@ -67,13 +51,6 @@ def q_d16c(spark, sf):
     return rounded(tools.dispatch(read_table(spark, sf, "orders"), "describe_column", {"column": "o_totalprice"}))
 
 
-@register("D16_tool_unknown_and_missing_column")
-def q_d16d(spark, sf):
-    o = read_table(spark, sf, "orders")
-    return tools.dispatch(o, "explode_everything", {}).unionByName(
-        tools.dispatch(o, "count_values", {"column": "no_such_column"}))
-
-
 @register("L2_csv_semicolon_roundtrip_orders_summary", """
 SELECT CAST(count(*) AS BIGINT) AS rows, round(sum(o_totalprice), 2) AS total_price,
        CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers,

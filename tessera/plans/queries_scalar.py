@@ -45,13 +45,6 @@ def q_p5(spark, sf):
         .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
-@register("P8_translated_column_names_of_views")
-def q_p8(spark, sf):
-    names = sorted(set(hr_view(spark, sf).columns + sales_view(spark, sf).columns + ecommerce_view(spark, sf).columns))
-    df = spark.createDataFrame([(n,) for n in names], "column string")
-    return df.select("column", sc.translate_name_col("column").alias("label"))
-
-
 @register("P9_P10_region_gap_and_rag", with_views("""
 , g AS (SELECT region, avg(rev) AS r FROM sales WHERE region IS NOT NULL GROUP BY region)
 , o AS (SELECT avg(rev) AS overall FROM sales)
