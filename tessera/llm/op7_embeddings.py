@@ -11,7 +11,8 @@ the vectors in double precision, and only that decides.
 Pairs meet in bands of code bits of several rotations.  At the threshold two codes differ in a
 share p = arccos(t) / pi of their bits, so a band of b bits agrees with probability
 (1 - p)^b; the number of bands is chosen for the wanted recall.  A pair counts in
-the first band where it meets.  A band's group is cut into blocks of ``block`` vectors,
+the first band where it meets.  Which groups have several members is found from the keys alone;
+only then does a vector travel, and only to those groups.  A band's group is cut into blocks of ``block`` vectors,
 and the pairs of blocks are compared in tasks of their own, so no group is
 gathered whole; each task returns link counts and a spanning forest, never all pairs.
 
@@ -61,9 +62,9 @@ def code_bands(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
 
 
 def _banded(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
-    """Add ``dim`` and ``keys`` (the band keys) to ``(label, vec, first, n)``."""
+    """Add ``dim`` and ``keys`` (the band keys) to ``(label, vec, first, n)``; ``bits`` are at most 31."""
     schema = T.StructType([*vectors.schema.fields, T.StructField("dim", T.IntegerType()),
-                           T.StructField("keys", T.ArrayType(T.LongType()))])
+                           T.StructField("keys", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +75,7 @@ def _banded(vectors: DataFrame, bits: int, bands: int) -> DataFrame:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.full(len(x), dim, np.int32)),
-                     pa.array(list(code_bands(x, bits, bands)), pa.list_(pa.int64()))], names=schema.names)
+                     pa.array(list(code_bands(x, bits, bands).astype(np.int32)), pa.list_(pa.int32()))], names=schema.names)
 
     return vectors.mapInArrow(run, schema)
 
@@ -144,26 +145,35 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Rows with a null label, and vectors that are null, empty, zero or hold a null or non-finite
     component, link with nothing; so do vectors of different length.  Repeated rows are vectors
-    of their own and link with each other.  Ids are whole numbers; rows with a null id have no
+    of their own and link with each other; different vectors that share an id are one node, whose
+    rows all report its links together.  Ids are whole numbers; rows with a null id have no
     place in a component: they link with nothing.
     """
     spark = vectors.sparkSession
-    d = pick(vectors, vec_id=id_col, vec=vector_col, label=label_col).withColumn("vec", F.col("vec").cast("array<double>"))
+    d = pick(vectors, vec_id=id_col, vec=vector_col, label=label_col)
+    single = d.schema["vec"].dataType == T.ArrayType(T.FloatType(), d.schema["vec"].dataType.containsNull)
+    if not single:  # single precision travels as it is and is widened where it is compared
+        d = d.withColumn("vec", F.col("vec").cast("array<double>"))
     limit = float(np.finfo(np.float64).max)
     usable = (F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vec") > 0)
               & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) <= limit)) & F.exists("vec", lambda v: v != 0))
-    # scaled by the largest component, so that no square overflows or vanishes
-    top = F.array_max(F.transform("vec", lambda v: F.abs(v)))
-    good = (d.where(usable).withColumn("top", top)
-            .withColumn("vec", F.when((F.col("top") > 1e100) | (F.col("top") < 1e-100),
-                                      F.expr("transform(vec, v -> v / top)")).otherwise(F.col("vec"))).drop("top"))
+    good = d.where(usable)
+    if not single:  # scaled by the largest component, so that no square overflows or vanishes
+        top = F.array_max(F.transform("vec", lambda v: F.abs(v)))
+        good = (good.withColumn("top", top)
+                .withColumn("vec", F.when((F.col("top") > 1e100) | (F.col("top") < 1e-100),
+                                          F.expr("transform(vec, v -> v / top)")).otherwise(F.col("vec"))).drop("top"))
     groups = materialize(good.groupBy(F.xxhash64("label").alias("label"), F.col("label").cast("string").alias("name"), "vec")
                          .agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n")), "vectors")
     bands = bands_needed(bits, threshold)
     coded = _banded(groups.select("label", "vec", F.col("first").cast("long").alias("first"), "n"), bits, bands)
-    rows = coded.select("*", F.posexplode("keys").alias("band", "key"))
-    sizes = rows.groupBy("label", "dim", "band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    met = rows.join(sizes, ["label", "dim", "band", "key"])
+    coded = coded.withColumn("vid", F.xxhash64("vec"))
+    one, group = ["label", "first", "vid", "dim"], ["label", "dim", "band", "key"]
+    keyed = coded.select(*one, F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    places = keyed.join(sizes, group).groupBy(*one).agg(F.collect_set(F.struct("band", "key", "size")).alias("places"))
+    met = (coded.join(places, one).withColumn("place", F.explode("places")).select("*", "place.*").drop("places", "place")
+           .where(F.get("keys", F.col("band")) == F.col("key")))  # holds always, but for vectors that share id and hash
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     met = (met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int"))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

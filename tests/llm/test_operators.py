@@ -233,6 +233,20 @@ def test_op7_vectors(spark):
     assert op7_embeddings.near_vectors(empty).count() == 0
 
 
+def test_op7_single_precision_gives_the_results_of_double(spark):
+    ship(spark)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((20, 16))
+    x = np.concatenate([base, *(base + 0.03 * rng.standard_normal(base.shape) for _ in range(5))]).astype(np.float32)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    floats = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    doubles = floats.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    got = [sorted(tuple(r) for r in op7_embeddings.near_vectors(d, block=8).collect()) for d in (floats, doubles)]
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum() - len(x)
+    assert got[0] == got[1] and len(got[0]) == len(rows) and sum(r[1] for r in got[0]) == links > 100
+
+
 def test_op7_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     a = rng.standard_normal((400, 64))
