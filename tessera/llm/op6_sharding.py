@@ -17,7 +17,7 @@ may be larger than a shard of equal count.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, pick
@@ -25,6 +25,16 @@ from .common import materialize, partitions, pick
 UNIT = 1 << 40
 
 
+def _digest(*parts: Column) -> Column:
+    """Hexadecimal MD5, so that any engine can shuffle the rows alike."""
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
+def _leading_bits(digest) -> Column:
+    """The first 40 bits of a hexadecimal digest as a number below ``UNIT``."""
+    return F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")
+
+
 def _ranked(df: DataFrame, keys: list[str], part: str, order: list) -> DataFrame:
     """0-based ``rank`` per ``keys`` by (``part``, ``order``), with no task holding a whole key."""
     sizes = df.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("_n"))
@@ -46,13 +56,15 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("source").isNull().alias("no_source"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text").alias("h"))
+        _digest(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"),
+                F.coalesce("text", F.lit(""))).alias("h"))
     d = materialize(d, "dealt")
     parts = 4 * partitions(d.sparkSession)
-    cut = F.floor(F.shiftrightunsigned("h", 24) * parts / F.lit(float(UNIT))).cast("int")
+    cut = F.floor(_leading_bits("h") * parts / F.lit(float(UNIT))).cast("int")
     first = _ranked(d.withColumn("part", cut), ["source", "no_source"], "part", ["h", "doc_id", "size", "text_crc32"])
     n = d.groupBy("source", "no_source").agg(F.count(F.lit(1)).alias("n"))
-    offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "source", "no_source"), 24) / F.lit(float(UNIT))
+    named = F.when(F.col("no_source"), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
+    offset = _leading_bits(_digest(F.lit(f"{seed}|"), named)) / F.lit(float(UNIT))
     spread = (first.drop("part").withColumnRenamed("rank", "r").join(n, ["source", "no_source"])
               .withColumn("at", (F.col("r") + offset) / F.col("n"))
               .withColumn("part", F.least(F.floor(F.col("at") * parts), F.lit(parts - 1)).cast("int")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_substring, op2_langid, op3_html, op4_simhash, op5_licenses, op6_sharding, op7_embeddings, op8_secrets, op9_bpe, op10_decontaminate
+from . import op1_substring, op2_langid, op3_html, op4_simhash, op5_licenses, op6_sharding, op7_embeddings, op8_secrets, op9_bpe, op10_decontaminate, oracles
 from .common import ship, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -63,4 +63,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_language_id, op3_html_extraction, op4_simhash_near_dups, op5_license_scan,
                                    op6_interleaved_shards, op7_embedding_near_dups, op8_secret_scan, op9_byte_bpe, op10_decontamination)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = oracles.SQL
