@@ -288,3 +288,46 @@ def test_name_helpers(spark):
     assert tools.dispatch(df, "explode_everything", {}).count() == 1
     d, scores = roles.detect_domain(["employee_id", "salary", "left"]), roles.domain_scores(df)
     assert d[0] == "hr" and scores.count() > 0
+
+
+def test_importance_of_the_best_model_whatever_its_kind(spark):
+    from tessera.operators import ml
+    rows = [(i, float(i % 10), float((i * 7) % 13), "c" + str(i % 10 // 4), "yes" if i % 10 > 5 else "no") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, z double, three string, two string")
+    for target, model in (("two", "Random Forest"), ("three", "Logistic Regression")):
+        res, fitted, prepared, names = ml.train_models(df, target, ["x", "z"], ["id"], task="classification", folds=2,
+                                                       model_names=[model])
+        row = res.first()
+        assert row["train_error"] is None and row["roc_auc"] > 0.9
+        top = ml.feature_importance(fitted[model], names, prepared).collect()
+        assert top[0]["feature"] == "x" and abs(sum(r["importance"] for r in top) - 1) < 1e-9
+        assert (top[0]["direction"] == "mixed") == (model == "Random Forest")
+
+
+def test_linear_importance_is_the_mean_absolute_contribution(spark):
+    import numpy as np
+    from tessera.operators import ml
+    rng = np.random.default_rng(4)
+    x, z = rng.exponential(1.0, 300), rng.choice([-1.0, 1.0], 300)
+    y = 2 * x - 3 * z + 0.01 * rng.standard_normal(300)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(x, z, y))], "id long, x double, z double, y double")
+    _, fitted, prepared, names = ml.train_models(df, "y", ["x", "z"], ["id"], task="regression", folds=2,
+                                                 model_names=["Ridge Regression"])
+    got = {r["feature"]: r for r in ml.feature_importance(fitted["Ridge Regression"], names, prepared).collect()}
+    part = {"x": 2 * np.abs(x - x.mean()).mean(), "z": 3 * np.abs(z - z.mean()).mean()}
+    for f, v in part.items():
+        assert abs(got[f]["importance"] - v / sum(part.values())) < 0.02
+    assert got["x"]["direction"] == "positive" and got["z"]["direction"] == "negative"
+
+
+def test_weighted_one_vs_rest_auc(spark):
+    from pyspark.ml.linalg import Vectors
+    from tessera.operators import ml
+    p = [(0, .7, .2, .1), (0, .3, .4, .3), (1, .5, .4, .1), (1, .1, .8, .1), (2, .1, .1, .8), (2, .2, .6, .2), (2, .3, .3, .4)]
+    df = spark.createDataFrame([(float(r[0]), Vectors.dense(r[1:])) for r in p], ["label", "probability"])
+
+    def auc(k):
+        pos, neg = [r[k + 1] for r in p if r[0] == k], [r[k + 1] for r in p if r[0] != k]
+        return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    want = sum(auc(k) * sum(r[0] == k for r in p) for k in range(3)) / len(p)
+    assert abs(ml._ovr_auc(df, 3) - want) < 1e-9 and ml._ovr_auc(df, 4) is None
