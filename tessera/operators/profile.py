@@ -149,7 +149,7 @@ def column_profiles(df: DataFrame) -> DataFrame:
                       .cast("bigint"))
           .withColumn("outlier_pct", F.when(is_num, F.coalesce(F.bround("_opct", 1), F.lit(0.0)))
                       .otherwise(0.0))
-          .withColumn("top_value", F.when(is_cat, F.substring("top_value", 1, 50)))
+          .withColumn("top_value", F.when(is_cat, F.col("top_value")))
           .withColumn("top_value_pct", F.when(is_cat & F.col("top_cnt").isNotNull(), F.bround(
               F.col("top_cnt") / F.greatest(nn - F.col("missing_count"), F.lit(1.0)) * 100.0, 1)))
           .withColumn("value_counts", F.when(is_cat, F.col("value_counts"))))

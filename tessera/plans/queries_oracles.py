@@ -74,10 +74,11 @@ SELECT CAST(least(greatest(CAST(ceil((price - lo) / ((hi - lo) / 20)) AS BIGINT)
 attach_oracle("D11_trend_facts_monthly_order_price", """
 WITH m AS (SELECT last_day(o_orderdate) AS p, avg(o_totalprice) AS v FROM orders
            WHERE o_orderdate IS NOT NULL AND o_totalprice IS NOT NULL GROUP BY 1)
-, a AS (SELECT arg_min(v, p) AS f, arg_max(v, p) AS l, count(*) AS n FROM m)
-SELECT round(f, 6) AS "first", round(l, 6) AS "last", CAST(n AS BIGINT) AS n_periods,
-       round((l - f) * 100.0 / abs(f), 6) AS change_pct,
-       CASE WHEN (l - f) * 100.0 / abs(f) > 2 THEN 'up' WHEN (l - f) * 100.0 / abs(f) < -2 THEN 'down' ELSE 'flat' END AS direction FROM a""")
+, o AS (SELECT v, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS n FROM m)
+, a AS (SELECT avg(v) FILTER (i <= n // 2) AS f, avg(v) FILTER (i > n // 2) AS l, count(*) AS n FROM o)
+, c AS (SELECT *, (l - f) * 100.0 / greatest(abs(f), 0.001) AS chg FROM a)
+SELECT round(f, 6) AS first_half, round(l, 6) AS second_half, CAST(n AS BIGINT) AS n_periods, round(chg, 6) AS change_pct,
+       CASE WHEN chg > 2 THEN 'improved' WHEN chg < -2 THEN 'declined' ELSE 'stable' END AS direction FROM c""")
 
 # A-14 page form: its text column uses %g formatting, which differs between the
 # JVM and C printf, so it keeps the rows-only check (the engine form has an oracle).

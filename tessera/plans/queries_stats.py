@@ -180,7 +180,7 @@ SELECT "column", dtype, inferred_type, CAST(n AS BIGINT) AS n_rows, CAST(missing
        round(CASE WHEN is_num THEN max_val END, 6) AS max_val, round(CASE WHEN is_num THEN q25 END, 6) AS q25,
        round(CASE WHEN is_num THEN q75 END, 6) AS q75, round(CASE WHEN is_num THEN skewness END, 6) AS skewness,
        CAST(outlier_count AS BIGINT) AS outlier_count, outlier_pct,
-       CASE WHEN is_cat THEN substr(top_value, 1, 50) END AS top_value,
+       CASE WHEN is_cat THEN top_value END AS top_value,
        CASE WHEN is_cat AND top_cnt IS NOT NULL THEN round_even(top_cnt / greatest(n - missing, 1.0) * 100.0, 1) END AS top_value_pct,
        min_date, max_date, date_range_days,
        greatest(0.0, round_even(CASE WHEN inferred_type = 'id' THEN least(raw_score, 80.0) ELSE raw_score END, 1)) AS quality_score

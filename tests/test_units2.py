@@ -331,3 +331,20 @@ def test_weighted_one_vs_rest_auc(spark):
         return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
     want = sum(auc(k) * sum(r[0] == k for r in p) for k in range(3)) / len(p)
     assert abs(ml._ovr_auc(df, 3) - want) < 1e-9 and ml._ovr_auc(df, 4) is None
+
+
+def test_chart_facts_by_group_means_and_halves(spark):
+    from tessera.operators import charts
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 10.0), ("c", 2.0), (None, 99.0), ("d", None)], "k string, v double")
+    bar = charts.bar_facts(df, "k", "v").first()
+    assert (bar["top"], bar["worst"], bar["n_groups"], bar["gap_pct"]) == ("b", "a", 3, 400.0)
+    assert bar["avg_value"] == 23.0 and bar["n_above_avg"] == 0  # over all rows, the unnamed one too
+    pie = charts.share_facts(df, "k", "v").first()
+    assert pie["top"] == "b" and abs(pie["top_share"] - 1000 / 14) < 1e-9 and abs(pie["top2_share"] - 1200 / 14) < 1e-9
+    assert pie["n_segments"] == 3 and not pie["balanced"]
+    even = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 1.0)], "k string, v double")
+    assert charts.share_facts(even, "k", "v").first()["top"] == "a" and charts.share_facts(even, "k", "v").first()["balanced"]
+    none = df.where("k = 'z'")
+    assert charts.bar_facts(none, "k", "v").count() == 0 and charts.share_facts(none, "k", "v").count() == 0
+    up = charts.trend_facts(spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5])], "p int, v double"), "p", "v")
+    assert tuple(up.first())[:3] == (1.5, 4.0, 5) and up.first()["direction"] == "improved"
