@@ -5,12 +5,12 @@ sensitive word on its line is a candidate.  It is compressed with a raw dictiona
 made of common identifiers and the text around it (both sides, without the
 string itself).  Identifiers, paths and prose repeat what is in the dictionary and
 cost few bytes; a secret does not repeat anything.  Candidates whose marginal bytes
-come close to their length, and that mix letters with digits, are reported.
+come close to what their alphabet allows, and that mix letters with digits, are reported.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,19 +39,39 @@ IDENTIFIERS = (b"access_token refresh_token api_key apikey secret_key private_ke
                b"ABCDEFGHIJKLMNOPQRSTUVWXYZ 00000000 ffffffff example placeholder your_token_here changeme xxxxxxxx")
 
 
-def marginal_bytes(candidate: bytes, around: bytes) -> int:
-    """Bytes that a candidate adds to a frame primed with identifiers and its surroundings."""
+def marginal_bytes(parts: list[bytes], around: bytes) -> list[int]:
+    """Bytes that each part adds to a frame of its own, primed with identifiers and the surroundings."""
     d = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     c = zstandard.ZstdCompressor(level=19, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(c.compress(candidate)) - len(c.compress(b""))
+    empty = len(c.compress(b""))
+    return [len(c.compress(x)) - empty for x in parts]
+
+
+def _cut(text: bytes, most: int) -> list[bytes]:
+    """Consecutive parts of about equal length, none above ``most``."""
+    n = -(-len(text) // most)
+    return [text[len(text) * i // n:len(text) * (i + 1) // n] for i in range(n)]
+
+
+def is_novel(candidate: bytes, around: bytes, ratio: float = 0.9, piece: int = 24, most: int = 1 << 12) -> bool:
+    """Whether a candidate repeats neither the dictionary nor itself.
+
+    Huffman codes bring any long string towards the share of its alphabet, log2(characters) / 8, be it
+    random or not.  They do not pay on pieces of up to ``piece`` bytes, so these must cost ``ratio`` of
+    the length; parts of up to ``most`` bytes must cost ``ratio`` of their alphabet's share.
+    """
+    if sum(marginal_bytes(_cut(candidate, piece), around)) < ratio * len(candidate):
+        return False
+    parts = _cut(candidate, most) if len(candidate) > piece else []
+    share = sum(len(x) * math.log2(len(set(x))) / 8 for x in parts)
+    return sum(marginal_bytes(parts, around)) >= ratio * share
 
 
 def find_spans(text: bytes, window: int = 512, ratio: float = 0.9, most: int = 1 << 12) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in bytes, by start and kind.
 
-    ``window`` bytes on both sides of a candidate prime the dictionary; it is reported
-    if its marginal bytes reach ``ratio`` of its length.  Longer candidates than ``most``
-    bytes are measured piece by piece.
+    ``window`` bytes on both sides of a candidate prime the dictionary; ``ratio`` and
+    ``most`` are those of :func:`is_novel`.
     """
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
@@ -63,8 +83,7 @@ def find_spans(text: bytes, window: int = 512, ratio: float = 0.9, most: int = 1
         if any(x < b and a < y for x, y in base) or not (_LETTER.search(c) and _DIGIT.search(c)):
             continue
         around = text[max(0, a - window):a] + text[b:b + window]
-        cost = sum(marginal_bytes(c[i:i + most], around) for i in range(0, len(c), most))
-        if cost >= ratio * len(c):
+        if is_novel(c, around, ratio, most=most):
             out.append(("novel", a, b))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

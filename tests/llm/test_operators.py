@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -284,6 +285,24 @@ def test_op8_secrets(docs, none):
     assert op8_secrets.secret_report(none).count() == 0
 
 
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits,
+             "base32": string.ascii_uppercase + "234567", "hex": string.digits + "ABCDEF"}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_op8_novel_strings_of_any_length(alphabet):
+    rng = random.Random(5)
+    lengths = [16, 24, 40, 64, 100, 150, 200, 250, 400, 1000, 2000, 4096, 10000]
+    for n in lengths:
+        for _ in range(20):
+            s = "A7" + "".join(rng.choices(ALPHABETS[alphabet], k=n - 2))
+            s = re.sub(r"\d{12}", lambda m: m[0][:11] + "A", s)  # sixteen digits would be a base span
+            text = f"the header has bearer {s} and so on".encode()
+            assert [(k, b - a) for k, a, b in op8_secrets.find_spans(text) if k == "novel"] == [("novel", n)], (n, s)
+    for dull in ("a1" * 200, "access_token1" * 30, "0" * 300 + "x", "config/settings/application/" * 9 + "1"):
+        assert "novel" not in {k for k, *_ in op8_secrets.find_spans(f"the header has bearer {dull} and so on".encode())}, dull
+
+
 def test_op9_round_trip(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=op9_bpe.load_ranks(path), special_tokens={})
