@@ -1,8 +1,8 @@
 """Secret scan: fixed patterns, and novelty under dictionary-primed zstandard.
 
-Beside the fixed patterns, a string of 16 or more token characters that follows a
-sensitive word on its line is a candidate.  It is compressed with a raw dictionary
-made of common identifiers and the text around it (both sides, without the
+Beside the fixed patterns, a string of 16 or more token characters with a sensitive
+word in the text around it is a candidate; names before ``=`` are no part of it, and the
+lines of a block follow their first one.  It is compressed with a raw dictionary made of common identifiers and the text around it (both sides, without the
 string itself).  Identifiers, paths and prose repeat what is in the dictionary and
 cost few bytes; a secret does not repeat anything.  Candidates whose marginal bytes
 come close to what their alphabet allows, and that mix letters with digits, are reported.
@@ -10,6 +10,7 @@ come close to what their alphabet allows, and that mix letters with digits, are
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -26,8 +27,13 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(rb"[0-9a-f]{16,}")
-_CONTEXT = re.compile(rb"(?:key|token|secret|passw|pwd|auth|bearer|credential|signature|private)[^\n]{0,40}?"
-                      rb"(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_.=-]{16,})", re.I)
+_WORD = re.compile(rb"key|token|secret|passw|pwd|auth|bearer|credential|signature|private", re.I)
+_RUN = re.compile(rb"[A-Za-z0-9+/_.=-]{16,}")
+_VALUE = re.compile(rb"[^=]{16,}(?:=+\Z)?")
+_NAMES = re.compile(rb"(?:[A-Za-z_][A-Za-z_.-]*=+)*")
+_NEXT_LINE = re.compile(rb"[\x20\t]*\r?\n[\x20\t]*")
+#: The last, short line of a PEM block.
+_TAIL = re.compile(rb"\r?\n[A-Za-z0-9+/]{1,15}={0,2}(?=\r?\n-----END)")
 _LETTER, _DIGIT = re.compile(rb"[A-Za-z]"), re.compile(rb"[0-9]")
 #: Common identifiers, the part of the dictionary that no text needs to supply.
 IDENTIFIERS = (b"access_token refresh_token api_key apikey secret_key private_key public_key password passwd username "
@@ -67,24 +73,73 @@ def is_novel(candidate: bytes, around: bytes, ratio: float = 0.9, piece: int = 2
     return sum(marginal_bytes(parts, around)) >= ratio * share
 
 
+def candidates(text: bytes) -> Iterator[tuple[int, int]]:
+    """Strings of token characters, without the names that stand before ``=``; with letters and digits."""
+    for m in _RUN.finditer(text):
+        run = m[0]
+        found = [x.span() for x in _VALUE.finditer(run)]
+        if not found:
+            head = _NAMES.match(run).end()
+            found = [(head, len(run))] if len(run) - head >= 16 else []
+        for a, b in found:
+            if _LETTER.search(run, a, b) and _DIGIT.search(run, a, b):
+                yield m.start() + a, m.start() + b
+
+
+def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _outside(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted disjoint spans leave of ``a`` to ``b``."""
+    out = []
+    for i in range(max(0, bisect.bisect_right(spans, (a,)) - 1), len(spans)):
+        x, y = spans[i]
+        if x >= b:
+            break
+        if a < x:
+            out.append((a, x))
+        a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
 def find_spans(text: bytes, window: int = 512, ratio: float = 0.9, most: int = 1 << 12) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` in bytes, by start and kind.
 
-    ``window`` bytes on both sides of a candidate prime the dictionary; ``ratio`` and
-    ``most`` are those of :func:`is_novel`.
+    ``window`` bytes on both sides of a candidate must hold a sensitive word, unless it is
+    the next line of a secret, and prime the dictionary; ``ratio`` and ``most`` are those of
+    :func:`is_novel`.  A candidate is left to the fixed patterns only if they cover it;
+    of one that is not novel as a whole, the parts that they leave are measured.
     """
     out = [("assign", *m.span()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     out += [("access", *m.span()) for m in _ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in _HEX.finditer(text)]
-    base = sorted((a, b) for _, a, b in out)
-    for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        c = m[1]
-        if any(x < b and a < y for x, y in base) or not (_LETTER.search(c) and _DIGIT.search(c)):
+    base = _union(sorted((a, b) for _, a, b in out))
+    last = -1  # end of the candidate before, if it was secret
+    for a, b in candidates(text):
+        follows = last >= 0 and _NEXT_LINE.fullmatch(text, last, a)
+        last = -1
+        before, after = text[max(0, a - window):a], text[b:b + window]
+        if not (follows or _WORD.search(before) or _WORD.search(after)):
+            continue
+        free = _outside(a, b, base)
+        new = lambda x, y: is_novel(text[x:y], (before + after).replace(text[x:y], b""), ratio, most=most)
+        if not free:
+            last = b
             continue
-        around = text[max(0, a - window):a] + text[b:b + window]
-        if is_novel(c, around, ratio, most=most):
-            out.append(("novel", a, b))
+        found = [(a, b)] if new(a, b) else [(x, y) for x, y in free if (x, y) != (a, b) and y - x >= 16 and new(x, y)]
+        if found and found[-1][1] == b:
+            last = b
+            tail = _TAIL.match(text, b)
+            found[-1] = found[-1][0], tail.end() if tail else b
+        out += [("novel", x, y) for x, y in found]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
