@@ -56,13 +56,17 @@ _UNIT = re.compile(r"((?:.){1,24}?)\1+", re.S)
 
 
 def _label(name: str, attrs: str) -> str:
-    """Tag name with the telling words of its class, id and role."""
+    """Tag name with the words of its class, id and role; all telling ones, many others in short."""
     if "=" not in attrs:
         return name
     words = set()
     for m in _CLASS.finditer(attrs):
         words.update(_PART.findall(_CAMEL.sub(" ", m[1] or m[2] or m[3] or "").lower()))
-    return ".".join([name, *sorted(words)[:6]]) if words else name
+    telling = words & OUTSIDE_WORDS
+    plain = sorted(words - telling)
+    if len(plain) > 6:  # the rest only tells labels apart
+        plain[6:] = [f"+{xxhash.xxh32_hexdigest(' '.join(plain[6:]))}"]
+    return ".".join([name, *sorted(telling), *plain])
 
 
 def read_page(text: str | None) -> tuple[list[str], list[tuple[str, str, int]]]:

@@ -104,6 +104,18 @@ def test_op3_articles(spark, docs):
     assert op3_html.extract_articles(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_op3_many_class_words(spark):
+    ship(spark)
+    aside = "<div class='%s'><p>Aside %d</p></div>"
+    kinds = ["col-md-4 d-none d-lg-block sticky widget sidebar", "block flex gap grid items layout sidebar",
+             "align-b bg-c border-d flex-e grid-f inline-g justify-h share"]
+    pages = [(i, f"http://c.example/{i}", PAGE % ("<main><p>Text %d</p>%s</main>" % (i, aside % (kinds[i % 3], i)))) for i in range(9)]
+    got = op3_html.extract_articles(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Text {i}" for i in range(9)}
+    label = lambda c: op3_html._label("div", f'class="{c}"')
+    assert label("a b c d e f g h") != label("a b c d e f g i") and label("b a") == label("a b") == "div.a.b"
+
+
 def test_op3_wrappers_do_not_depend_on_the_group_size(spark):
     ship(spark)
     pages = [(i, "http://h/" + str(i), PAGE % ("<article><h1>A</h1>" + "<p>x</p>" * (i % 7) + "<ul><li>y</li></ul>" * (i % 3)
