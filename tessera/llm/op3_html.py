@@ -7,9 +7,11 @@ regular expression, its wrapper: equal tokens stay, tokens that some pages lack
 optional, groups that some pages repeat become repeated, and a text position is a
 constant while all pages agree and a text slot once they differ.
 
-The wrapper decides which slots hold the article: those below ``article`` or ``main``
-that are in no menu, header, footer, sidebar, notice, advert, form or comment list; on hosts
-without such an element, the container with the most varying text outside links.
+Tag and class words name the parts: no text of a menu, header, footer, sidebar, notice, advert,
+form or comment list is an article's.  Of a page with ``article`` or ``main``, the slots below them
+are; of any other page, those of the host's container with the most varying text outside links, or
+of its own one if it holds little or nothing of that.  The wrapper then takes away what is
+constant there: texts that all pages with a slot share, at least three different pages.
 
 Skeletons are counted before the shuffle, and a host with many of them is merged in groups of
 bounded size, level by level, so a host may hold any share of the pages.
@@ -169,15 +171,19 @@ def fold(tokens: list[str]) -> tuple[list[str], list[bool], list[int]]:
         of = [move[i] for i in of]
 
 
-# A wrapper is a list of nodes [token, repeated, optional, path, text hash (0: varies), pages, characters, linked characters].
-TOKEN, REPEATED, OPTIONAL, PATH, TEXT, PAGES, CHARS, LINKED = range(8)
+# A wrapper is a list of nodes [token, repeated, optional, path, text hash (0: varies), pages, characters, linked characters,
+# hashes of the texts that all pages share, digests of different pages (the least three)].
+TOKEN, REPEATED, OPTIONAL, PATH, TEXT, PAGES, CHARS, LINKED, COMMON, SEEN = range(10)
+#: Different pages that must agree before a text is constant.
+AGREE = 3
 
 
 def skeleton(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
     """A page's wrapper, and its texts as ``(node, text)`` in page order."""
     tokens, slots = read_page(page)
     kept, rep, of = fold(tokens)
-    nodes = [[t, r, False, "", 0, 1, 0, 0] for t, r in zip(kept, rep)]
+    seen = xxhash.xxh32_intdigest("\n".join(text for path, text, _ in slots if not _outside(path)))
+    nodes = [[t, r, False, "", 0, 1, 0, 0, [], [seen]] for t, r in zip(kept, rep)]
     texts, k = [], 0
     for i, t in enumerate(tokens):
         if t == "#":
@@ -186,10 +192,13 @@ def skeleton(page: str | None) -> tuple[list[list], list[tuple[int, str]]]:
             h = xxhash.xxh32_intdigest(text) or 1
             node[TEXT] = h if not node[CHARS] or node[TEXT] == h else 0
             node[PATH] = path
+            node[COMMON].append(h)
             node[CHARS] += len(text)
             node[LINKED] += min(linked, len(text))
             texts.append((of[i], text))
             k += 1
+    for node in nodes:
+        node[COMMON] = sorted(set(node[COMMON]))
     return nodes, texts
 
 
@@ -201,7 +210,8 @@ def shape(nodes: list[list]) -> str:
 def add_up(a: list[list], b: list[list]) -> list[list]:
     """Two wrappers with the same tokens as one."""
     return [[x[TOKEN], x[REPEATED] or y[REPEATED], x[OPTIONAL] or y[OPTIONAL], x[PATH] or y[PATH],
-             x[TEXT] if x[TEXT] == y[TEXT] else 0, x[PAGES] + y[PAGES], x[CHARS] + y[CHARS], x[LINKED] + y[LINKED]]
+             x[TEXT] if x[TEXT] == y[TEXT] else 0, x[PAGES] + y[PAGES], x[CHARS] + y[CHARS], x[LINKED] + y[LINKED],
+             sorted(set(x[COMMON]).intersection(y[COMMON])), sorted({*x[SEEN], *y[SEEN]})[:AGREE]]
             for x, y in zip(a, b)]
 
 
@@ -248,22 +258,42 @@ def _inside(path: str) -> bool:
 def article_slots(wrapper: list[list]) -> set[str]:
     """Paths whose text belongs to the article, decided on the wrapper of a host."""
     slots = [n for n in wrapper if n[TOKEN] == "#" and not _outside(n[PATH])]
-    marked = {n[PATH] for n in slots if _inside(n[PATH])}
-    if marked:
-        return marked
-    pages = max((n[PAGES] for n in wrapper), default=0)
-    free = [n for n in slots if not (n[TEXT] and n[PAGES] >= 3 and pages >= 3) and n[LINKED] <= n[CHARS] / 2]
+    return {n[PATH] for n in slots if _inside(n[PATH])} or container_slots(wrapper)
+
+
+def _constant(n: list) -> bool:
+    return bool(n[TEXT]) and len(n[SEEN]) >= AGREE
+
+
+def _box(path: str) -> str:
+    """The container of a slot; headings and paragraphs count for the one around them."""
+    above, _, last = path.rpartition("/")
+    return above if last.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre") else path
+
+
+def container_slots(wrapper: list[list]) -> set[str]:
+    """Paths of the container that has most of the varying text outside links, of unmarked slots."""
+    free = [n for n in wrapper if n[TOKEN] == "#" and not (_outside(n[PATH]) or _inside(n[PATH]) or _constant(n))
+            and n[LINKED] <= n[CHARS] / 2]
     mass: dict[str, int] = {}
-    for n in free:  # headings and paragraphs count for the container around them
-        box = n[PATH].rpartition("/")[0] if n[PATH].rpartition("/")[2].split(".")[0] in (
-            "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre") else n[PATH]
-        mass[box] = mass.get(box, 0) + n[CHARS]
+    for n in free:
+        mass[_box(n[PATH])] = mass.get(_box(n[PATH]), 0) + n[CHARS]
     if not mass:
         return set()
     best = max(sorted(mass), key=lambda k: mass[k])
     return {n[PATH] for n in free if n[PATH] == best or n[PATH].startswith(best + "/")}
 
 
+def _key(path: str, h: int) -> int:
+    """A text at a path as a signed long."""
+    return xxhash.xxh64_intdigest(f"{h} {path}") - (1 << 63)
+
+
+def constant_texts(wrapper: list[list]) -> set[int]:
+    """Keys of the texts that all pages with a slot share, at least ``AGREE`` different ones."""
+    return {_key(n[PATH], h) for n in wrapper if n[TOKEN] == "#" and len(n[SEEN]) >= AGREE for h in n[COMMON]}
+
+
 def host_of(url: str | None) -> str:
     return re.sub(r"^[a-z][a-z0-9+.-]*://", "", (url or "").lower()).split("/")[0].split("?")[0].split("#")[0]
 
@@ -315,8 +345,8 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
                      broadcast_bytes: int = 16 << 20) -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per input row.
 
-    A null or empty page has empty text.  A null url is the host ``''``.  Repeated rows give
-    repeated results.  The paths of the article go to the pages of a host by a join; it is a
+    A null or empty page has empty text.  Pages without a host (null url) share no container.
+    Repeated rows give repeated results.  The rules go to the pages of a host by a join; it is a
     broadcast only if all of them together are measured below ``broadcast_bytes``.
     """
     d = pick(pages, page_id=id_col, url=url_col, html=html_col)
@@ -324,28 +354,48 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     def decide(batches):
         for b in batches:
-            paths = [sorted(article_slots(json.loads(w))) for w in b.column("wrapper").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(paths, pa.list_(pa.string()))], names=["host", "paths"])
-
-    rules = materialize(wrappers.mapInArrow(decide, "host string, paths array<string>"), "rules")
-    total = rules.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 64)).first()[0] or 0
+            hosts = b.column("host").to_pylist()
+            made = [json.loads(w) for w in b.column("wrapper").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), pa.array([sorted(container_slots(w)) if h else [] for h, w in zip(hosts, made)], pa.list_(pa.string())),
+                 pa.array([sorted(constant_texts(w)) for w in made], pa.list_(pa.int64()))], names=["host", "paths", "constants"])
+
+    rules = materialize(wrappers.mapInArrow(decide, "host string, paths array<string>, constants array<long>"), "rules")
+    total = rules.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 8 * F.size("constants") + 64)).first()[0] or 0
+    block = "path string, text string, key long, box string, mass long, marked boolean"
     schema = T.StructType([T.StructField("page_id", d.schema["page_id"].dataType), T.StructField("url", T.StringType()),
                            T.StructField("host", T.StringType()),
-                           T.StructField("blocks", T.ArrayType(T.StructType([T.StructField("path", T.StringType()),
-                                                                              T.StructField("text", T.StringType())])))])
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+                           T.StructField("blocks", T.ArrayType(T.StructType.fromDDL(block)))])
+    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("box", pa.string()),
+                               ("mass", pa.int64()), ("marked", pa.bool_())]))
 
     def read(batches):
         for b in slices(batches, "html", 16 << 20):
             hosts, blocks = [], []
             for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                 hosts.append(host_of(url))
-                blocks.append([{"path": p, "text": t} for p, t, _ in read_page(page)[1] if not _outside(p)])
+                blocks.append([{"path": p, "text": t, "key": _key(p, xxhash.xxh32_intdigest(t) or 1), "box": _box(p),
+                                "mass": len(t) if min(n, len(t)) <= len(t) / 2 else 0, "marked": _inside(p)}
+                               for p, t, n in read_page(page)[1] if not _outside(p)])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()),
                                               pa.array(blocks, kind)], names=schema.names)
 
-    blocks = d.mapInArrow(read, schema)
-    found = blocks.join(F.broadcast(rules) if total <= broadcast_bytes else rules, "host", "left")
-    kept = F.transform(F.filter("blocks", lambda x: F.array_contains("paths", x["path"])), lambda x: x["text"])
-    return found.select("page_id", "url", F.coalesce(F.array_join(kept, "\n"), F.lit("")).alias("text")).withColumn(
-        "n_chars", F.length("text").cast("long"))
+    def varying(c):
+        """Without constant texts, unless nothing else is there."""
+        v = F.filter(c, lambda x: ~F.array_contains("constants", x["key"]))
+        return F.when(F.size(v) > 0, v).otherwise(c)
+
+    mass = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["mass"])
+    below = lambda c, box: F.filter(c, lambda x: (x["path"] == box) | x["path"].startswith(F.concat(box, F.lit("/"))))
+    found = d.mapInArrow(read, schema).join(F.broadcast(rules) if total <= broadcast_bytes else rules, "host", "left")
+    # one projection a step: nothing is worked out twice
+    found = found.withColumn("inside", F.filter("blocks", lambda x: x["marked"]))
+    found = found.withColumn("some", F.when(F.size("inside") > 0, F.col("inside")).otherwise(varying(F.col("blocks"))))
+    found = found.withColumn("host_part", F.filter("some", lambda x: F.array_contains("paths", x["path"])))
+    boxes = F.array_distinct(F.transform(F.filter("some", lambda x: x["mass"] > 0), lambda x: x["box"]))
+    own = F.array_max(F.transform(boxes, lambda k: F.struct(mass(F.filter("some", lambda x: x["box"] == k)).alias("mass"), k.alias("box"))))
+    found = found.withColumn("own", F.when(F.size("inside") == 0, own))
+    kept = (F.when(F.size("inside") > 0, F.col("some")).when(2 * mass(F.col("host_part")) >= F.coalesce("own.mass", F.lit(0)), F.col("host_part"))
+            .otherwise(F.filter(below(F.col("some"), F.col("own.box")), lambda x: x["mass"] > 0)))
+    text = F.array_join(F.transform(kept, lambda x: x["text"]), "\n")
+    return found.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -116,6 +116,31 @@ def test_op3_many_class_words(spark):
     assert label("a b c d e f g h") != label("a b c d e f g i") and label("b a") == label("a b") == "div.a.b"
 
 
+def _articles(spark, table):
+    got = op3_html.extract_articles(spark.createDataFrame(table, "page_id long, url string, html string")).collect()
+    assert len(got) == len(table)
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def test_op3_templates_of_a_host(spark):
+    ship(spark)
+    said = lambda i: f"Report {i} tells of case {i * 7} " + f"and on to {i} " * (3 + i % 4)
+    own = lambda i, c: PAGE % f"<div class='{c}'><h2>Title {i}</h2><p>{said(i)}</p></div>"
+    text = lambda i: f"Title {i}\n{said(i).strip()}"
+    mixed = [(i, f"http://d.example/{i}", PAGE % f"<article><h2>Title {i}</h2><p>{said(i)}</p></article>") for i in range(6)]
+    mixed += [(i, f"http://d.example/{i}", own(i, "post")) for i in range(6, 10)]
+    kinds = [(i, f"http://e.example/{i}", own(i, "category-news" if i % 3 else "category-sports")) for i in range(20, 30)]
+    alone = [(i, None, own(i, f"style{'abcdefgh'[i % 8]}")) for i in range(40, 48)]
+    copies = [(i, f"http://f.example/{i}", own(60, "post")) for i in range(60, 65)]
+    one = PAGE % "<div><p>A single paragraph, copied.</p></div>"
+    single = [(i, f"http://g.example/{i}", one) for i in range(70, 74)]
+    got = _articles(spark, mixed + kinds + alone + copies + single)
+    for i, _, _ in mixed + kinds + alone:
+        assert got[i] == text(i), i
+    assert all(got[i] == text(60) for i in range(60, 65))
+    assert all(got[i] == "A single paragraph, copied." for i in range(70, 74))
+
+
 def test_op3_wrappers_do_not_depend_on_the_group_size(spark):
     ship(spark)
     pages = [(i, "http://h/" + str(i), PAGE % ("<article><h1>A</h1>" + "<p>x</p>" * (i % 7) + "<ul><li>y</li></ul>" * (i % 3)
