@@ -11,7 +11,7 @@ Tag and class words name the parts: no text of a menu, header, footer, sidebar,
 form or comment list is an article's.  Of a page with ``article`` or ``main``, the slots below them
 are; of any other page, those of the host's container with the most varying text outside links, or
 of its own one if it holds little or nothing of that.  The wrapper then takes away what is
-constant there: texts that all pages with a slot share, at least three different pages.
+constant: texts that all pages with a slot share, at least three different pages.
 
 Skeletons are counted before the shuffle, and a host with many of them is merged in groups of
 bounded size, level by level, so a host may hold any share of the pages.
@@ -390,7 +390,7 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     found = d.mapInArrow(read, schema).join(F.broadcast(rules) if total <= broadcast_bytes else rules, "host", "left")
     # one projection a step: nothing is worked out twice
     found = found.withColumn("inside", F.filter("blocks", lambda x: x["marked"]))
-    found = found.withColumn("some", F.when(F.size("inside") > 0, F.col("inside")).otherwise(varying(F.col("blocks"))))
+    found = found.withColumn("some", varying(F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("blocks"))))
     found = found.withColumn("host_part", F.filter("some", lambda x: F.array_contains("paths", x["path"])))
     boxes = F.array_distinct(F.transform(F.filter("some", lambda x: x["mass"] > 0), lambda x: x["box"]))
     own = F.array_max(F.transform(boxes, lambda k: F.struct(mass(F.filter("some", lambda x: x["box"] == k)).alias("mass"), k.alias("box"))))

@@ -141,6 +141,19 @@ def test_op3_templates_of_a_host(spark):
     assert all(got[i] == "A single paragraph, copied." for i in range(70, 74))
 
 
+def test_op3_constant_texts_inside_articles(spark):
+    ship(spark)
+    page = ("<article><h1>Title %d</h1><div class='x'>Read on all our channels.</div>%s<p>The same last line.</p>"
+            "<div class='y'><p>Our offer of the week</p></div></article>")
+    body = lambda i: [f"Paragraph {i} {k} of a text" for k in range(1 + i % 4)]
+    pages = [(i, f"http://k.example/{i}", PAGE % (page % (i, "".join(f"<p>{x}</p>" for x in body(i))))) for i in range(12)]
+    few = [(20 + i, f"http://l.example/{i}", PAGE % (page % (i, "<p>Once</p>"))) for i in range(2)]
+    got = _articles(spark, pages + few)
+    for i in range(12):
+        assert got[i] == "\n".join([f"Title {i}", *body(i)])
+    assert got[20].split("\n") == ["Title 0", "Read on all our channels.", "Once", "The same last line.", "Our offer of the week"]
+
+
 def test_op3_wrappers_do_not_depend_on_the_group_size(spark):
     ship(spark)
     pages = [(i, "http://h/" + str(i), PAGE % ("<article><h1>A</h1>" + "<p>x</p>" * (i % 7) + "<ul><li>y</li></ul>" * (i % 3)
