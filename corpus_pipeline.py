@@ -4,13 +4,14 @@ Every stage takes ``(spark, docs, sf_dir)`` and works on all rows that its prede
 All but the last return the columns of ``documents``:
 
 1. language ID: documents without a letter (``und``) or below ``MIN_SCORE`` go;
-2. SimHash near-dedup: the smallest id of each group of near copies stays;
+2. SimHash near-dedup: the smallest id of each group of near copies stays, once (a null id only if
+   the group has no other; of rows that share it, the one with the smallest key);
 3. benchmark decontamination: documents that contain a benchmark item go;
 4. secret scans: secrets are masked in the text (no document goes), ``n_chars`` follows;
 5. byte-level BPE: token counts and digests of ids and decoded bytes.
 
-A row with a null id cannot be named by a decision about another row: it is judged like
-any id, and rows that share an id share their decisions.
+Decisions go by row, not by id: null ids and ids that several rows share name no row, so each row
+carries a key of all its columns. Only rows that are equal in every column share a decision.
 """
 
 from __future__ import annotations
@@ -27,28 +28,39 @@ MIN_SCORE = 0.3
 RANKS = "byte_bpe_50k.tiktoken"
 
 
-def _with(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """Join ``documents`` rows to the ids of ``decisions`` (``left_semi`` or ``left_anti``)."""
-    ids = decisions.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``documents`` with ``__row``, a digest of all columns."""
+    return docs.withColumn("__row", F.md5(F.to_json(F.struct("*")).cast("binary")))
+
+
+def _with(keyed: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """Join rows to the keys of ``decisions`` (``left_semi`` or ``left_anti``)."""
+    return keyed.join(decisions.select("__row").distinct(), "__row", how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    found = op2_langid.identify_language(docs)
-    return _with(docs, found.where((F.col("lang_pred") == op2_langid.UNKNOWN) | (F.col("score") < MIN_SCORE)), "left_anti")
+    rows = _keyed(docs)
+    found = op2_langid.identify_language(rows, key_col="__row")
+    rejected = found.where((F.col("lang_pred") == op2_langid.UNKNOWN) | (F.col("score") < MIN_SCORE))
+    return _with(rows, rejected.withColumnRenamed("doc_id", "__row"), "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    groups = op4_simhash.simhash_near_dups(docs)
-    return _with(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi").dropDuplicates(["doc_id"])
+    rows = _keyed(docs)
+    # null ids come last
+    named = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("name"), "text")
+    groups = op4_simhash.simhash_near_dups(named, id_col="name")
+    first = groups.where(F.col("doc_id.__row") == F.col("component_id.__row")).select("doc_id.__row")
+    return _with(rows, first, "left_semi").dropDuplicates(["__row"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    leaks = op10_decontaminate.benchmark_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return _with(docs, leaks, "left_anti")
+    rows = _keyed(docs)
+    leaks = op10_decontaminate.benchmark_leaks(rows, table(spark, sf_dir, "benchmark"), id_col="__row")
+    return _with(rows, leaks.withColumnRenamed("doc_id", "__row"), "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -229,21 +229,22 @@ def training_sample(rows: DataFrame, docs_per_language: int, words_per_doc: int)
 
 
 def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                      docs_per_language: int = 150, words_per_doc: int = 300) -> DataFrame:
+                      docs_per_language: int = 150, words_per_doc: int = 300, key_col: str | None = None) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``, one row per input row.
 
     Rows whose crc32 of the id as text leaves 2 modulo 4 are held out; the network learns
     from text and non-null language of the other rows only.  ``und`` with score 0 stands for
     a null text, one without letters, or a table with nothing to learn from.  Rows with a null
     id are not held out, but nothing is learnt from them either.  Ties go to the label that sorts first.
+    With ``key_col``, that column stands for the id in the result; the split still goes by the id.
     """
-    d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn(
+    d = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, key=key_col or id_col).withColumn(
         "fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4)
     labels, net = [], None
     sample = training_sample(d.where("fold <> 2 and lang is not null"), docs_per_language, words_per_doc)
     if any(sample.values()):
         labels, net = train(sample)
-    schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()),
+    schema = T.StructType([T.StructField("doc_id", d.schema["key"].dataType), T.StructField("held_out", T.BooleanType()),
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,4 +264,4 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(pred, pa.string()),
                                               pa.array(score, pa.float64())], names=schema.names)
 
-    return d.select("doc_id", F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), "text").mapInArrow(run, schema)
+    return d.select(F.col("key").alias("doc_id"), F.coalesce(F.col("fold") == 2, F.lit(False)).alias("held_out"), "text").mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 """The pipeline's stages against the operators' decisions and brute force, and the queries at the smallest scale."""
 
+import random
 import re
 
 import pytest
@@ -50,6 +51,24 @@ def test_stages_take_empty_and_null_rows(spark, rows):
         assert stage(spark, docs, SF001).count() <= len(rows)
 
 
+def test_rows_without_an_own_id_are_judged_one_by_one(spark):
+    item = spark.read.parquet(f"{SF001}/benchmark.parquet").first()["text"]
+    rng = random.Random(8)
+    texts = [data.prose(rng, 60) for _ in range(12)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip([None] * 6 + [7] * 6, texts)]
+    bad = [(i, t, None, "s", 3) for i in (None, 7) for t in ("123", f"before it {item} after it")]
+    copies = [(None, texts[0], "en", "s", 1), (5, texts[1], "en", "s", 2), (9, texts[7], "en", "s", 3), rows[2], rows[8]]
+    docs = spark.createDataFrame(rows + bad + copies, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in corpus_pipeline.language(spark, docs, SF001).collect()]
+    assert sorted(got) == sorted(r[1] for r in rows + bad + copies if r[1] != "123")
+    clean = corpus_pipeline.decontaminate(spark, docs, SF001)
+    assert sorted(r["text"] for r in clean.collect()) == sorted(r[1] for r in rows + copies + [bad[0], bad[2]])
+    kept = corpus_pipeline.near_dedup(spark, docs, SF001)
+    assert kept.columns == docs.columns
+    out = [(r["text"], r["doc_id"]) for r in kept.collect() if r["text"] in texts]
+    assert len(out) == 12 and dict(out) == dict(zip(texts, [None, 5] + [None] * 4 + [7] * 6))
+
+
 def test_held_out_accuracy(spark):
     sf = SF001.replace("0.001", "0.01")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
