@@ -86,4 +86,24 @@ SELECT doc_id, item_id, n_shared, n AS n_item, round(n_shared / n, 6) AS contain
 FROM shared JOIN sizes ON sizes.id = item_id WHERE n_shared >= 0.8 * n - 1e-9
 """
 
-SQL = {"op1_substring_dedup": OP1, "op6_interleaved_shards": OP6, "op7_embedding_near_dups": OP7, "op10_decontamination": OP10}
+#: Lines, cuts and both digests of every document; the cuts come from the digest of ``7:`` and the id.
+OP11 = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+lines AS (SELECT doc_id, t, CASE WHEN t = '' THEN []::VARCHAR[] ELSE regexp_extract_all(t, '[^\n]*\n|[^\n]+') END AS u,
+                 ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+                 ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM drawn),
+cuts AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                     WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM lines),
+parts AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid,
+                 coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+SQL = {"op1_substring_dedup": OP1, "op6_interleaved_shards": OP6, "op7_embedding_near_dups": OP7, "op10_decontamination": OP10,
+       "op11_fill_in_middle": OP11}
