@@ -320,8 +320,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     queries = points.drop("at").join(at.where(F.col("kind") == QUERY).drop("kind"), ["u", "v"])
     reach = _measured_reach(points, queries, dim, k, sample, recall, block)
     found = _windows(points, queries, dim, k + 1, reach, block, curves)
-    merged = (found.groupBy("qu", "qv").agg(F.collect_list("found").alias("f"))
-              .select("qu", "qv", F.posexplode(F.slice(F.array_sort(F.array_distinct(F.flatten("f"))), 1, k + 1)).alias("i", "f"))
+    # a point lies in one block a curve, so it is found ``curves`` times at most
+    first = F.slice(F.sort_array(F.flatten(F.collect_list("found"))), 1, (k + 1) * curves)
+    merged = (found.groupBy("qu", "qv").agg(first.alias("f"))
+              .select("qu", "qv", F.explode(F.slice(F.array_distinct("f"), 1, k + 1)).alias("f"))
               .select("qu", "qv", "f.s", "f.u", "f.v"))
     listed = merged.join(points.select("u", "v", "ids"), ["u", "v"]).groupBy("qu", "qv").agg(
         F.collect_list(F.struct("s", "ids", ((F.col("u") == F.col("qu")) & (F.col("v") == F.col("qv"))).alias("own"))).alias("f"))
