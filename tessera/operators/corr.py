@@ -1,16 +1,17 @@
 """Correlation and association (C-1..C-10).
 
-Spearman = Pearson on average ranks.  Ranks come from the distributed
-``average_rank`` (G-1) on the distinct-value table and are joined back
-on the value; the rank table is broadcast only when a bounded count
-proves it small, otherwise the join shuffles.  Columns without nulls are
-ranked once and shared by all their pairs; a pair involving a column
-with nulls is re-ranked on its pairwise-complete rows.
+Spearman = Pearson on average ranks, pairwise complete: a pair is ranked on the rows where
+both its columns are present.  Pairs whose sets of rows are the same form a class and share
+their ranks; which pairs do is read from the null patterns of the rows, a table of
+patterns and counts.  Ranks of every (class, column) come from ONE keyed ordering of the distinct-value
+table, are joined back on the value and regrouped by row, so the number of passes depends
+neither on the number of columns nor on where the nulls are.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -18,66 +19,73 @@ from pyspark.sql import functions as F
 
 from ..functions.special import chi2_sf_col, t_two_sided_col
 from .quantiles import exact_quantiles
-from .ranks import average_rank
+from .ranks import ordered_running
 from .stats import numeric_columns, to_long
 
 PAIR_SCHEMA = "col_a string, col_b string, n long, r double"
 
 
-def _rank_col(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Attach the average rank of ``col`` as column ``out`` (rows with null dropped)."""
-    d = df.where(F.col(col).isNotNull()).withColumn("_v", F.col(col).cast("double"))
-    rk = average_rank(d, "_v").select("_v", F.col("avg_rank").alias(out))
-    # the rank table's size is only known at run time: AQE measures it and
-    # switches to a broadcast join when it is small, else keeps the shuffle join
-    return d.join(rk, "_v").drop("_v")
-
-
-def spearman_rank_moments(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All pairs of null-free columns in a fixed number of passes (one-row result).
-
-    Ranks of every column come from ONE keyed ordering of the distinct
-    ``(column, value)`` table; they are attached to rows by ONE join on
-    ``(column, value)`` and regrouped by a 128-bit row-content key.  Identical
-    rows share the key and merge with multiplicity ``w`` (their ranks are
-    identical), so the weighted Pearson of ranks is exact."""
-    from .ranks import ordered_running
-    key = F.struct(F.xxhash64(F.lit(17), *[F.col(c) for c in cols]).alias("h1"),
-                   F.hash(F.lit(29), *[F.col(c) for c in cols]).alias("h2"))
-    long = df.select(key.alias("_rk"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")) \
-        .select("_rk", "x.column", "x.v")
-    vals = long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("t"))
-    r = ordered_running(vals, "v", part_cols=["column"], weight_col="t")
-    ranks = r.select("column", "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
-    j = long.join(ranks, ["column", "v"])
-    k = len(cols)
-    wide = j.groupBy("_rk").agg((F.count(F.lit(1)) / F.lit(k)).alias("w"),
-                                *[F.max(F.when(F.col("column") == c, F.col("rk"))).alias(f"_r{i}")
-                                  for i, c in enumerate(cols)])
-    pairs = list(itertools.combinations(range(k), 2))
-    w = F.col("w")
-    aggs = [F.sum(w).alias("W")]
-    for i in range(k):
-        aggs += [F.sum(w * F.col(f"_r{i}")).alias(f"s{i}"), F.sum(w * F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"q{i}")]
-    aggs += [F.sum(w * F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"p{i}_{j}") for i, j in pairs]
-    return wide.agg(*aggs)
-
-
-def _spearman_null_free(df: DataFrame, cols: list[str]) -> list[tuple]:
-    """Finish the weighted rank moments of ``spearman_rank_moments`` into r per pair."""
-    k = len(cols)
-    pairs = list(itertools.combinations(range(k), 2))
-    a = spearman_rank_moments(df, cols).first()
-    n = a["W"]
-    out = []
-    for i, jx in pairs:
-        cov = a[f"p{i}_{jx}"] - a[f"s{i}"] * a[f"s{jx}"] / n
-        vi = a[f"q{i}"] - a[f"s{i}"] ** 2 / n
-        vj = a[f"q{jx}"] - a[f"s{jx}"] ** 2 / n
-        rr = cov / (vi * vj) ** 0.5 if vi > 0 and vj > 0 else None
-        out.append((cols[i], cols[jx], int(round(n)), rr))
-    return out
+def _constant(value, schema: str) -> Column:
+    """A nested constant of any size as one foldable expression."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
+def row_classes(df: DataFrame, columns: list[str]) -> list[dict]:
+    """Classes of column pairs that are complete on the same rows.
+
+    Each is ``{"n": rows, "pairs": [(i, j), ...], "columns": [i, ...]}``.  The set of rows of a pair is the
+    union of the null patterns that have both columns; two 64-bit sums of pattern hashes and the
+    number of rows tell the sets apart.  One row a pair comes to the driver.
+    """
+    k = len(columns)
+    patterns = df.groupBy(F.array(*[F.col(c).isNotNull() for c in columns]).alias("has")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _constant([[i, j] for i, j in itertools.combinations(range(k), 2)], "array<array<int>>")
+    both = patterns.select("n", "has", F.explode(F.filter(pairs, lambda p: F.get("has", p[0]) & F.get("has", p[1]))).alias("p"))
+    wide = [F.sum(F.xxhash64(F.lit(seed), F.col("has")).cast("decimal(38,0)")) for seed in (17, 29)]
+    rows = both.groupBy(F.col("p")[0].alias("i"), F.col("p")[1].alias("j")).agg(F.sum("n").alias("n"), wide[0].alias("a"), wide[1].alias("b")).collect()
+    classes: dict[tuple, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["i"], r["j"])):
+        c = classes.setdefault((r["n"], r["a"], r["b"]), {"n": int(r["n"]), "pairs": [], "columns": set()})
+        c["pairs"].append((r["i"], r["j"]))
+        c["columns"] |= {r["i"], r["j"]}
+    return [{**c, "columns": sorted(c["columns"])} for c in classes.values()]
+
+
+def spearman_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(col_a, col_b, n, sxy, sxx, syy)`` of the centred ranks of every pair with a complete row.
+
+    Rows that are equal in all columns merge with a weight: their ranks are equal.  Two 64-bit
+    hashes of all columns name a row.
+    """
+    classes = row_classes(df, columns)
+    out = "col_a string, col_b string, n long, sxy double, sxx double, syy double"
+    if not classes:
+        return df.sparkSession.createDataFrame([], out)
+    x = [F.when(F.col(c) == 0, 0.0).otherwise(F.col(c).cast("double")).alias(f"x{i}") for i, c in enumerate(columns)]  # one zero
+    rows = df.select(*x)
+    rows = rows.select("*", *[F.xxhash64(F.lit(seed), *rows.columns).alias(h) for seed, h in ((17, "h1"), (29, "h2"))])
+
+    def complete(pair: tuple[int, int]) -> Column:
+        return F.col(f"x{pair[0]}").isNotNull() & F.col(f"x{pair[1]}").isNotNull()
+
+    cells = F.array(*[F.when(complete(x["pairs"][0]), F.struct(F.lit(c).alias("c"), F.lit(i).alias("i"), F.col(f"x{i}").alias("v")))
+                      for c, x in enumerate(classes) for i in x["columns"]])
+    long = rows.select("h1", "h2", F.explode(cells).alias("e")).where(F.col("e").isNotNull()).select("h1", "h2", "e.*")
+    counts = long.groupBy("c", "i", "v").agg(F.count(F.lit(1)).alias("t"))
+    order = ordered_running(counts, "v", part_cols=["c", "i"], weight_col="t")
+    ranks = order.select("c", "i", "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
+    row = long.join(ranks, ["c", "i", "v"]).groupBy("h1", "h2", "c").agg(
+        F.count(F.lit(1)).alias("m"), *[F.max(F.when(F.col("i") == i, F.col("rk"))).alias(f"r{i}") for i in range(len(columns))])
+    # one row a class: sums of products of the ranks' distances from the class's middle rank
+    middle = F.get(F.array(*[F.lit((x["n"] + 1) / 2.0) for x in classes]), F.col("c"))
+    weight = F.col("m") / F.get(F.array(*[F.lit(len(x["columns"])) for x in classes]), F.col("c"))
+    row = row.select("c", weight.alias("w"), *[(F.col(f"r{i}") - middle).alias(f"r{i}") for i in range(len(columns))])
+    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    sums = row.groupBy("c").agg(*[F.sum(F.col("w") * F.col(f"r{i}") * F.col(f"r{j}")).alias(f"s{i}_{j}") for i, j in pairs])
+    done = F.array(*[F.when(F.col("c") == c, F.struct(
+        F.lit(columns[i]).alias("col_a"), F.lit(columns[j]).alias("col_b"), F.lit(x["n"]).cast("bigint").alias("n"), F.col(f"s{i}_{j}").alias("sxy"),
+        F.col(f"s{i}_{i}").alias("sxx"), F.col(f"s{j}_{j}").alias("syy"))) for c, x in enumerate(classes) for i, j in x["pairs"]])
+    return sums.select(F.explode(done).alias("p")).where(F.col("p").isNotNull()).select("p.*")
 
 
 def _pair_rows(spark, rows):
@@ -93,25 +101,11 @@ def spearman_pairs(df: DataFrame, columns: list[str] | None = None, *, min_r: fl
                    min_n: int = 10, with_p: bool = True) -> DataFrame:
     """C-1 / C-6: pairwise-complete Spearman for every column pair (i < j)."""
     columns = columns or numeric_columns(df)
-    spark = df.sparkSession
     if len(columns) < 2:
-        return _pair_rows(spark, [])
-    nn = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict()
-    clean = [c for c in columns if nn[c] == 0]
-    results = []
-    if len(clean) >= 2:
-        results += _spearman_null_free(df, clean)
-    for a, b in itertools.combinations(columns, 2):
-        if a in clean and b in clean:
-            continue
-        d = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-        d = _rank_col(_rank_col(d, a, "_ra"), b, "_rb")
-        row = d.agg(F.count(F.lit(1)).alias("n"), F.corr("_ra", "_rb").alias("r")).first()
-        results.append((a, b, int(row["n"]), row["r"]))
-    order = {c: i for i, c in enumerate(columns)}
-    results = [(a, b, n, r) if order[a] < order[b] else (b, a, n, r) for a, b, n, r in results]
-    out = _pair_rows(spark, results).where((F.col("n") >= min_n) & F.col("r").isNotNull())
-    out = out.where(F.abs(F.col("r")) >= min_r)
+        return _decorate(_pair_rows(df.sparkSession, []), "spearman", with_p)
+    r = F.when((F.col("sxx") > 0) & (F.col("syy") > 0), F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
+    out = spearman_moments(df, columns).select("col_a", "col_b", "n", r.alias("r"))
+    out = out.where((F.col("n") >= min_n) & (F.abs(F.col("r")) >= min_r))
     return _decorate(out, "spearman", with_p)
 
 
@@ -219,32 +213,23 @@ def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("o"))
     ra = obs.groupBy("a").agg(F.sum("o").alias("na"))
     rb = obs.groupBy("b").agg(F.sum("o").alias("nb"))
-    tot = obs.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"),
-                  F.countDistinct("b").alias("kb")).first()
+    # one row of totals
+    tot = obs.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb")).first()
     n, ka, kb = tot["n"] or 0, tot["ka"], tot["kb"]
     dof = (ka - 1) * (kb - 1)
-    spark = df.sparkSession
-    if dof == 1:
-        cells = {(r["a"], r["b"]): r["o"] for r in obs.collect()}
-        mar_a = {r["a"]: r["na"] for r in ra.collect()}
-        mar_b = {r["b"]: r["nb"] for r in rb.collect()}
-        chi2 = 0.0
-        for x in mar_a:
-            for y in mar_b:
-                o = cells.get((x, y), 0)
-                e = mar_a[x] * mar_b[y] / n
-                diff = e - o
-                adj = min(0.5, abs(diff)) * (1 if diff > 0 else -1 if diff < 0 else 0)
-                chi2 += (o + adj - e) ** 2 / e
-        out = spark.createDataFrame([(a, b, int(n), int(dof), float(chi2))],
-                                    "col_a string, col_b string, n long, dof long, chi2 double")
+    e = F.col("na") * F.col("nb") / F.lit(float(n))
+    # of a 2 x 2 table every cell differs from its expectation by the same amount, so each one is corrected alike
+    gap = F.abs(F.col("o") - e)
+    gap = gap - F.least(F.lit(0.5), gap) if dof == 1 else gap
+    cells = obs.join(ra, "a").join(rb, "b").select("o", e.alias("e"), gap.alias("gap"))
+    if dof == 1:  # an unseen cell has the gap of the seen ones and the expectation they leave over
+        part = cells.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("gap", 2) / F.col("e")).alias("s"), F.sum("e").alias("seen"), F.max("gap").alias("g"))
+        chi2 = F.col("s") + F.when(F.col("k") < 4, F.pow("g", 2) / (F.lit(float(n)) - F.col("seen"))).otherwise(0.0)
     else:
-        e = F.col("na") * F.col("nb") / F.lit(float(n))
-        part = obs.join(ra, "a").join(rb, "b").agg(
-            F.sum(F.pow(F.col("o") - e, 2) / e - e).alias("s"))
-        out = part.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                          F.lit(n).cast("bigint").alias("n"), F.lit(dof).cast("bigint").alias("dof"),
-                          (F.col("s") + F.lit(float(n))).alias("chi2"))
+        part = cells.agg(F.sum(F.pow("gap", 2) / F.col("e") - F.col("e")).alias("s"))
+        chi2 = F.col("s") + F.lit(float(n))
+    out = part.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(n).cast("bigint").alias("n"),
+                      F.lit(dof).cast("bigint").alias("dof"), chi2.alias("chi2"))
     if with_p:
         out = out.withColumn("p_value", chi2_sf_col(F.col("chi2"), F.col("dof")))
     return out

@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Most range buckets of one key; each key has its own, so a row meets an array of 8 KB at most.
+KEYED_BUCKETS = 1024
+
 
 def _n_buckets(df: DataFrame, n: int | None) -> int:
     if n:
@@ -65,17 +68,18 @@ def _bucket_of(v: Column, bounds: Column, n: int, ascending: bool) -> Column:
 
 
 def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
-                  ascending: bool, n_buckets: int | None,
-                  cut_source: DataFrame | None = None) -> DataFrame:
-    """Attach ``_bucket``.  Cut points come from ``cut_source`` (same ``part_cols``
-    and ``order_col``) when given — e.g. the raw values behind a distinct-value
-    table, whose approximate quantiles are a scan without a shuffle — else from
-    ``df`` itself.  Cut points only balance the work; results do not depend on them."""
+                  ascending: bool, n_buckets: int | None, weight_col: str | None = None) -> DataFrame:
+    """Attach ``_bucket``.  Cut points only balance the work; results do not depend on them.
+
+    With ``weight_col`` (positive) the cut points are read from rows that carry it, so that a
+    value table is one exchange for them and for the ordering, and is built once."""
     n = _n_buckets(df, n_buckets)
+    if part_cols:
+        n = min(n, KEYED_BUCKETS)
     fracs = [i / n for i in range(1, n)]
     accuracy = max(1000, 4 * n)  # fine enough for n even buckets
     df = df.withColumn("_okey", _numeric_key(df, order_col))
-    src = df if cut_source is None else cut_source.withColumn("_okey", _numeric_key(cut_source, order_col))
+    src = df if weight_col is None else df.withColumn("_okey", F.when(F.col(weight_col) > 0, F.col("_okey")))
     if not part_cols:
         row = src.agg(F.percentile_approx(F.col("_okey"), fracs, accuracy).alias("b")).first()
         bounds = [float(x) for x in (row["b"] or []) if x is not None]
@@ -92,7 +96,7 @@ def _with_buckets(df: DataFrame, part_cols: list[str], order_col: str,
 def ordered_running(df: DataFrame, order_col: str, *, part_cols: list[str] | None = None,
                     tiebreak: list[str] | None = None, ascending: bool = True,
                     weight_col: str | None = None, sum_cols: list[str] | None = None,
-                    n_buckets: int | None = None, cut_source: DataFrame | None = None) -> DataFrame:
+                    n_buckets: int | None = None) -> DataFrame:
     """Add global running totals in ``(order_col, tiebreak)`` order per ``part_cols``.
 
     Adds ``_pos`` (running sum of ``weight_col`` or 1 through this row)
@@ -102,7 +106,7 @@ def ordered_running(df: DataFrame, order_col: str, *, part_cols: list[str] | Non
     tiebreak = list(tiebreak or [])
     sum_cols = list(sum_cols or [])
     w = F.col(weight_col) if weight_col else F.lit(1)
-    b = _with_buckets(df, part_cols, order_col, ascending, n_buckets, cut_source).withColumn("_w", w)
+    b = _with_buckets(df, part_cols, order_col, ascending, n_buckets, weight_col if part_cols else None).withColumn("_w", w)
 
     totals = b.groupBy(*part_cols, "_bucket").agg(
         F.sum("_w").alias("_bw"), *[F.sum(c).alias(f"_bs_{c}") for c in sum_cols])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import exact_quantiles_from_counts
+from .quantiles import exact_quantiles_from_counts, value_cells, with_quantiles
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
                  T.DoubleType, T.DecimalType)
@@ -63,42 +63,44 @@ def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3
     fewer than ``min_n`` non-null values are omitted.  Outliers are values
     outside ``[q1 - 1.5·iqr, q3 + 1.5·iqr]``; with ``iqr_guard`` a zero IQR
     reports no outliers (trap T23).
+
+    Two scans (``value_cells``): a sketch, then cells that carry counts, extremes and sums of
+    powers; quantiles, moments and outliers all come from the cells, a small table.
     """
     columns = columns or numeric_columns(df)
-    long = to_long(df, columns).where(F.col("value").isNotNull())
-    mom = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.skewness("value").alias("skew"),
-        F.kurtosis("value").alias("kurtosis"))
-    counts = value_counts_long(long)
+    raw = to_long(df, columns).where(F.col("value").isNotNull()).select("column", F.col("value").alias("_v"))
     probs = [0.10, 0.25, 0.50, 0.75, 0.90]
-    if quantiles == "approx":
-        # opt-in fast path: one partial-aggregate pass, rank error <= 1/accuracy
-        pa = long.groupBy("column").agg(F.percentile_approx("value", probs, accuracy).alias("_p"))
-        q = pa.select("column", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(probs))])
+    cells = value_cells(raw, ["column"], probs, fences=(1, 3, whisker), powers=True)
+    if quantiles == "approx":  # opt-in: rank error <= 1/accuracy; the cells need not be ordered
+        pa = raw.groupBy("column").agg(F.percentile_approx("_v", probs, accuracy).alias("_p"), F.count(F.lit(1)).alias("n"))
+        cells = cells.join(pa.select("column", "n", *[F.col("_p")[i].alias(f"q{i}") for i in range(len(probs))]), "column")
     else:
-        q = exact_quantiles_from_counts(counts, ["column"], probs,
-                                        cut_source=long.select("column", F.col("value").alias("_v")))
-    q = q.select(
-        "column", F.col("q0").alias("p10"), F.col("q1").alias("q1"), F.col("q2").alias("median"),
-        F.col("q3").alias("q3"), F.col("q4").alias("p90"))
-    q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
-    lo = F.col("q1") - whisker * F.col("iqr")
-    hi = F.col("q3") + whisker * F.col("iqr")
-    outside = (F.col("_v") < lo) | (F.col("_v") > hi)
+        cells = with_quantiles(cells, ["column"], probs)
+    iqr = F.col("q3") - F.col("q1")
+    outside = (F.col("_lo") < F.col("q1") - whisker * iqr) | (F.col("_hi") > F.col("q3") + whisker * iqr)
     if iqr_guard:
-        outside = outside & (F.col("iqr") > 0)
-    # the bounds table has one row per column: bounded by the schema
-    out = counts.join(F.broadcast(q.select("column", "q1", "q3", "iqr")), "column").groupBy("column") \
-        .agg(F.sum(F.when(outside, F.col("_c")).otherwise(0)).alias("outliers"))
-    res = mom.join(q, "column").join(out, "column").where(F.col("n") >= min_n)
+        outside = outside & (iqr > 0)
+    res = cells.groupBy("column").agg(
+        F.first("n").alias("n"), *[F.first(f"q{i}").alias(f"q{i}") for i in range(len(probs))], F.first("_shift").alias("s"),
+        *[F.sum(f"_p{k}").alias(f"p{k}") for k in (1, 2, 3, 4)], F.min("_lo").alias("min"), F.max("_hi").alias("max"),
+        F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("outliers")).where(F.col("n") >= min_n)
+    # moments about the shift, then about the mean
+    n = F.col("n").cast("double")
+    m1, m2, m3, m4 = (F.col(f"p{k}") / n for k in (1, 2, 3, 4))
+    constant = F.col("min") == F.col("max")
+    c2 = F.when(constant, 0.0).otherwise(m2 - m1 * m1)
+    c3 = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
+    c4 = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
+    spread = F.when(F.col("c2") > 0, F.col("c2"))
+    res = res.select("*", (F.col("s") + m1).alias("mean"), c2.alias("c2"), c3.alias("c3"), c4.alias("c4")).select(
+        "*", F.when(n > 1, F.sqrt(F.col("c2") * n / (n - 1))).alias("std"))
     return res.select(
-        "column", F.col("n").cast("bigint").alias("n"), "mean", "median", "std",
+        "column", F.col("n").cast("bigint").alias("n"), "mean", F.col("q2").alias("median"), "std",
         F.when(F.col("mean") != 0, F.col("std") / F.abs(F.col("mean"))).otherwise(0.0).alias("cv"),
-        "q1", "q3", "iqr", "min", "max", "skew", "kurtosis",
+        F.col("q1").alias("q1"), F.col("q3").alias("q3"), iqr.alias("iqr"), "min", "max",
+        (F.col("c3") / F.pow(spread, 1.5)).alias("skew"), (F.col("c4") / (spread * spread) - 3.0).alias("kurtosis"),
         F.col("outliers").cast("bigint").alias("outliers"),
-        (F.col("outliers") / F.col("n") * 100.0).alias("outlier_pct"), "p10", "p90")
+        (F.col("outliers") / F.col("n") * 100.0).alias("outlier_pct"), F.col("q0").alias("p10"), F.col("q4").alias("p90"))
 
 
 def zscore_outliers(df: DataFrame, columns: list[str] | None = None, z: float = 3.0) -> DataFrame:

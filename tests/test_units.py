@@ -205,7 +205,7 @@ def test_plans_move_only_aggregates_to_one_partition(spark, which):
         if which == "col_stats":
             out = stats.col_stats(df, ["a", "b"])
         elif which == "spearman":
-            out = corr.spearman_rank_moments(df, ["a", "b"])
+            out = corr.spearman_moments(df, ["a", "b"])
         else:
             out = quantiles.exact_quantiles(stats.to_long(df, ["a", "b"]), ["column"], "value", [0.5])
         plan = out._jdf.queryExecution().executedPlan().toString()
