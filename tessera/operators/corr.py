@@ -218,15 +218,15 @@ def chi_square(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
     n, ka, kb = tot["n"] or 0, tot["ka"], tot["kb"]
     dof = (ka - 1) * (kb - 1)
     e = F.col("na") * F.col("nb") / F.lit(float(n))
-    # of a 2 x 2 table every cell differs from its expectation by the same amount, so each one is corrected alike
-    gap = F.abs(F.col("o") - e)
-    gap = gap - F.least(F.lit(0.5), gap) if dof == 1 else gap
-    cells = obs.join(ra, "a").join(rb, "b").select("o", e.alias("e"), gap.alias("gap"))
-    if dof == 1:  # an unseen cell has the gap of the seen ones and the expectation they leave over
-        part = cells.agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow("gap", 2) / F.col("e")).alias("s"), F.sum("e").alias("seen"), F.max("gap").alias("g"))
-        chi2 = F.col("s") + F.when(F.col("k") < 4, F.pow("g", 2) / (F.lit(float(n)) - F.col("seen"))).otherwise(0.0)
+    cells = obs.join(ra, "a").join(rb, "b").select("o", e.alias("e"))
+    if dof == 1:
+        # all four cells of a 2 x 2 table, seen or not, are off by the same amount; 1/E sums to n (sum 1/na) (sum 1/nb)
+        inverse = [m.agg(F.sum(1.0 / F.col(c))).first()[0] for m, c in ((ra, "na"), (rb, "nb"))]
+        off = F.abs(F.col("o") - F.col("e"))
+        part = cells.agg(F.max(off - F.least(F.lit(0.5), off)).alias("g"))
+        chi2 = F.col("g") * F.col("g") * F.lit(float(n) * inverse[0] * inverse[1])
     else:
-        part = cells.agg(F.sum(F.pow("gap", 2) / F.col("e") - F.col("e")).alias("s"))
+        part = cells.agg(F.sum(F.pow(F.col("o") - F.col("e"), 2) / F.col("e") - F.col("e")).alias("s"))
         chi2 = F.col("s") + F.lit(float(n))
     out = part.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(n).cast("bigint").alias("n"),
                       F.lit(dof).cast("bigint").alias("dof"), chi2.alias("chi2"))

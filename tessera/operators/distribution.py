@@ -5,21 +5,20 @@ Both statistics need the sorted sample.  They are computed on the
 distinct ``(column, value, count)`` table with distributed positions
 (``ranks.ordered_running``): a value covering sorted positions
 ``s+1 .. s+c`` contributes closed-form sums, so ties and hot values cost
-one row.  The CDFs are evaluated by an Arrow-batched pandas UDF on that
-table; fitted parameters come from Spark aggregates (MLE).
+one row.  The CDFs are column expressions on that table, but for gamma's, which is
+an array function in an Arrow batch; fitted parameters come from Spark aggregates (MLE).
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.special import gammaincc
+from ..functions.special import gamma_cdf, norm_cdf_col
 from .ranks import ordered_running
 from .stats import to_long, value_counts_long
 
@@ -30,34 +29,18 @@ DISTRIBUTIONS = ("norm", "lognorm", "expon", "gamma", "uniform")
 # -----------------------------------------------------------------------------
 
 
-def _cdf(dist: str, x: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
-    if dist == "norm":
-        z = (x - p1) / p2
-        return 0.5 * np.array([math.erfc(-v / math.sqrt(2.0)) for v in z])
-    if dist == "lognorm":
-        with np.errstate(divide="ignore", invalid="ignore"):
-            z = (np.log(np.where(x > 0, x, np.nan)) - p1) / p2
-        return np.where(x > 0, 0.5 * np.array([math.erfc(-v / math.sqrt(2.0)) if not math.isnan(v) else 0.0
-                                                for v in z]), 0.0)
-    if dist == "expon":
-        return np.where(x >= p1, 1.0 - np.exp(-(x - p1) / p2), 0.0)
-    if dist == "uniform":
-        return np.clip((x - p1) / p2, 0.0, 1.0)
-    if dist == "gamma":
-        return np.array([1.0 - gammaincc(a, v / b) if v > 0 else 0.0 for v, a, b in zip(x, p1, p2)])
-    raise ValueError(dist)
+def _cdf_col(dist: Column, x: Column, p1: Column, p2: Column) -> Column:
+    """Distribution function of every law but gamma, as a column expression."""
+    z = (x - p1) / p2
+    return (F.when(dist == "norm", norm_cdf_col(z))
+             .when(dist == "lognorm", F.when(x > 0, norm_cdf_col((F.log(F.when(x > 0, x)) - p1) / p2)).otherwise(0.0))
+             .when(dist == "expon", F.when(x >= p1, 1.0 - F.exp(-z)).otherwise(0.0))
+             .when(dist == "uniform", F.greatest(F.lit(0.0), F.least(F.lit(1.0), z))))
 
 
 @F.pandas_udf(T.DoubleType())
-def _cdf_udf(dist: pd.Series, x: pd.Series, p1: pd.Series, p2: pd.Series) -> pd.Series:
-    out = np.full(len(x), np.nan)
-    for d in dist.unique():
-        m = (dist == d).to_numpy()
-        try:
-            out[m] = _cdf(d, x[m].to_numpy(float), p1[m].to_numpy(float), p2[m].to_numpy(float))
-        except Exception:
-            pass
-    return pd.Series(out)
+def _gamma_cdf_udf(x: pd.Series, shape: pd.Series, scale: pd.Series) -> pd.Series:
+    return pd.Series(gamma_cdf((x / scale).to_numpy(float), shape.to_numpy(float)))
 
 
 def _digamma(x: float) -> float:
@@ -107,8 +90,7 @@ def anderson_darling(df: DataFrame, columns: list[str]) -> DataFrame:
     m = long.groupBy("column").agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("value").alias("mu"),
                                    F.stddev_samp("value").alias("sd"))
     j = pos.join(F.broadcast(m), "column")
-    cdf = _cdf_udf(F.lit("norm"), F.col("_v"), F.col("mu"), F.col("sd"))
-    j = j.withColumn("cdf", cdf)
+    j = j.withColumn("cdf", norm_cdf_col((F.col("_v") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd"))))
     s, c, n = F.col("_s").cast("double"), F.col("_c").cast("double"), F.col("n")
     w_lo = (s + c) * (s + c) - s * s
     w_hi = c * (2 * n + 1) - ((s + c) * (s + c + 1) - s * (s + 1))
@@ -148,7 +130,9 @@ def fit_distributions(df: DataFrame, columns: list[str], min_n: int = 30) -> Dat
     spark = df.sparkSession
     ptab = spark.createDataFrame(rows, "column string, dist string, p1 double, p2 double, n long")
     j = pos.join(F.broadcast(ptab), "column")  # columns x 5 rows: schema-bounded
-    j = j.withColumn("cdf", _cdf_udf(F.col("dist"), F.col("_v"), F.col("p1"), F.col("p2")))
+    v, dist = F.col("_v"), F.col("dist")
+    j = (j.where(dist != "gamma").withColumn("cdf", _cdf_col(dist, v, F.col("p1"), F.col("p2")))
+         .unionByName(j.where(dist == "gamma").withColumn("cdf", _gamma_cdf_udf(v, F.col("p1"), F.col("p2")))))
     n = F.col("n").cast("double")
     dplus = (F.col("_s") + F.col("_c")) / n - F.col("cdf")
     dminus = F.col("cdf") - F.col("_s") / n

@@ -57,17 +57,24 @@ def run_eda(df: DataFrame, domain: str = "general", max_levels: int = 15) -> dic
 
 def numeric_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """E-6: rounded Q-1 with skew / kurtosis labels (statistics-screen ladders:
-    kurtosis > 1 heavy, < -1 light), D'Agostino normality and IQR outliers."""
-    from .stats import dagostino_k2, kurt_G2, skew_G1
+    kurtosis > 1 heavy, < -1 light), IQR and z-score outliers, and normality by
+    Shapiro-Wilk up to 5000 values, D'Agostino-Pearson above; the outlier method follows from it."""
+    from .normality import MAX_SW_N, shapiro_by_column
+    from .stats import dagostino_k2, kurt_G2, skew_G1, zscore_outliers
     st = col_stats(df, columns)
-    k2 = dagostino_k2(df, columns).select("column", F.col("p_value").alias("normality_p"))
+    k2 = dagostino_k2(df, columns).select("column", F.col("p_value").alias("k2_p"))
+    sw = shapiro_by_column(df, columns, only_small=True).select("column", "shapiro_p")
     n = F.col("n").cast("double")
     g1, g2 = skew_G1(F.col("skew"), n), kurt_G2(F.col("kurtosis"), n)
-    j = st.join(k2, "column", "left")
+    j = (st.join(k2, "column", "left").join(sw, "column", "left").join(zscore_outliers(df, columns), "column", "left")
+         .withColumn("normality_p", F.when(F.col("n") <= MAX_SW_N, F.col("shapiro_p")).otherwise(F.col("k2_p"))))
+    normal = F.col("normality_p") > 0.05
     return j.select("column", "n", *[F.round(c, 4).alias(c) for c in ["mean", "median", "std", "min", "max", "q1", "q3"]],
                     F.round(g1, 4).alias("skewness"), skew_label(g1).alias("skew_label"),
                     F.round(g2, 4).alias("kurtosis"), kurtosis_label(g2, 1.0, -1.0).alias("kurtosis_label"),
-                    (F.col("normality_p") > 0.05).alias("is_normal"), "outliers", "outlier_pct")
+                    F.when(F.col("n") <= MAX_SW_N, "Shapiro-Wilk").otherwise("D'Agostino-Pearson").alias("normality_test"),
+                    normal.alias("is_normal"), "outliers", "outlier_pct", "outliers_zscore",
+                    F.when(normal, "Z-Score").otherwise("IQR").alias("outlier_method"))
 
 
 def categorical_stats(df: DataFrame, columns: list[str]) -> DataFrame:

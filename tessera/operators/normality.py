@@ -1,9 +1,8 @@
 """Normality tests that need the sorted sample: Shapiro-Wilk (H-1).
 
 Shapiro-Wilk is defined on at most 5000 values.  Each column's sample is
-chosen deterministically (the 5000 smallest seeded row hashes — a
-Bernoulli pre-filter keeps the per-group input bounded) and the statistic
-is computed per column with ``applyInPandas``.  Royston's (1995)
+a keyed bottom-k of its value table (``bottom_k``): fixed, exact in size and never
+larger, however often a value repeats.  The statistic is computed per column with ``applyInPandas``.  Royston's (1995)
 approximation for the coefficients and p-value is used.
 """
 
@@ -14,9 +13,10 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import to_long
 
 # ---- fixed values (Royston 1995 polynomial coefficients) --------------------
 SW_C1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -90,38 +90,41 @@ def shapiro_wilk(x) -> tuple[float, float]:
 SW_SCHEMA = "column string, n_sample long, shapiro_stat double, shapiro_p double"
 
 
+def bottom_k(counts: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
+    """``(key, v)``: a fixed random sample of ``k`` values a key (all, if fewer), exact and bounded.
+
+    ``counts`` is a value table ``(key, _v, _c)``, combined before its shuffle.  Copy j of a value with c
+    copies stands at (j + u) / c, u being the value's seeded hash in [0, 1): copies are spread evenly, so
+    a value is drawn in its share of the rows, however often it repeats.  The k smallest
+    places win.  Only a value's first k copies can, so no more are made; each task sends at most k rows a key.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_v")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    first = F.least(F.col("_c"), F.lit(k)) - 1
+    copies = counts.select(key, "_v", "_c", u.alias("_u"), F.explode(F.sequence(F.lit(0).cast("long"), first)).alias("_j"))
+    place = (F.col("_j") + F.col("_u")) / F.col("_c")
+    order = Window.partitionBy(key).orderBy("_place", "_v", "_j")
+    return (copies.withColumn("_place", place).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+            .select(key, F.col("_v").alias("v")))
+
+
 def shapiro_by_column(df: DataFrame, columns: list[str], seed: int = 42,
-                      max_n: int = MAX_SW_N) -> DataFrame:
-    """H-1 per column over a deterministic sample of at most ``max_n`` values.
-    The sample key hashes the whole source row, so rows sharing a value are
-    sampled independently (identical rows are interchangeable)."""
-    rows = df.select(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).alias("_rh"), *columns)
-    long = rows.select("_rh", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
-        .alias("kv")).select("_rh", "kv.column", "kv.value").where(F.col("value").isNotNull())
-    return shapiro_long(long, "column", "value", seed, max_n, row_hash="_rh")
+                      max_n: int = MAX_SW_N, only_small: bool = False) -> DataFrame:
+    """H-1 per column over at most ``max_n`` values; ``only_small`` leaves longer columns out."""
+    return shapiro_long(to_long(df, columns), "column", "value", seed, max_n, only_small)
 
 
 def shapiro_long(long: DataFrame, key: str, value: str, seed: int = 42,
-                 max_n: int = MAX_SW_N, row_hash: str | None = None) -> DataFrame:
-    """Shapiro-Wilk per ``key``; ``row_hash`` (a per-row hash of the source row)
-    spreads rows that share a value across the sample."""
-    # one count per key (columns or cohorts: bounded) as a literal map, not a join
-    counts = {r[0]: r[1] for r in long.groupBy(key).agg(F.count(F.lit(1))).collect()}
-    n_of_key = F.element_at(F.create_map(*[x for k, c in counts.items() for x in (F.lit(k), F.lit(c))]),
-                            F.col(key)) if counts else F.lit(None)
-    h = F.xxhash64(F.lit(seed), F.col(key), F.col(row_hash) if row_hash else F.col(value))
-    # uniform in [0, 1): keep about 1.2 * max_n rows per key before the exact cut
-    u = (F.abs(h % F.lit(1_000_000_007)) / F.lit(1_000_000_007.0))
-    pre = (long.withColumn("_n", n_of_key)
-               .withColumn("_u", u)
-               .where(F.col("_u") < F.least(F.lit(1.0), F.lit(1.2 * max_n) / F.col("_n")))
-               .select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("v"), "_u"))
+                 max_n: int = MAX_SW_N, only_small: bool = False) -> DataFrame:
+    """Shapiro-Wilk per ``key`` over its ``bottom_k`` sample."""
+    counts = (long.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("_v"))
+              .groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if only_small:
+        few = counts.groupBy("column").agg(F.sum("_c").alias("_n")).where(F.col("_n") <= max_n)
+        counts = counts.join(few.select("column"), "column", "left_semi")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_u").head(max_n)
         w, p = shapiro_wilk(pdf["v"].to_numpy())
         return pd.DataFrame([{"column": pdf["column"].iloc[0], "n_sample": len(pdf),
                               "shapiro_stat": w, "shapiro_p": p}])
 
-    return pre.groupBy("column").applyInPandas(fit, SW_SCHEMA)
+    return bottom_k(counts, "column", max_n, seed).groupBy("column").applyInPandas(fit, SW_SCHEMA)

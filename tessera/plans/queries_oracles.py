@@ -188,6 +188,33 @@ UNION ALL SELECT 'satisfaction', 'regression', printf('Continuous numeric target
 
 
 # E-5 / E-6 numeric statistics --------------------------------------------------------------------
+# Shapiro-Wilk of columns with 12 to 5000 values: Royston's weights over normal scores (Acklam's inverse normal),
+# p > 0.05 decided by the normal score of ln(1 - W) against 1.6448536269514722
+_TAIL = ("((((({c}0.007784894002430293 * q - 0.3223964580411365) * q - 2.400758277161838) * q - 2.549732539343734) * q + 4.374664141464968) * q "
+         "+ 2.938163982698783) / ((((0.007784695709041462 * q + 0.3224671290700398) * q + 2.445134137142996) * q + 3.754408661907416) * q + 1)")
+SHAPIRO_SQL = f'''
+, sr AS (SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY v) AS i, CAST(count(*) OVER (PARTITION BY "column") AS DOUBLE) AS n
+         FROM x QUALIFY count(*) OVER (PARTITION BY "column") BETWEEN 12 AND 5000)
+, sp AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM sr)
+, sq AS (SELECT *, CASE WHEN least(p, 1 - p) < 0.02425 THEN sqrt(-2 * ln(least(p, 1 - p))) ELSE p - 0.5 END AS q FROM sp)
+, sm AS (SELECT *, CASE WHEN least(p, 1 - p) < 0.02425 THEN CASE WHEN p < 0.5 THEN 1 ELSE -1 END * {_TAIL.format(c="-")}
+    ELSE (((((-39.69683028665376 * q * q + 220.9460984245205) * q * q - 275.9285104469687) * q * q + 138.3577518672690) * q * q - 30.66479806614716) * q * q
+          + 2.506628277459239) * q / (((((-54.47609879822406 * q * q + 161.5858368580409) * q * q - 155.6989798598866) * q * q + 66.80131188771972) * q * q
+          - 13.28068155288572) * q * q + 1) END AS m FROM sq)
+, st AS (SELECT "column", n, sum(m * m) AS mm, min(m) AS m1, min(m) FILTER (WHERE i = 2) AS m2 FROM sm GROUP BY ALL)
+, sa AS (SELECT *, m1 / sqrt(mm) AS c1, m2 / sqrt(mm) AS c2, 1 / sqrt(n) AS r FROM st)
+, sb AS (SELECT *, (0.221157 + (-0.147981 + (-2.07119 + (4.434685 - 2.706056 * r) * r) * r) * r) * r - c1 AS a1,
+                (0.042981 + (-0.293762 + (-1.752461 + (5.682633 - 3.582633 * r) * r) * r) * r) * r - c2 AS a2 FROM sa)
+, sw AS (SELECT "column", (ln(1 - w) - mu) / sigma < 1.6448536269514722 AS sw_normal FROM (
+    SELECT "column", n, pow(sum(weight * v), 2) / any_value(ss) AS w,
+           -1.5861 + (-0.31082 + (-0.083751 + 0.0038915 * ln(n)) * ln(n)) * ln(n) AS mu,
+           exp(-0.4803 + (-0.082676 + 0.0030302 * ln(n)) * ln(n)) AS sigma
+    FROM (SELECT sm."column", sm.n, sm.v, var_pop(sm.v) OVER (PARTITION BY sm."column") * sm.n AS ss,
+                 CASE WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 WHEN i = sm.n THEN a1 WHEN i = sm.n - 1 THEN a2
+                      ELSE m / sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS weight
+          FROM sm JOIN sb USING ("column")) GROUP BY ALL))'''
+
+
 def _numeric_stats_sql(table: str, cols: list[str]) -> str:
     long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM {table}" for c in cols)
     g1 = "skewness(v) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0))"
@@ -198,6 +225,9 @@ WITH long AS ({long}), x AS (SELECT * FROM long WHERE v IS NOT NULL)
                {g1} AS g1, kurtosis_pop(v) AS g2 FROM x GROUP BY 1)
 , o AS (SELECT x."column", count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS outliers
         FROM x JOIN m USING ("column") GROUP BY 1)
+, zs AS (SELECT x."column", count(*) FILTER (WHERE std > 0 AND abs(v - mean) > 3 * std) AS outliers_zscore
+         FROM x JOIN m USING ("column") GROUP BY 1)
+{SHAPIRO_SQL}
 , a AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0 * (n - 2))) AS y,
                3.0 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta2,
                g2 + 3.0 AS b2, 3.0 * (n - 1) / (n + 1) AS e,
@@ -210,23 +240,26 @@ WITH long AS ({long}), x AS (SELECT * FROM long WHERE v IS NOT NULL)
                1 + xx * sqrt(2 / (aa - 4.0)) AS denom FROM b)
 , z AS (SELECT *, delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)) AS z1,
                (term1 - sign(denom) * pow(abs((1 - 2.0 / aa) / denom), 1 / 3.0)) / sqrt(2 / (9.0 * aa)) AS z2 FROM c)
-, k AS (SELECT *, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) AS G2,
-               g1 * sqrt(n * (n - 1)) / (n - 2) AS G1 FROM z)
+, k AS (SELECT *, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) AS adj2,
+               g1 * sqrt(n * (n - 1)) / (n - 2) AS adj1 FROM z)
 SELECT k."column", CAST(n AS BIGINT) AS n, round(mean, 4) AS mean, round(median, 4) AS median, round(std, 4) AS std,
-       round(mn, 4) AS "min", round(mx, 4) AS "max", round(q1, 4) AS q1, round(q3, 4) AS q3, round(G1, 4) AS skewness,
-       CASE WHEN abs(G1) < 0.5 THEN 'approximately symmetric'
-            WHEN abs(G1) < 1.0 THEN CASE WHEN G1 > 0 THEN 'moderately right-skewed' ELSE 'moderately left-skewed' END
-            ELSE CASE WHEN G1 > 0 THEN 'highly right-skewed' ELSE 'highly left-skewed' END END AS skew_label,
-       round(G2, 4) AS kurtosis,
-       CASE WHEN G2 > 1 THEN 'leptokurtic (heavy tails)' WHEN G2 < -1 THEN 'platykurtic (light tails)'
+       round(mn, 4) AS "min", round(mx, 4) AS "max", round(q1, 4) AS q1, round(q3, 4) AS q3, round(adj1, 4) AS skewness,
+       CASE WHEN abs(adj1) < 0.5 THEN 'approximately symmetric'
+            WHEN abs(adj1) < 1.0 THEN CASE WHEN adj1 > 0 THEN 'moderately right-skewed' ELSE 'moderately left-skewed' END
+            ELSE CASE WHEN adj1 > 0 THEN 'highly right-skewed' ELSE 'highly left-skewed' END END AS skew_label,
+       round(adj2, 4) AS kurtosis,
+       CASE WHEN adj2 > 1 THEN 'leptokurtic (heavy tails)' WHEN adj2 < -1 THEN 'platykurtic (light tails)'
             ELSE 'mesokurtic (normal-like tails)' END AS kurtosis_label,
-       exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AS is_normal, CAST(outliers AS BIGINT) AS outliers,
-       round(outliers * 100.0 / n, 6) AS outlier_pct
-FROM k JOIN o USING ("column") WHERE n >= 3"""
+       CASE WHEN n <= 5000 THEN 'Shapiro-Wilk' ELSE 'D''Agostino-Pearson' END AS normality_test,
+       CASE WHEN n <= 5000 THEN sw_normal ELSE exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 END AS is_normal, CAST(outliers AS BIGINT) AS outliers,
+       round(outliers * 100.0 / n, 6) AS outlier_pct, CAST(outliers_zscore AS BIGINT) AS outliers_zscore,
+       CASE WHEN CASE WHEN n <= 5000 THEN sw_normal ELSE exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 END THEN 'Z-Score' ELSE 'IQR' END AS outlier_method
+FROM k JOIN o USING ("column") JOIN zs USING ("column") LEFT JOIN sw USING ("column") WHERE n >= 3"""
 
 
 attach_oracle("E6_numeric_stats_lineitem", _numeric_stats_sql("lineitem", _LI))
 attach_oracle("E5_stats_analyze_numeric_orders", _numeric_stats_sql("orders", ["o_totalprice", "o_custkey"]))
+attach_oracle("E6_numeric_stats_customer_shapiro", _numeric_stats_sql("customer", ["c_acctbal", "c_custkey", "c_nationkey"]))
 
 
 # D-7 anomalies -------------------------------------------------------------------------------------

@@ -200,6 +200,11 @@ def q_e6(spark, sf):
     return rounded(eda.numeric_stats(read_table(spark, sf, "lineitem"), LI))
 
 
+@register("E6_numeric_stats_customer_shapiro")
+def q_e6s(spark, sf):
+    return rounded(eda.numeric_stats(read_table(spark, sf, "customer"), ["c_acctbal", "c_custkey", "c_nationkey"]))
+
+
 @register("E7_categorical_stats_orders", """
 WITH long AS (SELECT 'o_orderstatus' AS "column", CAST(o_orderstatus AS VARCHAR) AS value FROM orders
               UNION ALL SELECT 'o_orderpriority', CAST(o_orderpriority AS VARCHAR) FROM orders)
