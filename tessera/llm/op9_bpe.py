@@ -1,9 +1,10 @@
 """Byte-level BPE over the distinct words of the whole corpus.
 
-1. Every text is cut into pre-tokens.  Documents are taken in blocks of
+1. Every text is cut into pre-tokens, once.  Documents are taken in blocks of
    ``block_bytes`` of text; a block lists its distinct pre-tokens once, ordered by
    frequency, and keeps its texts as a position stream of indices into that list.
-2. The lists are shuffled by word; each distinct word is encoded once, and its ids
+   Word lists and streams leave in one shuffle: a word under itself, a stream under its block's name.
+2. Each distinct word is encoded once, and its ids
    are decoded through a join with the token-byte table (a vocabulary file, so its
    size is fixed and it is broadcast).
 3. Ids and bytes are joined back to the words of each block, and a block puts
@@ -12,8 +13,7 @@
 A frequent word is one row a block, however often it occurs, so no key is hot.
 Only one block at a time is held in a task.
 
-Blocks are numbered by input partition, and the input is read twice (for the words
-and for the positions): it must be a repeatable scan, such as a Parquet table.
+Words and streams come from the same shuffle, so the input is read and cut once.
 """
 
 from __future__ import annotations
@@ -146,19 +146,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tup
         yield base + k, block
 
 
-def block_words(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(word, block, place)``: the distinct pre-tokens of each block and their place in its sorted list."""
+def block_name(block: int) -> str:
+    """Shuffle key of a block's stream; no pre-token has a blank between a digit and a letter."""
+    return f"{block} block"
+
+
+def block_rows(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``(key, block, place, ids, ends, places, stream)``: two kinds of rows of each block.
+
+    A row for each distinct pre-token (``key``) with its ``place`` in the block's sorted list, and one under
+    the block's name: the ids of its documents, where each ends in the stream, and the stream, which
+    holds, by position, packed indices into ``places``.
+    """
+    schema = T.StructType([T.StructField("key", T.StringType(), False), T.StructField("block", T.LongType()), T.StructField("place", T.IntegerType()),
+                           T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("ends", T.ArrayType(T.LongType())),
+                           T.StructField("places", T.BinaryType()), T.StructField("stream", T.BinaryType())])
+
+    def rows(kind: pa.DataType, key: list, block: int, place, ids, ends, places, stream) -> pa.RecordBatch:
+        n = len(key)
+        types = (pa.list_(kind), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.string()), pa.array(np.full(n, block, np.int64)), pa.array(place, pa.int32()),
+             *(pa.nulls(n, t) if v is None else pa.array([v], t) for v, t in zip((ids, ends, places, stream), types))], names=schema.names)
+
     def run(batches):
         for block, x in _blocks(batches, block_bytes):
             words, _ = x.listed()
             for lo in range(0, len(words), 1 << 17):
                 part = words[lo:lo + (1 << 17)]
-                n = len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.string()), pa.array(np.full(n, block, np.int64)),
-                     pa.array(np.arange(lo, lo + n, dtype=np.int32))], names=["word", "block", "place"])
+                yield rows(x.kind, part, block, np.arange(lo, lo + len(part), dtype=np.int32), None, None, None, None)
+            places, flat, ends = x.streams()
+            yield rows(x.kind, [block_name(block)], block, [None], x.rows, ends.tolist(), _pack(places), _pack(flat))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, block long, place int")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _varint(v: np.ndarray) -> np.ndarray:
@@ -191,24 +211,6 @@ def _unpack(b: bytes) -> np.ndarray:
     return _unvarint(np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8))
 
 
-def block_streams(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(block, ids, ends, places, stream)``: one row a block; the ids of its documents and where each ends
-    in the stream, which holds, by position, packed indices into ``places``."""
-    schema = T.StructType([T.StructField("block", T.LongType()),
-                           T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)),
-                           T.StructField("ends", T.ArrayType(T.LongType())),
-                           T.StructField("places", T.BinaryType()), T.StructField("stream", T.BinaryType())])
-
-    def run(batches):
-        for block, x in _blocks(batches, block_bytes):
-            places, flat, ends = x.streams()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([x.rows], pa.list_(x.kind)), pa.array([ends.tolist()], pa.list_(pa.int64())),
-                 pa.array([_pack(places)], pa.binary()), pa.array([_pack(flat)], pa.binary())], names=schema.names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
-
-
 @functools.lru_cache(2)
 def _encoder(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(ranks_path),
@@ -293,7 +295,7 @@ def _reassemble(key, left: pa.Table, right: pa.Table) -> pa.Table:
         (places, np.int64), (n_ids, np.int64), (n_bytes, np.int64), (ids, np.uint32), (raw, np.uint8)))
     by = np.argsort(places)
     if not np.array_equal(places[by], np.arange(n_words)):
-        raise RuntimeError("the words of a block are incomplete: its input is no repeatable scan")
+        raise RuntimeError("the words of a block are incomplete")
     id_at, byte_at = (np.cumsum(n_ids) - n_ids)[by], (np.cumsum(n_bytes) - n_bytes)[by]
     n_ids, n_bytes = n_ids[by], n_bytes[by]
     out = []
@@ -322,13 +324,18 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     d = pick(docs, doc_id=id_col, text=text_col)
     spark = docs.sparkSession
     n = partitions(spark)
-    # the filter, which the join would add, and the maxima, which keep all columns, make both uses share one shuffle
-    words = block_words(d, block_bytes).where("word is not null").repartition(n, "word")
-    distinct = words.groupBy("word").agg(F.max("block").alias("block"), F.max("place").alias("place"))
+    rows = block_rows(d, block_bytes).repartition(n, "key")
+    # Three uses of one shuffle.  Each needs all its columns and filters above it only (the counts, the columns
+    # handed on, a condition with a random part, which may not be moved), so that all three stay the same exchange.
+    packed = ("ids", "ends", "places", "stream")
+    distinct = (rows.groupBy("key").agg(F.max("place").alias("place"), F.max("block").alias("block"), *[F.count(c).alias(c) for c in packed])
+                .where(F.col("place").isNotNull()).withColumnRenamed("key", "word"))
     coded = decode_words(encode_words(distinct, ranks_path).repartition(n, "word"), token_bytes(spark, ranks_path))
-    answers = (words.join(coded, "word").select("block", "place", "ids", "bytes").sortWithinPartitions("block", "place")
-               .mapInArrow(_pack_answers, "block long, head binary, ids binary, bytes binary"))
+    words = rows.withColumnsRenamed({c: f"_{c}" for c in packed}).join(coded, F.col("key") == F.col("word"))
+    answers = (words.select("block", "place", "ids", "bytes", *[f"_{c}" for c in packed]).sortWithinPartitions("block", "place")
+               .mapInArrow(_pack_answers, "block long, head binary, ids binary, bytes binary")
+               .withColumn("key", F.concat(F.col("block").cast("string"), F.lit(" block"))))
+    streams = rows.where(F.coalesce("place", F.lit(-1)) + F.floor(F.rand(1)) < 0)  # a random number below 1 has floor 0
     schema = T.StructType([T.StructField("doc_id", d.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()),
                            T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return (block_streams(d, block_bytes).groupBy("block")
-            .cogroup(answers.groupBy("block")).applyInArrow(_reassemble, schema))
+    return streams.groupBy("key").cogroup(answers.groupBy("key")).applyInArrow(_reassemble, schema)
