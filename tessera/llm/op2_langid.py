@@ -34,9 +34,11 @@ PIECE = 48
 def words_of(chunk: str) -> list[bytes]:
     """Lower-cased runs of letters as UTF-8, in pieces of ``PIECE`` bytes at most."""
     out = []
-    for w in _WORD.findall(chunk.lower()):
-        w = w.encode("utf-8", "replace")
-        out += [w] if len(w) <= PIECE else [w[i:i + PIECE] for i in range(0, len(w), PIECE)]
+    for run in _WORD.findall(chunk.lower()):
+        # the pattern also takes signs such as a half or a circled one for letters
+        for w in [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split():
+            w = w.encode("utf-8", "replace")
+            out += [w] if len(w) <= PIECE else [w[i:i + PIECE] for i in range(0, len(w), PIECE)]
     return out
 
 

@@ -43,6 +43,34 @@ TEMPLATES = {
     "cc-by-nc": "cc by nc",
     "cc-by-sa": "cc by sa",
     "no-warranty": "the software is provided as is without warranty of any kind express or implied",
+    # whole texts, from the first word of the grant to the last of the disclaimer
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+                "documentation files the software to deal in the software without restriction including without limitation the "
+                "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+                "persons to whom the software is furnished to do so subject to the following conditions the above copyright notice "
+                "and this permission notice shall be included in all copies or substantial portions of the software the software "
+                "is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+                "merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright "
+                "holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+                "arising from out of or in connection with the software or the use or other dealings in the software",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+                "provided that the above copyright notice and this permission notice appear in all copies the software is provided "
+                "as is and the author disclaims all warranties with regard to this software including all implied warranties of "
+                "merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+                "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+                "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "bsd-2-clause-text": "redistribution and use in source and binary forms with or without modification are permitted provided that "
+                         "the following conditions are met 1 redistributions of source code must retain the above copyright notice "
+                         "this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the "
+                         "above copyright notice this list of conditions and the following disclaimer in the documentation and or "
+                         "other materials provided with the distribution this software is provided by the copyright holders and "
+                         "contributors as is and any express or implied warranties including but not limited to the implied "
+                         "warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+                         "with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless "
+                         "required by applicable law or agreed to in writing software distributed under the license is distributed "
+                         "on an as is basis without warranties or conditions of any kind either express or implied see the license "
+                         "for the specific language governing permissions and limitations under the license",
 }
 #: Bigrams of two such words are no evidence and give no vote.
 COMMON = frozenset("a an and any as by for from in is it of on or that the this to use under with you".split())
@@ -72,9 +100,8 @@ def template_rows(spark) -> DataFrame:
 
 
 def bigram_rows(docs: DataFrame) -> DataFrame:
-    """``(doc_id, pos, h)``: every rolling word bigram of every whole text."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("pos", T.IntegerType()),
-                           T.StructField("h", T.LongType())])
+    """``(k1, k2, pos, h)``: every rolling word bigram of every whole text under the text's two hashes."""
+    names = ["k1", "k2", "pos", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = WordHash()
@@ -85,34 +112,49 @@ def bigram_rows(docs: DataFrame) -> DataFrame:
                 rows.append(np.full(len(g), i))
                 pos.append(np.arange(len(g), dtype=np.int32))
                 h.append(g)
+            at = np.concatenate(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(pos)),
-                 pa.array(np.concatenate(h).view(np.int64))], names=schema.names)
+                [*(pa.array(b.column(k).to_numpy()[at]) for k in ("k1", "k2")), pa.array(np.concatenate(pos)),
+                 pa.array(np.concatenate(h).view(np.int64))], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("k1", "k2", "text").mapInArrow(run, "k1 long, k2 long, pos int, h long")
 
 
 def merge_diagonals(votes: list[tuple[int, int, int, int]], slack: int) -> list[tuple[int, int, int]]:
-    """Merge ``(diagonal, votes, first, last)`` of neighbouring diagonals into ``(votes, first, last)`` spans."""
+    """Merge ``(diagonal, votes, first, last)`` of neighbouring diagonals into ``(votes, first, last)`` spans.
+
+    A sweep by diagonal: a span that no diagonal within ``slack`` has touched is closed, so at most
+    ``slack + 1`` spans are open.
+    """
     out: list[list[int]] = []
+    live: list[list[int]] = []
     for diagonal, n, lo, hi in sorted(votes):
-        for s in out:
-            if diagonal - s[3] <= slack and lo <= s[2] + slack + K and hi >= s[1] - slack - K:
+        live = [s for s in live if diagonal - s[3] <= slack]
+        for s in live:
+            if lo <= s[2] + slack + K and hi >= s[1] - slack - K:
                 s[0], s[1], s[2], s[3] = s[0] + n, min(s[1], lo), max(s[2], hi), diagonal
                 break
         else:
-            out.append([n, lo, hi, diagonal])
+            live.append([n, lo, hi, diagonal])
+            out.append(live[-1])
     return [(n, lo, hi) for n, lo, hi, _ in out]
 
 
 def coverage(span: list[bytes], template: list[bytes]) -> float:
-    """Share of a template's words that stand in a span in the same order."""
-    best = [0] * (len(template) + 1)
+    """Share of a template's words that stand in a span in the same order.
+
+    The longest common subsequence, a bit a template word: a step a word of the span.
+    """
+    at: dict[bytes, int] = {}
+    for j, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << j
+    full = (1 << len(template)) - 1
+    row = full
     for w in span:
-        diag = 0
-        for j, t in enumerate(template, 1):
-            diag, best[j] = best[j], diag + 1 if w == t else max(best[j], best[j - 1])
-    return best[-1] / len(template)
+        hit = row & at.get(w, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & full
+    return (len(template) - row.bit_count()) / len(template)
 
 
 def verify(words: list[bytes], votes: list[tuple[int, int, int, int, int]], least: float, slack: int = 3
@@ -145,20 +187,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``places`` are the starts of base phrases with their labels, ``spans`` the template
     passages of which at least ``least`` of the words stand in order.  Null and empty texts
-    have no words.  Rows that share an id share their votes, and each is verified on its own text.
+    have no words.  Votes belong to a text, named by two 64-bit hashes, not to an id: rows without an id or with a
+    shared one are scanned on their own, and equal texts share their votes.
     """
-    d = pick(docs, doc_id=id_col, text=text_col)
+    d = pick(docs, doc_id=id_col, text=text_col).select("*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(K), "text").alias("k2"))
     # the template table has a few hundred fixed rows
     votes = (bigram_rows(d).join(F.broadcast(template_rows(docs.sparkSession)), "h")
-             .groupBy("doc_id", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
+             .groupBy("k1", "k2", "template", (F.col("pos") - F.col("place")).alias("diagonal"))
              .agg(F.count_distinct("pos").cast("int").alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi")))
-    # a diagonal with one vote of many is no candidate, but may lie beside one that is: kept by template and document
-    per = (votes.groupBy("doc_id", "template").agg(F.sum("n").alias("total"),
+    # a diagonal with one vote of many is no candidate, but may lie beside one that is: kept by template and text
+    per = (votes.groupBy("k1", "k2", "template").agg(F.sum("n").alias("total"),
                                                     F.collect_list(F.struct("template", "diagonal", "n", "lo", "hi")).alias("v")))
     need = F.lit(1)
     for t, (_, _, at, base) in enumerate(_templates()):
         need = F.when(F.col("template") == t, F.lit(len(at) if base else max(1.0, least * len(at) / 2))).otherwise(need)
-    found = (per.where(F.col("total") >= need).groupBy(F.col("doc_id").alias("_d"))
+    found = (per.where(F.col("total") >= need).groupBy("k1", "k2")
              .agg(F.flatten(F.collect_list("v")).alias("votes")))
     place = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType())])
     span = T.StructType([T.StructField("label", T.StringType()), T.StructField("start", T.IntegerType()),
@@ -181,8 +224,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(places, p_type),
                                               pa.array(spans, s_type)], names=schema.names)
 
-    return (d.join(found, F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "votes")
-            .mapInArrow(run, schema))
+    return d.join(found, ["k1", "k2"], "left").select("doc_id", "text", "votes").mapInArrow(run, schema)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

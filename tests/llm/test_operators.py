@@ -64,6 +64,16 @@ def test_op2_language(spark, docs, none):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_op2_letters_only(spark):
+    assert [op2_langid.words_of(x) for x in ("½ ² ①", "Ⅷ٣", "a²b", "Straße½", "x1y", "ªº")] == [
+        [], [], [b"a", b"b"], ["straße".encode()], [b"x", b"y"], ["ªº".encode()]]
+    rng = random.Random(1)
+    table = [(i, data.prose(rng, 30), "aa" if i % 2 else "bb") for i in range(20)] + [(100, "½ ² ①", "aa"), (101, "Ⅷ _ ٣", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in op2_langid.identify_language(
+        spark.createDataFrame(table, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == ("und", 0.0)
+
+
 def test_op2_gradients_match_differences():
     net = op2_langid.BiGRU(3, width=3, hidden=4)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
@@ -218,6 +228,70 @@ def test_op5_licenses(docs, none):
     assert op5_licenses.license_report(none).count() == 0
 
 
+def test_op5_shared_ids_stay_linear(spark):
+    """A third of the rows without an id, and one id for another third: each text is scanned on its own."""
+    import time
+    notice = op5_licenses.TEMPLATES["apache-2.0"]
+    table = [(None if i % 3 == 0 else -1 if i % 3 == 1 else i, f"text number {i} " + (notice if i % 2 else "all rights reserved") + f" end {i}") for i in range(6000)]
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(8)
+    op5_licenses.license_report(df.limit(10)).collect()
+    t = time.time()
+    got = op5_licenses.license_report(df).groupBy("labels").count().collect()
+    assert {r["labels"]: r["count"] for r in got} == {"apache-2.0": 3000, "reserved": 3000} and time.time() - t < 20
+
+
+def test_op5_merging_and_coverage():
+    import time
+    rng = random.Random(4)
+
+    def spans_by_hand(votes, slack):
+        out = []
+        for diagonal, n, lo, hi in sorted(votes):
+            s = next((s for s in out if diagonal - s[3] <= slack and lo <= s[2] + slack + 2 and hi >= s[1] - slack - 2), None)
+            if s is None:
+                out.append([n, lo, hi, diagonal])
+            else:
+                s[:] = [s[0] + n, min(s[1], lo), max(s[2], hi), diagonal]
+        return [tuple(s[:3]) for s in out]
+
+    for _ in range(200):
+        votes = [(d, rng.randint(1, 5), d + (a := rng.randint(0, 30)), d + a + rng.randint(0, 30)) for d in rng.sample(range(80), 25)]
+        assert op5_licenses.merge_diagonals(votes, 3) == spans_by_hand(votes, 3)
+        x, y = ([rng.choice(b"abcd") for _ in range(rng.randint(1, 30))] for _ in range(2))
+        best = [0] * (len(y) + 1)
+        for w in x:
+            last = 0
+            for j, t in enumerate(y, 1):
+                last, best[j] = best[j], last + 1 if w == t else max(best[j], best[j - 1])
+        assert op5_licenses.coverage(x, y) == best[-1] / len(y)
+    t = time.time()
+    k = [x[0] for x in op5_licenses._templates()].index("no-warranty")
+    words = b"the software and then some other words ".split() * 100_000
+    op5_licenses.verify(words, [(k, 7 * i, 1, 7 * i, 7 * i) for i in range(100_000)], 0.85)
+    assert time.time() - t < 2
+
+
+def test_op5_whole_license_texts(spark):
+    """Spans of template labels against a search that tries every start."""
+    ship(spark)
+    rng = random.Random(8)
+    texts, labels = [], [x for x in op5_licenses.TEMPLATES if x.endswith(("text", "notice"))]
+    for label in labels:
+        w = op5_licenses.TEMPLATES[label].split()
+        texts += [(label, " ".join(w)), (label, data.prose(rng, 40) + " " + " ".join(x if rng.random() > 0.05 else "changed" for x in w)),
+                  ("", " ".join(w[:len(w) // 2])), ("", " ".join(rng.sample(w, len(w))))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    for r in op5_licenses.scan_licenses(df).collect():
+        words = data.PLAIN.findall(texts[r["doc_id"]][1])
+        found = {s["label"] for s in r["spans"]}
+        want = texts[r["doc_id"]][0]
+        assert want in found or not want
+        for label in op5_licenses.TEMPLATES:
+            t = op5_licenses.TEMPLATES[label].split()
+            best = max(op5_licenses.coverage(words[a:a + len(t) + 12], t) for a in range(max(1, len(words))))
+            assert best >= 0.85 if label in found else best < 0.97, (label, best)
+
+
 def test_op5_spans_bridge_changed_words():
     t = op5_licenses.TEMPLATES["mit"].encode().split()
     words = b"some text".split() + t[:9] + [b"extra"] + t[9:20] + t[21:] + b"end".split()
