@@ -271,6 +271,18 @@ def _box(path: str) -> str:
     return above if last.split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre") else path
 
 
+#: Elements that are part of a running text, not containers of their own.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 hgroup li ul ol blockquote pre td th tr tbody thead tfoot table caption dl dt dd figure figcaption".split())
+
+
+def _flow(path: str) -> str:
+    """The container whose running text a slot is part of."""
+    steps = path.split("/")
+    while steps and (steps[-1].split(".")[0] in FLOW or steps[-1] == "section"):
+        steps.pop()
+    return "/".join(steps)
+
+
 def container_slots(wrapper: list[list]) -> set[str]:
     """Paths of the container that has most of the varying text outside links, of unmarked slots."""
     free = [n for n in wrapper if n[TOKEN] == "#" and not (_outside(n[PATH]) or _inside(n[PATH]) or _constant(n))
@@ -362,11 +374,11 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
 
     rules = materialize(wrappers.mapInArrow(decide, "host string, paths array<string>, constants array<long>"), "rules")
     total = rules.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 8 * F.size("constants") + 64)).first()[0] or 0
-    block = "path string, text string, key long, box string, mass long, marked boolean"
+    block = "path string, text string, key long, flow string, box string, mass long, marked boolean"
     schema = T.StructType([T.StructField("page_id", d.schema["page_id"].dataType), T.StructField("url", T.StringType()),
                            T.StructField("host", T.StringType()),
                            T.StructField("blocks", T.ArrayType(T.StructType.fromDDL(block)))])
-    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("box", pa.string()),
+    kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("flow", pa.string()), ("box", pa.string()),
                                ("mass", pa.int64()), ("marked", pa.bool_())]))
 
     def read(batches):
@@ -374,16 +386,18 @@ def extract_articles(pages: DataFrame, id_col: str = "page_id", url_col: str = "
             hosts, blocks = [], []
             for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist()):
                 hosts.append(host_of(url))
-                blocks.append([{"path": p, "text": t, "key": _key(p, xxhash.xxh32_intdigest(t) or 1), "box": _box(p),
+                blocks.append([{"path": p, "text": t, "key": _key(p, xxhash.xxh32_intdigest(t) or 1), "flow": _flow(p), "box": _box(p),
                                 "mass": len(t) if min(n, len(t)) <= len(t) / 2 else 0, "marked": _inside(p)}
                                for p, t, n in read_page(page)[1] if not _outside(p)])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()),
                                               pa.array(blocks, kind)], names=schema.names)
 
     def varying(c):
-        """Without constant texts, unless nothing else is there."""
-        v = F.filter(c, lambda x: ~F.array_contains("constants", x["key"]))
-        return F.when(F.size(v) > 0, v).otherwise(c)
+        """Without the constant texts of containers that hold nothing else, unless nothing else is there at all."""
+        free = F.filter(c, lambda x: ~F.array_contains("constants", x["key"]))
+        flows = F.array_distinct(F.transform(free, lambda x: x["flow"]))
+        v = F.filter(c, lambda x: ~F.array_contains("constants", x["key"]) | F.array_contains(flows, x["flow"]))
+        return F.when(F.size(free) > 0, v).otherwise(c)
 
     mass = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x["mass"])
     below = lambda c, box: F.filter(c, lambda x: (x["path"] == box) | x["path"].startswith(F.concat(box, F.lit("/"))))

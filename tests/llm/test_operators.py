@@ -160,10 +160,21 @@ def test_op3_constant_texts_inside_articles(spark):
     few = [(20 + i, f"http://l.example/{i}", PAGE % (page % (i, "<p>Once</p>"))) for i in range(2)]
     got = _articles(spark, pages + few)
     for i in range(12):
-        assert got[i] == "\n".join([f"Title {i}", *body(i)])
+        # the line that all articles end with is part of their text; the boxes of their own are not
+        assert got[i] == "\n".join([f"Title {i}", *body(i), "The same last line."])
     assert got[20].split("\n") == ["Title 0", "Read on all our channels.", "Once", "The same last line.", "Our offer of the week"]
 
 
+def test_op3_shared_headings_and_cells_stay(spark):
+    ship(spark)
+    body = ("<article><h1>Title %d</h1><p>Opening %d</p><h2>Conclusion</h2><p>Closing %d</p><section><h2>Figures</h2><table><tr><th>Name</th><th>Value</th></tr>"
+            "<tr><td>Size</td><td>%d</td></tr></table></section><ul><li>First</li><li>Second %d</li></ul><div class='z'><p>Read us daily</p></div></article>")
+    pages = [(i, f"http://m.example/{i}", PAGE % (body % ((i,) * 5))) for i in range(5)]
+    got = _articles(spark, pages)
+    for i in range(5):
+        assert got[i].split("\n") == [f"Title {i}", f"Opening {i}", "Conclusion", f"Closing {i}", "Figures", "Name", "Value", "Size", str(i), "First", f"Second {i}"]
+
+
 def test_op3_wrappers_do_not_depend_on_the_group_size(spark):
     ship(spark)
     pages = [(i, "http://h/" + str(i), PAGE % ("<article><h1>A</h1>" + "<p>x</p>" * (i % 7) + "<ul><li>y</li></ul>" * (i % 3)
