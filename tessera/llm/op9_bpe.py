@@ -325,13 +325,14 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     n = partitions(spark)
     rows = block_rows(d, block_bytes).repartition(n, "key")
-    # Three uses of one shuffle.  Each needs all its columns and filters above it only (the counts, the columns
+    # Three uses of one shuffle.  Each needs all its columns and filters above it only (the counts, the sizes
     # handed on, a condition with a random part, which may not be moved), so that all three stay the same exchange.
     packed = ("ids", "ends", "places", "stream")
     distinct = (rows.groupBy("key").agg(F.max("place").alias("place"), F.max("block").alias("block"), *[F.count(c).alias(c) for c in packed])
                 .where(F.col("place").isNotNull()).withColumnRenamed("key", "word"))
     coded = decode_words(encode_words(distinct, ranks_path).repartition(n, "word"), token_bytes(spark, ranks_path))
-    words = rows.withColumnsRenamed({c: f"_{c}" for c in packed}).join(coded, F.col("key") == F.col("word"))
+    words = (rows.select("key", "block", "place", *[(F.size if c in ("ids", "ends") else F.octet_length)(c).alias(f"_{c}") for c in packed])
+             .join(coded, F.col("key") == F.col("word")))
     answers = (words.select("block", "place", "ids", "bytes", *[f"_{c}" for c in packed]).sortWithinPartitions("block", "place")
                .mapInArrow(_pack_answers, "block long, head binary, ids binary, bytes binary")
                .withColumn("key", F.concat(F.col("block").cast("string"), F.lit(" block"))))
