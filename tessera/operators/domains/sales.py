@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.scalars import truthy
+from ..aggregate import histogram
+from ..bi import group_gap
 from ..quantiles import exact_quantiles
 from ..ranks import row_positions
 from ..stats import col_stats
@@ -96,6 +98,26 @@ def deal_size_distribution(df: DataFrame, rev: str) -> DataFrame:
     return q.select(F.col("n").cast("bigint").alias("n"), F.col("q0").alias("median_deal"), F.col("q1").alias("p80_deal"))
 
 
+def margin_by_segment(df: DataFrame, segment: str, margin: str) -> DataFrame:
+    """N-66: mean margin of each segment, its distance from the best one, and best and worst of all."""
+    g = df.where(F.col(segment).isNotNull() & F.col(margin).isNotNull()).groupBy(F.col(segment).cast("string").alias("name")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.avg(F.col(margin).cast("double")).alias("mean"))
+    ends = group_gap(g, least=1).first()
+    if ends is None:
+        return g.select("name", "n", "mean", F.lit(0.0).alias("below_best"), F.lit(None).cast("string").alias("position")).limit(0)
+    position = F.when(F.col("name") == ends["best"], "best").when(F.col("name") == ends["worst"], "worst").otherwise("middle")
+    return g.select("name", "n", "mean", (F.lit(ends["best_value"]) - F.col("mean")).alias("below_best"), position.alias("position"))
+
+
+def deal_size_histogram(df: DataFrame, rev: str, bins: int = 20) -> DataFrame:
+    """N-67: histogram of deal sizes with the median, and whether a bin lies above the 80th percentile."""
+    p80 = deal_size_distribution(df, rev).first()
+    h = histogram(df, rev, bins)
+    if p80 is None:
+        return h.withColumn("above_p80", F.lit(None).cast("boolean"))
+    return h.withColumn("above_p80", F.col("bin_lo") > F.lit(p80["p80_deal"]))
+
+
 def sales_kpis(df: DataFrame, rev: str, target: str, rep: str, margin: str, won: str) -> DataFrame:
     """N-68: total revenue, quota attainment (ratio of sums), top-rep share,
     average margin, win rate."""

@@ -10,11 +10,12 @@ caps on the number of columns or rows.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bi, corr, distribution as dist, hypothesis as hyp, insights as ins
 from .charts import analysis_columns, pick_primary_metric
+from .rules import FACTS, RECOMMENDED, STATISTICS_RULES, facts, fired
 from .stats import col_stats, kurtosis_label, skew_label, to_long
 
 
@@ -104,20 +105,43 @@ def stats_analyze(df: DataFrame) -> dict:
            "categorical": categorical_stats(df, cats) if cats else None}
     if len(nums) >= 2:
         out["correlations"] = corr.spearman_pairs(df, nums)
-    recs = []
-    spark = df.sparkSession
-    if len(nums) >= 2:
-        recs.append(("correlation analysis", "2+ numeric columns"))
-    if cats and nums:
-        recs.append(("group comparison (ANOVA / Kruskal-Wallis)", "categorical and numeric columns present"))
-    if cols["date_cols"]:
-        recs.append(("time-series trend and stationarity", "date column present"))
-    if nums:
-        recs.append(("distribution and outlier review", "numeric columns present"))
-    out["recommended_analyses"] = spark.createDataFrame(recs, "analysis string, reason string")
+    known = statistics_facts(df, out, cols, nums, cats)
+    out["insights"] = fired(known, STATISTICS_RULES).select("rule", "scope", "column", "text")
+    out["recommended_analyses"] = fired(known, RECOMMENDED).select(F.col("rule").alias("analysis"), F.col("text").alias("reason"))
     return out
 
 
+#: A text column with more distinct values than this share of the rows is taken for an identifier.
+HIGH_CARDINALITY = 0.8
+
+
+def statistics_facts(df: DataFrame, out: dict, cols: dict, nums: list[str], cats: list[str]) -> DataFrame:
+    """Facts of the statistics screen for ``rules``: one row a fact of a column, of a pair and of the dataset."""
+    spark = df.sparkSession
+    known = spark.createDataFrame([], FACTS)
+    n_rows = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(df.columns)]).first()
+    single = {"n_numeric": len(nums), "n_categorical": len(cats), "n_dates": len(cols["date_cols"]),
+              "n_missing_columns": sum(n_rows[f"m{i}"] > 0 for i in range(len(df.columns))), "n_non_normal": 0, "n_strong": 0, "n_high_cardinality": 0}
+    if out["numeric"] is not None:  # one row a column
+        num = spark.createDataFrame(out["numeric"].collect(), out["numeric"].schema)
+        known = known.unionByName(facts(num, "numeric", F.col("column"), abs_skew=F.abs("skewness"), skew=F.col("skewness"), skew_label=F.col("skew_label"),
+                                        mean=F.col("mean"), median=F.col("median"), non_normal=(~F.col("is_normal")).cast("int"), test=F.col("normality_test")))
+        single["n_non_normal"] = num.where(~F.col("is_normal")).count()
+    if out["categorical"] is not None:
+        single["n_high_cardinality"] = out["categorical"].where(F.col("n_unique") > HIGH_CARDINALITY * n_rows["n"]).count()
+    if out.get("correlations") is not None:  # one row a pair
+        pairs = spark.createDataFrame(out["correlations"].collect(), out["correlations"].schema)
+        by = Window.partitionBy("is_significant").orderBy(F.abs("r").desc(), "col_a", "col_b")
+        ranked = pairs.where("strength <> 'weak'").withColumn("rank", F.row_number().over(by))
+        known = known.unionByName(facts(ranked, "pair", F.concat("col_a", F.lit(" / "), "col_b"), significant=F.col("is_significant").cast("int"),
+                                        rank=F.col("rank"), r=F.col("r"), strength=F.col("strength"), direction=F.col("direction")))
+        single["n_strong"] = pairs.where("is_significant and strength = 'strong'").count()
+    single["n_other"] = sum((single["n_numeric"] >= 2 and single["n_strong"] > 0, single["n_non_normal"] > 0,
+                             single["n_categorical"] > 0 and single["n_numeric"] > 0, single["n_dates"] > 0, single["n_numeric"] >= 3))
+    return known.unionByName(spark.createDataFrame([("dataset", None, k, float(v), None) for k, v in single.items()], FACTS)
+                             .withColumn("column", F.lit("dataset")))
+
+
 def run_bi(df: DataFrame, domain: str = "general", max_levels: int = 25) -> dict:
     """B-6: benchmarks for numeric columns; Pareto, cohort and segment health on
     the first dimension (2..25 levels); root cause of the primary metric; insights.

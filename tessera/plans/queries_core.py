@@ -262,6 +262,16 @@ def q_b3(spark, sf):
     return rounded(bi.cohort(sales_view(spark, sf), "region", "rev", with_p=False))
 
 
+@register("B3_cohort_gap_revenue_by_region", with_views("""
+, g AS (SELECT CAST(region AS VARCHAR) AS name, avg(CAST(rev AS DOUBLE)) AS mean FROM sales WHERE region IS NOT NULL GROUP BY 1 HAVING count(*) >= 5)
+, r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, name) AS k, count(*) OVER () AS n FROM g WHERE mean IS NOT NULL)
+SELECT CAST(b.n AS BIGINT) AS n_groups, b.name AS best, round(b.mean, 6) AS best_value, w.name AS worst, round(w.mean, 6) AS worst_value,
+       round(b.mean - w.mean, 6) AS gap, round(CASE WHEN w.mean <> 0 THEN (b.mean - w.mean) / abs(w.mean) * 100.0 ELSE 0.0 END, 6) AS gap_pct
+FROM r b JOIN r w ON b.k = 1 AND w.k = w.n WHERE b.n >= 2""", "sales"))
+def q_b3_gap(spark, sf):
+    return rounded(bi.group_gap(bi.cohort(sales_view(spark, sf), "region", "rev", with_p=False)))
+
+
 @register("B3_cohort_with_test_satisfaction_by_dept")
 def q_b3p(spark, sf):
     return rounded(bi.cohort(hr_view(spark, sf), "dept", "satisfaction"))

@@ -380,6 +380,26 @@ def q_n66(spark, sf):
     return rounded(sl.revenue_vs_target_by(sales_view(spark, sf), "region", "rev", "target"), {"revenue": 2, "target": 4})
 
 
+@register("N66_margin_by_segment_gap", with_views("""
+, g AS (SELECT CAST(region AS VARCHAR) AS name, count(*) AS n, avg(CAST(margin AS DOUBLE)) AS mean FROM sales WHERE region IS NOT NULL AND margin IS NOT NULL GROUP BY 1)
+, r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, name) AS k, count(*) OVER () AS c, max(mean) OVER () AS top FROM g)
+SELECT name, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(top - mean, 6) AS below_best,
+       CASE WHEN k = 1 THEN 'best' WHEN k = c THEN 'worst' ELSE 'middle' END AS position FROM r""", "sales"))
+def q_n66m(spark, sf):
+    return rounded(sl.margin_by_segment(sales_view(spark, sf), "region", "margin"))
+
+
+@register("N67_deal_size_histogram", with_views("""
+, v AS (SELECT CAST(rev AS DOUBLE) AS x FROM sales WHERE rev IS NOT NULL)
+, s AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, quantile_cont(x, 0.5) AS med, quantile_cont(x, 0.8) AS p80 FROM v)
+, b AS (SELECT least(CAST(floor((x - lo) / ((hi - lo) / 20)) AS BIGINT), 19) AS bin, count(*) AS c FROM v, s GROUP BY 1)
+SELECT CAST(k AS BIGINT) AS bin, round(lo + k * ((hi - lo) / 20), 6) AS bin_lo, round(lo + (k + 1) * ((hi - lo) / 20), 6) AS bin_hi,
+       CAST(coalesce(c, 0) AS BIGINT) AS "count", round(mean, 6) AS mean, round(med, 6) AS median, lo + k * ((hi - lo) / 20) > p80 AS above_p80
+FROM range(20) t(k) CROSS JOIN s LEFT JOIN b ON b.bin = k""", "sales"))
+def q_n67h(spark, sf):
+    return rounded(sl.deal_size_histogram(sales_view(spark, sf), "rev"))
+
+
 @register("N67_deal_size_distribution", with_views("""
 SELECT CAST(count(rev) AS BIGINT) AS n, round(quantile_cont(rev, 0.5), 6) AS median_deal, round(quantile_cont(rev, 0.8), 6) AS p80_deal
 FROM sales WHERE rev IS NOT NULL""", "sales"))

@@ -134,10 +134,15 @@ def q_m6(spark, sf):
     return rounded(res.select("name", "task", "metric_name", "test_score", "train_error"))
 
 
-@register("M7_M8_split_and_fold_sizes")
+@register("M7_M8_split_and_fold_sizes", with_views("""
+, c AS (SELECT "left", count(*) AS n, CAST(floor(count(*) * 0.2 + 0.5) AS BIGINT) AS t FROM hr WHERE "left" IS NOT NULL GROUP BY 1)
+SELECT "left", true AS is_test, -1 AS fold, t AS n FROM c
+UNION ALL SELECT "left", false, CAST(k AS INTEGER), (n - t) // 5 + CASE WHEN k < (n - t) % 5 THEN 1 ELSE 0 END FROM c CROSS JOIN range(5) r(k)""", "hr"))
 def q_m7(spark, sf):
-    _, _, prepared, _ = _fit(spark, sf)
-    return prepared.groupBy("left", "is_test", "fold").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    d = hr_view(spark, sf).where(F.col("left").isNotNull())
+    split = ml._split_cols(d, ["emp_id"], "left")
+    return split.select("left", "is_test", F.when(F.col("is_test"), -1).otherwise(F.col("fold")).alias("fold")).groupBy("left", "is_test", "fold").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 @register("M9_regression_metrics_hours")

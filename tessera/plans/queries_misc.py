@@ -51,6 +51,29 @@ def q_d16c(spark, sf):
     return rounded(tools.dispatch(read_table(spark, sf, "orders"), "describe_column", {"column": "o_totalprice"}))
 
 
+def _encoded(spark, sf, enc, sep):
+    path = _shared_dir(spark, f"nation_{enc.lower()}")
+    n = read_table(spark, sf, "nation").select("n_nationkey", F.concat("n_name", F.lit(" é ñ ü")).alias("label"), F.lit("ß").alias("sign"))
+    n.coalesce(1).write.mode("overwrite").option("header", True).option("sep", sep).option("encoding", enc).csv(path)
+    found, cut = files.sniff_csv(spark, path + "/*.csv")
+    df = files.load_file(spark, path + "/*.csv", max_mb=None)
+    return df.select("n_nationkey", "label", "sign", F.lit(found).alias("encoding"), F.lit(cut).alias("separator"))
+
+
+def _encoded_sql(enc, sep):
+    return f"SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name || ' é ñ ü' AS label, 'ß' AS sign, '{enc}' AS encoding, '{sep}' AS separator FROM nation"
+
+
+@register("L2_csv_latin1_detected", _encoded_sql("ISO-8859-1", ";"))
+def q_l2_latin(spark, sf):
+    return _encoded(spark, sf, "ISO-8859-1", ";")
+
+
+@register("L2_csv_utf16_detected", _encoded_sql("UTF-16", "|"))
+def q_l2_wide(spark, sf):
+    return _encoded(spark, sf, "UTF-16", "|")
+
+
 @register("L2_csv_semicolon_roundtrip_orders_summary", """
 SELECT CAST(count(*) AS BIGINT) AS rows, round(sum(o_totalprice), 2) AS total_price,
        CAST(count(DISTINCT o_custkey) AS BIGINT) AS customers,

@@ -217,6 +217,11 @@ def q_e7(spark, sf):
     return rounded(eda.categorical_stats(read_table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"]))
 
 
+@register("E8_dataset_insights_orders")
+def q_e8i(spark, sf):
+    return eda.stats_analyze(read_table(spark, sf, "orders"))["insights"]
+
+
 @register("E8_recommended_analyses_orders")
 def q_e8(spark, sf):
     return eda.stats_analyze(read_table(spark, sf, "orders"))["recommended_analyses"]

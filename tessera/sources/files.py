@@ -8,6 +8,7 @@ loop of jobs).
 
 from __future__ import annotations
 
+import codecs
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,6 @@ from pyspark.sql import types as T
 from ..functions.scalars import NA_TOKENS, na_tokens_to_null, nullify_nonfinite
 
 # ---- fixed values that must equal the reference's -------------------------
-ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "iso-8859-1")
 SEPARATORS = (",", ";", "\t", "|")
 NUMERIC_SKIP_NAMES = ("id", "name", "code", "sku", "url", "link", "image", "description", "address",
                       "email", "phone")
@@ -33,6 +33,8 @@ SUPPORTED = {".csv": "csv", ".txt": "csv", ".tsv": "csv", ".json": "json", ".par
              ".xlsx": "excel", ".xls": "excel"}
 
 
+#: Bytes of a file's head that are looked at for encoding and separator.
+HEAD_BYTES = 1 << 16
 #: Doubles beyond this may not fit a bigint.
 BIGINT_LIMIT = 9.2e18
 
@@ -41,17 +43,45 @@ class LoadError(ValueError):
     pass
 
 
+def head_bytes(spark: SparkSession, path: str, limit: int = HEAD_BYTES) -> bytes:
+    """The first ``limit`` bytes of a file (of the first non-empty one of a folder or pattern), through Spark's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(p) or []:
+        inner = fs.listStatus(found.getPath()) if found.isDirectory() else [found]
+        for f in sorted(inner, key=lambda x: x.getPath().toString()):
+            if f.getLen() and not f.isDirectory() and not f.getPath().getName().startswith(("_", ".")):
+                stream = fs.open(f.getPath())
+                try:
+                    return bytes(stream.readNBytes(limit))
+                finally:
+                    stream.close()
+    return b""
+
+
+def detect_encoding(head: bytes) -> str:
+    """Encoding of a file's first bytes, by a byte order mark or the first one they are valid in.
+
+    A UTF-8 sequence that the limit cuts off counts as valid; every byte is valid Latin-1.
+    """
+    for mark, name in ((b"\xff\xfe\x00\x00", "UTF-32"), (b"\x00\x00\xfe\xff", "UTF-32"), (b"\xff\xfe", "UTF-16"), (b"\xfe\xff", "UTF-16")):
+        if head.startswith(mark):
+            return name
+    try:
+        codecs.getincrementaldecoder("utf-8")().decode(head, final=len(head) < HEAD_BYTES)
+        return "UTF-8"
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
+
+
 def sniff_csv(spark: SparkSession, path: str, k: int = 20) -> tuple[str, str]:
-    """L-2: first (encoding, separator) whose header splits into >= 2 columns."""
-    head = spark.read.text(path).limit(k).collect()
-    lines = [r["value"] for r in head if r["value"]]
+    """L-2: (encoding, separator): the encoding of the first bytes, and the first separator that cuts the header in two."""
+    head = head_bytes(spark, path)
+    enc = detect_encoding(head)
+    lines = [x for x in head.decode(enc, errors="ignore").lstrip("\ufeff").splitlines()[:k] if x]
     if not lines:
         raise LoadError("File is empty")
-    for enc in ENCODINGS:
-        for sep in SEPARATORS:
-            if len(lines[0].split(sep)) >= 2:
-                return enc, sep
-    return "utf-8", ","
+    return enc, next((sep for sep in SEPARATORS if len(lines[0].split(sep)) >= 2), ",")
 
 
 def clean_column_names(names: list[str], style: str = "loader") -> list[str]:
@@ -127,8 +157,9 @@ def load_file(spark: SparkSession, path: str, *, sheet_name=0, infer: bool = Tru
             raise LoadError(f"File too large: {size:.0f} MB (limit {max_mb} MB)")
     if kind == "csv":
         enc, sep = sniff_csv(spark, path)
+        # lines of wide encodings cannot be found by their bytes: such a file is read whole by one task
         df = (spark.read.option("header", True).option("sep", sep).option("encoding", enc)
-              .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+              .option("multiLine", enc in ("UTF-16", "UTF-32")).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
     elif kind == "json":
         df = load_json(spark, path)
     elif kind == "parquet":
