@@ -33,21 +33,22 @@ def value_cells(raw: DataFrame, key_cols: list[str], probs: list[float], *, fenc
 
     A cell is one value inside a bracket (``_exact``) or all values of a gap between brackets, with its
     number of rows, smallest and largest value.  ``fences`` = (i, j, w) also brackets
-    ``q_i - w (q_j - q_i)`` and ``q_j + w (q_j - q_i)``.  ``powers`` adds ``_shift``, a value near the median,
+    ``q_i - w (q_j - q_i)`` and ``q_j + w (q_j - q_i)``.  ``powers`` adds ``_shift``, the key's mean,
     and ``_p1`` to ``_p4``, the sums of powers of the values' distances from it.
     """
     reach = REACH / ACCURACY
     fracs = [min(1.0, max(0.0, p + d)) for p in probs for d in (-reach, reach)]
-    sketch = raw.groupBy(*key_cols).agg(F.percentile_approx("_v", [*fracs, 0.5], ACCURACY).alias("_b"), F.count("_v").alias("_rows"))
+    sketch = raw.groupBy(*key_cols).agg(F.percentile_approx("_v", fracs, ACCURACY).alias("_b"), F.count("_v").alias("_rows"),
+                                           *([F.avg("_v").alias("_shift")] if powers else []))
     if key_cols:
         placed = raw.join(sketch, key_cols)
-        bound = [F.get("_b", F.lit(i)) for i in range(len(fracs) + 1)]
-        rows = F.col("_rows")
+        bound = [F.get("_b", F.lit(i)) for i in range(len(fracs))]
+        rows, shift = F.col("_rows"), F.col("_shift")
     else:  # one row: constants instead of a join
         one = sketch.first()
         placed = raw
-        bound = [F.lit(x).cast("double") for x in (one["_b"] or [None] * (len(fracs) + 1))]
-        rows = F.lit(one["_rows"])
+        bound = [F.lit(x).cast("double") for x in (one["_b"] or [None] * len(fracs))]
+        rows, shift = F.lit(one["_rows"]), F.lit(one["_shift"] if powers else None).cast("double")
     v = F.col("_v")
     # a fraction cut off at 0 or 1 has all values on that side
     brackets = [(bound[2 * i], bound[2 * i + 1]) for i in range(len(probs))]
@@ -61,7 +62,6 @@ def value_cells(raw: DataFrame, key_cols: list[str], probs: list[float], *, fenc
         open_lo, open_hi = n < len(probs) and fracs[2 * n] == 0.0, n < len(probs) and fracs[2 * n + 1] == 1.0
         inside = inside | ((F.lit(True) if open_lo else v >= lo) & (F.lit(True) if open_hi else v <= hi))
         gap = gap + (F.lit(0) if open_hi else F.when(v > hi, 1).otherwise(0))
-    shift = bound[-1]
     d = v - F.col("_shift")
     extra = [F.first("_shift").alias("_shift"), *[F.sum(p).alias(f"_p{k}") for k, p in enumerate((d, d * d, d * d * d, d * d * d * d), 1)]] if powers else []
     return (placed.select(*key_cols, "_v", inside.alias("_exact"), gap.alias("_gap"), *([shift.alias("_shift")] if powers else []))

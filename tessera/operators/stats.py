@@ -81,10 +81,10 @@ def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3
     if iqr_guard:
         outside = outside & (iqr > 0)
     res = cells.groupBy("column").agg(
-        F.first("n").alias("n"), *[F.first(f"q{i}").alias(f"q{i}") for i in range(len(probs))], F.first("_shift").alias("s"),
+        F.first("n").alias("n"), *[F.first(f"q{i}").alias(f"q{i}") for i in range(len(probs))], F.first("_shift").alias("mean"),
         *[F.sum(f"_p{k}").alias(f"p{k}") for k in (1, 2, 3, 4)], F.min("_lo").alias("min"), F.max("_hi").alias("max"),
         F.sum(F.when(outside, F.col("_n")).otherwise(0)).alias("outliers")).where(F.col("n") >= min_n)
-    # moments about the shift, then about the mean
+    # moments about the mean as rounded, then about the mean
     n = F.col("n").cast("double")
     m1, m2, m3, m4 = (F.col(f"p{k}") / n for k in (1, 2, 3, 4))
     constant = F.col("min") == F.col("max")
@@ -92,7 +92,7 @@ def col_stats(df: DataFrame, columns: list[str] | None = None, *, min_n: int = 3
     c3 = m3 - 3 * m1 * m2 + 2 * m1 * m1 * m1
     c4 = m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 * m1 * m1 * m1
     spread = F.when(F.col("c2") > 0, F.col("c2"))
-    res = res.select("*", (F.col("s") + m1).alias("mean"), c2.alias("c2"), c3.alias("c3"), c4.alias("c4")).select(
+    res = res.select("*", c2.alias("c2"), c3.alias("c3"), c4.alias("c4")).select(
         "*", F.when(n > 1, F.sqrt(F.col("c2") * n / (n - 1))).alias("std"))
     return res.select(
         "column", F.col("n").cast("bigint").alias("n"), "mean", F.col("q2").alias("median"), "std",
