@@ -85,16 +85,21 @@ def with_quantiles(cells: DataFrame, key_cols: list[str], probs: list[float]) ->
 
 
 def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str,
-                    probs: list[float]) -> DataFrame:
-    """Return ``key_cols + [n, q0 .. q{k-1}]`` for probabilities ``probs``."""
+                    probs: list[float], n_buckets: int | None = None) -> DataFrame:
+    """Return ``key_cols + [n, q0 .. q{k-1}]`` for probabilities ``probs``.
+
+    With ``n_buckets`` the distinct values are ordered in so many range buckets instead of bracketed."""
     key_cols = list(key_cols)
     raw = df.where(F.col(value_col).isNotNull()).select(*key_cols, F.col(value_col).cast("double").alias("_v"))
     keys = key_cols
+    names = [f"q{i}" for i in range(len(probs))]
+    if n_buckets:
+        counts = raw.groupBy(*key_cols, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_all", F.signum("_c").cast("int"))
+        return exact_quantiles_from_counts(counts, key_cols or ["_all"], probs, n_buckets).select(*key_cols, "n", *names)
     cells = value_cells(raw, key_cols, probs)
     if not keys:  # the cells of one column: one partition of a few brackets
         keys = ["_all"]
         cells = cells.withColumn("_all", F.signum("_n").cast("int"))
-    names = [f"q{i}" for i in range(len(probs))]
     return (with_quantiles(cells, keys, probs).groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(q).alias(q) for q in names])
             .select(*key_cols, "n", *names))
 
