@@ -14,7 +14,7 @@ from tests.llm import data
 
 def test_queries_are_registered():
     names = [k for k in E.queries() if re.match(r"op\d+_", k)]
-    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in names) == list(range(1, 14))
     assert "pipeline" in E.queries() and len(corpus_pipeline.STAGES) == 5
 
 
