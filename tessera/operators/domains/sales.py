@@ -68,7 +68,7 @@ def product_concentration(df: DataFrame, product: str, rev: str, min_n: int = 3)
 def loss_rows(df: DataFrame, margin: str, warn_pct: float = 10.0) -> DataFrame:
     """N-64: rows with negative margin and their share (> 10 % flagged)."""
     a = df.agg(F.count_if(F.col(margin) < 0).cast("bigint").alias("loss_rows"), F.count(F.lit(1)).cast("bigint").alias("n"))
-    pct = F.col("loss_rows") / F.col("n") * 100.0
+    pct = F.try_divide(F.col("loss_rows"), F.col("n")) * 100.0
     return a.select("loss_rows", "n", pct.alias("loss_pct"), (pct > warn_pct).alias("flag"))
 
 

@@ -11,21 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import truthy
 from . import aggregate as agg
+from .chart_facts import kind_of_title
 from .stats import col_stats
 
-# ---- fixed values that must equal the reference's -------------------------
-TITLE_KINDS = (("distribution", "histogram"), ("share", "pie"), ("over time", "trend"), ("trend", "trend"),
-               ("correlation", "correlation"), (" by ", "bar"))
-# ---------------------------------------------------------------------------
-
 
 def chart_kind_from_title(title: str) -> str:
-    """D-13: dispatch a chart title to its narrative family."""
-    low = title.lower()
-    for key, kind in TITLE_KINDS:
-        if key in low:
-            return kind
-    return "bar"
+    """D-13: the narrative family of a chart title; a title of no kind is a bar chart."""
+    return kind_of_title(title) or "bar"
 
 
 def raw_summary_lines(df: DataFrame, numeric: list[str], categorical: list[str], left: str | None = None,

@@ -7,6 +7,7 @@ come from Spark aggregates, the rule table is a few fixed rows and is broadcast.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -19,11 +20,23 @@ HIGH = 1.7976931348623157e308
 
 @dataclass(frozen=True)
 class Rule:
-    """``conditions``: (fact, low, high), ends included; ``text`` names facts as {fact} or {fact.label}."""
+    """``conditions``: (fact, low, high), ends included; ``text`` names facts as {fact} or {fact.label};
+    ``kind`` (insight, risk, finding, opportunity, action) and ``severity`` are handed on."""
     name: str
     scope: str
     conditions: tuple[tuple[str, float, float], ...]
     text: str
+    kind: str = "finding"
+    severity: str = "info"
+
+
+def above(x: float) -> float:
+    """The smallest number greater than ``x``: a condition's ends are included."""
+    return math.nextafter(x, math.inf)
+
+
+def below(x: float) -> float:
+    return math.nextafter(x, -math.inf)
 
 
 def facts(df: DataFrame, scope: str, column: Column, **values: Column) -> DataFrame:
@@ -37,19 +50,21 @@ def facts(df: DataFrame, scope: str, column: Column, **values: Column) -> DataFr
     return df.select(F.lit(scope).alias("scope"), column.cast("string").alias("column"), F.explode(F.array(*items)).alias("f")).select("scope", "column", "f.*")
 
 
-def fired(all_facts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``(rule, scope, column, text)``: every rule with every subject that meets all its conditions."""
+def fired(all_facts: DataFrame, rules: list[Rule], shared: dict[str, float] | None = None) -> DataFrame:
+    """``(place, rule, scope, column, kind, severity, text)``: every rule with every subject that meets all its
+    conditions.  ``shared`` facts hold for every subject.  The facts are read once: a subject's few facts become
+    a map, which meets the rules of its scope."""
     spark = all_facts.sparkSession
-    table = spark.createDataFrame([(r.name, r.scope, f, float(lo), float(hi), len(r.conditions), i) for i, r in enumerate(rules) for f, lo, hi in r.conditions],
-                                  "rule string, scope string, fact string, low double, high double, needed int, place int")
-    met = (all_facts.join(F.broadcast(table), ["scope", "fact"]).where(F.col("value").between(F.col("low"), F.col("high")))
-           .groupBy("rule", "place", "needed", "scope", "column").agg(F.count_distinct("fact").alias("n")).where(F.col("n") == F.col("needed")))
-    # facts of a subject as a map for the sentence: a handful of entries
-    known = all_facts.groupBy("scope", "column").agg(
-        F.map_from_entries(F.collect_list(F.struct("fact", F.struct("value", "label")))).alias("k"))
-    met = met.join(known, ["scope", "column"])
+    table = spark.createDataFrame([(i, r.name, r.scope, r.kind, r.severity, [(f, float(lo), float(hi)) for f, lo, hi in r.conditions]) for i, r in enumerate(rules)],
+                                  "place int, rule string, scope string, kind string, severity string, conditions array<struct<fact:string,low:double,high:double>>")
+    entry = F.struct("fact", F.struct("value", "label").alias("f"))
+    extra = [F.struct(F.lit(f).alias("fact"), F.struct(F.lit(float(v)).alias("value"), F.lit(None).cast("string").alias("label")).alias("f"))
+             for f, v in (shared or {}).items()]
+    entries = F.concat(F.collect_list(entry), F.array(*extra)) if extra else F.collect_list(entry)
+    known = all_facts.groupBy("scope", "column").agg(F.map_from_entries(entries).alias("k"))
+    held = F.forall("conditions", lambda c: F.element_at("k", c["fact"])["value"].between(c["low"], c["high"]))
     sentence = reduce(lambda out, r: F.when(F.col("rule") == r.name, _sentence(r.text)).otherwise(out), rules, F.lit(None).cast("string"))
-    return met.select("place", "rule", "scope", "column", sentence.alias("text"))
+    return known.join(F.broadcast(table), "scope").where(held).select("place", "rule", "scope", "column", "kind", "severity", sentence.alias("text"))
 
 
 def _sentence(text: str) -> Column:

@@ -46,7 +46,7 @@ def load_all() -> None:
     from . import (queries_core, queries_corr, queries_domains, queries_misc, queries_ml,  # noqa: F401
                    queries_quality,
                    queries_scalar, queries_stats, queries_story, queries_time, queries_extra,
-                   queries_extra2)
+                   queries_extra2, queries_facts)
     from . import queries_oracles  # noqa: F401  (attaches SQL to the keys above)
 
 
