@@ -24,6 +24,7 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pyarrow as pa
 import xxhash
@@ -224,6 +225,24 @@ def align(a: list[list], b: list[list]) -> list[list]:
             out += add_up(a[a0:a1], b[b0:b1])
         else:
             out += [[*n[:OPTIONAL], True, *n[OPTIONAL + 1:]] for n in a[a0:a1] + b[b0:b1]]
+    return gather(out)
+
+
+def gather(nodes: list[list]) -> list[list]:
+    """A run of optional nodes that holds one of them twice becomes one repeated group of its different nodes.
+
+    What free-form pages put between two common tokens thus takes a node for each tag and path, however many
+    pages there are.  A gathered slot's constant texts are those that all its members share.
+    """
+    out: list[list] = []
+    for optional, run in groupby(nodes, key=lambda n: n[OPTIONAL]):
+        run = list(run)
+        different: dict[tuple, list] = {}
+        if optional:
+            for n in run:
+                k = n[TOKEN], n[PATH]
+                different[k] = add_up([different[k]], [n])[0] if k in different else n
+        out += [[n[TOKEN], True, *n[OPTIONAL:]] for n in different.values()] if 0 < len(different) < len(run) else run
     return out
 
 

@@ -500,3 +500,42 @@ def test_op10_band_widths_keep_their_recall():
             if w:
                 s = 0.8 * q / (u + q - 0.8 * q)
                 assert 1 - (1 - s ** w) ** (op10_decontaminate.HASHES // w) >= op10_decontaminate.RECALL
+
+
+def _free_form(r):
+    kinds = ["p", "p", "h2", "blockquote", "pre", "ul", "figure"]
+    blocks = []
+    for k in r.choices(kinds, k=r.randint(8, 30)):
+        words = f"{k} {r.random()}"
+        blocks.append((words, {"ul": f"<ul><li>{words}</li></ul>", "figure": f"<figure><figcaption>{words}</figcaption></figure>"}.get(k, f"<{k}>{words}</{k}>")))
+    page = f"<html><body><nav><a>Home</a></nav><article>{''.join(b for _, b in blocks)}</article><footer>end</footer></body></html>"
+    return page, "\n".join(w for w, _ in blocks)
+
+
+def test_op3_wrapper_of_free_form_pages_does_not_grow(spark):
+    """Thousands of pages of one host, each with its own sequence of blocks: the wrapper holds a node a tag and path."""
+    from tessera.llm import op3_html as o
+    r = random.Random(5)
+    made = [_free_form(r) for _ in range(1500)]
+    wrapper, sizes = None, {}
+    for i, (page, _) in enumerate(made):
+        nodes = o.skeleton(page)[0]
+        wrapper = nodes if wrapper is None else o.align(wrapper, nodes)
+        sizes[i + 1] = len(wrapper)
+    assert sizes[1500] <= sizes[100] <= 80
+    assert {n[o.PATH] for n in wrapper if n[o.TOKEN] == "#"} >= {"html/body/article/p", "html/body/article/ul/li", "html/body/article/figure/figcaption"}
+    rows = [(i, "http://one.example/a", page) for i, (page, _) in enumerate(made[:200])]
+    got = o.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x["page_id"]: x["text"] for x in got} == {i: text for i, (_, text) in enumerate(made[:200])}
+
+
+def test_op3_gathered_constants_are_those_of_all_members():
+    from tessera.llm import op3_html as o
+    node = lambda t, path, common, seen: [t, False, True, path, common[0] if len(common) == 1 else 0, len(seen), 5, 0, common, seen]
+    fixed = ["#x", False, False, "", 0, 1, 0, 0, [], [1]]
+    run = [node("#", "a", [7, 8], [1, 2]), node("#", "b", [9], [1]), node("#", "a", [8], [3])]
+    assert o.gather([]) == [] and o.gather([fixed]) == [fixed] and o.gather(run[:2]) == run[:2]
+    a, b = o.gather(run)
+    assert (a[o.PATH], a[o.COMMON], a[o.SEEN], a[o.CHARS], a[o.REPEATED], a[o.OPTIONAL], a[o.TEXT]) == ("a", [8], [1, 2, 3], 10, True, True, 0)
+    assert (b[o.PATH], b[o.COMMON], b[o.REPEATED]) == ("b", [9], True)
+    assert o.gather([run[0], fixed, run[2]]) == [run[0], fixed, run[2]]  # different runs stay apart
