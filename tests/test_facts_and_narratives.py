@@ -120,3 +120,14 @@ def test_hr_findings_follow_the_table(spark):
     assert rows["attrition rate"][0] == "20.0%" and rows["attrition by department"] == ("0.0% to 40.0%", "best b, worst even|odd")
     with pytest.raises(ValueError):
         dr.context_rows(df, "weather")
+
+
+def test_story_confidence_follows_the_domain_score(spark):
+    from tessera.operators import insights as ins
+    from tessera.operators.roles import detect_domain
+    nothing = spark.createDataFrame([], ins.INSIGHT_SCHEMA)
+    many = spark.range(300)
+    known = many.select(*[F.col("id").cast("double").alias(c) for c in ("satisfaction", "salary", "department", "left", "promotion", "attrition", "employee")])
+    assert detect_domain(known.columns)[1] > 0.15
+    story = lambda df: ins.story(df, [df.columns[0]], "hr", nothing).first()["confidence"]
+    assert story(known) == "high" and story(known.limit(100)) == "medium" and story(many.withColumnRenamed("id", "zz")) == "low"
