@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..roles import detect_domain, find_col
+from ..stats import numeric_columns
 from . import ecommerce, finance, hr, kpi, kpi_table, sales
 
 
@@ -22,32 +23,27 @@ def general_kpis(df: DataFrame) -> DataFrame:
                          kpi("Numeric Columns", F.lit(num), F.lit(str(num)))])
 
 
+#: The roles of each domain's KPIs in the order of its function: words of the column's name, whether it must be numeric, whether it must exist.
+ROLES = {
+    "hr": (hr.hr_kpis, ((("left", "attrition", "churned", "exited"), False, True), (("satisfaction",), True, True), (("tenure", "time_spend", "years_at"), True, True),
+                        (("evaluation", "performance"), True, True), (("salary",), False, False))),
+    "finance": (finance.finance_kpis, ((("rev", "sales", "income"), True, True), (("cost", "expense"), True, True), (("profit",), True, True), (("budget",), True, True),
+                                       (("actual",), True, True), (("opex",), True, False))),
+    "ecommerce": (ecommerce.ecommerce_kpis, ((("price",), True, True), (("rating",), True, True), (("discount",), True, True), (("revenue", "amount", "sales"), True, True))),
+    "sales": (sales.sales_kpis, ((("rev", "sales", "amount"), True, True), (("target", "quota"), True, True), (("rep", "owner"), False, True), (("margin",), True, True),
+                                 (("won", "status", "closed"), False, True))),
+}
+
+
 def domain_kpis(df: DataFrame, domain: str | None = None) -> tuple[str, DataFrame]:
-    """N-81: detect (or take) the domain, bind roles by keyword, and fall back to
-    the general KPIs whenever a required role is missing."""
+    """N-81: detect (or take) the domain and bind roles by keyword; the general KPIs where a required role is missing
+    or stands on a column that is not numeric and should be.  Any other error is raised."""
     domain = domain or detect_domain(df.columns)[0]
-    c = df.columns
-    try:
-        if domain == "hr":
-            left, sat = find_col(c, ["left", "attrition", "churned", "exited"]), find_col(c, ["satisfaction"])
-            ten, ev = find_col(c, ["tenure", "time_spend", "years_at"]), find_col(c, ["evaluation", "performance"])
-            if left and sat and ten and ev:
-                return domain, hr.hr_kpis(df, left, sat, ten, ev, find_col(c, ["salary"]))
-        if domain == "finance":
-            r, co = find_col(c, ["rev", "sales", "income"]), find_col(c, ["cost", "expense"])
-            p, b, a = find_col(c, ["profit"]), find_col(c, ["budget"]), find_col(c, ["actual"])
-            if r and co and p and b and a:
-                return domain, finance.finance_kpis(df, r, co, p, b, a, find_col(c, ["opex"]))
-        if domain == "ecommerce":
-            pr, ra = find_col(c, ["price"]), find_col(c, ["rating"])
-            di, rv = find_col(c, ["discount"]), find_col(c, ["revenue", "amount", "sales"])
-            if pr and ra and di and rv:
-                return domain, ecommerce.ecommerce_kpis(df, pr, ra, di, rv)
-        if domain == "sales":
-            r, t, rep = find_col(c, ["rev", "sales", "amount"]), find_col(c, ["target", "quota"]), find_col(c, ["rep", "owner"])
-            m, w = find_col(c, ["margin"]), find_col(c, ["won", "status", "closed"])
-            if r and t and rep and m and w:
-                return domain, sales.sales_kpis(df, r, t, rep, m, w)
-    except Exception:  # a role bound to an unsuitable column: fall back like the reference
-        pass
+    if domain in ROLES:
+        kpis, roles = ROLES[domain]
+        numeric = set(numeric_columns(df))
+        bound = [find_col(df.columns, list(words)) for words, _, _ in roles]
+        bound = [None if c and need_number and c not in numeric else c for c, (_, need_number, _) in zip(bound, roles)]
+        if all(c or not required for c, (_, _, required) in zip(bound, roles)):
+            return domain, kpis(df, *bound)
     return "general", general_kpis(df)

@@ -131,3 +131,20 @@ def test_story_confidence_follows_the_domain_score(spark):
     assert detect_domain(known.columns)[1] > 0.15
     story = lambda df: ins.story(df, [df.columns[0]], "hr", nothing).first()["confidence"]
     assert story(known) == "high" and story(known.limit(100)) == "medium" and story(many.withColumnRenamed("id", "zz")) == "low"
+
+
+def test_domain_kpis_fall_back_for_missing_roles_only(spark, monkeypatch):
+    from tessera.operators.domains import dispatch
+    df = spark.createDataFrame([("Yes", 0.5, 2.0, 0.7), ("no", 0.9, 4.0, 0.6)], "left string, satisfaction double, tenure double, evaluation double")
+    assert dispatch.domain_kpis(df, "hr")[0] == "hr" and dispatch.domain_kpis(df, "hr")[1].count() > 0
+    assert dispatch.domain_kpis(df.drop("tenure"), "hr")[0] == "general" and dispatch.domain_kpis(df, "sales")[0] == "general"
+    words = df.withColumn("satisfaction", F.lit("high"))
+    name, kpis = dispatch.domain_kpis(words, "hr")
+    assert name == "general" and kpis.count() == 4
+
+    def broken(*_):
+        raise RuntimeError("not to be hidden")
+
+    monkeypatch.setitem(dispatch.ROLES, "hr", (broken, dispatch.ROLES["hr"][1]))
+    with pytest.raises(RuntimeError):
+        dispatch.domain_kpis(df, "hr")
