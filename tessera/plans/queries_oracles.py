@@ -341,3 +341,27 @@ _K12_SQL = """
 SELECT issue_group, CAST(count(*) AS BIGINT) AS n_actions, CAST(sum(rows_affected) AS BIGINT) AS rows_affected
 FROM acts GROUP BY issue_group"""
 attach_oracle("K12_cleaning_summary", with_views(_K12_SQL, "messy"))
+
+# N-81 dispatch: HR and sales KPIs by their detected domains, general ones for plain orders ---------
+_COUNTS = " + ".join(f"count({c})" for c in _ORDERS_COLS)
+attach_oracle("N81_domain_kpi_dispatch_with_fallback", with_views(f"""
+, h AS (SELECT *, CASE WHEN "left" = 'Yes' THEN 1 ELSE 0 END AS gone FROM hr)
+, a AS (SELECT sum(rev) AS r, sum(target) AS t, avg(margin) AS m, avg(CASE WHEN won = 'won' THEN 1 ELSE 0 END) AS w FROM sales)
+, rep AS (SELECT max(s) AS tr FROM (SELECT sum(rev) AS s FROM sales WHERE rep IS NOT NULL GROUP BY rep))
+, k AS (SELECT 'hr' AS input, 'hr' AS domain, 'Total Records' AS label, CAST(count(*) AS DOUBLE) AS value FROM h
+  UNION ALL SELECT 'hr', 'hr', 'Attrition Rate', avg(gone) * 100.0 FROM h
+  UNION ALL SELECT 'hr', 'hr', 'Avg Satisfaction', avg(satisfaction) FROM h
+  UNION ALL SELECT 'hr', 'hr', 'Median Tenure', quantile_cont(tenure, 0.5) FROM h
+  UNION ALL SELECT 'hr', 'hr', 'Avg Evaluation', avg(evaluation) FROM h
+  UNION ALL SELECT 'hr', 'hr', 'Salary Attrition Gap',
+                   (avg(gone) FILTER (lower(salary) = 'low') - avg(gone) FILTER (lower(salary) = 'high')) * 100.0 FROM h
+  UNION ALL SELECT 'sales', 'sales', 'Total Revenue', r FROM a
+  UNION ALL SELECT 'sales', 'sales', 'Quota Attainment', r * 100.0 / t FROM a
+  UNION ALL SELECT 'sales', 'sales', 'Top Rep Share', tr * 100.0 / r FROM a, rep
+  UNION ALL SELECT 'sales', 'sales', 'Avg Margin', m FROM a
+  UNION ALL SELECT 'sales', 'sales', 'Win Rate', w * 100.0 FROM a
+  UNION ALL SELECT 'orders', 'general', 'Total Records', count(*) FROM orders
+  UNION ALL SELECT 'orders', 'general', 'Columns', {len(_ORDERS_COLS)}
+  UNION ALL SELECT 'orders', 'general', 'Completeness', ({_COUNTS}) * 100.0 / (count(*) * {len(_ORDERS_COLS)}) FROM orders
+  UNION ALL SELECT 'orders', 'general', 'Numeric Columns', 3)
+SELECT input, domain, label, round(value, 4) AS value FROM k""", "hr", "sales"))
