@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ..operators import chart_facts as cf
 from ..operators import domain_rules as dr
+from ..operators import insights as ins
+from ..operators import select as sel
 from ..operators.rules import Rule
+from ..sources.tables import read_table
 from .catalog import register
 from .views import VIEWS, ecommerce_view, hr_view, sales_view, with_views
 
@@ -308,3 +311,28 @@ def q_d17_ecommerce(spark, sf):
     f"SELECT '{c}' AS metric, printf('%.2f', round(avg({c}), 2)) AS value, printf('median %.2f of these rows', round(quantile_cont({c}, 0.5), 2)) AS reference FROM sales" for c in METRICS), "sales"))
 def q_d17_sales(spark, sf):
     return dr.context_rows(sales_view(spark, sf), "sales", METRICS)
+
+
+# ---------------------------------------------------------------- forms that return rows on the given tables
+@register("P1_filter_price_gt_lineitem", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > 90000.0")
+def q_p1_rows(spark, sf):
+    rows = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return sel.filter_rows(rows, "l_extendedprice", ">", 90000)
+
+
+#: A steep power of the price: right-skewed, with outliers, far from its median.
+STEEP = ["steep", "l_quantity"]
+
+
+@register("N80_general_insights_steep_price", """
+WITH s AS (SELECT power(l_extendedprice / 10000.0, 6) AS v, CAST(l_quantity AS DOUBLE) AS q FROM lineitem)
+, long AS (SELECT 'steep' AS "column", v FROM s UNION ALL SELECT 'l_quantity', q FROM s)
+, a AS (SELECT "column", avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS md, quantile_cont(v, 0.75) AS q3,
+               quantile_cont(v, 0.9) AS p90, skewness(v) AS g, count(*) AS n FROM long GROUP BY 1)
+, o AS (SELECT "column", count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) * 100.0 / max(n) AS op FROM long JOIN a USING ("column") GROUP BY 1)
+SELECT 'insight' AS kind, "column", 'warning' AS severity FROM o WHERE op > 10
+UNION ALL SELECT 'finding', "column", 'info' FROM a WHERE abs(g) > 1.5
+UNION ALL SELECT 'opportunity', "column", 'opportunity' FROM a WHERE md > 0 AND p90 / md >= 2 AND sd / abs(m) * 100.0 > 40""")
+def q_n80_rows(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(F.pow(F.col("l_extendedprice") / 10000.0, 6).alias("steep"), "l_quantity")
+    return ins.general_insights(li, STEEP).select("kind", "column", "severity")
