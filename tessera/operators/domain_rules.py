@@ -152,11 +152,15 @@ def _top_shares(df: DataFrame, domain: str, group: str, value: str, prefix: str,
     table is one row a group; its ends come from partial top lists."""
     g = (df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(group).cast("string").alias("g"))
          .agg(F.sum(F.col(value).cast("double")).alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n))
-    whole = g.agg(F.sum("t").alias("whole"), F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
-    top = g.orderBy(F.col("t").desc(), "g").limit(2).agg(F.sum("t").alias("two"), F.max("t").alias("first"),
-                                                         F.min_by("g", F.struct(-F.col("t"), "g")).alias("name")).withColumn("one", F.lit(1))
-    last = g.orderBy("t", F.col("g").desc()).limit(3).agg(F.sum("t").alias("three")).withColumn("one", F.lit(1))
-    a = whole.join(top, "one").join(last, "one").where("n > 1")
+    none = F.lit(None)
+    whole = g.agg(F.sum("t").alias("t"), F.count(F.lit(1)).alias("n")).select(F.lit("whole").alias("part"), "t", "n", none.cast("double").alias("first"), none.cast("string").alias("name"))
+    top = g.orderBy(F.col("t").desc(), "g").limit(2).agg(F.sum("t").alias("t"), F.max("t").alias("first"), F.min_by("g", F.struct(-F.col("t"), "g")).alias("name"))
+    last = g.orderBy("t", F.col("g").desc()).limit(3).agg(F.sum("t").alias("t"))
+    three = whole.unionByName(top.select(F.lit("top").alias("part"), "t", "first", "name"), allowMissingColumns=True).unionByName(
+        last.select(F.lit("last").alias("part"), "t"), allowMissingColumns=True)
+    of = lambda part: F.max(F.when(F.col("part") == part, F.col("t")))
+    a = three.agg(of("whole").alias("whole"), of("top").alias("two"), of("last").alias("three"), F.max("n").alias("n"), F.max("first").alias("first"),
+                  F.max("name").alias("name")).where("n > 1")
     share = lambda c: F.try_divide(F.col(c) * 100.0, F.col("whole"))
     return _of(a, domain, **{f"{prefix}groups": F.col("n"), f"{prefix}top": F.col("name"), f"{prefix}top_share": share("first"),
                              f"{prefix}top2_share": share("two"), f"{prefix}bottom3_share": share("three")})
