@@ -325,7 +325,8 @@ def context_rows(df: DataFrame, domain: str, columns: list[str] | None = None, *
         said = fired(known, CONTEXT_RULES[domain]).withColumn("metric", F.col("rule"))
     elif domain in ("sales", "finance"):
         st = col_stats(df, columns, min_n=1)
-        said = fired(facts(st, "column", F.col("column"), mean=F.col("mean"), median=F.col("median")), COLUMN_CONTEXT).withColumn("metric", F.col("column"))
+        known = _join(df, [facts(st, "column", F.col("column"), mean=F.col("mean"), median=F.col("median"))])
+        said = fired(known, COLUMN_CONTEXT).withColumn("metric", F.col("column"))
     else:
         raise ValueError(f"no context for domain {domain!r}")
     value = F.substring_index("text", "|", 1)  # a name in the reference may hold a bar of its own
