@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import dim_join
+from ..sources.store import store
 from .ranks import ordered_running
 
 #: Accuracy of the sketch, and how many of its rank errors a bracket reaches to either side.
@@ -41,7 +43,8 @@ def value_cells(raw: DataFrame, key_cols: list[str], probs: list[float], *, fenc
     sketch = raw.groupBy(*key_cols).agg(F.percentile_approx("_v", fracs, ACCURACY).alias("_b"), F.count("_v").alias("_rows"),
                                            *([F.avg("_v").alias("_shift")] if powers else []))
     if key_cols:
-        placed = raw.join(sketch, key_cols)
+        # stored: the size check and the join read one row a key; broadcast, the values of a key stay where they are
+        placed = dim_join(raw, store(sketch, "sketch"), key_cols)
         bound = [F.get("_b", F.lit(i)) for i in range(len(fracs))]
         rows, shift = F.col("_rows"), F.col("_shift")
     else:  # one row: constants instead of a join

@@ -163,3 +163,16 @@ def test_modes_need_no_value_map(spark):
 def test_stored_tables_can_be_cleared(spark):
     kept = store(spark.range(5), "probe")
     assert kept.count() == 5 and clear_stored(spark) >= 1 and clear_stored(spark) == 0
+
+
+@pytest.mark.parametrize("which", ["col_stats", "exact_quantiles"])
+def test_values_of_a_key_are_not_brought_together(spark, which):
+    df = spark.createDataFrame([(float(i % 97), float(i)) for i in range(500)], "a double, b double")
+    if which == "col_stats":
+        out = stats.col_stats(df, ["a", "b"])
+    else:
+        out = quantiles.exact_quantiles(stats.to_long(df, ["a", "b"]), ["column"], "value", [0.5])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    got = {r["column"]: r["median" if which == "col_stats" else "q0"] for r in out.collect()}
+    assert got == {"a": float(np.median([i % 97 for i in range(500)])), "b": 249.5}
