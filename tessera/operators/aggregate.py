@@ -112,7 +112,7 @@ def entropy(df: DataFrame, columns: list[str]) -> DataFrame:
         for c in columns])).alias("kv")).select("kv.*").where(F.col("value").isNotNull())
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cnt"))
     tot = counts.groupBy("column").agg(F.sum("cnt").alias("n"))
-    p = counts.join(tot, "column").withColumn("p", F.col("cnt") / F.col("n"))
+    p = counts.join(F.broadcast(tot), "column").withColumn("p", F.col("cnt") / F.col("n"))
     return p.groupBy("column").agg(
         (-F.sum(F.col("p") * F.log2(F.col("p") + F.lit(1e-10)))).alias("entropy"))
 

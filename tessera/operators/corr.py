@@ -72,7 +72,7 @@ def spearman_moments(df: DataFrame, columns: list[str]) -> DataFrame:
                       for c, x in enumerate(classes) for i in x["columns"]])
     long = rows.select("h1", "h2", F.explode(cells).alias("e")).where(F.col("e").isNotNull()).select("h1", "h2", "e.*")
     counts = long.groupBy("c", "i", "v").agg(F.count(F.lit(1)).alias("t"))
-    order = ordered_running(counts, "v", part_cols=["c", "i"], weight_col="t")
+    order = ordered_running(counts, "v", part_cols=["c", "i"], weight_col="t", few_keys=True)
     ranks = order.select("c", "i", "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
     row = long.join(ranks, ["c", "i", "v"]).groupBy("h1", "h2", "c").agg(
         F.count(F.lit(1)).alias("m"), *[F.max(F.when(F.col("i") == i, F.col("rk"))).alias(f"r{i}") for i in range(len(columns))])

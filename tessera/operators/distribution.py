@@ -78,7 +78,7 @@ def gamma_shape_mle(mean: float, mean_log: float) -> float:
 def _positions(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     long = to_long(df, columns).where(F.col("value").isNotNull())
     counts = value_counts_long(long)
-    pos = ordered_running(counts, "_v", part_cols=["column"], weight_col="_c") \
+    pos = ordered_running(counts, "_v", part_cols=["column"], weight_col="_c", few_keys=True) \
         .select("column", "_v", "_c", (F.col("_pos") - F.col("_c")).alias("_s"))
     return long, pos
 
@@ -177,7 +177,7 @@ def univariate(df: DataFrame, columns: list[str]) -> DataFrame:
     cs = col_stats(df, columns)
     long = to_long(df, columns).where(F.col("value").isNotNull())
     counts = value_counts_long(long)
-    q = exact_quantiles_from_counts(counts, ["column"], [0.05, 0.95]).select(
+    q = exact_quantiles_from_counts(counts, ["column"], [0.05, 0.95], few_keys=True).select(
         "column", F.col("q0").alias("p5"), F.col("q1").alias("p95"))
     mode = counts.groupBy("column").agg(F.max(F.struct(F.col("_c"), (-F.col("_v")).alias("nv"))).alias("m")) \
         .select("column", (-F.col("m.nv")).alias("mode"))

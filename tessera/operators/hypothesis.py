@@ -167,7 +167,7 @@ def mwu_long(long: DataFrame, key: str = "column", flag: str = "flag", value: st
     cnt = d.groupBy(key, flag, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
     vals = cnt.groupBy(key, "v").agg(F.sum("c").alias("t"))
     from .ranks import ordered_running
-    r = ordered_running(vals, "v", part_cols=[key], weight_col="t")
+    r = ordered_running(vals, "v", part_cols=[key], weight_col="t", few_keys=True)
     ranks = r.select(key, "v", "t", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
     rs = cnt.join(ranks.select(key, "v", "rk"), [key, "v"]).groupBy(key).agg(
         F.sum(F.when(F.col(flag), F.col("c"))).alias("n1"), F.sum(F.when(~F.col(flag), F.col("c"))).alias("n2"),
@@ -251,7 +251,7 @@ def group_comparisons_long(df: DataFrame, numeric: list[str], categorical: list[
                    F.when(F.col("vp") * N > 0, F.col("ssb") / (F.col("vp") * N)).otherwise(0.0).alias("eta_sq"))
     cnt = f.groupBy(*pk, "g", "v").agg(F.count(F.lit(1)).alias("c"))
     vals = cnt.groupBy(*pk, "v").agg(F.sum("c").alias("t"))
-    r = ordered_running(vals, "v", part_cols=pk, weight_col="t")
+    r = ordered_running(vals, "v", part_cols=pk, weight_col="t", few_keys=True)
     ranks = r.select(*pk, "v", (F.col("_pos") - F.col("t") + (F.col("t") + 1) / 2.0).alias("rk"))
     rs = cnt.join(ranks, pk + ["v"]).groupBy(*pk, "g").agg(F.sum("c").alias("n"),
                                                            F.sum(F.col("c") * F.col("rk")).alias("R"))

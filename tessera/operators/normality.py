@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import dim_join
+from ..sources.store import store
 from .stats import to_long
 
 # ---- fixed values (Royston 1995 polynomial coefficients) --------------------
@@ -90,17 +92,34 @@ def shapiro_wilk(x) -> tuple[float, float]:
 SW_SCHEMA = "column string, n_sample long, shapiro_stat double, shapiro_p double"
 
 
+def first_copies(counts: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+    """``(key, _v, _c, _u, _j)``: the copies of values that can be among the k first of their key (``bottom_k``).
+
+    About n t of a key's n copies stand at t or before, and floor(c t - u) + 1 of a value's.  So the copies up to
+    t = 1, 1/2, 1/4 .. are counted from the value table, and only those up to the last t that has k of
+    them are made: some 2 k a key, whatever its size.
+    """
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_v")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    placed = counts.select(key, "_v", "_c", u.alias("_u"))
+    upto = F.pow(F.lit(0.5), F.col("_h"))
+    n_upto = F.least(F.col("_c"), F.floor(F.col("_c") * upto - F.col("_u")) + 1)
+    last = F.floor(F.log2(F.col("_c") / F.greatest(F.col("_u"), F.lit(2.0 ** -53)))).cast("int")  # no copy beyond
+    halves = (placed.select(key, "_c", "_u", F.explode(F.sequence(F.lit(0), last)).alias("_h")).groupBy(key, "_h").agg(F.sum(n_upto).alias("_n"))
+              .where(F.col("_n") >= k).groupBy(key).agg(F.max("_h").alias("_h")))
+    near = dim_join(placed, store(halves, "places"), key, "left").withColumn("_h", F.coalesce("_h", F.lit(0)))
+    near = near.withColumn("_m", F.least(n_upto, F.lit(k)).cast("long")).where(F.col("_m") > 0)
+    return near.select(key, "_v", "_c", "_u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)).alias("_j"))
+
+
 def bottom_k(counts: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """``(key, v)``: a fixed random sample of ``k`` values a key (all, if fewer), exact and bounded.
 
     ``counts`` is a value table ``(key, _v, _c)``, combined before its shuffle.  Copy j of a value with c
     copies stands at (j + u) / c, u being the value's seeded hash in [0, 1): copies are spread evenly, so
     a value is drawn in its share of the rows, however often it repeats.  The k smallest
-    places win.  Only a value's first k copies can, so no more are made; each task sends at most k rows a key.
+    places win.  One task orders some 2 k rows a key (``first_copies``).
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("_v")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    first = F.least(F.col("_c"), F.lit(k)) - 1
-    copies = counts.select(key, "_v", "_c", u.alias("_u"), F.explode(F.sequence(F.lit(0).cast("long"), first)).alias("_j"))
+    copies = first_copies(counts, key, k, seed)
     place = (F.col("_j") + F.col("_u")) / F.col("_c")
     order = Window.partitionBy(key).orderBy("_place", "_v", "_j")
     return (copies.withColumn("_place", place).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
@@ -116,11 +135,11 @@ def shapiro_by_column(df: DataFrame, columns: list[str], seed: int = 42,
 def shapiro_long(long: DataFrame, key: str, value: str, seed: int = 42,
                  max_n: int = MAX_SW_N, only_small: bool = False) -> DataFrame:
     """Shapiro-Wilk per ``key`` over its ``bottom_k`` sample."""
-    counts = (long.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("_v"))
-              .groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    values = long.where(F.col(value).isNotNull()).select(F.col(key).cast("string").alias("column"), F.col(value).cast("double").alias("_v"))
     if only_small:
-        few = counts.groupBy("column").agg(F.sum("_c").alias("_n")).where(F.col("_n") <= max_n)
-        counts = counts.join(few.select("column"), "column", "left_semi")
+        few = values.groupBy("column").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= max_n).select("column")
+        values = dim_join(values, store(few, "small"), "column", "left_semi")
+    counts = values.groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(pdf["v"].to_numpy())

@@ -108,16 +108,16 @@ def exact_quantiles(df: DataFrame, key_cols: list[str], value_col: str,
 
 
 def exact_quantiles_from_counts(d: DataFrame, key_cols: list[str], probs: list[float],
-                                n_buckets: int | None = None) -> DataFrame:
-    """Quantiles of a distinct-value table ``key_cols + [_v, _c]`` by its distributed ordering."""
+                                n_buckets: int | None = None, few_keys: bool = False) -> DataFrame:
+    """Quantiles of a distinct-value table ``key_cols + [_v, _c]`` by its distributed ordering (``few_keys`` as there)."""
     key_cols = list(key_cols)
-    r = ordered_running(d, "_v", part_cols=key_cols, weight_col="_c", n_buckets=n_buckets)
+    r = ordered_running(d, "_v", part_cols=key_cols, weight_col="_c", n_buckets=n_buckets, few_keys=few_keys)
     # _pos = inclusive cumulative count: the value covers 0-based ranks [_pos-_c, _pos-1]
     targets = d.groupBy(*key_cols).agg(F.sum("_c").alias("n")).select(*key_cols, "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), ((F.col("n") - 1).cast("double") * F.lit(float(p))).alias("h")) for i, p in enumerate(probs)])).alias("t"))
     last, first = F.col("_pos") - 1, F.col("_pos") - F.col("_c")
     lo, hi = F.floor("t.h"), F.ceil("t.h")
-    near = r.join(targets, key_cols).where(lo.between(first, last) | hi.between(first, last))
+    near = r.join(F.broadcast(targets) if few_keys else targets, key_cols).where(lo.between(first, last) | hi.between(first, last))
     per = near.groupBy(*key_cols, "n", F.col("t.i").alias("i"), F.col("t.h").alias("h")).agg(
         F.max(F.when(lo.between(first, last), F.col("_v"))).alias("vlo"), F.max(F.when(hi.between(first, last), F.col("_v"))).alias("vhi"))
     per = per.withColumn("q", F.col("vlo") + (F.col("h") - F.floor("h")) * (F.col("vhi") - F.col("vlo")))

@@ -121,12 +121,12 @@ def modified_z_outliers(df: DataFrame, columns: list[str] | None = None,
     columns = columns or numeric_columns(df)
     long = to_long(df, columns).where(F.col("value").isNotNull())
     counts = value_counts_long(long)
-    med = exact_quantiles_from_counts(counts, ["column"], [0.5]).select(
+    med = exact_quantiles_from_counts(counts, ["column"], [0.5], few_keys=True).select(
         "column", F.col("q0").alias("median"))
     dev = (counts.join(F.broadcast(med), "column")
                  .select("column", F.abs(F.col("_v") - F.col("median")).alias("value"), "_c"))
     dev_counts = dev.groupBy("column", F.col("value").alias("_v")).agg(F.sum("_c").alias("_c"))
-    mad = exact_quantiles_from_counts(dev_counts, ["column"], [0.5]).select(
+    mad = exact_quantiles_from_counts(dev_counts, ["column"], [0.5], few_keys=True).select(
         "column", F.col("q0").alias("mad"))
     j = counts.join(F.broadcast(med), "column").join(F.broadcast(mad), "column")
     modz = F.lit(0.6745) * (F.col("_v") - F.col("median")) / F.col("mad")

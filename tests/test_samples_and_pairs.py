@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.special import gamma_cdf, gammaincc, norm_cdf, norm_cdf_col
-from tessera.operators import clean, corr, eda, normality, quantiles, stats
+from tessera.operators import clean, corr, eda, ml, normality, quantiles, stats
+from tessera.operators.ranks import ordered_running
 from tessera.sources.store import clear_stored, store
 
 
@@ -176,3 +177,30 @@ def test_values_of_a_key_are_not_brought_together(spark, which):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     got = {r["column"]: r["median" if which == "col_stats" else "q0"] for r in out.collect()}
     assert got == {"a": float(np.median([i % 97 for i in range(500)])), "b": 249.5}
+
+
+def test_only_copies_that_can_be_drawn_are_made(spark):
+    long = spark.range(60000).select(F.lit("far").alias("column"), F.col("id").cast("double").alias("_v")).unionByName(
+        spark.range(60000).select(F.lit("few").alias("column"), (F.col("id") % 3).cast("double").alias("_v"))).unionByName(
+        spark.range(40).select(F.lit("short").alias("column"), F.col("id").cast("double").alias("_v")))
+    counts = long.groupBy("column", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    made = {r["column"]: r["count"] for r in normality.first_copies(counts, "column", 1000, 42).groupBy("column").count().collect()}
+    assert 1000 <= made["far"] < 3000 and 1000 <= made["few"] < 3000 and made["short"] == 40
+    u = F.pmod(F.xxhash64(F.lit(42), "column", "_v"), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    every = counts.select("column", "_v", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1), lambda j: (j + u) / F.col("_c"))).alias("p"))
+    want = {c: sorted(r["_v"] for r in every.where(F.col("column") == c).orderBy("p").limit(1000).collect()) for c in made}
+    got = normality.bottom_k(counts, "column", 1000).collect()
+    assert {c: sorted(r["v"] for r in got if r["column"] == c) for c in made} == want
+
+
+def test_cut_points_of_few_keys_are_broadcast(spark):
+    df = spark.createDataFrame([("ab"[i % 2], float(i % 50), 1) for i in range(400)], "k string, v double, t int")
+    out = ordered_running(df, "v", part_cols=["k"], weight_col="t", few_keys=True)
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    plain = ordered_running(df, "v", part_cols=["k"], weight_col="t")
+    assert out.agg(F.max("_pos")).first()[0] == plain.agg(F.max("_pos")).first()[0] == 200
+
+
+def test_fits_at_once_fall_with_the_rows():
+    assert ml.fits_at_once(1000, 18, 6) == 6 and ml.fits_at_once(1000, 2, 6) == 2
+    assert ml.fits_at_once(7_200_000, 18, 6) == 2 and ml.fits_at_once(10 ** 9, 18, 6) == 1
