@@ -155,7 +155,7 @@ def q_m9(spark, sf):
 @register("M10_classification_metrics_attrition")
 def q_m10(spark, sf):
     res, _, _, _ = _fit(spark, sf)
-    return rounded(res.select("name", F.col("test_score").alias("accuracy"), "f1", "roc_auc"))
+    return rounded(ml.all_fitted(res).select("name", F.col("test_score").alias("accuracy"), "f1", "roc_auc"))
 
 
 @register("M12_class_balance_table_salary", with_views("""

@@ -96,3 +96,34 @@ def test_encoding_of_cut_and_empty_heads(spark, tmp_path):
     empty.write_bytes(b"")
     with pytest.raises(files.LoadError):
         files.sniff_csv(spark, str(empty))
+
+
+class _Broken:
+    def __init__(self, error):
+        self.error = error
+
+    def fit(self, rows):
+        raise self.error
+
+
+def test_a_failed_fit_is_no_result(spark, monkeypatch):
+    """Lost work is raised; a model that the rows do not allow has its error and no scores, and stops reports without that column."""
+    from pyspark.errors import IllegalArgumentException
+    from tessera.plans import queries_extra2
+    df = spark.createDataFrame([(i, "yes" if i % 3 else "no", float(i % 7)) for i in range(60)], "id long, y string, x double")
+    sound = ml._models("classification", 2, 0.0)["Logistic Regression"]
+
+    def train(error):
+        monkeypatch.setattr(ml, "_models", lambda *a: {"Logistic Regression": sound, "Broken": _Broken(error)})
+        return ml.train_models(df, "y", ["x"], ["id"], task="classification", folds=2)
+    with pytest.raises(RuntimeError, match="Broken: fit"):
+        train(RuntimeError("executor lost"))
+    res = train(IllegalArgumentException("not for these rows"))[0]
+    row = {r["name"]: r for r in res.collect()}
+    assert row["Logistic Regression"]["is_best"] and row["Broken"]["train_error"] == "not for these rows"
+    assert all(row["Broken"][c] is None for c in ("cv_score", "cv_std", "train_score", "test_score", "overfit_gap", "f1"))
+    monkeypatch.setattr(queries_extra2, "_fit", lambda *a, **k: (res, None, None, None))
+    for query in (queries_extra2.q_m10,):
+        with pytest.raises(ValueError, match="Broken was not fitted"):
+            query(spark, "")
+    assert ml.all_fitted(res.where("train_error IS NULL")).count() == 1
