@@ -123,7 +123,7 @@ def test_a_failed_fit_is_no_result(spark, monkeypatch):
     assert row["Logistic Regression"]["is_best"] and row["Broken"]["train_error"] == "not for these rows"
     assert all(row["Broken"][c] is None for c in ("cv_score", "cv_std", "train_score", "test_score", "overfit_gap", "f1"))
     monkeypatch.setattr(queries_extra2, "_fit", lambda *a, **k: (res, None, None, None))
-    for query in (queries_extra2.q_m10,):
+    for query in (queries_extra2.q_m9, queries_extra2.q_m10):
         with pytest.raises(ValueError, match="Broken was not fitted"):
             query(spark, "")
     assert ml.all_fitted(res.where("train_error IS NULL")).count() == 1
