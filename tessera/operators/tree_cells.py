@@ -7,7 +7,7 @@ their sums decide the splits:
 - boosted trees: the rows of a cell have the same residual in every round, or (regression) their residuals differ from
   those of their mean label by a constant, so one row with their number as weight gives the same trees;
 - forests of classes: a bootstrap draws each row Poisson(1) times, hence the n rows of a cell Poisson(n) times
-  together.  n is taken apart into powers of two, each drawn at its own rate.
+  together.  n is taken apart into its digits to base 16, each drawn at its own rate.
 
 Split candidates, growing and drawing are Spark's own (``RandomForest.findSplits``, ``GBTClassifier``,
 ``RandomForest.runBagged``), and every row is in a cell.  A forest of a regression weighs each label by its own draws, so
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 #: Rows of a fit from which cells are counted, and how many rows a cell must hold on average to be worth it.
 CELL_ROWS = 1_000_000
 ROWS_A_CELL = 2
+#: Cells that a task of a fit holds: the passes are short, and a task costs some milliseconds.
+CELLS_A_TASK = 100_000
+BASE_BITS = 4
 
 
 def on_cells(est) -> bool:
@@ -92,6 +95,7 @@ class Cells:
         """``est`` (boosted trees of two classes or a regression) fitted on the cells, as a model of the features."""
         d = self.rows.select("label", F.col("n").cast("double").alias("weight"),
                              array_to_vector(F.array(*[F.col(b).cast("double") for b in self.bins])).alias("features"))
+        d = d.coalesce(math.ceil(self.n / CELLS_A_TASK))
         # bins are numbers 0, 1, ...: as many are allowed as make Spark look at every cell for them
         most = max(est.getMaxBins(), math.isqrt(self.n) + 2)
         by_bin = est.copy().setWeightCol("weight").setMaxBins(most).fit(d)  # its Java model lives as long as this
@@ -121,13 +125,17 @@ class Cells:
         inside = [F.array(*[F.lit(t) for t in [*e, max(e[-1] + 1.0, math.nextafter(e[-1], math.inf)) if e else 0.0]])
                   for e in self.edges]
         d = self.rows.select("label", "n", array_to_vector(F.array(*[v[F.col(b)] for v, b in zip(inside, self.bins)])).alias("features"))
-        drawn, once = [], impl.BaggedPoint.convertToBaggedRDD
-        for k in range(int(self.rows.agg(F.max("n")).first()[0]).bit_length()):
-            part = d.where(F.expr(f"shiftright(n, {k}) & 1 = 1"))
+        at = range(0, self.rows.agg(F.max("n")).first()[0].bit_length(), BASE_BITS)
+        digits = F.array(*[F.struct(F.lit(k).alias("k"), F.expr(f"shiftright(n, {k}) & {2 ** BASE_BITS - 1}").alias("times"))
+                           for k in at])
+        d = d.withColumn("d", F.explode(digits)).select("label", "features", "d.*").where("times > 0")
+        drawn, once = [], getattr(impl.BaggedPoint, "convertToBaggedRDD$default$5")()
+        for i, r in enumerate(d.groupBy("k", "times").count().orderBy("k", "times").collect()):
+            part = d.where((F.col("k") == r["k"]) & (F.col("times") == r["times"])).coalesce(math.ceil(2 * r["count"] / CELLS_A_TASK))
             points = impl.TreePoint.convertToTreeRDD(self._instances(est, part), self.splits, self.metadata)
-            drawn.append(once(points, float(2 ** k), est.getNumTrees(), True,
-                              getattr(impl.BaggedPoint, "convertToBaggedRDD$default$5")(), est.getSeed() + 1_000_003 * k))
-        bagged = reduce(lambda a, b: a.union(b), drawn).toJavaRDD().coalesce(2 * self.jsc.sc().defaultParallelism()).rdd()
+            drawn.append(impl.BaggedPoint.convertToBaggedRDD(points, float(r["times"] << r["k"]), est.getNumTrees(), True, once,
+                                                             est.getSeed() + 1_000_003 * i))
+        bagged = reduce(lambda a, b: a.union(b), drawn)
         bagged = bagged.persist(self.jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
         none, candidates = self.jvm.scala.Option.empty(), self.jsc.broadcast(self.splits)
         try:

@@ -348,3 +348,66 @@ def test_chart_facts_by_group_means_and_halves(spark):
     assert charts.bar_facts(none, "k", "v").count() == 0 and charts.share_facts(none, "k", "v").count() == 0
     up = charts.trend_facts(spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 2, 3, 4, 5])], "p int, v double"), "p", "v")
     assert tuple(up.first())[:3] == (1.5, 4.0, 5) and up.first()["direction"] == "improved"
+
+
+def test_trees_of_cells_are_those_of_the_rows(spark):
+    """Boosted trees fitted on cells are Spark's own of the rows; a forest draws the rows of a cell as often together as alone."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from tessera.operators.tree_cells import Cells
+    rng = np.random.default_rng(6)
+    n = 12_000  # more rows than Spark draws split candidates from
+    x, z, q = rng.integers(0, 12, n), rng.integers(0, 3, n) * 0.37, np.round(rng.normal(size=n) * 2) / 2
+    r = x * 2.0 + q * q + rng.normal(size=n)
+    pdf = pd.DataFrame({"x": x * 1.0, "z": z, "q": q, "same": 1.0, "r": r, "y": (r + 9 * z > 14) * 1.0})
+    d = spark.createDataFrame(pdf).repartition(3)
+    scaling = Pipeline(stages=[VectorAssembler(inputCols=["x", "z", "q", "same"], outputCol="raw"),
+                               StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
+    d = scaling.fit(d).transform(d).persist()
+    for task, label, classes in (("classification", "y", 2), ("regression", "r", 0)):
+        rows, models = d.select("features", F.col(label).alias("label")).persist(), ml._models(task, classes, 0.0)
+        cells = Cells(models["Random Forest"], rows, classes)
+        assert cells.n < 800 and cells.n_rows == n and cells.rows.agg(F.sum("n")).first()[0] == n
+        boosted = models["Gradient Boosting"].setMaxIter(8)
+        mine, theirs = cells.fit(boosted), boosted.fit(rows)
+        both = theirs.transform(mine.transform(rows).select("features", F.col("prediction").alias("p")))
+        worst = both.agg(F.max(F.abs(F.col("p") - F.col("prediction")))).first()[0]
+        assert worst < 1e-9 and np.allclose(mine.featureImportances.toArray(), theirs.featureImportances.toArray(), atol=1e-9)
+        if task == "classification":
+            grown, alone = cells.fit(models["Random Forest"]), models["Random Forest"].fit(rows)
+            p = alone.transform(grown.transform(rows).select("features", vector_to_array("probability")[1].alias("p")))
+            assert p.agg(F.avg(F.abs(F.col("p") - vector_to_array("probability")[1]))).first()[0] < 0.02
+            assert grown.getNumTrees == 100 and grown.numClasses == 2
+            # draws of a tree: as many as rows, their sum Poisson(n)
+            sizes = [t._java_obj.rootNode().impurityStats().rawCount() for t in grown.trees]
+            assert abs(np.mean(sizes) - n) < 50 and 60 < np.std(sizes) < 160
+        cells.unpersist()
+
+
+def test_train_models_on_cells(spark, monkeypatch):
+    """From ``cell_rows`` training rows on trees are fitted on cells, with the scores of the fits on rows."""
+    every = ml._models
+
+    def short(*a):
+        models = every(*a)
+        models["Gradient Boosting"].setMaxIter(5)
+        return models
+    monkeypatch.setattr(ml, "_models", short)
+    rng = np.random.default_rng(8)
+    n = 3000
+    x, c = rng.integers(0, 9, n), rng.choice(["a", "b"], n)
+    y = np.where(x + 3 * (c == "a") + rng.normal(size=n) > 6, "yes", "no")
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "x": x * 1.0, "c": c, "y": y, "v": x * 2.0 + rng.normal(size=n)}))
+    for target, names in (("y", ["Random Forest", "Gradient Boosting"]), ("v", ["Gradient Boosting"])):
+        task = "classification" if target == "y" else "regression"
+
+        def run(cell_rows):
+            res, fitted, _, _ = ml.train_models(df, target, ["x", "c"], ["id"], task=task, folds=2, model_names=names, cell_rows=cell_rows)
+            return {r["name"]: r for r in res.collect()}, [type(s).__name__ for s in fitted[names[-1]].stages]
+        (rows, stages), (cells, stages_cells) = run(10 ** 9), run(0)
+        assert stages == stages_cells
+        for name in names:
+            assert rows[name]["train_error"] is None and cells[name]["train_error"] is None
+            near = 1e-9 if name == "Gradient Boosting" else 0.02
+            assert all(abs(rows[name][k] - cells[name][k]) <= near for k in ("cv_score", "train_score", "test_score"))
